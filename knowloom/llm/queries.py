@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowloom.llm.components import connected_groups, relation_links
+from knowloom.llm.copies import PART, copy_groups
+from knowloom.llm.survivorship import OPTIONAL_FIELDS, STAND_INS, best_members, memory_claims, truth_model
 from knowloom.tables import table
 
 
@@ -14,7 +16,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_groups(links).select(F.col("id").alias("memory_id"), "group_id")
 
 
-QUERIES = {"p1_found": p1_found}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return best_members(table(spark, d, "memories"))
+
+
+def p3_truth(spark: SparkSession, d: str) -> DataFrame:
+    return truth_model(memory_claims(table(spark, d, "memories")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copy_groups(table(spark, d, "memories")).where("n_copies > 1").select(F.col("key").alias("memory_id"), "group_id")
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record each, the least id of its copies, with the number of copies."""
+    return copy_groups(table(spark, d, "memories")).where("key = group_id").select(F.col("key").alias("memory_id"), "n_copies")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_truth": p3_truth,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
+}
 
 _P1 = r"""
 WITH RECURSIVE l AS (
@@ -27,4 +52,43 @@ reach(v, w) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM reach r JOIN e ON
 SELECT v AS memory_id, min(w) AS group_id FROM reach GROUP BY v
 """
 
-SQL = {"p1_found": _P1}
+_STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
+
+
+def _is_filled(c: str) -> str:
+    bare = rf"regexp_replace(lower({c}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
+    return f"({c} IS NOT NULL AND {bare} <> '' AND {bare} NOT IN ({_STAND_INS}))"
+
+
+_P3 = r"""
+WITH k AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(topic_key), '[\s\xA0\x{2000}-\x{200A}\x{202F}_-]+', '-', 'g'), '-?/-?', '/', 'g'), '^-|-$', '', 'g') AS tk
+  FROM memories WHERE deleted_at IS NULL),
+g AS (SELECT *, count(*) OVER (PARTITION BY project_id, tk) AS n FROM k WHERE tk <> ''),
+c AS (
+""" + "\n  UNION ALL ".join(f"SELECT project_id, tk, '{f}' AS field_name, id, revision_count, last_seen_at FROM g WHERE n > 1 AND {w}" for f, w in [("record", "true"), *[(f, _is_filled(f)) for f in OPTIONAL_FIELDS]]) + r""")
+SELECT project_id, tk AS topic_key, field_name, id AS memory_id FROM c
+QUALIFY row_number() OVER (PARTITION BY project_id, tk, field_name ORDER BY revision_count DESC NULLS LAST, last_seen_at DESC NULLS LAST, id) = 1
+"""
+
+
+def _letters(c: str) -> str:
+    return rf"replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss')"
+
+
+def _canonical(c: str) -> str:
+    parts = rf"list_transform(string_split(regexp_replace(coalesce({c}, ''), '{PART}', chr(1) || '\2', 'g'), chr(1)), lambda x: {_letters('x')})"
+    return f"(CASE WHEN len({parts}) > 2 AND {parts}[1] = '' THEN array_to_string(list_sort({parts}), chr(1)) ELSE {_letters(f'coalesce({c}, {chr(39)*2})')} END)"
+
+
+_P4 = rf"""
+WITH c AS (SELECT id, project_id, {_canonical('what')} AS a, {_canonical('why')} AS b FROM memories),
+g AS (SELECT id, min(id) OVER w AS group_id, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY project_id, least(a, b), greatest(a, b)))
+"""
+
+SQL = {
+    "p1_found": _P1,
+    "p3_found": _P3,
+    "p4_found": _P4 + "SELECT id AS memory_id, group_id FROM g WHERE n > 1",
+    "p4_records": _P4 + "SELECT id AS memory_id, CAST(n AS BIGINT) AS n_copies FROM g WHERE id = group_id",
+}
