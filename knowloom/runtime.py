@@ -125,4 +125,4 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
 def filled(c: Column | str) -> Column:
     """True where a string holds something besides white space."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.isNotNull() & c.rlike(r"[^\s ]")
+    return c.isNotNull() & c.rlike(r"[^\s\u00a0]")
