@@ -25,7 +25,7 @@ def relation_links(relations: DataFrame, memories: DataFrame) -> DataFrame:
     disregarded. Null, blank and equal ends, unknown memories and rows without project give no link.
     Repeated and reversed rows count once; they are merged before the joins.
     """
-    kind = F.regexp_replace(F.lower("relation_type"), r"[\s _-]+", "")
+    kind = F.regexp_replace(F.lower("relation_type"), r"[\s\u00a0_-]+", "")
     rel = relations.where(kind.isin("relatesto", "supersedes") & (F.col("source_id") != F.col("target_id"))).select(
         "project_id", F.least("source_id", "target_id").alias("src"), F.greatest("source_id", "target_id").alias("dst")
     )
@@ -45,16 +45,21 @@ def grow_clusters(edges: DataFrame, level: int, seed: int) -> DataFrame:
     """(v, center) for every vertex of ``edges``: the center with the least distance minus shift.
 
     No path longer than MAX_SHIFT can win against a vertex's own shift, so that many steps are exact.
-    A step sends a vertex's best offer along its edges and keeps the least offer at each vertex; offers to a
-    hub are merged on the sending side first. All steps form one plan that shuffles the edges once.
+    A step sends a vertex's best offer along its arcs, one of which leads back to itself at no cost, and keeps the least
+    offer at each vertex; offers to a hub are merged on the sending side first. All steps form one plan,
+    linear in their number, that shuffles the arcs once.
     """
-    both = edges.select(F.col("src").alias("v"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("v"), F.col("src").alias("to")))
-    state = shifts(both.select("v").distinct(), level, seed).withColumn("center", F.col("v"))
+    a, b, hop = F.col("src"), F.col("dst"), F.lit(1.0)
+    ends = F.array(F.struct(a.alias("v"), b.alias("to"), hop.alias("cost")), F.struct(b.alias("v"), a.alias("to"), hop.alias("cost")))
+    ways = edges.select(F.explode(ends).alias("w")).select("w.*")
+    arcs = cut(ways.unionByName(ways.select("v", F.col("v").alias("to"), F.lit(0.0).alias("cost")).distinct()), "arcs")
+    state = shifts(arcs.where("cost = 0"), level, seed).withColumn("center", F.col("v"))
     for _ in range(MAX_SHIFT):
-        sent = both.join(state, "v").select(F.col("to").alias("v"), (F.col("score") + 1).alias("score"), "center")
-        best = F.min(F.struct("score", "center")).alias("best")
-        state = state.select("v", "score", "center").unionByName(sent).groupBy("v").agg(best).select("v", "best.score", "best.center")
-    return state.select("v", "center")
+        sent = arcs.join(state, "v").select(F.col("to").alias("v"), F.struct((F.col("score") + F.col("cost")).alias("score"), "center").alias("offer"))
+        state = sent.groupBy("v").agg(F.min("offer").alias("best")).select("v", "best.score", "best.center")
+    clusters = cut(state.select("v", "center"), "clusters")
+    release(arcs)
+    return clusters
 
 
 def connected_groups(links: DataFrame, seed: int = 17) -> DataFrame:
@@ -68,7 +73,7 @@ def connected_groups(links: DataFrame, seed: int = 17) -> DataFrame:
     edges = cut(links.where(a != b).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct(), "links")
     levels: list[DataFrame] = []
     while not is_empty(edges):
-        at = cut(grow_clusters(edges, len(levels), seed), "clusters")
+        at = grow_clusters(edges, len(levels), seed)
         levels.append(at)
         src = at.select(F.col("v").alias("src"), F.col("center").alias("a"))
         dst = at.select(F.col("v").alias("dst"), F.col("center").alias("b"))
