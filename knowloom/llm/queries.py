@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.llm.components import connected_groups, relation_links
 from knowloom.llm.copies import PART, copy_groups
+from knowloom.llm.pii import mentions, redacted, text_fields
 from knowloom.llm.survivorship import OPTIONAL_FIELDS, STAND_INS, best_members, memory_claims, truth_model
 from knowloom.tables import table
 
@@ -16,6 +17,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_groups(links).select(F.col("id").alias("memory_id"), "group_id")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    memories = text_fields(table(spark, d, "memories"), "memories", "id", ["learned", "errors_faced"])
+    return memories.unionByName(text_fields(table(spark, d, "user_prompts"), "user_prompts", "id", ["content"]))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mentions(_texts(spark, d))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redacted(_texts(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return best_members(table(spark, d, "memories"))
 
@@ -35,6 +49,8 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_truth": p3_truth,
     "p4_found": p4_found,
