@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.llm.components import connected_groups, relation_links
 from knowloom.llm.copies import PART, copy_groups
+from knowloom.llm.neardup import near_classes, near_groups, near_pairs
 from knowloom.llm.pii import mentions, redacted, text_fields
 from knowloom.llm.survivorship import OPTIONAL_FIELDS, STAND_INS, best_members, memory_claims, truth_model
 from knowloom.tables import table
@@ -47,6 +48,18 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return copy_groups(table(spark, d, "memories")).where("key = group_id").select(F.col("key").alias("memory_id"), "n_copies")
 
 
+#: Similarity that TESTDATA.md states for problem 5.
+NEAR = 0.7
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_pairs(*near_classes(table(spark, d, "memories"), t=NEAR))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_groups(*near_classes(table(spark, d, "memories"), t=NEAR))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -55,6 +68,8 @@ QUERIES = {
     "p3_truth": p3_truth,
     "p4_found": p4_found,
     "p4_records": p4_records,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
 }
 
 _P1 = r"""
@@ -102,7 +117,15 @@ WITH c AS (SELECT id, project_id, {_canonical('what')} AS a, {_canonical('why')}
 g AS (SELECT id, min(id) OVER w AS group_id, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY project_id, least(a, b), greatest(a, b)))
 """
 
+_P5 = r"""
+WITH w AS (SELECT DISTINCT id, project_id, unnest(regexp_extract_all(lower(concat_ws(' ', what, why, learned)), '[\p{L}\p{N}]+')) AS word FROM memories),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM w a JOIN w b ON a.word = b.word AND a.project_id = b.project_id AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / (x.n + y.n - k) >= 0.7
+"""
+
 SQL = {
+    "p5_found": _P5,
     "p1_found": _P1,
     "p3_found": _P3,
     "p4_found": _P4 + "SELECT id AS memory_id, group_id FROM g WHERE n > 1",
