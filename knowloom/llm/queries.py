@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from knowloom.llm.components import connected_groups, relation_links
 from knowloom.llm.copies import PART, copy_groups
+from knowloom.llm.mixing import mix, share_report
 from knowloom.llm.neardup import near_classes, near_groups, near_pairs
+from knowloom.llm.packing import fill_report, pack
 from knowloom.llm.pii import mentions, redacted, text_fields
+from knowloom.llm.reading import level_profile, reading_levels
 from knowloom.llm.survivorship import OPTIONAL_FIELDS, STAND_INS, best_members, memory_claims, truth_model
+from knowloom.llm.tokens import sized
+from knowloom.runtime import cut
 from knowloom.tables import table
 
 
@@ -60,6 +65,39 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_groups(*near_classes(table(spark, d, "memories"), t=NEAR))
 
 
+def _containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(r["container"], r["capacity_tokens"]) for r in table(spark, d, "pack_limits").orderBy("container").collect()]
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(cut(sized(table(spark, d, "documents")), "sizes"), _containers(spark, d))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p7_pack(spark, d), _containers(spark, d))
+
+
+def _targets(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
+    rows = table(spark, d, "mix_targets").orderBy("source").collect()
+    return [(r["source"], r["target_share"], r["max_repeats"]) for r in rows]
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(cut(sized(table(spark, d, "documents"), "source"), "sizes"), _targets(spark, d))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p8_mix(spark, d), _targets(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    return level_profile(p9_found(spark, d), table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -70,6 +108,12 @@ QUERIES = {
     "p4_records": p4_records,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_profile": p9_profile,
 }
 
 _P1 = r"""
