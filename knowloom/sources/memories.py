@@ -25,9 +25,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(memories, broken) from a folder with one JSON file a memory; files that do not parse come out apart with their name."""
     schema = T.StructType([*MEMORIES.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
-    rows = rows.withColumn("_file", F.input_file_name())
-    return rows.where("_corrupt IS NULL").drop("_corrupt", "_file"), rows.where("_corrupt IS NOT NULL").select("_file", "_corrupt")
+    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).withColumn("_file", F.input_file_name())
+    rows = texts.select("_file", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("m"))
+    good = rows.where("m IS NOT NULL AND m._corrupt IS NULL").select("m.*").drop("_corrupt")
+    return good, rows.where("m IS NULL OR m._corrupt IS NOT NULL").select("_file", F.col("m._corrupt").alias("_corrupt"))
 
 
 def import_memories(current: DataFrame, incoming: DataFrame, project_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
