@@ -1,12 +1,13 @@
 """Ranked full-text search over memories.
 
-A query's phrases are few and known when the plan is made, so matching is an expression over the token arrays
+A query's phrases are few and known when the plan is made, so matching is a pattern over the normalised texts
 of a row: one scan gathers the corpus statistics (one row comes to the driver), a second one scores, and only
-the best rows of each project are exchanged. :func:`index` keeps the token arrays for repeated searches.
+the best rows of each project are exchanged. :func:`index` keeps those texts for repeated searches.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowloom.functions import scalar, text
+from knowloom.runtime import with_once
 
 FIELDS = ("what", "why", "learned")
 K1, B = 1.2, 0.75
@@ -26,10 +28,10 @@ COSINE_FLOOR = 0.15
 COMPACT = ("id", "category", "what", "topic_key", "revision_count", "duplicate_count", "created_at")
 
 
-def fts_tokens(c: Column) -> Column:
-    """Lower-case runs of letters and digits without marks; every other character separates."""
+def fts_text(c: Column) -> Column:
+    """Lower-case runs of letters and digits without marks, a blank before and after each; every other character separates."""
     folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKED, PLAIN)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def plain_tokens(query: str) -> list[str]:
@@ -61,25 +63,19 @@ def title_phrases(title: str) -> list[Phrase]:
 
 
 def hits(tokens: Column, p: Phrase) -> Column:
-    """How often a phrase occurs in an array of tokens; the last token may match a prefix."""
-    same = lambda t, k: t.startswith(p.tokens[k]) if p.prefix and k == len(p.tokens) - 1 else t == p.tokens[k]
-    if len(p.tokens) == 1:
-        return F.size(F.filter(tokens, lambda t: same(t, 0)))
-    at = F.transform(tokens, lambda t, i: sum_all([F.coalesce(same(F.get(tokens, i + k), k), F.lit(False)) for k in range(len(p.tokens))]))
-    return F.size(F.filter(at, lambda x: x))
+    """How often a phrase begins in a text of tokens; the last token may match a prefix. Texts without it cost one plain search."""
+    words = " ".join(p.tokens) + ("" if p.prefix else " ")
+    return F.when(tokens.contains(" " + words), F.regexp_count(tokens, F.lit(f"(?<= )(?={words})"))).otherwise(0)
 
 
-def sum_all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _n_tokens(t: Column) -> Column:
+    return F.when(t == "  ", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) - 1)
 
 
 def index(memories: DataFrame) -> DataFrame:
-    """The rows with their token arrays ``_t0.._t2`` and length ``_len``."""
-    with_tokens = memories.withColumns({f"_t{i}": fts_tokens(F.col(c)) for i, c in enumerate(FIELDS)})
-    return with_tokens.withColumn("_len", sum((F.size(f"_t{i}") for i in range(len(FIELDS))), F.lit(0)))
+    """The rows with their texts of tokens ``_t0.._t2`` and the number of tokens ``_len``."""
+    with_tokens = with_once(memories, {f"_t{i}": fts_text(F.col(c)) for i, c in enumerate(FIELDS)})
+    return with_tokens.withColumn("_len", sum((_n_tokens(F.col(f"_t{i}")) for i in range(len(FIELDS))), F.lit(0)))
 
 
 def score(indexed: DataFrame, wanted: list[Phrase], weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -92,17 +88,17 @@ def score(indexed: DataFrame, wanted: list[Phrase], weights: tuple[float, ...] =
         F.count(F.lit(1)).alias("n"), F.sum("_len").alias("total"), *[F.count_if(c > 0).alias(f"n{k}") for k, c in enumerate(count)]
     ).first()  # one row
     n, mean = stats["n"], (stats["total"] or 0) / max(1, stats["n"])
-    import math
-
+    weighed = [sum((hits(F.col(f"_t{i}"), p) * w for i, w in enumerate(weights)), F.lit(0.0)) for p in wanted]
+    found = with_once(indexed, {f"_f{k}": f for k, f in enumerate(weighed)})
     matched, total = F.lit(0), F.lit(0.0)
-    for k, p in enumerate(wanted):
-        nk = stats[f"n{k}"]
+    for k in range(len(wanted)):
+        nk, f = stats[f"n{k}"], F.col(f"_f{k}")
         idf = math.log((n - nk + 0.5) / (nk + 0.5))
         idf = idf if idf > 0 else 1e-6
-        f = sum((hits(F.col(f"_t{i}"), p) * w for i, w in enumerate(weights)), F.lit(0.0))
         total = total + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / (mean or 1.0)))
         matched = matched + (f > 0).cast("int")
-    return indexed.withColumn("_matched", matched).where("_matched > 0").withColumn("_bm25", -total)
+    found = found.withColumn("_matched", matched).where("_matched > 0").withColumn("_bm25", -total)
+    return found.drop(*[f"_f{k}" for k in range(len(wanted))])
 
 
 def tri_factor(as_of: datetime) -> Column:
@@ -172,7 +168,7 @@ def hybrid(memories: DataFrame, query: str, as_of: datetime, category: str | Non
     found = found.withColumn("_broad", F.row_number().over(by_project.orderBy("score", "id"))).withColumn("_strict", F.row_number().over(by_project.orderBy(F.desc("strict"), "score", "id")))
     pool = found.where((F.col("strict") & (F.col("_strict") <= limit)) | (~F.col("strict") & (F.col("_broad") <= 2 * limit)))
     near = scalar.cosine_to(scalar.query_terms(query), F.col("what"))
-    pool = pool.withColumn("_cos", F.when(~F.col("strict"), near)).where(F.col("strict") | (F.col("_cos") >= COSINE_FLOOR))
+    pool = with_once(pool, {"_cos": F.when(~F.col("strict"), near)}).where(F.col("strict") | (F.col("_cos") >= COSINE_FLOOR))
     pool = pool.withColumn("score", F.when(F.col("strict"), F.col("score")).when(F.col("score") == 0, -F.col("_cos")).otherwise(F.col("score") * (1 + 0.5 * F.col("_cos"))))
     rows = _ranked(pool, [F.desc("strict"), F.col("score"), F.col("id")], limit)
     return rows.withColumn("what", text.redact(F.col("what"))).select("project_id", *COMPACT, "score", "rank", "strict")

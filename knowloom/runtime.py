@@ -122,6 +122,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often later steps and filters use them.
+
+    The optimiser may write an expression out wherever its column is used, also in a filter below; it does not do so through a generator of one row.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", one).select(*df.columns, *[F.col("_once")[n].alias(n) for n in columns])
+
+
 def filled(c: Column | str) -> Column:
     """True where a string holds something besides white space."""
     c = F.col(c) if isinstance(c, str) else c
