@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from knowloom.runtime import cut, is_empty, release, salted_join
 
 #: Mean of a vertex's shift, in hops. Larger: fewer levels, more growing steps in each.
-MEAN_SHIFT = 2.0
+MEAN_SHIFT = 4.0
 #: Shifts are cut off here, so that a cluster's radius, and with it the number of growing steps, is at most this.
-MAX_SHIFT = 4
+MAX_SHIFT = 8
 
 
 def relation_links(relations: DataFrame, memories: DataFrame) -> DataFrame:
