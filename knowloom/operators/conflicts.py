@@ -26,7 +26,7 @@ def class_summary(classes: DataFrame, projects: DataFrame) -> DataFrame:
     """One row a class: its tokens, n_members, and whether it has a member newer than the project's last scan."""
     since = projects.select(F.col("id").alias("project_id"), F.col("last_conflict_scan_at").alias("_since"))
     new = F.col("_since").isNull() | (F.col("created_at") > F.col("_since"))
-    rows = classes.join(F.broadcast(since), "project_id", "left")
+    rows = classes.join(since, "project_id", "left")
     return rows.groupBy("project_id", "class_id").agg(F.min_by("tokens", "id").alias("tokens"), F.count(F.lit(1)).alias("n_members"), F.max(F.coalesce(new, F.lit(False))).alias("has_new"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import scalar, text
 from knowloom.operators.search import active
+from knowloom.runtime import broadcast_if_small
 
 #: Fixed values.
 TRANSIENT = ("journal", "qa", "discussion", "idea")
@@ -168,8 +169,8 @@ def timeline(memories: DataFrame, anchors: DataFrame, before: int = 3, after: in
     each row of a project meets each of its anchors once, and the limits apply before the exchange, so a
     large project is not gathered in one task.
     """
-    anchor = anchors.select("project_id", "anchor_id").distinct()
-    at = F.broadcast(memories.select("project_id", F.col("id").alias("anchor_id"), F.col("created_at").alias("_t")).join(F.broadcast(anchor), ["project_id", "anchor_id"]))
+    anchor = broadcast_if_small(anchors.select("project_id", "anchor_id").distinct())
+    at = broadcast_if_small(memories.select("project_id", F.col("id").alias("anchor_id"), F.col("created_at").alias("_t")).join(anchor, ["project_id", "anchor_id"]))
     near = active(memories).join(at, "project_id").where(F.col("created_at") != F.col("_t"))
     cols = ["project_id", "anchor_id", "id", text.redact(F.col("what")).alias("what"), "created_at"]
     keys = ["project_id", "anchor_id"]

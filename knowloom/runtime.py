@@ -95,8 +95,13 @@ def is_empty(df: DataFrame) -> bool:
 def hot_keys(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
     """Key values that hold more than one ``share``-th of all rows: at most ``share`` of them, by arithmetic."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total), F.col("_n") * share > F.col("_total")).select(*keys)
+    total = counts.agg(F.sum("_n").alias("_total")).scalar()
+    return counts.where(F.col("_n") * share > total).select(*keys)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count, which stops beyond the bound, shows that it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _is_map(df: DataFrame, name: str) -> bool:
