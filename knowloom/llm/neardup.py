@@ -22,14 +22,23 @@ from pyspark.sql import functions as F
 
 from knowloom.runtime import BROADCAST_ROWS, cut, release, salted_join
 
-#: Differences that a part may hide (s above): more gives longer keys in more tables.
+#: Differences that a part may hide (s above): more gives longer keys, and so smaller buckets, in more tables.
 PART_RADIUS = 1
+#: A larger radius a part is worth its tables beyond so many sets.
+RADIUS_STEPS = (500_000, 5_000_000, 100_000_000)
+#: A bucket of more sets is not compared in the task that gathered it but dealt out block against block.
+MOST_BUCKET, DEALT_BLOCK = 1 << 14, 1 << 13
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 20  # words whose hash a worker remembers
 _BLOCK = 1 << 11  # rows and columns of a bucket compared at once
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+def part_radius(sets: int) -> int:
+    """The radius of a part for a number of sets. Every choice finds all pairs; this one keeps buckets small."""
+    return PART_RADIUS + sum(sets > n for n in RADIUS_STEPS)
+
+
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A well mixed 64-bit hash of 64-bit numbers."""
     with np.errstate(over="ignore"):
@@ -182,14 +191,32 @@ def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: np.ndarray, t: floa
     return (apart <= (1 - t) / (1 + t) * total + 1e-9) & (least >= t * (total - least) - 1e-9)
 
 
-def bucket_pairs(keys: np.ndarray, index: np.ndarray, n: np.ndarray, bits: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Possible pairs among the sets that share a key. Buckets of one small size are compared together, larger ones in blocks of bounded memory."""
+def _buckets(keys: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index in key order, where each bucket of equal keys begins, its size)."""
     order = np.argsort(keys, kind="stable")
     keys, index = keys[order], index[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    count = np.diff(np.append(first, len(keys)))
+    return index, first, np.diff(np.append(first, len(keys)))
+
+
+def block_pairs(left: np.ndarray, right: np.ndarray | None, n: np.ndarray, bits: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs between two blocks of sets, or within one, in squares of bounded memory."""
+    for i in range(0, len(left), _BLOCK):
+        other = left[i:] if right is None else right
+        for j in range(0, len(other), _BLOCK):
+            a, b = left[i : i + _BLOCK], other[j : j + _BLOCK]
+            x, y = np.nonzero(_near(a[:, None], b[None, :], n, bits, t))
+            if right is None and j == 0:
+                x, y = x[x < y], y[x < y]
+            if len(x):
+                yield a[x], b[y]
+
+
+def bucket_pairs(keys: np.ndarray, index: np.ndarray, n: np.ndarray, bits: np.ndarray, t: float, most: int = MOST_BUCKET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs among the sets that share a key, in buckets of up to ``most``. Buckets of one small size are compared together."""
+    index, first, count = _buckets(keys, index)
     n = n.astype(np.float32)
-    for c in np.unique(count[count > 1]):
+    for c in np.unique(count[(count > 1) & (count <= most)]):
         at = first[count == c]
         if c <= 24:
             member = index[at[:, None] + np.arange(c)]
@@ -200,20 +227,42 @@ def bucket_pairs(keys: np.ndarray, index: np.ndarray, n: np.ndarray, bits: np.nd
                     yield a[x, 0], b[x, y]
         else:
             for f in at:
-                member = index[f : f + c]
-                for i in range(0, c, _BLOCK):
-                    for j in range(i, c, _BLOCK):
-                        a, b = member[i : i + _BLOCK], member[j : j + _BLOCK]
-                        x, y = np.nonzero(_near(a[:, None], b[None, :], n, bits, t))
-                        if i == j:
-                            x, y = x[x < y], y[x < y]
-                        if len(x):
-                            yield a[x], b[y]
+                yield from block_pairs(index[f : f + c], None, n, bits, t)
+
+
+def large_buckets(keys: np.ndarray, index: np.ndarray, most: int = MOST_BUCKET) -> Iterator[np.ndarray]:
+    """The members of each bucket of more than ``most`` sets."""
+    index, first, count = _buckets(keys, index)
+    for f, c in zip(first[count > most], count[count > most]):
+        yield index[f : f + c]
+
+
+def _compare_blocks(blocks: DataFrame, t: float) -> DataFrame:
+    """Possible pairs of the dealt blocks of large buckets, one row of two blocks (the second empty within one) at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = ((np.int64, 1), (np.uint32, 1), (np.uint64, 2))
+        for batch in batches:
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                parts = [_unpack(x.as_py(), *kinds) for x in (left, right) if x.as_py() is not None]
+                rid, n, bits = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                cut_at = len(parts[0][0])
+                one, two = np.arange(cut_at), np.arange(cut_at, len(rid)) if len(parts) > 1 else None
+                for a, b in block_pairs(one, two, n.astype(np.float32), bits, t):
+                    a, b = rid[a], rid[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
 def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS) -> DataFrame:
-    """Distinct pairs (a, b) of rids, a < b, that share a key in some table and that the parity bits do not rule out."""
+    """Distinct pairs (a, b) of rids, a < b, that share a key in some table and that the parity bits do not rule out.
+
+    A task compares the buckets of its range of keys; the members of a bucket too large for that are dealt out in
+    blocks, and every pair of blocks is a row of its own for the whole cluster.
+    """
     ways = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most, size = MOST_BUCKET, DEALT_BLOCK
 
     def run(table: pa.Table) -> pa.Table:
         kept_keys, kept_index, rids, sizes, bits, base = [], [], [], [], [], 0
@@ -225,9 +274,10 @@ def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS) -> DataFram
             sizes.append(z)
             bits.append(p)
             base += len(r)
+        keys, index = np.concatenate(kept_keys), np.concatenate(kept_index)
         rid, n, bit = np.concatenate(rids), np.concatenate(sizes), np.concatenate(bits)
         packed, waiting = [], 0
-        for a, b in bucket_pairs(np.concatenate(kept_keys), np.concatenate(kept_index), n, bit, t):
+        for a, b in bucket_pairs(keys, index, n, bit, t, most):
             a, b = rid[a], rid[b]
             packed.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
             waiting += len(a)
@@ -235,9 +285,20 @@ def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS) -> DataFram
                 packed, waiting = [np.unique(np.concatenate(packed), axis=0)], 0
         pairs = np.unique(np.concatenate(packed), axis=0) if packed else np.empty((0, 2), np.int64)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return _deal(sets, t, s, ways).groupBy("way").applyInArrow(run, "a bigint, b bigint").distinct()
+        left, right = [], []
+        for member in large_buckets(keys, index, most):
+            blocks = [_pack(rid[m], n[m], bit[m]) for m in (member[k : k + size] for k in range(0, len(member), size))]
+            for i, x in enumerate(blocks):
+                left += [x] * (len(blocks) - i)
+                right += [None, *blocks[i + 1 :]]
+        none = [None] * len(pairs)
+        a = pa.array(np.concatenate([pairs[:, 0], np.zeros(len(left), np.int64)]))
+        b = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(left), np.int64)]))
+        return pa.table({"a": a, "b": b, "left": pa.array(none + left, pa.binary()), "right": pa.array(none + right, pa.binary())})
+
+    found = cut(_deal(sets, t, s, ways).groupBy("way").applyInArrow(run, "a bigint, b bigint, left binary, right binary"), "compared")
+    dealt = found.where("left IS NOT NULL").select("left", "right").repartition(ways)
+    return found.where("left IS NULL").select("a", "b").unionByName(_compare_blocks(dealt, t)).distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -245,12 +306,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def near_classes(records: DataFrame, scope: str = "project_id", key: str = "id", fields: tuple[str, ...] = ("what", "why", "learned"), t: float = 0.7, s: int = PART_RADIUS) -> tuple[DataFrame, DataFrame]:
+def near_classes(records: DataFrame, scope: str = "project_id", key: str = "id", fields: tuple[str, ...] = ("what", "why", "learned"), t: float = 0.7, s: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All pairs of records of one scope whose word sets have a Jaccard similarity of at least ``t``, without repeating copies.
 
     Returns (members, pairs). members: (key, class_id), every record with the least key of those that have the same
     words. pairs: (a, b, similarity), class ids a < b. Together they hold every pair of similar records.
-    A record without words is a class of its own and in no pair; null scopes form a scope of their own. Keys are taken to be unique. Texts are read whole; extra columns are not looked at.
+    A record without words is a class of its own and in no pair; null scopes form a scope of their own. Keys
+    are taken to be unique; a repeated row comes out as often as it occurs. Texts are read whole; extra columns are not looked at.
     """
     sets = word_sets(records, scope, key, list(fields))
     worded = sets.where("n > 0")
@@ -259,7 +321,7 @@ def near_classes(records: DataFrame, scope: str = "project_id", key: str = "id",
     again = copies.where("key <> class_id").select("key")
     few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     single = worded.join(F.broadcast(again) if few else again, "key", "left_anti")
-    found = cut(candidate_pairs(single, t, s), "candidates")
+    found = cut(candidate_pairs(single, t, part_radius(sets.count()) if s is None else s), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ends = F.broadcast(ends)

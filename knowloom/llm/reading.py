@@ -58,9 +58,9 @@ def features(text: str) -> tuple[str, Counter]:
 def labelled(labels: DataFrame) -> DataFrame:
     """(doc_id, level, weight): one vote for each rater of a document, together worth 1. Nulls, repeats and levels outside 1 to 5 are left out."""
     votes = labels.where(F.col("level").isin(*LEVELS)).dropna(subset=["doc_id"]).select("doc_id", F.coalesce("rater", F.lit("")).alias("rater"), "level").distinct()
-    per = votes.groupBy("doc_id").agg(F.collect_list("level").alias("levels"))
-    bounded = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    return bounded.select("doc_id", F.explode("levels").alias("level"), (1.0 / F.size("levels")).alias("weight")).groupBy("doc_id", "level").agg(F.sum("weight").alias("weight"))
+    by_level = votes.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"))
+    bounded = by_level.groupBy("doc_id").agg(F.sum("n").alias("all")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    return by_level.join(F.broadcast(bounded), "doc_id").select("doc_id", "level", (F.col("n") / F.col("all")).alias("weight"))
 
 
 def training_counts(documents: DataFrame, votes: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def training_counts(documents: DataFrame, votes: DataFrame) -> DataFrame:
                 ["lang", "level", "token", "n"],
             )
 
-    votes = F.broadcast(votes)  # at most two rows a rater pair for MOST_LABELLED documents
+    votes = F.broadcast(votes)  # at most a row for each level of MOST_LABELLED documents
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(votes, "doc_id").select("text", F.col("level").cast("int").alias("level"), "weight")
     return texts.mapInArrow(run, "lang string, level int, token string, n double").groupBy("lang", "level", "token").agg(F.sum("n").alias("n"))
 

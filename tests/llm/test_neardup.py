@@ -90,6 +90,20 @@ def test_bands_join_every_allowed_pair_of_sizes():
             assert any(low <= n < high and m <= top for _, low, high, top in bands)
 
 
+def test_buckets_too_large_for_a_task_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_BUCKET", 4)
+    monkeypatch.setattr(neardup, "DEALT_BLOCK", 3)
+    rows = _rows(seed=6, n=80)
+    got = {(r.id_a, r.id_b) for r in near_pairs(*near_classes(_frame(spark, rows))).collect()}
+    assert got == _brute(rows)
+
+
+def test_larger_radius_finds_the_same(spark):
+    rows = _rows(seed=7, n=60)
+    assert {(r.id_a, r.id_b) for r in near_pairs(*near_classes(_frame(spark, rows), s=2)).collect()} == _brute(rows)
+    assert [neardup.part_radius(n) for n in (0, 500_000, 500_001, 10**9)] == [1, 1, 2, 4]
+
+
 def test_large_buckets_go_in_blocks(monkeypatch):
     monkeypatch.setattr(neardup, "_BLOCK", 7)
     bits = np.zeros((40, 2), np.uint64)
