@@ -19,7 +19,7 @@ from knowloom.plans import sqltext as q
 from knowloom.plans.functions import NOW
 from knowloom.plans.memory import WEEK_AGO
 from knowloom.streaming import jobs
-from knowloom.tables import table
+from knowloom.tables import MEMORIES, table
 
 
 def _mem(s: SparkSession, d: str) -> DataFrame:
@@ -76,6 +76,12 @@ def orphan_difference(s: SparkSession, d: str) -> DataFrame:
     return m.select(F.concat("id", F.lit(".json")).alias("path")).join(S.active(m).select(F.concat("id", F.lit(".json")).alias("path")), "path", "left_anti")
 
 
+def first_saves(s: SparkSession, d: str) -> DataFrame:
+    """The table's files as a stream, without repeats."""
+    stream = s.readStream.schema(MEMORIES).parquet(f"{d}/memories.parquet*")
+    return jobs.run_once(jobs.first_saves(stream).select("project_id", "category", "digest"))
+
+
 QUERIES = {
     "flt_14_active_changes": lambda s, d: L.active_changes(_changes(s, d), "pkg/"),
     "flt_21_changes": lambda s, d: M.first_of(_changes(s, d).where("status = 'draft'"), ["project_id"], [F.desc("created_at"), F.col("id")], 5).select("project_id", "rank", "id"),
@@ -106,7 +112,7 @@ QUERIES = {
     "dml_15_consolidate": lambda s, d: L.consolidate({"m": _mem(s, d)}, "e630ef207ce0", "0c4692a46829")["m"].groupBy("project_id").agg(F.count(F.lit(1)).alias("n")),
     "dml_19_validate": lambda s, d: specs.validate_deltas(_requirements(s, d).withColumn("scenarios", F.lit(None).cast(f"array<{specs.SCENARIO}>")), _requirements(s, d).withColumns({"op": F.lit("ADDED"), "scenarios": F.lit(None).cast(f"array<{specs.SCENARIO}>")})),
     "str_03_changed": lambda s, d: M.changed_since(_mem(s, d), WEEK_AGO).select("id"),
-    "str_04_first_saves": lambda s, d: jobs.first_saves(_mem(s, d)).select("project_id", "category", "digest"),
+    "str_04_first_saves": first_saves,
     "str_05_bursts": lambda s, d: jobs.write_bursts(_mem(s, d), "1 hour"),
 }
 

@@ -5,6 +5,7 @@ Each takes a streaming frame and returns one, or starts a query with a checkpoin
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from knowloom.functions import scalar
 from knowloom.operators.conflicts import conflict_pairs
 from knowloom.operators.lifecycle import compact
+from knowloom.runtime import shared_root
 from knowloom.sinks.store import Store
 from knowloom.tables import MEMORIES
 
@@ -113,6 +115,15 @@ def compact_store(store: Store, as_of: datetime, newer_than: datetime | None = N
     return n
 
 
+def run_once(stream: DataFrame) -> DataFrame:
+    """What a stream has to say of the files that are there, written to the shared folder by one available-now run and read back."""
+    spark = stream.sparkSession
+    root = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def every(stream: DataFrame, minutes: int, job: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """A periodic job over what has arrived, every ``minutes``; stopping it processes what is there first."""
     return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").start()

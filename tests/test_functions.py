@@ -16,7 +16,7 @@ def _one(spark, value, column, schema="c string"):
     [
         ("Use clean architecture in Golang service", ["clean", "architecture", "golang", "service"]),
         ("Fixed memory leak in connection pool", ["fixed", "memory", "leak", "connection", "pool"]),
-        ("a an the", []), ("", []), (None, []), ("é ü sv-memory_x", ["é", "ü", "sv-memory_x"]),
+        ("a an the", []), ("", []), (None, []), ("é ü graph-store_x", ["é", "ü", "graph-store_x"]),
     ],
 )
 def test_title_tokens(spark, title, want):
@@ -32,7 +32,7 @@ def test_jaccard(spark, a, b, want):
 @pytest.mark.parametrize(
     "query, mode, want",
     [
-        ("sv-memory protocol", "all", '"sv-memory"* "protocol"*'), ("foo AND bar", "any", '"foo"* OR "AND"* OR "bar"*'), ("-WAL memory (", "all", '"-WAL"* "memory"* "("'),
+        ("graph-store protocol", "all", '"graph-store"* "protocol"*'), ("foo AND bar", "any", '"foo"* OR "AND"* OR "bar"*'), ("-WAL memory (", "all", '"-WAL"* "memory"* "("'),
         ("a protocol", "all", '"a" "protocol"*'), ('""', "all", ""), ('foo """ bar', "all", '"foo"* "bar"*'),
     ],
 )
