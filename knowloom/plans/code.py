@@ -155,6 +155,7 @@ SQL = {
         ('q', 'auth', 'Login', 'Old text.', ''), ('q', 'auth', 'New', 'plain', '')) t(project_id, capability_path, requirement, body, words)""",
     "snk_05_cypher": f"""{P._BASE} SELECT 0 AS kind, 'MERGE (n:' || upper(translate(node_type, '- /.', '____')) || ' {{id: ' || {_cy('id')} || '}}) SET n.label = ' || {_cy('label')} || ', n.path = ' || {_cy('path')} || ';' AS line FROM n
         UNION ALL SELECT 1, 'MATCH (a {{id: ' || {_cy('source_id')} || '}}), (b {{id: ' || {_cy('target_id')} || '}}) MERGE (a)-[:' || upper(translate(relation_type, '- /.', '____')) || ']->(b);' FROM e""",
+    "snk_15_budget": "SELECT doc_id, CASE WHEN length(text) > 800 THEN (CASE WHEN contains(substring(text, 1, 800), chr(10)) THEN regexp_replace(substring(text, 1, 800), '\\n[^\\n]*$', '') ELSE substring(text, 1, 800) END) || chr(10) || '... [truncated to fit the token budget]' ELSE text END AS cut FROM documents",
     "snk_06_view": f"{P._BASE}, {P._G}, x AS (SELECT project_id, max(degree) AS most FROM d GROUP BY 1) SELECT d.project_id, d.id, label, round(least(60.0, greatest(10.0, 10 + 30 * degree / greatest(most, 1)::DOUBLE)), 6)::DOUBLE AS size, community FROM d JOIN n USING (project_id, id) JOIN g USING (project_id, id) JOIN x ON x.project_id = d.project_id",
     "sea_09_graph_boost": f"""{P._BASE}, t0 AS (SELECT *, CASE WHEN id = 'gate' THEN 0 WHEN path = 'gate' THEN 1 WHEN label = 'gate' THEN 2 WHEN contains(lower(path), 'gate') THEN 3 WHEN contains(lower(label), 'gate') THEN 4 END AS r FROM n),
         s0 AS (SELECT project_id, path AS p, regexp_extract(path, '^(.*)/[^/]*$', 1) AS f FROM t0 WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY r, id) = 1),

@@ -133,7 +133,7 @@ def within_budget(body: Column, tokens: Column | int) -> Column:
     """At most ``tokens`` * 4 characters, cut at the last line break, with a notice."""
     most = (F.lit(tokens) if isinstance(tokens, int) else tokens) * 4
     head = F.substring(body, F.lit(1), most)
-    whole = F.when(head.contains("\n"), F.regexp_replace(head, r"\n[^\n]*$", "")).otherwise(head)
+    whole = F.when(head.contains("\n"), F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head)
     return F.when(F.length(body) > most, F.concat(whole, F.lit("\n... [truncated to fit the token budget]"))).otherwise(body)
 
 
