@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +64,15 @@ def _has(filt: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return ((filt[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
+def _pressed(bits: np.ndarray) -> bytes:
+    """A block for the shuffle; most bits of one partition's filter are not set."""
+    return zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
+
+
+def _bits(pressed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(pressed), np.uint8)
+
+
 def repeat_filter(digests: DataFrame, bits: int) -> np.ndarray:
     """The merged filter of hashes seen more than once, over all partitions: bits / 8 bytes, gathered block by block."""
 
@@ -77,23 +87,22 @@ def repeat_filter(digests: DataFrame, bits: int) -> np.ndarray:
         for i in range(0, len(once), _BLOCK):
             a = once[i : i + _BLOCK]
             if a.any():
-                yield pd.DataFrame({"block": [i // _BLOCK], "once": [a.tobytes()], "more": [more[i : i + _BLOCK].tobytes()]})
+                yield pd.DataFrame({"block": [i // _BLOCK], "once": [_pressed(a)], "more": [_pressed(more[i : i + _BLOCK])]})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        once = np.frombuffer(group["once"].iloc[0], np.uint8).copy()
-        more = np.frombuffer(group["more"].iloc[0], np.uint8).copy()
-        for a, b in zip(group["once"].iloc[1:], group["more"].iloc[1:]):
-            a = np.frombuffer(a, np.uint8)
-            more |= np.frombuffer(b, np.uint8) | (once & a)
+        once, more = _bits(group["once"].iloc[0]).copy(), _bits(group["more"].iloc[0]).copy()
+        for a, b in zip(map(_bits, group["once"].iloc[1:]), map(_bits, group["more"].iloc[1:])):
+            more |= b | (once & a)
             once |= a
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "once": [once.tobytes()], "more": [more.tobytes()]})
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "once": [_pressed(once)], "more": [_pressed(more)]})
 
     schema = "block int, once binary, more binary"
     parts = digests.select("h").mapInPandas(build, schema).withColumn("wave", F.spark_partition_id() % 64)
     waves = parts.groupBy("block", "wave").applyInPandas(lambda g: merge(g), schema)
     whole = np.zeros(bits // 8, np.uint8)
     for row in waves.groupBy("block").applyInPandas(lambda g: merge(g), schema).select("block", "more").toLocalIterator():
-        whole[row.block * _BLOCK : row.block * _BLOCK + len(row.more)] = np.frombuffer(row.more, np.uint8)
+        bits_of = _bits(row.more)
+        whole[row.block * _BLOCK : row.block * _BLOCK + len(bits_of)] = bits_of
     return whole
 
 
