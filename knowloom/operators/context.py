@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import scalar, text
 from knowloom.operators import graph as G
+from knowloom.operators.lifecycle import active_changes
 from knowloom.operators.memory import code_links, first_of
 from knowloom.operators.search import active
+from knowloom.operators.specs import capability_digest
 
 
 def community_paths(nodes: DataFrame, at: DataFrame) -> DataFrame:
@@ -42,8 +44,11 @@ def linked_memories(memories: DataFrame, nodes: DataFrame, at: DataFrame, n: int
     return first_of(full, ["project_id"], [F.col("source"), F.desc_nulls_last("created_at"), F.col("id")], min(max(n, 1), 20)).select("project_id", "rank", "id", text.redact(F.col("what")).alias("what"), "source")
 
 
-def context_pack(nodes: DataFrame, edges: DataFrame, memories: DataFrame, path: str, n: int = 5) -> DataFrame:
-    """(project_id, section, rank, id, detail): node, memories, dependents, dependencies and blast radius of a path, one frame for all projects."""
+def context_pack(nodes: DataFrame, edges: DataFrame, memories: DataFrame, path: str, n: int = 5, changes: DataFrame | None = None, capabilities: DataFrame | None = None) -> DataFrame:
+    """(project_id, section, rank, id, detail): node, memories, dependents, dependencies and blast radius of a path, one frame for all projects.
+
+    With ``changes`` the active ones of the path join in, with ``capabilities`` those that the node implements, ten at most of each.
+    """
     at = G.resolve_paths(nodes, path)
     c = F.col
     deg = G.roles(G.degrees(nodes, edges)).join(at.select(*G.NODE), G.NODE, "left_semi")
@@ -51,4 +56,12 @@ def context_pack(nodes: DataFrame, edges: DataFrame, memories: DataFrame, path:
     mem = linked_memories(memories, nodes, at, n).select("project_id", F.lit("memory").alias("section"), "rank", "id", c("what").alias("detail"))
     near = G.neighbours(nodes, edges, 5).join(at.select(*G.NODE), G.NODE, "left_semi").select("project_id", c("side").alias("section"), "rank", c("other_id").alias("id"), c("relation_type").alias("detail"))
     blast = G.blast_radius(nodes, edges, at.select("project_id", c("id").alias("start_id")), 3, 10).select("project_id", F.lit("blast").alias("section"), "rank", "id", F.concat(c("depth").cast("string"), F.lit(" "), "relation_type").alias("detail"))
-    return node.unionByName(mem).unionByName(near).unionByName(blast)
+    out = node.unionByName(mem).unionByName(near).unionByName(blast)
+    if changes is not None:
+        out = out.unionByName(active_changes(changes, path).select("project_id", F.lit("change").alias("section"), "rank", "id", F.concat_ws(" ", "status", "title", "progress").alias("detail")))
+    if capabilities is not None:
+        mine = edges.where("relation_type = 'implements'").join(at.select("project_id", c("id").alias("source_id")), ["project_id", "source_id"], "left_semi")
+        named = mine.select("project_id", F.regexp_replace("target_id", "^spec:", "").alias("capability_path")).distinct().join(capability_digest(capabilities), ["project_id", "capability_path"])
+        top = first_of(named, ["project_id"], [c("capability_path")], 10)
+        out = out.unionByName(top.select("project_id", F.lit("capability").alias("section"), "rank", c("capability_path").alias("id"), F.concat(c("n").cast("string"), F.lit(": "), "requirements").alias("detail")))
+    return out

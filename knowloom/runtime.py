@@ -9,7 +9,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,3 +143,29 @@ def filled(c: Column | str) -> Column:
     """True where a string holds something besides white space."""
     c = F.col(c) if isinstance(c, str) else c
     return c.isNotNull() & c.rlike(r"[^\s\u00a0]")
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything this application wrote with :func:`cut`, once none of its frames is needed any more."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class FrameCache:
+    """Cached frames by name and validator: a frame is made anew when its validator changes, and the least recently used beyond ``most`` go."""
+
+    def __init__(self, most: int = 32) -> None:
+        self.most = most
+        self._held: OrderedDict[str, tuple[object, DataFrame]] = OrderedDict()
+
+    def get(self, name: str, validator: object, make: Callable[[], DataFrame]) -> DataFrame:
+        held = self._held.pop(name, None)
+        if held is None or held[0] != validator:
+            if held is not None:
+                held[1].unpersist()
+            held = (validator, make().persist(StorageLevel.MEMORY_AND_DISK))
+        self._held[name] = held
+        while len(self._held) > self.most:
+            self._held.popitem(last=False)[1][1].unpersist()
+        return held[1]

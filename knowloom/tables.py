@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _L, _D, _B, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
@@ -35,6 +36,30 @@ SCHEMAS = {
 }
 
 
+CHANGES = _schema(
+    id=_S, project_id=_S, slug=_S, status=_S, title=_S, what=_S, goal=_S, where_path=_S, capability_path=_S, design=_S, tasks=_S, created_at=_TS, updated_at=_TS, archived_at=_TS
+)
+SCHEMAS["changes"] = CHANGES
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` in the columns of ``schema``: missing ones are null, others are dropped, types are cast; how an older table is read."""
+    have = {f.name for f in df.schema.fields}
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def schema_report(frames: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """(table, column, problem) for tables and columns that are missing or of another type than expected."""
+    out = []
+    for name, schema in SCHEMAS.items():
+        if name not in frames:
+            out.append((name, "", "missing table"))
+            continue
+        have = {f.name: f.dataType for f in frames[name].schema.fields}
+        out += [(name, f.name, "missing column" if f.name not in have else f"is {have[f.name].simpleString()}") for f in schema.fields if have.get(f.name) != f.dataType]
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only the columns and row groups a query needs are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
