@@ -30,6 +30,7 @@ RADIUS_STEPS = (500_000, 5_000_000, 100_000_000)
 MOST_BUCKET, DEALT_BLOCK = 1 << 14, 1 << 13
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 20  # words whose hash a worker remembers
+_MOST_BATCH = 50_000  # sets whose keys are dealt together
 _BLOCK = 1 << 11  # rows and columns of a bucket compared at once
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -156,12 +157,29 @@ def _unpack(blob: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until each has ``least`` rows, the last as many as are left."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _deal(sets: DataFrame, t: float, s: int, ways: int) -> DataFrame:
-    """(way, blob): the keys of all sets, dealt by key range; a blob has the keys of one batch in order, and what its sets need."""
+    """(way, blob): the keys of all sets, dealt by key range; a blob has the keys of one batch in order, and what its sets need.
+
+    With many ways batches are joined, so that a blob still has keys enough to share what its sets need.
+    """
+    least = min(_MOST_BATCH, 16 * ways)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = (np.arange(1, ways, dtype=np.float64) / ways * 2.0**64).astype(np.uint64)
-        for b in batches:
+        for b in _gathered(batches, least):
             column = b.column("words")
             words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             sizes = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
