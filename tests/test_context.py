@@ -80,3 +80,15 @@ def test_schemas_caches_and_cleaning(spark):
     cut(spark.range(1))
     clean(spark)
     assert cut(spark.range(2)).count() == 2
+
+
+def test_links_from_memories_and_capabilities_to_code(spark):
+    from knowloom.operators.memory import code_links, stale_bindings
+
+    assert {(r.memory_id, r.node_id) for r in code_links(_memories(spark), _nodes(spark)).collect()} == {("m1", "pkg/a.go"), ("m2", "lib/far.go")}
+    files = _nodes(spark).select("project_id", "path")
+    assert {r.id for r in stale_bindings(_memories(spark), files).collect()} == {"m1", "m3"}  # a line mark is no file name
+    ch = spark.createDataFrame([("p", "c1", "auth", "./pkg/a.go:3"), ("p", "c2", "auth", "pkg/a.go"), ("p", "c3", "", "x.go"), ("p", "c4", "other", "x.go")], "project_id string, id string, capability_path string, where_path string")
+    req = spark.createDataFrame([("p", "c1"), ("p", "c2"), ("p", "c3")], "project_id string, change_id string")
+    got = {(r.source_id, r.target_id, r.relation_type) for r in specs.capability_edges(ch, req, _nodes(spark)).collect()}
+    assert got == {("pkg/a.go", "spec:auth", "implements")}
