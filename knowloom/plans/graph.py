@@ -59,7 +59,7 @@ def bfs_edges(s: SparkSession, d: str) -> DataFrame:
 
 def path_lengths(s: SparkSession, d: str) -> DataFrame:
     ends = _nodes(s, d).where("node_type = 'file'").select("project_id", F.col("id").alias("end_id"))
-    return G.shortest_paths(_edges(s, d), _starts(s, d).join(ends, "project_id"), 4).select("project_id", "start_id", "end_id", "hops")
+    return G.shortest_paths(_edges(s, d), _starts(s, d).join(ends, "project_id")).select("project_id", "start_id", "end_id", "hops")
 
 
 def blast(s: SparkSession, d: str) -> DataFrame:

@@ -86,6 +86,27 @@ def test_shortest_paths_are_valid_and_shortest(spark):
         assert len(r.path) == r.hops + 1 and r.path[0] == r.start_id and r.path[-1] == r.end_id and all(x in pairs for x in zip(r.path, r.path[1:]))
 
 
+def test_paths_query_finds_every_path_of_up_to_ten_hops(spark, tmp_path):
+    from knowloom.plans.graph import path_lengths
+
+    rnd = random.Random(3)
+    ids = [f"n{i:02}" for i in range(60)]
+    chain = [(ids[i], ids[i + 1]) for i in range(14)]
+    pairs = [*chain, *[(ids[0], ids[15 + i]) for i in range(20)], *[(rnd.choice(ids[15:]), rnd.choice(ids[15:])) for _ in range(50)]]
+    _nodes(spark, *ids).write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    _edges(spark, *pairs).write.parquet(str(tmp_path / "graph_edges.parquet"))
+    got = sorted((r.start_id, r.end_id, r.hops) for r in path_lengths(spark, str(tmp_path)).collect())
+    degree = {i: sum((a == i) + (b == i) for a, b in set(pairs)) for i in ids}
+    start = min(ids, key=lambda i: (-degree[i], i))
+    hops, order = {start: 0}, [start]
+    for v in order:
+        for b in (b for a, b in pairs if a == v and b not in hops):
+            hops[b] = hops[v] + 1
+            order.append(b)
+    assert got == sorted((start, i, h) for i, h in hops.items() if h <= 10)
+    assert start == ids[0] and max(h for _, _, h in got) == 10 and max(hops.values()) > 10
+
+
 def test_hub_threshold_and_top_nodes(spark):
     n = _nodes(spark, "hub.go", "core.go", "README.md", *[f"f{i}" for i in range(6)], README_md="document")
     e = _edges(spark, *[("hub.go", f"f{i}") for i in range(5)], ("core.go", "README.md"), ("core.go", "f5"), ("f5", "core.go"))
