@@ -30,6 +30,11 @@ def class_summary(classes: DataFrame, projects: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "class_id").agg(F.min_by("tokens", "id").alias("tokens"), F.count(F.lit(1)).alias("n_members"), F.max(F.coalesce(new, F.lit(False))).alias("has_new"))
 
 
+def _linked(relations: DataFrame) -> DataFrame:
+    """(project_id, x, y), x < y: pairs of ids that a relation links in either direction."""
+    return relations.where(F.col("source_id") != F.col("target_id")).select("project_id", F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y")).distinct()
+
+
 def conflict_pairs(memories: DataFrame, projects: DataFrame, relations: DataFrame, threshold: float = 0.45) -> DataFrame:
     """(project_id, a, b, similarity, n_pairs): classes of similar titles that no relation links completely yet.
 
@@ -53,9 +58,28 @@ def conflict_pairs(memories: DataFrame, projects: DataFrame, relations: DataFram
     across = across.withColumn("similarity", scalar.jaccard(F.col("ta"), F.col("tb"))).where((F.col("similarity") >= threshold) & (F.col("newa") | F.col("newb")))
     across = across.select("project_id", "a", "b", "similarity", (F.col("na") * F.col("nb")).alias("all_pairs"))
     within = summary.where((F.col("n_members") > 1) & F.col("has_new")).select("project_id", F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"), F.expr("n_members * (n_members - 1) div 2").alias("all_pairs"))
-    known = relations.where(F.col("source_id") != F.col("target_id")).select("project_id", F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y")).distinct()
+    known = _linked(relations)
     of = lambda x, c: classes.select("project_id", F.col("id").alias(x), F.col("class_id").alias(c))
     linked = known.join(of("x", "cx"), ["project_id", "x"]).join(of("y", "cy"), ["project_id", "y"])
     linked = linked.groupBy("project_id", F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).agg(F.count(F.lit(1)).alias("n_linked"))
     out = across.unionByName(within).join(linked, ["project_id", "a", "b"], "left").withColumn("n_pairs", F.col("all_pairs") - F.coalesce("n_linked", F.lit(0)))
     return out.where("n_pairs > 0").select("project_id", "a", "b", "similarity", "n_pairs")
+
+
+def member_pairs(pairs: DataFrame, memories: DataFrame, projects: DataFrame, relations: DataFrame) -> DataFrame:
+    """(project_id, x, y, similarity), x < y: every pair of memories behind ``pairs`` of :func:`conflict_pairs` with a side newer than the last scan and no relation.
+
+    Only newer members are spread over the other members, so pairs of two older ones are never made. As many rows as there are such pairs:
+    n new copies of one title are n * (n - 1) / 2.
+    """
+    since = projects.select(F.col("id").alias("project_id"), F.col("last_conflict_scan_at").alias("_since"))
+    new = F.col("_since").isNull() | F.coalesce(F.col("created_at") > F.col("_since"), F.lit(False))
+    members = title_classes(memories).join(since, "project_id", "left").select("project_id", "class_id", "id", new.alias("is_new"))
+    both = F.array_distinct(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ways = pairs.select("project_id", F.explode(both).alias("w"), "similarity").select("project_id", "w.a", "w.b", "similarity")
+    fresh = members.where("is_new").select("project_id", F.col("class_id").alias("a"), F.col("id").alias("i"))
+    other = members.select("project_id", F.col("class_id").alias("b"), F.col("id").alias("j"), F.col("is_new").alias("j_new"))
+    # two newer members meet from both sides; the one from the lesser id stays
+    met = fresh.join(ways, ["project_id", "a"]).join(other, ["project_id", "b"]).where("i <> j AND (NOT j_new OR i < j)")
+    met = met.select("project_id", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "similarity")
+    return met.join(_linked(relations), ["project_id", "x", "y"], "left_anti")

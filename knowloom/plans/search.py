@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import scalar, text
 from knowloom.operators import search as S
-from knowloom.operators.conflicts import conflict_pairs, title_classes
+from knowloom.operators.conflicts import conflict_pairs, member_pairs, title_classes
 from knowloom.plans import sqltext as q
 from knowloom.plans.functions import NOW
 from knowloom.tables import table
@@ -58,6 +58,12 @@ def sea_similar_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
+def sea_conflict_members(spark: SparkSession, d: str) -> DataFrame:
+    """What an applying scan enters: the pairs of memories behind the pairs of classes."""
+    m, p, r = _m(spark, d), table(spark, d, "projects"), table(spark, d, "memory_relations")
+    return member_pairs(conflict_pairs(m, p, r), m, p, r).withColumn("similarity", F.round("similarity", 9))
+
+
 def sim_classes(spark: SparkSession, d: str) -> DataFrame:
     return title_classes(_m(spark, d)).select("project_id", "id", "class_id")
 
@@ -65,6 +71,7 @@ def sim_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "sea_01_bm25_all": sea_all, "sea_01_bm25_any": sea_any, "sea_02_plain": sea_plain, "sea_03_hybrid": sea_hybrid, "sea_04_similar": sea_similar,
     "sea_05_preflight": sea_preflight, "flt_06_path_browse": sea_browse, "join_10_conflict_pairs": sea_similar_conflicts, "join_10_classes": sim_classes,
+    "join_10_member_pairs": sea_conflict_members,
 }
 
 _COMPACT = "category, what, topic_key, revision_count, duplicate_count, created_at"

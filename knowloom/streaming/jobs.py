@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from knowloom.functions import scalar
-from knowloom.operators.conflicts import conflict_pairs
+from knowloom.operators.conflicts import conflict_pairs, member_pairs
 from knowloom.operators.lifecycle import compact
 from knowloom.runtime import shared_root
 from knowloom.sinks.store import Store
@@ -87,14 +87,14 @@ def upsert_memories(stream: DataFrame, store: Store, checkpoint: str, keys: tupl
 def scan_conflicts(store: Store, as_of: datetime, threshold: float = 0.45, apply: bool = True) -> DataFrame:
     """Pairs of similar titles with a side newer than the last applied scan; applying adds pending relations and moves the mark in one commit.
 
-    Pairs of classes are entered by their least ids. A dry run moves nothing, so it can be repeated.
+    Every pair of members that is not linked yet is entered, also within a class, before the mark moves past them. A dry run moves nothing, so it can be repeated.
     """
     memories, projects, relations = (store.read(t) for t in ("memories", "projects", "memory_relations"))
     found = conflict_pairs(memories, projects, relations, threshold)
     if apply:
-        new = found.where("a <> b").select(
-            scalar.new_id(F.col("project_id"), F.col("a"), F.col("b")).alias("id"), "project_id", F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("conflicts_with").alias("relation_type"),
-            F.lit("pending").alias("status"), F.col("similarity").alias("score"), F.format_string("High description similarity (%.0f%%) between %s and %s", F.col("similarity") * 100, F.col("a"), F.col("b")).alias("reason"),
+        new = member_pairs(found, memories, projects, relations).select(
+            scalar.new_id(F.col("project_id"), F.col("x"), F.col("y")).alias("id"), "project_id", F.col("x").alias("source_id"), F.col("y").alias("target_id"), F.lit("conflicts_with").alias("relation_type"),
+            F.lit("pending").alias("status"), F.col("similarity").alias("score"), F.format_string("High description similarity (%.0f%%) between %s and %s", F.col("similarity") * 100, F.col("x"), F.col("y")).alias("reason"),
             F.lit("system").alias("judged_by"), F.lit(as_of).alias("created_at"),
         )
         store.commit(memory_relations=relations.unionByName(new, allowMissingColumns=True), projects=projects.withColumn("last_conflict_scan_at", F.lit(as_of)))

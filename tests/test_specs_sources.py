@@ -244,3 +244,26 @@ def test_scheduled_scans(spark, tmp_path):
     jobs.scan_conflicts(store, t)
     assert store.read("memory_relations").count() == 1 and jobs.scan_conflicts(store, t).count() == 0
     assert jobs.compact_store(store, t) == 1 and jobs.compact_store(store, t, t) == 0
+
+
+def test_applied_scan_enters_every_unlinked_pair_of_members(spark, tmp_path):
+    import datetime as dt
+    from itertools import combinations
+
+    from knowloom.tables import MEMORY_RELATIONS, PROJECTS
+
+    store = Store(spark, str(tmp_path / "s"))
+    old, mark, now = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)
+    titles = {"a": "tune ledger cache", "b": "ledger cache tune", "c": "tune ledger cache now", "d": "tune ledger cache now", "e": "rename exporter fields"}
+    memory = lambda i, w, t: {**dict.fromkeys(MEMORIES.names), "id": i, "project_id": "p", "what": w, "created_at": t}
+    linked = {**dict.fromkeys(MEMORY_RELATIONS.names), "id": "r", "project_id": "p", "source_id": "d", "target_id": "a", "relation_type": "conflicts_with", "status": "judged"}
+    store.commit(memories=spark.createDataFrame([memory(i, w, old) for i, w in titles.items()], MEMORIES), projects=spark.createDataFrame([("p",) + (None,) * 5], PROJECTS), memory_relations=spark.createDataFrame([linked], MEMORY_RELATIONS))
+    links = lambda: sorted(tuple(sorted((r.source_id, r.target_id))) for r in store.read("memory_relations").collect())
+    jobs.scan_conflicts(store, mark)
+    assert links() == sorted(combinations("abcd", 2))
+    assert {(r.source_id, r.target_id): r.score for r in store.read("memory_relations").where("status = 'pending'").collect()}["a", "b"] == 1.0
+    store.commit(memories=store.read("memories").unionByName(spark.createDataFrame([memory("z", "now tune ledger cache", now)], MEMORIES)))
+    jobs.scan_conflicts(store, now)
+    assert links() == sorted(combinations("abcdz", 2))
+    jobs.scan_conflicts(store, now)
+    assert links() == sorted(combinations("abcdz", 2))
