@@ -28,12 +28,78 @@ GIVEN = frozenset(
     "paul pavel pedro pellian peter pierre priya rafael ravi renée renee robert sabine samir samuel sara sarah sebastian sergei simone sofia sophie stefan "
     "sunniva susanne svetlana teyla thomas tomasz viktor vladimir wei william wolfgang yuki yusuf zoë zoe".split()
 )
+# A general lexicon of given names, independent of any table.
+GIVEN |= frozenset(
+    (
+        "aaron abdul abigail adrian agnes aisha alan albert alberto alex alexander alexandra alexis alfred ali alice alicia alison allison amanda "
+        "amina amy andre andreas andrew angela anja anke anne annette anthony antje antoine ariana arthur asha ashley ayşe barbara bernard bernd "
+        "bernhard beth bettina betty bianca bogdan boris brandon brenda brett brian bridget britta bruce bryan caitlin caleb cameron carl carla "
+        "carolina caroline catherine cecilia cesar chantal charles charlie cheryl chiara chris christina christine christoph christopher cindy clara "
+        "clemens colin connor consuelo cornelia craig cristina cynthia damien daniela danielle darren dave deborah debra denis denise dennis derek "
+        "detlef dieter dirk dolores dominic dominik donald donna dorothy douglas duncan dylan edgar edith eduardo edward edwin eileen elaine eleanor "
+        "eleni eli elias elisa elisabeth elizabeth ella ellen elsa emilio emmanuel enrique eric erin ernesto esteban esther ethan eugene evan evelyn "
+        "farah federico felicity felipe ferdinand frances francesca franz françois freddie frederic friedrich fritz gabriela gary geoffrey georg "
+        "george georgia gerald gerard gerhard gert gilbert gina giorgio giovanni gisela gloria gonzalo gordon graham greg gregor gregory greta guido "
+        "guillermo gunter gwen günter günther hamza hanna hans-peter harald harry haruto hassan heather hector heidi heike heinz helen helmut henri "
+        "henry herbert hermann hilary holger holly horst howard hussein ian ignacio ilse imran ingo irina isaac isabella isabelle ismael jacob "
+        "jacqueline jaime jan-erik jane janet janice jared jeff jeffrey jeremy jerome jesse jesús jim joachim joan joanna jochen joe joel joerg johan "
+        "johannes jon jonathan jordi josef joseph joshua joyce juana judith judy julian juliane julie juliette julio justin jörg kai karen karim "
+        "karsten kate katharina katherine kathleen kathrin kathryn katie keiko keith kelly ken kenneth kenta kerstin kevin khalid kim kirsten klara "
+        "konrad kristin kristina kurt kyle lara larry lars lauren laurence laurent leonard leonardo leonie leroy leslie lewis liesel linus lisa "
+        "lorena lorenzo lothar louis louise lourdes luca luciano ludwig luise lutz lydia lynn maite malcolm manfred manuela marc marcel marcos marcus "
+        "margaret margarita mariana marianne mario marion marlene martha martina mary mathias matthew maureen maurice mauricio maximilian maya megan "
+        "mei melanie melissa mercedes meryem mia michaela michelle miguel-angel mikhail milan mina miriam mitchell mohamed moritz muhammad murat "
+        "mustafa nancy naomi natalie nathan nathaniel neil nelson nicholas nick nico nicola nicolas nicole nigel nils nina nora norbert norma oleg "
+        "oscar oskar otto pamela paola pascal patrick patrik paula paulina pauline paulo peggy pete petra phil philip philipp phillip pilar raimund "
+        "rainer ralf ralph ramón raquel raul raúl rebecca regina reiner reinhard renate ricardo richard rita roberto rodrigo roger roland rolf roman "
+        "ron ronald rosa rosemary roy rubén rudolf russell ruth ryan rüdiger sabrina salvador sam samantha sandra santiago sascha scott sean sergio "
+        "seth shane shannon sharon sheila shirley shu sigrid silke silvia simon sonia sonja stacy stanley stefanie stella stephan stephanie stephen "
+        "steve steven stuart sue susan suzanne sven sylvia tamara tania tanja tara tatiana ted terence teresa theo theodore theresa thorsten tiffany "
+        "tim timothy tina tobias todd tom tomás tony torsten tracy travis trevor ulf ulrich ulrike ursula ute uwe valentina valeria valerie vanessa "
+        "vera veronica verónica vicente vicky victoria vincent virginia vivian volker walter waltraud wendy werner wilfried wilhelm xavier yasmin "
+        "yolanda yvonne zachary"
+    ).split()
+)
 # Given names that are ordinary words as well; they need more support.
 AMBIGUOUS = frozenset(
     "amber april art august autumn basil bill carol chase chip daisy dawn drew dusty eve faith frank gene grace grant hazel hope hunter iris ivy jack jade "
     "jasmine jasper joy june juniper lance laurel lily mark mason max may miles olive pat pearl penny pierce piper ray reed robin rose ruby rusty sage sandy "
     "scarlet skip sky stone summer terry victor violet wade will willow".split()
 )
+AMBIGUOUS |= frozenset("buck cliff dean dick don earl forest gail glen guy harmony heath jean jordan josh justice kit lee major marina norm patience rich rob rocky star tanner ty wren angel dan".split())
+# Frequent family names that are not ordinary words, and those that are.
+SURNAMES = frozenset(
+    (
+        "adams aguilar ahmed alexander ali allen alonso alvarez anderson andrews armstrong arnold austin bailey barnes bauer baumann beck becker "
+        "bennett bernard braun brooks bryant burke burns butler byrne campbell campos carroll castillo castro chavez chen chowdhury clark clarke "
+        "cohen coleman collins cooper costa cruz cunningham davies davis delgado diaz dietrich domínguez doyle duarte dubois dunn dupont díaz edwards "
+        "elliott ellis engel evans ferguson fernandez fernández ferreira fischer fleming flores foster fournier fraser friedrich fuchs gallagher "
+        "garcia garcía garza gibson gil gomez gonzales gonzalez gonzález gordon graham greene griffin guerrero gupta gutierrez gutiérrez guzman gómez "
+        "haas hahn hamilton hansen harris harrison hart harvey hassan hayes henderson hernandez hernández herrera herrmann hoffmann hofmann howard "
+        "huang hughes hussain ibrahim iglesias ito ivanov jackson jacobs jain jenkins jensen jimenez jiménez johansson johnson johnston jones jung "
+        "kaiser kaur keller kelly kennedy khan kim klein koch kowalski krause krüger kuhn kumar köhler könig lang larsson lawrence lee lehmann leroy "
+        "lewis li lin liu lopez lorenz lozano ludwig lópez maier marshall martin martinez martínez marín mason maurer mccarthy mcdonald medina mehta "
+        "meier mejía mendez mendoza meyer miller mitchell molina montgomery moore morales moreau moreno morgan morris morrison muller murphy murray "
+        "muñoz méndez müller nakamura navarro nelson neumann newman nguyen nielsen nowak nuñez núñez ochoa olsen ortega ortiz owens park parker patel "
+        "patterson pedersen perez perry peters petersen peterson petrov peña pfeiffer phillips popescu porter powell pérez ramirez ramos ramírez "
+        "reyes reynolds richards richardson richter rios rivera roberts robertson robinson rodgers rodriguez rodríguez rogers rojas romero rossi roth "
+        "rubio ruiz russell russo ryan sanchez sanders santana santiago santos sato schmid schmidt schmitt schmitz schneider scholz schröder schubert "
+        "schulte schulz schulze schumacher schwarz schäfer scott serrano shah sharma silva simmons simon simpson singh smith soto stein stevens "
+        "stewart sullivan suzuki suárez svensson sánchez tanaka taylor thomas thompson torres tran turner vargas vasquez vega vidal vogel vogt "
+        "vázquez wagner walsh walter wang watanabe watson weber wei weiß werner williams williamson wilson winkler wolff wong wright wu xu yamamoto "
+        "yang yilmaz zhang zhao ziegler zimmermann álvarez"
+    ).split()
+)
+WORD_SURNAMES = frozenset(
+    (
+        "baker banks barber bell berry bishop black boyd brown bush butcher carpenter carter chambers chapman cole cook cox cross day dean dixon "
+        "field fields fisher fletcher ford fowler fox freeman gardner george grant gray green hall hammer harper hawkins hicks hill holmes hudson "
+        "hunt hunter jordan kaufmann kelley king knight koch lane little long lopez marsh marshall mills moss myers nichols oliver page palmer "
+        "parsons payne perkins pierce potter price ray reed rice rivers robbins rose shaw shepherd snow spencer stephens stone sutton walker wallace "
+        "ward warren washington watts webb wells west wheeler white wolf wood woods young"
+    ).split()
+)
+SURNAMES -= WORD_SURNAMES
 # Endings that are common in family names.
 SURNAME_END = (
     "ano ardo berg bury by croft dale dane dottir enko escu etti ez feld field ford gate hart heim hoff holm holt hurst inen ini ino kowski ley ling man mann "
@@ -48,6 +114,31 @@ NOT_SURNAME = frozenset(
     "stop summer support sync table test tests than that the then there these they this tree two unexpected update use user version visit we what when where "
     "which why with write you".split()
 )
+# Capitalised words of sentences and programs that are no part of a name unless a listed given name stands before them.
+ORDINARY = NOT_SURNAME | frozenset(
+    (
+        "af al bin da de del della der di dos ibn la las le los ter van von zu zum zur "
+        "about again alle allow am an answer api app application archive available aviso back backup batch beim below bitte block both branch break "
+        "breakpoint broker browser buffer bus button cache caller chapter check class cleanup client cliente cloud cluster code colleague column "
+        "command compiler component connection console contact container control core crash create cuando current cursor customer das dashboard "
+        "database dataset date dead debug default delete demo den der description desktop details dev device did die dies directory disk docker done "
+        "dr drop each early editor ein eine el en encoder engine entry error es esta este event every example exception executor export factory "
+        "failure fast fatal field file filter final first flag folder format frame frau full function gateway good grace graph group guide handler "
+        "hard hash header health hello helper here herr hi high history hook host how http image import in initial inner input insert instance "
+        "interface internal invalid item its java job join json kein keine kernel kollege kollegin kunde kundin lambda last late later layer left "
+        "library limit line linker linux list llamar loader local lock log login loop los low machine mail main manager map mapper max message method "
+        "metric middleware min miss missing model module monitor mount mr mrs ms name network new next node null number object observer off open "
+        "operator option order other our outer output owner package packet parse parser part password patch pattern pipeline plain planner please "
+        "plugin policy pool port post primary prof profile project prompt proxy public pull push python query queue quick rate read reader record "
+        "refactor regex registry release remote remove render replace report request reset resource response rest result right rollback root route "
+        "router rule runner runtime sample scan scanner schedule scheduler schema scope script search second secret section see sender sending "
+        "serializer server service session set setting settings setup señor señora shard short side since single size slow snapshot socket some sort "
+        "source sra srta start still storage store stream street string such system tag target task team template terminal text thanks their these "
+        "third thread tier time timeout today token tomorrow tool total trace traffic transaction trigger type unit unter update upload upstream user "
+        "validator value variable vector verify version view wait warning web weekly welcome well when while window windows with within without "
+        "worker writer yes yesterday your zone"
+    ).split()
+)
 
 _LEFT = r"(?<![\w@./#+-])"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Herr|Frau|Sr|Sra|Srta|Don|Doña|Señor|Señora)\.?"
@@ -89,6 +180,8 @@ ADDRESS = re.compile(
     r"|(?i:p\. ?o\. ?box|po box|post office box|postfach|apartado(?: de correos)?|casilla) \d[\d ]*\d?"
     r"|(?:C/|(?i:calle|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda|travesía|carrer)) ?(?:de (?:la |los |las |el )?|del )?[A-ZÀ-Þ][\w'’-]*(?: (?:de |del |la )*[A-ZÀ-Þ][\w'’-]*)*,? \d+[a-zA-Z]?(?:, ?\d+ ?º ?\w?\b)?"
     r"|[A-ZÀ-Þ][\w-]*(?:straße|strasse|str\.|STRASSE|STRAßE|STR\.|weg|WEG|gasse|GASSE|platz|PLATZ|allee|ALLEE) \d{1,4} ?[a-zA-Z]?\b(?:, \d{5} [A-ZÀ-Þ]\w+)?"
+    r"|(?!(?:Der|Die|Das|Den|Dem|Des|Ein|Eine[mnrs]?|Kein|Keine[mnrs]?|Jede[mnrs]?|Diese[mnrs]?|Im|Vom|Beim|Auf|Ab)\b)[A-ZÀ-Þ][\w-]* (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Damm|Ufer|Chaussee|Ring|Markt) \d{1,4}(?: ?[a-z])?\b(?:, \d{5} [A-ZÀ-Þ]\w+)?"
+    r"|(?:Am|Im|An de[mnr]|Auf de[mnr]|In de[nr]|Zum|Zur|Unter den|Hinter de[mr]|Vor de[mr]) (?:[A-ZÀ-Þ][\w-]* )?[A-ZÀ-Þ][\w-]* \d{1,4} ?[a-z]?, \d{5} [A-ZÀ-Þ]\w+"
     r"|[A-ZÀ-Þ][\w-]*(?:ring|damm|ufer|chaussee|gate|markt|hof) \d{1,4} ?[a-z]?, \d{5} [A-ZÀ-Þ]\w+)"
 )
 
@@ -98,11 +191,14 @@ _SHORT_AFTER = re.compile(rf"(?:[  ][A-ZÀ-Þ]\.)*[  ]({_SURNAME})(?![\w@])")
 _INITIAL = re.compile(rf"(?<![\w.])[A-ZÀ-Þ]\.(?:[  ]?[A-ZÀ-Þ]\.)*[  ]?({_SURNAME})(?![\w@])")
 _SURNAME_FIRST = re.compile(rf"(?<![\w'’-])({_SURNAME}),[  ]$")
 _TITLE_BEFORE = re.compile(rf"(?<!\w){_TITLE}[  ]$")
-_TITLED = re.compile(rf"(?<!\w){_TITLE}[  ]({_CAP}(?:-{_CAP})?)")
 _NAME_CUE = re.compile(
     r"(?i:\b(?:name[=:]|by|with|ask|contact(?: sheet)?:?|colleague|customer|client|cliente|user|from|profile of|sample to|llamar a|señor|bitte|an|von|de|to|for|attn:?|cc)[  ]?)$"
 )
 _NAME_CUE_AFTER = re.compile(r"[  ]?(?:\(|<|/|confirmed|fragen|escribe|helped|has |said|wrote|asked|on the|al [+(\d]|;)")
+# Words that hardly stand before or after anything but a person.
+_PERSON_CUE = re.compile(r"(?i:\b(?:name[=:]|ask|contact(?: sheet)?:?|colleague|customer|cliente|llamar a|profile of|attn:?)[  ]?)$")
+_PERSON_CUE_AFTER = re.compile(r"[  ](?:confirmed|fragen|escribe|helped|said|wrote|asked)\b")
+_WEAK_TITLE = re.compile(r"(?:Miss|Don)\.?[  ]$")
 _PHONE_CUE = re.compile(r"(?i:phone|tel|call|mobile|cell|fax|ring|handy|rufnummer|teléfono|telefono|móvil|llam|number|reach|whatsapp|contact)[^\n]{0,24}$")
 _NO_PHONE = re.compile(r"(?i:\b(?:build|timestamp|range|port|offset|issue|pr|commit|uuid|hash|line|version|release|code|id|shard|order|ticket|epoch|isbn|iban|card)[ #:=]*)$")
 
@@ -185,43 +281,46 @@ def _surname_score(name: str) -> float:
     if core in NOT_SURNAME or last.casefold() in NOT_SURNAME or len(core) < 2:
         return -2.5
     score = 0.5
-    if core.endswith(tuple(SURNAME_END)) and len(core) >= 5:
+    if core in SURNAMES:
+        score = 2.25
+    elif core in WORD_SURNAMES or core.endswith(tuple(SURNAME_END)) and len(core) >= 5:
         score = 1.5
     if re.match(r"[OD]['’]|Mc[A-Z]|Mac[A-Z]", last) or "-" in last or _PARTICLE_START.match(name):
         score += 0.5
-    if re.search(r"[a-zß-ÿ][A-ZÀ-Þ]", last) and not re.match(r"(?:Mc|Mac|Le|La|De|Van|Di|Fitz)[A-ZÀ-Þ]", last):
+    if _CAMEL.search(last) and not re.match(r"(?:Mc|Mac|Le|La|De|Van|Di|Fitz)[A-ZÀ-Þ]", last):
         score -= 2.0  # CamelCase is a program's name
     return score
 
 
+_CAMEL = re.compile(r"[a-zß-ÿ][A-ZÀ-Þ]")
 _PARTICLE_START = re.compile(_PARTICLE)
 
 
 def _around(text: str, start: int, end: int) -> float:
     before = text[max(0, start - 24) : start]
-    score = 1.5 if _TITLE_BEFORE.search(before) else 0.0
+    score = (1.5 if _WEAK_TITLE.search(before) else 2.0) if _TITLE_BEFORE.search(before) else 0.0
     before = re.sub(rf"(?:^|(?<=\W)){_TITLE}[  ]$", "", before)
     if _NAME_CUE.search(before):
-        score += 0.75
+        score += 1.75 if _PERSON_CUE.search(before) else 0.75
     if _NAME_CUE_AFTER.match(text, end):
-        score += 0.75
+        score += 1.75 if _PERSON_CUE_AFTER.match(text, end) else 0.75
     return score
 
 
 def _persons(text: str) -> Iterator[Mention]:
-    titled = {m.start(1) for m in _TITLED.finditer(text)}
     for m in _TOKEN.finditer(text):
         folded = m[0].casefold()
         first = folded if folded in GIVEN or folded in AMBIGUOUS else re.split(r"[-'’]", folded)[0]
         known = 2.0 if first in GIVEN else 0.5 if first in AMBIGUOUS else 0.0
-        if not known and m.start() not in titled and not _NAME_CUE.search(text, max(0, m.start() - 24), m.start()):
+        # any other capitalised word may be a given name by its shape, but a sentence's or a program's word is none
+        if not known and (len(folded) < 2 or folded in ORDINARY or _CAMEL.search(m[0])):
             continue
         best = None
         for pattern in (_SHORT_AFTER, _AFTER_GIVEN):
             n = pattern.match(text, m.end())
             if n:
-                score = known + _surname_score(n[1]) + _around(text, m.start(), n.end())
-                if folded in NOT_SURNAME and not known:
+                score = (known or 0.25) + _surname_score(n[1]) + _around(text, m.start(), n.end())
+                if not known and n[1].casefold() in ORDINARY:
                     score -= 3
                 if best is None or score > best.score:
                     best = Mention("person", m.start(), n.end(), score)
@@ -232,7 +331,8 @@ def _persons(text: str) -> Iterator[Mention]:
             if n and (s := _surname_score(n[1])) >= 1.0:
                 yield Mention("person", n.start(1), m.end(), known + s)
     for m in _INITIAL.finditer(text):
-        yield Mention("person", m.start(), m.end(), 1.0 + _surname_score(m[1]) + _around(text, m.start(), m.end()))
+        score = 1.25 + _surname_score(m[1]) + _around(text, m.start(), m.end())
+        yield Mention("person", m.start(), m.end(), score - 3 * (m[1].casefold() in ORDINARY))
 
 
 def _addresses(text: str) -> Iterator[Mention]:

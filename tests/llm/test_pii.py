@@ -1,6 +1,6 @@
 import pytest
 
-from knowloom.llm.pii import dni_letter, find_mentions, luhn, mentions, mod97, redact, redacted, text_fields
+from knowloom.llm.pii import AMBIGUOUS, GIVEN, SURNAMES, WORD_SURNAMES, dni_letter, find_mentions, luhn, mentions, mod97, redact, redacted, text_fields
 from knowloom.tables import MEMORIES
 
 
@@ -32,6 +32,32 @@ def test_forms(text, want):
     assert _found(text) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Mary Johnson wrote it", [("person", "Mary Johnson")]),
+        ("Kevin Walker fixed it, ask Kevin Walker", [("person", "Kevin Walker"), ("person", "Kevin Walker")]),
+        ("saw J. Smith and K. Walker", [("person", "J. Smith"), ("person", "K. Walker")]),
+        ("Lange Straße 12 und Am Markt 5, 10115 Berlin", [("address", "Lange Straße 12"), ("address", "Am Markt 5, 10115 Berlin")]),
+        ("Die Straße 12 und der Weg 5, Im Test 5", []),
+        ("Pairing with ZOË VON NORSHAW helped;", [("person", "ZOË VON")]),
+        ("Please ask Dead Letter queue; by Hash Join (fast)", []),
+    ],
+)
+def test_general_forms(text, want):
+    assert _found(text) == want
+
+
+@pytest.mark.parametrize("context", ["then Mr {} left early.", "Please ask {} about it.", "Then {} wrote it down.", "It came from {} (now)."])
+def test_names_outside_the_lists_are_carried_by_title_or_cues(context):
+    given = "Zorvan Quillan Ottavia Thandeka Oisin Ngozi Wojtek Zuzana Eirlys Tadeo".split()
+    family = "Okafor Zielak Pettigrew Baptiste Achebe Vrabel Llewelyn Tsosie Bhatt Castelo".split()
+    assert not {g.casefold() for g in given} & (GIVEN | AMBIGUOUS) and not {f.casefold() for f in family} & (SURNAMES | WORD_SURNAMES)
+    names = [f"{g} {f}" for g in given for f in family] if "from" not in context else []
+    for name in [*names, *[f"{g[0]}. {f}" for g in given for f in family]]:
+        assert _found(context.format(name)) == [("person", name)]
+
+
 @pytest.mark.parametrize(
     "text",
     [
