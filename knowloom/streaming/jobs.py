@@ -73,11 +73,14 @@ def write_bursts(saves: DataFrame, gap: str = "500 milliseconds", late: str = "1
 
 
 def upsert_memories(stream: DataFrame, store: Store, checkpoint: str, keys: tuple[str, ...] = ("id",)) -> StreamingQuery:
-    """Each batch replaces the rows of equal keys in the store's memories; a repeated batch changes nothing."""
-    from knowloom.operators.lifecycle import upsert
+    """Each batch replaces the rows of equal keys in the store's memories; a repeated batch changes nothing.
+
+    Of several versions in one batch the one seen last stays, then the one made last, then the highest revision; the content decides between equal ones.
+    """
+    from knowloom.operators.lifecycle import latest, upsert
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        newest = batch.dropDuplicates(list(keys))
+        newest = latest(batch, list(keys), [F.coalesce("last_seen_at", "created_at"), F.col("created_at"), F.col("revision_count"), *[F.col(c) for c in batch.columns if c not in keys]])
         current = store.read("memories") if "memories" in store.versions() else newest.limit(0)
         store.commit(memories=upsert(current, newest, list(keys)))
 

@@ -231,6 +231,20 @@ def test_streams(spark, tmp_path):
     assert store.read("memories").count() == 6
 
 
+def test_upsert_keeps_the_newest_version_within_a_batch(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    at = lambda hour: f"2024-01-01T{hour:02}:00:00.000Z"
+    versions = [("u", 1, 0), ("u", 5, 1), ("v", 5, 1), ("v", 1, 0), ("w", None, 2), ("w", None, 1)]
+    for n, (i, seen, revision) in enumerate(versions):
+        row = {"id": i, "project_id": "p", "what": f"{i}{seen}{revision}", "created_at": at(0), "last_seen_at": seen and at(seen), "revision_count": revision}
+        (src / f"{n}.json").write_text(json.dumps(row))
+        os.utime(src / f"{n}.json", (1_700_000_000 + n,) * 2)
+    store = Store(spark, str(tmp_path / "store"))
+    jobs.upsert_memories(jobs.chunk_stream(spark, str(src)), store, str(tmp_path / "ckpt")).awaitTermination(120)
+    assert {r.id: r.what for r in store.read("memories").collect()} == {"u": "u51", "v": "v51", "w": "wNone2"}
+
+
 def test_scheduled_scans(spark, tmp_path):
     import datetime as dt
 
