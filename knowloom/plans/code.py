@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from knowloom.functions import text
 from knowloom.operators import code as C
 from knowloom.operators import context as X
 from knowloom.operators import graph as G
 from knowloom.operators import specs
 from knowloom.plans import graph as P
 from knowloom.plans import sqltext as q
+from knowloom.runtime import cut
 from knowloom.sinks import exports
 from knowloom.sources.extract import extract
 from knowloom.tables import table
@@ -68,19 +70,34 @@ def links(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.explode(urls).alias("url"))
 
 
-CURRENT = [("p", "auth", "Login", "Users MUST log in."), ("p", "auth", "Logout", "Sessions SHALL end."), ("p", "auth", "Idle", "It MAY wait."), ("q", "auth", "Login", "Old text.")]
-DELTAS = [
-    ("p", "auth", "RENAMED", "Logout", "Sign Out", "", 0), ("p", "auth", "RENAMED", "Nope", "Other", "", 1), ("p", "auth", "ADDED", "Reset", None, "It SHOULD NOT leak token: abcdefghijklmnop", 2),
-    ("p", "auth", "ADDED", "Login", None, "dup", 3), ("p", "auth", "MODIFIED", "Sign Out", None, "Sessions MUST end.", 4), ("q", "auth", "MODIFIED", "New", None, "plain", 5), ("p", "auth", "REMOVED", "Idle", None, "", 6), ("p", "auth", "REMOVED", "Gone", None, "", 7),
-]
-_CUR = f"project_id string, capability_path string, requirement string, body string, scenarios array<{specs.SCENARIO}>"
-_DEL = f"project_id string, capability_path string, op string, requirement string, rename_to string, body string, sort_order int, scenarios array<{specs.SCENARIO}>"
+def spec_history(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(current, deltas) as all memories with a change state them: the first change of a capability is its current state, what comes later changes it.
+
+    A later row of a known name is MODIFIED, one of a new name ADDED, or RENAMED if it has the body of a current requirement (one each); a name whose newest row is deleted is REMOVED.
+    """
+    cap, row, order = ["project_id", "capability_path"], ["project_id", "capability_path", "requirement"], F.struct("created_at", "id")
+    name = text.redact(text.trim_space(F.coalesce("what", F.lit(""))))
+    rows = memories.where("change_id <> ''").select("project_id", F.coalesce("topic_key", F.lit("general")).alias("capability_path"), name.alias("requirement"), F.coalesce("why", F.lit("")).alias("body"), "change_id", F.col("deleted_at").isNotNull().alias("gone"), "created_at", "id")
+    rows = rows.join(rows.groupBy(*cap).agg(F.min_by("change_id", order).alias("first")), cap)
+    rows = rows.withColumn("sort_order", F.row_number().over(Window.partitionBy(*cap).orderBy("created_at", "id"))).withColumn("old", F.col("change_id") == F.col("first"))
+    current = rows.where("old").groupBy(*row).agg(F.min_by("body", "sort_order").alias("body"), F.min("sort_order").alias("at"))
+    later = rows.join(current.select(*row, "at"), row, "left").where("at IS NULL OR sort_order > at")
+    new = later.where("at IS NULL").groupBy(*row).agg(F.min_by("body", "sort_order").alias("body"), F.min("sort_order").alias("sort_order"))
+    pairs = current.where("trim(body) <> ''").select(*row, "body").join(new.select(*cap, F.col("requirement").alias("rename_to"), "body", "sort_order").where("rename_to <> ''"), [*cap, "body"])
+    one = pairs.groupBy(*cap, "body").agg(F.min("requirement").alias("requirement"), F.min_by("rename_to", "sort_order").alias("rename_to"), F.min("sort_order").alias("sort_order"))
+    renamed = one.where("requirement <> ''").select(*row, F.lit("RENAMED").alias("op"), "rename_to", F.lit("").alias("body"), "sort_order")
+    taken = renamed.select(*cap, F.col("rename_to").alias("requirement"), F.col("sort_order"))
+    first = new.select(*row, "sort_order").withColumn("is_first", F.lit(True))
+    op = F.when(F.col("is_first"), "ADDED").otherwise("MODIFIED")
+    said = later.join(taken, [*row, "sort_order"], "left_anti").join(first, [*row, "sort_order"], "left").select(*row, op.alias("op"), F.lit(None).cast("string").alias("rename_to"), "body", "sort_order")
+    gone = rows.groupBy(*row).agg(F.max_by("gone", "sort_order").alias("gone"), F.max("sort_order").alias("sort_order")).where("gone")
+    removed = gone.select(*row, F.lit("REMOVED").alias("op"), F.lit(None).cast("string").alias("rename_to"), F.lit("").alias("body"), "sort_order")
+    none = F.lit(None).cast(f"array<{specs.SCENARIO}>")
+    return current.drop("at").withColumn("scenarios", none), renamed.unionByName(said).unionByName(removed).withColumn("scenarios", none)
 
 
 def merged(s: SparkSession, d: str) -> DataFrame:
-    current = s.createDataFrame([(*r, None) for r in CURRENT], _CUR)
-    deltas = s.createDataFrame([(*r, None) for r in DELTAS], _DEL)
-    state, _ = specs.merge_deltas(current, deltas)
+    state, _ = specs.merge_deltas(*(cut(x, "specs") for x in spec_history(table(s, d, "memories"))))
     return state.select("project_id", "capability_path", "requirement", "body", F.array_join("rfc2119", ",").alias("words"))
 
 

@@ -92,3 +92,33 @@ def test_links_from_memories_and_capabilities_to_code(spark):
     req = spark.createDataFrame([("p", "c1"), ("p", "c2"), ("p", "c3")], "project_id string, change_id string")
     got = {(r.source_id, r.target_id, r.relation_type) for r in specs.capability_edges(ch, req, _nodes(spark)).collect()}
     assert got == {("pkg/a.go", "spec:auth", "implements")}
+
+
+CURRENT = [("p", "auth", "Login", "Users MUST log in."), ("p", "auth", "Logout", "Sessions SHALL end."), ("p", "auth", "Idle", "It MAY wait."), ("q", "auth", "Login", "Old text.")]
+DELTAS = [
+    ("p", "auth", "RENAMED", "Logout", "Sign Out", "", 0), ("p", "auth", "RENAMED", "Nope", "Other", "", 1), ("p", "auth", "ADDED", "Reset", None, "It SHOULD NOT leak token: abcdefghijklmnop", 2),
+    ("p", "auth", "ADDED", "Login", None, "dup", 3), ("p", "auth", "MODIFIED", "Sign Out", None, "Sessions MUST end.", 4), ("q", "auth", "MODIFIED", "New", None, "plain", 5), ("p", "auth", "REMOVED", "Idle", None, "", 6), ("p", "auth", "REMOVED", "Gone", None, "", 7),
+]
+
+
+def test_merge_of_fixed_deltas(spark):
+    current = spark.createDataFrame([(*r, None) for r in CURRENT], f"project_id string, capability_path string, requirement string, body string, scenarios array<{specs.SCENARIO}>")
+    deltas = spark.createDataFrame([(*r, None) for r in DELTAS], f"project_id string, capability_path string, op string, requirement string, rename_to string, body string, sort_order int, scenarios array<{specs.SCENARIO}>")
+    state, _ = specs.merge_deltas(current, deltas)
+    assert {(r.project_id, r.requirement, r.body) for r in state.collect()} == {
+        ("p", "Login", "Users MUST log in."), ("p", "Sign Out", "Sessions MUST end."), ("p", "Reset", "It SHOULD NOT leak token: [REDACTED_SECRET]"), ("q", "Login", "Old text."), ("q", "New", "plain"),
+    }
+
+
+def test_merge_query_runs_over_all_memories_with_a_change(spark, tmp_path):
+    from knowloom.plans.code import merged
+
+    said = [  # change, topic, what, why, deleted
+        ("c1", "auth", "Login", "Users MUST log in.", False), ("c1", "auth", "Logout", "Sessions SHALL end.", False), ("c1", "auth", "Idle", "It MAY wait.", False), ("c2", "auth", " Sign Out ", "Sessions SHALL end.", False),
+        ("c2", "auth", "Reset", "It MUST expire.", False), ("c3", "auth", "Login", "Users SHOULD log in.", False), ("c3", "auth", "Sign Out", "Sessions MUST end.", False), ("c3", "auth", "Idle", "x", True),
+        ("c2", None, "Other", None, False), ("", "auth", "No change", "x", False), (None, "auth", "None", "x", False),
+    ]
+    rows = [{**dict.fromkeys(MEMORIES.names), "id": f"m{i:02}", "project_id": "p", "change_id": c, "topic_key": t, "what": w, "why": y, "created_at": T + dt.timedelta(hours=i), "deleted_at": T if gone else None} for i, (c, t, w, y, gone) in enumerate(said)]
+    spark.createDataFrame(rows, MEMORIES).write.parquet(str(tmp_path / "memories.parquet"))
+    got = sorted((r.capability_path, r.requirement, r.body, r.words) for r in merged(spark, str(tmp_path)).collect())
+    assert got == [("auth", "Login", "Users SHOULD log in.", "SHOULD"), ("auth", "Reset", "It MUST expire.", "MUST"), ("auth", "Sign Out", "Sessions MUST end.", "MUST"), ("general", "Other", "", "")]
