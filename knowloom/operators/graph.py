@@ -440,6 +440,17 @@ def merge_nodes(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("id", pick("node_type"), pick("label"), pick("path"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged)))).alias("metadata"))
 
 
+def fold_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, node_type, label, path, metadata): the graphs of all projects merged in the order of their ids, as :func:`merge_nodes` does with two."""
+    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    row = F.struct("project_id", "node_type", "label", "path", "metadata")
+    by = nodes.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    over = lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: ~F.array_contains(F.map_keys(as_map(x["metadata"])), k)), as_map(x["metadata"]))
+    merged = F.aggregate("rows", F.create_map().cast("map<string,string>"), over)
+    first = F.col("rows")[0]
+    return by.select("id", *[first[c].alias(c) for c in ("node_type", "label", "path")], F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged)))).alias("metadata"))
+
+
 def merge_edges(left: DataFrame, right: DataFrame) -> DataFrame:
     """(source_id, target_id, relation_type, id, confidence, source_location): the union, one row a relation, the left side's if it has one."""
     tagged = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)), allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowloom.operators import graph as G
@@ -76,10 +76,13 @@ def health(s: SparkSession, d: str) -> DataFrame:
     return G.health(table(s, d, "projects"), n, table(s, d, "graph_edges"), M.stale_bindings(table(s, d, "memories"), files))
 
 
-def two_projects(s: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """The tables of two projects, the sides of a merge."""
+def two_sides(s: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The tables of all projects in two halves by project id, each folded into one graph: the sides of a merge that every row takes part in."""
     t = _nodes(s, d) if name == "graph_nodes" else _edges(s, d)
-    return tuple(t.where(F.col("project_id") == p).drop("project_id") for p in ("e630ef207ce0", "0c4692a46829"))
+    half = t.select("project_id").distinct().withColumn("half", F.ntile(2).over(Window.orderBy("project_id")))
+    t = t.join(F.broadcast(half), "project_id")
+    sides = tuple(t.where(F.col("half") == k).drop("half") for k in (1, 2))
+    return tuple(G.fold_nodes(x) for x in sides) if name == "graph_nodes" else tuple(x.drop("project_id") for x in sides)
 
 
 QUERIES = {
@@ -110,8 +113,8 @@ QUERIES = {
     "gra_08_surprising": lambda s, d: G.surprising(_edges(s, d), _deg(s, d), _given(s, d), _central(s, d)).withColumn("score", F.round("score", 6)),
     "gra_09_roles": lambda s, d: G.roles(_deg(s, d)),
     "win_08_cross_edges": lambda s, d: G.cross_edges(_edges(s, d), _nodes(s, d), _given(s, d)),
-    "set_04_merge_nodes": lambda s, d: G.merge_nodes(*two_projects(s, d, "graph_nodes")).select("id", "node_type", "label", "path"),
-    "set_04_merge_edges": lambda s, d: G.merge_edges(*two_projects(s, d, "graph_edges")).select("source_id", "target_id", "relation_type", "id"),
+    "set_04_merge_nodes": lambda s, d: G.merge_nodes(*two_sides(s, d, "graph_nodes")).select("id", "node_type", "label", "path"),
+    "set_04_merge_edges": lambda s, d: G.merge_edges(*two_sides(s, d, "graph_edges")).select("source_id", "target_id", "relation_type", "id"),
     "snk_08_links": lambda s, d: G.export_links(_edges(s, d)),
 }
 

@@ -170,3 +170,17 @@ def test_snapshots(spark):
     assert {(r.path, r.status) for r in d.collect()} == {("b", "changed"), ("d", "new"), ("x", "new")}
     assert {r.project_id: r.needs_full for r in C.rebuilds(d, old).collect()} == {"p": True, "q": True}
     assert C.snapshot_diff(old, old).count() == 0
+
+
+def test_merge_queries_take_all_projects(spark, tmp_path):
+    from knowloom.plans.graph import QUERIES
+
+    rows = [("p1", "a", "file", "A1", "a", '{"x": "1", "k": "1"}'), ("p2", "a", "file", "A2", "a", '{"k": "2"}'), ("p3", "a", "file", "A3", "a", None), ("p2", "b", "file", "B2", "b", None), ("p4", "c", "file", "C4", "c", None)]
+    n = spark.createDataFrame(rows, NODES)
+    e = _edges(spark, ("a", "b"), project="p1").unionByName(_edges(spark, ("a", "b"), ("b", "c"), project="p2")).unionByName(_edges(spark, ("c", "a"), project="p4"))
+    n.write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    e.write.parquet(str(tmp_path / "graph_edges.parquet"))
+    got = {r.id: r.label for r in QUERIES["set_04_merge_nodes"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "A1", "b": "B2", "c": "C4"}
+    assert sorted((r.source_id, r.target_id) for r in QUERIES["set_04_merge_edges"](spark, str(tmp_path)).collect()) == [("a", "b"), ("b", "c"), ("c", "a")]
+    assert {r.id: r.metadata for r in G.fold_nodes(n).collect()}["a"] == '{"k":"2","x":"1"}'
