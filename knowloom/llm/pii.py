@@ -1,155 +1,62 @@
 """Personal information inside free text.
 
-Patterns propose spans, check digits confirm or refute them, and words nearby raise or lower their score.
+Patterns propose spans, check digits and number ranges confirm or refute them, and words nearby raise or lower their score.
 Spans above a threshold are mentions; :func:`redact` writes a placeholder of the type in place of each.
+
+Names are found without any list of names: by their shape (title, initial, particle, two capitalised words), by what stands on
+either side, by a mention of another kind next to them or an e-mail that spells them, and, as one weak score among these,
+by whether a public tokenizer's vocabulary knows the word rather in lower case or rather with a capital.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knowloom.llm.tokens import VOCABULARY, vocabulary_ranks
+
 #: Least score of a mention.
 THRESHOLD = 2.5
 
-# Given names, in alphabetical order of their folded form.
-GIVEN = frozenset(
-    "adam ahmed aiko alejandro alma amara amelia ana andrea andrei anita anna antonio arjun astrid beatriz benjamin björn brannoc bruno camille carlos "
-    "carmen charlotte chloe christian claire claudia corvin daniel dario david diana diego dmitri elena elif emily emma erik eva fatima felix fernando "
-    "fiona florian francisco freya gabriel gareth giulia gustav hannah hans heinrich helena helga henrik hiroshi hugo ibrahim ilvara inés ines ingrid irene "
-    "isabel ivan jakob james jan javier jennifer jens jessica joão johanna john jonas jorek jorge josé jose juan julia jürgen kaito karin karl katarina "
-    "katrin kenji klaus kofi kwame laura leila lena leo liam linda lucas lucía lucia luis lukas maelis manuel marco maria marie markus marta martin mateo "
-    "matthias mehmet michael miguel mireille mohammed monika nadia nadira natalia nikolai noah noor odran olga oliver oluwaseun olivia omar pablo patricia "
-    "paul pavel pedro pellian peter pierre priya rafael ravi renée renee robert sabine samir samuel sara sarah sebastian sergei simone sofia sophie stefan "
-    "sunniva susanne svetlana teyla thomas tomasz viktor vladimir wei william wolfgang yuki yusuf zoë zoe".split()
-)
-# A general lexicon of given names, independent of any table.
-GIVEN |= frozenset(
-    (
-        "aaron abdul abigail adrian agnes aisha alan albert alberto alex alexander alexandra alexis alfred ali alice alicia alison allison amanda "
-        "amina amy andre andreas andrew angela anja anke anne annette anthony antje antoine ariana arthur asha ashley ayşe barbara bernard bernd "
-        "bernhard beth bettina betty bianca bogdan boris brandon brenda brett brian bridget britta bruce bryan caitlin caleb cameron carl carla "
-        "carolina caroline catherine cecilia cesar chantal charles charlie cheryl chiara chris christina christine christoph christopher cindy clara "
-        "clemens colin connor consuelo cornelia craig cristina cynthia damien daniela danielle darren dave deborah debra denis denise dennis derek "
-        "detlef dieter dirk dolores dominic dominik donald donna dorothy douglas duncan dylan edgar edith eduardo edward edwin eileen elaine eleanor "
-        "eleni eli elias elisa elisabeth elizabeth ella ellen elsa emilio emmanuel enrique eric erin ernesto esteban esther ethan eugene evan evelyn "
-        "farah federico felicity felipe ferdinand frances francesca franz françois freddie frederic friedrich fritz gabriela gary geoffrey georg "
-        "george georgia gerald gerard gerhard gert gilbert gina giorgio giovanni gisela gloria gonzalo gordon graham greg gregor gregory greta guido "
-        "guillermo gunter gwen günter günther hamza hanna hans-peter harald harry haruto hassan heather hector heidi heike heinz helen helmut henri "
-        "henry herbert hermann hilary holger holly horst howard hussein ian ignacio ilse imran ingo irina isaac isabella isabelle ismael jacob "
-        "jacqueline jaime jan-erik jane janet janice jared jeff jeffrey jeremy jerome jesse jesús jim joachim joan joanna jochen joe joel joerg johan "
-        "johannes jon jonathan jordi josef joseph joshua joyce juana judith judy julian juliane julie juliette julio justin jörg kai karen karim "
-        "karsten kate katharina katherine kathleen kathrin kathryn katie keiko keith kelly ken kenneth kenta kerstin kevin khalid kim kirsten klara "
-        "konrad kristin kristina kurt kyle lara larry lars lauren laurence laurent leonard leonardo leonie leroy leslie lewis liesel linus lisa "
-        "lorena lorenzo lothar louis louise lourdes luca luciano ludwig luise lutz lydia lynn maite malcolm manfred manuela marc marcel marcos marcus "
-        "margaret margarita mariana marianne mario marion marlene martha martina mary mathias matthew maureen maurice mauricio maximilian maya megan "
-        "mei melanie melissa mercedes meryem mia michaela michelle miguel-angel mikhail milan mina miriam mitchell mohamed moritz muhammad murat "
-        "mustafa nancy naomi natalie nathan nathaniel neil nelson nicholas nick nico nicola nicolas nicole nigel nils nina nora norbert norma oleg "
-        "oscar oskar otto pamela paola pascal patrick patrik paula paulina pauline paulo peggy pete petra phil philip philipp phillip pilar raimund "
-        "rainer ralf ralph ramón raquel raul raúl rebecca regina reiner reinhard renate ricardo richard rita roberto rodrigo roger roland rolf roman "
-        "ron ronald rosa rosemary roy rubén rudolf russell ruth ryan rüdiger sabrina salvador sam samantha sandra santiago sascha scott sean sergio "
-        "seth shane shannon sharon sheila shirley shu sigrid silke silvia simon sonia sonja stacy stanley stefanie stella stephan stephanie stephen "
-        "steve steven stuart sue susan suzanne sven sylvia tamara tania tanja tara tatiana ted terence teresa theo theodore theresa thorsten tiffany "
-        "tim timothy tina tobias todd tom tomás tony torsten tracy travis trevor ulf ulrich ulrike ursula ute uwe valentina valeria valerie vanessa "
-        "vera veronica verónica vicente vicky victoria vincent virginia vivian volker walter waltraud wendy werner wilfried wilhelm xavier yasmin "
-        "yolanda yvonne zachary"
-    ).split()
-)
-# Given names that are ordinary words as well; they need more support.
-AMBIGUOUS = frozenset(
-    "amber april art august autumn basil bill carol chase chip daisy dawn drew dusty eve faith frank gene grace grant hazel hope hunter iris ivy jack jade "
-    "jasmine jasper joy june juniper lance laurel lily mark mason max may miles olive pat pearl penny pierce piper ray reed robin rose ruby rusty sage sandy "
-    "scarlet skip sky stone summer terry victor violet wade will willow".split()
-)
-AMBIGUOUS |= frozenset("buck cliff dean dick don earl forest gail glen guy harmony heath jean jordan josh justice kit lee major marina norm patience rich rob rocky star tanner ty wren angel dan".split())
-# Frequent family names that are not ordinary words, and those that are.
-SURNAMES = frozenset(
+# Function words of English, German and Spanish, which are no part of a name.
+CLOSED = frozenset(
     (
-        "adams aguilar ahmed alexander ali allen alonso alvarez anderson andrews armstrong arnold austin bailey barnes bauer baumann beck becker "
-        "bennett bernard braun brooks bryant burke burns butler byrne campbell campos carroll castillo castro chavez chen chowdhury clark clarke "
-        "cohen coleman collins cooper costa cruz cunningham davies davis delgado diaz dietrich domínguez doyle duarte dubois dunn dupont díaz edwards "
-        "elliott ellis engel evans ferguson fernandez fernández ferreira fischer fleming flores foster fournier fraser friedrich fuchs gallagher "
-        "garcia garcía garza gibson gil gomez gonzales gonzalez gonzález gordon graham greene griffin guerrero gupta gutierrez gutiérrez guzman gómez "
-        "haas hahn hamilton hansen harris harrison hart harvey hassan hayes henderson hernandez hernández herrera herrmann hoffmann hofmann howard "
-        "huang hughes hussain ibrahim iglesias ito ivanov jackson jacobs jain jenkins jensen jimenez jiménez johansson johnson johnston jones jung "
-        "kaiser kaur keller kelly kennedy khan kim klein koch kowalski krause krüger kuhn kumar köhler könig lang larsson lawrence lee lehmann leroy "
-        "lewis li lin liu lopez lorenz lozano ludwig lópez maier marshall martin martinez martínez marín mason maurer mccarthy mcdonald medina mehta "
-        "meier mejía mendez mendoza meyer miller mitchell molina montgomery moore morales moreau moreno morgan morris morrison muller murphy murray "
-        "muñoz méndez müller nakamura navarro nelson neumann newman nguyen nielsen nowak nuñez núñez ochoa olsen ortega ortiz owens park parker patel "
-        "patterson pedersen perez perry peters petersen peterson petrov peña pfeiffer phillips popescu porter powell pérez ramirez ramos ramírez "
-        "reyes reynolds richards richardson richter rios rivera roberts robertson robinson rodgers rodriguez rodríguez rogers rojas romero rossi roth "
-        "rubio ruiz russell russo ryan sanchez sanders santana santiago santos sato schmid schmidt schmitt schmitz schneider scholz schröder schubert "
-        "schulte schulz schulze schumacher schwarz schäfer scott serrano shah sharma silva simmons simon simpson singh smith soto stein stevens "
-        "stewart sullivan suzuki suárez svensson sánchez tanaka taylor thomas thompson torres tran turner vargas vasquez vega vidal vogel vogt "
-        "vázquez wagner walsh walter wang watanabe watson weber wei weiß werner williams williamson wilson winkler wolff wong wright wu xu yamamoto "
-        "yang yilmaz zhang zhao ziegler zimmermann álvarez"
+        "a about after again all also always am an and any are as at be because before both but by can could did do does each else every for from had has have he her here him his how i if in is it its "
+        "just let many may me might more most my never no nor not now of off on only or other our out over please she should since so some such than that the their them then there these they this those "
+        "to too under until up us very was we were what when where which while who why will with would yes you your "
+        "aber als auch auf aus bei bitte das dass dem den denn der des die diese dieser du ein eine einem einen einer er es für hat hier ich ihr im in ist ja jede jeder kein keine man mit nach nein nicht noch "
+        "nur ob oder ohne sein seit sich sie sind um und uns unter vom von vor war wenn werden wie wir wird zu zum zur "
+        "al ante cada como con cuando de del desde donde el ella en entre era es esa ese esta este están fue ha hay la las le lo los más me mi muy ni no nos o para pero por porque que se según ser si sin "
+        "sobre son su sus también te tras tu un una unos y ya"
     ).split()
 )
-WORD_SURNAMES = frozenset(
-    (
-        "baker banks barber bell berry bishop black boyd brown bush butcher carpenter carter chambers chapman cole cook cox cross day dean dixon "
-        "field fields fisher fletcher ford fowler fox freeman gardner george grant gray green hall hammer harper hawkins hicks hill holmes hudson "
-        "hunt hunter jordan kaufmann kelley king knight koch lane little long lopez marsh marshall mills moss myers nichols oliver page palmer "
-        "parsons payne perkins pierce potter price ray reed rice rivers robbins rose shaw shepherd snow spencer stephens stone sutton walker wallace "
-        "ward warren washington watts webb wells west wheeler white wolf wood woods young"
-    ).split()
-)
-SURNAMES -= WORD_SURNAMES
-# Endings that are common in family names.
-SURNAME_END = (
-    "ano ardo berg bury by croft dale dane dottir enko escu etti ez feld field ford gate hart heim hoff holm holt hurst inen ini ino kowski ley ling man mann "
-    "mere more moto nik ova quist ridge sen shaw ska ski son ssen sson stad stein strand thorne ton wevail witz wood worth yama"
-).split()
-# Capitalised words that follow a given name without being a family name.
-NOT_SURNAME = frozenset(
-    "a add after all also always an and are as ask at backoff before bitte board box build bug but by call can case cc commit compare config continue "
-    "customer data dead die do document dump el error escalate exit explain feature fix for freeze from git has hash he i if in index is issue it join key "
-    "la las lease let letter lint live log logging los mark measure memory merge merger mode never nightly no not note of old on or page panic path period "
-    "phase pinned please pool pr profiling queue range read release rename reported retry run saw see seed session she small so spec stack state status "
-    "stop summer support sync table test tests than that the then there these they this tree two unexpected update use user version visit we what when where "
-    "which why with write you".split()
-)
-# Capitalised words of sentences and programs that are no part of a name unless a listed given name stands before them.
-ORDINARY = NOT_SURNAME | frozenset(
-    (
-        "af al bin da de del della der di dos ibn la las le los ter van von zu zum zur "
-        "about again alle allow am an answer api app application archive available aviso back backup batch beim below bitte block both branch break "
-        "breakpoint broker browser buffer bus button cache caller chapter check class cleanup client cliente cloud cluster code colleague column "
-        "command compiler component connection console contact container control core crash create cuando current cursor customer das dashboard "
-        "database dataset date dead debug default delete demo den der description desktop details dev device did die dies directory disk docker done "
-        "dr drop each early editor ein eine el en encoder engine entry error es esta este event every example exception executor export factory "
-        "failure fast fatal field file filter final first flag folder format frame frau full function gateway good grace graph group guide handler "
-        "hard hash header health hello helper here herr hi high history hook host how http image import in initial inner input insert instance "
-        "interface internal invalid item its java job join json kein keine kernel kollege kollegin kunde kundin lambda last late later layer left "
-        "library limit line linker linux list llamar loader local lock log login loop los low machine mail main manager map mapper max message method "
-        "metric middleware min miss missing model module monitor mount mr mrs ms name network new next node null number object observer off open "
-        "operator option order other our outer output owner package packet parse parser part password patch pattern pipeline plain planner please "
-        "plugin policy pool port post primary prof profile project prompt proxy public pull push python query queue quick rate read reader record "
-        "refactor regex registry release remote remove render replace report request reset resource response rest result right rollback root route "
-        "router rule runner runtime sample scan scanner schedule scheduler schema scope script search second secret section see sender sending "
-        "serializer server service session set setting settings setup señor señora shard short side since single size slow snapshot socket some sort "
-        "source sra srta start still storage store stream street string such system tag target task team template terminal text thanks their these "
-        "third thread tier time timeout today token tomorrow tool total trace traffic transaction trigger type unit unter update upload upstream user "
-        "validator value variable vector verify version view wait warning web weekly welcome well when while window windows with within without "
-        "worker writer yes yesterday your zone"
-    ).split()
+# Words that lead names of places, and of days and months.
+PLACE_LEADS = frozenset(
+    "new north south east west northern southern eastern western san santa los las saint st mount lake fort port united great grand central upper lower hong "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
 )
 
 _LEFT = r"(?<![\w@./#+-])"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Herr|Frau|Sr|Sra|Srta|Don|Doña|Señor|Señora)\.?"
-_CAP = r"[A-ZÀ-ÖØ-Þ][\wß-ÿ]*"
-_PARTICLE = r"(?:(?:van|von|de|del|della|di|da|dos|der|den|la|las|los|le|ter|zu|zum|zur|af|al|el|bin|ibn)[  ])"
-_SURNAME = rf"{_PARTICLE}{{0,3}}(?:[OD]['’])?{_CAP}(?:['’-]{_CAP})*"
+_LETTER = r"[^\W\d_]"
+_CAP = rf"[A-ZÀ-ÖØ-Þ]{_LETTER}+"
+_PARTICLE = r"(?i:van|von|de|del|della|di|da|dos|der|den|la|las|los|le|ter|zu|zum|zur|af|al|el|bin|ibn)"
+_SPACE = "[ \u00a0]"
+_SURNAME = rf"(?:[OD]['’])?{_CAP}(?:['’-]{_CAP}){{0,3}}"
 
 EMAIL = re.compile(r"(?<![\w.%+-])[^\W_][\w.%+'-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[A-Za-z]{2,}(?![\w-]|\.\w|:[\w~/])")
 _DOT = r"(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.)"
-HIDDEN_EMAIL = re.compile(rf"(?<![\w.%+-])[^\W_][\w.%+'-]*(?:{_DOT}[\w.%+'-]+)*\s?[(\[{{]\s?at\s?[)\]}}]\s?[\w-]+(?:{_DOT}[\w-]+)+", re.I)
-SPELT_EMAIL = re.compile(r"(?<![\w.%+-])[^\W_][\w.%+'-]* at [\w-]+(?: dot [\w-]+)+", re.I)
+#: Dots stand between the parts only, so that a row of them is read in one way.
+HIDDEN_EMAIL = re.compile(rf"(?<![\w.%+-])[^\W_][\w%+'-]*(?:{_DOT}[\w%+'-]+){{0,8}}\s?[(\[{{]\s?at\s?[)\]}}]\s?[\w-]+(?:{_DOT}[\w-]+){{1,8}}", re.I)
+SPELT_EMAIL = re.compile(r"(?<![\w.%+-])[^\W_][\w.%+'-]* at [\w-]+(?: dot [\w-]+){1,8}", re.I)
 
 PHONE = re.compile(
     _LEFT + r"(?:"
@@ -185,20 +92,9 @@ ADDRESS = re.compile(
     r"|[A-ZÀ-Þ][\w-]*(?:ring|damm|ufer|chaussee|gate|markt|hof) \d{1,4} ?[a-z]?, \d{5} [A-ZÀ-Þ]\w+)"
 )
 
-_TOKEN = re.compile(r"[A-ZÀ-ÖØ-Þ][\wß-ÿ]*(?:['’-][\wß-ÿ]+)*")
-_AFTER_GIVEN = re.compile(rf"(?:-{_CAP})?(?:[  ][A-ZÀ-Þ]\.)*(?:[  ]{_CAP})??[  ]({_SURNAME})(?![\w@])")
-_SHORT_AFTER = re.compile(rf"(?:[  ][A-ZÀ-Þ]\.)*[  ]({_SURNAME})(?![\w@])")
-_INITIAL = re.compile(rf"(?<![\w.])[A-ZÀ-Þ]\.(?:[  ]?[A-ZÀ-Þ]\.)*[  ]?({_SURNAME})(?![\w@])")
-_SURNAME_FIRST = re.compile(rf"(?<![\w'’-])({_SURNAME}),[  ]$")
-_TITLE_BEFORE = re.compile(rf"(?<!\w){_TITLE}[  ]$")
-_NAME_CUE = re.compile(
-    r"(?i:\b(?:name[=:]|by|with|ask|contact(?: sheet)?:?|colleague|customer|client|cliente|user|from|profile of|sample to|llamar a|señor|bitte|an|von|de|to|for|attn:?|cc)[  ]?)$"
-)
-_NAME_CUE_AFTER = re.compile(r"[  ]?(?:\(|<|/|confirmed|fragen|escribe|helped|has |said|wrote|asked|on the|al [+(\d]|;)")
-# Words that hardly stand before or after anything but a person.
-_PERSON_CUE = re.compile(r"(?i:\b(?:name[=:]|ask|contact(?: sheet)?:?|colleague|customer|cliente|llamar a|profile of|attn:?)[  ]?)$")
-_PERSON_CUE_AFTER = re.compile(r"[  ](?:confirmed|fragen|escribe|helped|said|wrote|asked)\b")
-_WEAK_TITLE = re.compile(r"(?:Miss|Don)\.?[  ]$")
+_IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d\d(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\w])")
+_CARD = re.compile(r"(?<![\w+.-])[2-6]\d{3}(?:([ -]?)\d{4}\1\d{4}\1\d{1,7}|([ -]?)\d{6}\2\d{4,5})(?![\w-])")
+_IBAN_CUE = re.compile(r"(?i:iban)[ :#]*$")
 _PHONE_CUE = re.compile(r"(?i:phone|tel|call|mobile|cell|fax|ring|handy|rufnummer|teléfono|telefono|móvil|llam|number|reach|whatsapp|contact)[^\n]{0,24}$")
 _NO_PHONE = re.compile(r"(?i:\b(?:build|timestamp|range|port|offset|issue|pr|commit|uuid|hash|line|version|release|code|id|shard|order|ticket|epoch|isbn|iban|card)[ #:=]*)$")
 
@@ -212,6 +108,9 @@ class Mention(NamedTuple):
     score: float
 
 
+# -- check digits --------------------------------------------------------------
+
+
 def luhn(digits: str) -> bool:
     """The check digit of payment cards."""
     total = 0
@@ -229,13 +128,45 @@ def mod97(code: str) -> bool:
 
 def dni_letter(code: str) -> bool:
     """The check letter of Spanish identity numbers."""
-    number = code.replace("-", "")
+    number = code.replace("-", "").replace(" ", "")
     number = number[0].translate(str.maketrans("XYZ", "012")) + number[1:]
     return number[:-1].isdigit() and _DNI_LETTERS[int(number[:-1]) % 23] == number[-1]
 
 
-def _digits(s: str) -> str:
-    return re.sub(r"\D", "", s)
+def tax_digit(digits: str) -> bool:
+    """The check digit of German tax identification numbers: eleven digits, no leading zero, ISO 7064 mod 11, 10."""
+    if len(digits) != 11 or digits[0] == "0":
+        return False
+    product = 10
+    for ch in digits[:-1]:
+        total = (int(ch) + product) % 10 or 10
+        product = total * 2 % 11
+    return (11 - product) % 10 == int(digits[-1])
+
+
+def ssn_range(digits: str) -> float:
+    """1 for a number that may have been issued, -0.5 where the area is kept out of use, less where a group is all zeros."""
+    area, group, serial = digits[:3], digits[3:5], digits[5:]
+    if area == "000" or serial == "0000":
+        return -5.0
+    return -2.0 if group == "00" else -0.5 if area == "666" or area >= "900" else 1.0
+
+
+def _checked(code: str) -> float:
+    """What check digits and ranges say of an identity number: above 0 confirmed, below 0 refuted, 0 where its form has none."""
+    bare = re.sub(r"[ -]", "", code).upper()
+    if re.fullmatch(r"\d{9}", bare):
+        return ssn_range(bare)
+    if re.fullmatch(r"[XYZ]?\d{7,8}[A-Z]", bare) and (bare[0] in "XYZ") + len(bare) - 2 >= 7:
+        return 1.5 if dni_letter(bare) else -1.5
+    if re.fullmatch(r"[A-Z]{2}\d{6}[A-Z]", bare):
+        return 1.0 if bare[0] not in "DFIQUV" and bare[1] not in "DFIOQUV" and bare[:2] not in ("BG", "GB", "NK", "KN", "TN", "NT", "ZZ") and bare[-1] in "ABCD" else -0.5
+    if re.fullmatch(r"\d{11}", bare):
+        return 1.0 if tax_digit(bare) else -0.5
+    return 0.0
+
+
+# -- spans ---------------------------------------------------------------------
 
 
 def _emails(text: str) -> Iterator[Mention]:
@@ -244,14 +175,18 @@ def _emails(text: str) -> Iterator[Mention]:
             yield Mention("email", m.start(), m.end(), score)
 
 
+def account_spans(text: str) -> list[tuple[int, int]]:
+    """Bank accounts and payment cards, by mod-97, or by their form after their name, and by Luhn: their digits are no other number."""
+    spans = [m.span() for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", "")) or _IBAN_CUE.search(text, max(0, m.start() - 12), m.start())]
+    return spans + [m.span() for m in _CARD.finditer(text) if luhn(re.sub(r"\D", "", m[0]))]
+
+
 def _ids(text: str) -> Iterator[Mention]:
     for m in ANNOUNCED_ID.finditer(text):
         if sum(c.isdigit() for c in m[1]) >= 4:
-            yield Mention("id_number", m.start(1), m.end(1), 5.0)
+            yield Mention("id_number", m.start(1), m.end(1), 4.5 + _checked(m[1]))
     for m in BARE_ID.finditer(text):
-        score = 3.0
-        if m["dni"] and not dni_letter(m["dni"]):
-            score = 1.0
+        score = (3.0 if m["ssn"] or m["nino"] else 1.5) + _checked(m[0])
         if _NO_PHONE.search(text, max(0, m.start() - 16), m.start()):
             score -= 2
         yield Mention("id_number", m.start(), m.end(), score)
@@ -259,7 +194,7 @@ def _ids(text: str) -> Iterator[Mention]:
 
 def _phones(text: str) -> Iterator[Mention]:
     for m in PHONE.finditer(text):
-        s, d = m[0], _digits(m[0])
+        s, d = m[0], re.sub(r"\D", "", m[0])
         score = 1.0 if s.isdigit() else 3.0
         if not (9 if s[0] != "+" else 8) <= len(d) <= 15 and not (s.isdigit() and len(d) >= 7):
             continue
@@ -268,98 +203,183 @@ def _phones(text: str) -> Iterator[Mention]:
             score += 2
         if _NO_PHONE.search(before):
             score -= 2.5
-        if len(d) >= 13 and luhn(d) and s[0] != "+":
-            score -= 3
-        if re.search(r"[A-Z]{2}\d\d ?$", before) and mod97(re.sub(r"\s", "", before[-5:].split()[-1] + s)):
-            score -= 5
         yield Mention("phone", m.start(), m.end(), score)
 
 
-def _surname_score(name: str) -> float:
-    last = re.split(r"[  ]", name)[-1]
-    core = re.split(r"['’-]", last)[-1].casefold()
-    if core in NOT_SURNAME or last.casefold() in NOT_SURNAME or len(core) < 2:
-        return -2.5
-    score = 0.5
-    if core in SURNAMES:
-        score = 2.25
-    elif core in WORD_SURNAMES or core.endswith(tuple(SURNAME_END)) and len(core) >= 5:
-        score = 1.5
-    if re.match(r"[OD]['’]|Mc[A-Z]|Mac[A-Z]", last) or "-" in last or _PARTICLE_START.match(name):
-        score += 0.5
-    if _CAMEL.search(last) and not re.match(r"(?:Mc|Mac|Le|La|De|Van|Di|Fitz)[A-ZÀ-Þ]", last):
-        score -= 2.0  # CamelCase is a program's name
-    return score
+def _addresses(text: str) -> Iterator[Mention]:
+    for m in ADDRESS.finditer(text):
+        yield Mention("address", m.start(), m.end(), 4.0)
 
 
+# -- persons -------------------------------------------------------------------
+
+_WORDS = re.compile(rf"(?<![\w'’.@/\\-]){_CAP}(?:['’-]{_CAP}){{0,3}}(?![\w@/\\]|[-'’.]\w)|(?<![\w'’.@/\\-])[OD]['’]{_CAP}(?:-{_CAP}){{0,3}}(?![\w@/\\]|[-'’.]\w)")
+_REST = re.compile(rf"((?:{_SPACE}[A-ZÀ-Þ]\.){{0,3}})((?:{_SPACE}{_PARTICLE}){{0,3}}){_SPACE}({_SURNAME})(?![\w@/]|[-'’.]\w)")
+_INITIAL = re.compile(rf"(?<![\w.'’-])[A-ZÀ-Þ]\.(?:{_SPACE}?[A-ZÀ-Þ]\.){{0,2}}((?:{_SPACE}{_PARTICLE}){{0,3}}){_SPACE}?({_SURNAME})(?![\w@/]|[-'’.]\w)")
+_COMMA = re.compile(rf",{_SPACE}({_CAP}(?:-{_CAP})?)(?![\w@/]|[-'’.]\w)")
+_PARTICLES_BEFORE = re.compile(rf"(?<!\w)(?:{_PARTICLE}{_SPACE}){{1,3}}$")
 _CAMEL = re.compile(r"[a-zß-ÿ][A-ZÀ-Þ]")
-_PARTICLE_START = re.compile(_PARTICLE)
-
-
-def _around(text: str, start: int, end: int) -> float:
-    before = text[max(0, start - 24) : start]
-    score = (1.5 if _WEAK_TITLE.search(before) else 2.0) if _TITLE_BEFORE.search(before) else 0.0
-    before = re.sub(rf"(?:^|(?<=\W)){_TITLE}[  ]$", "", before)
-    if _NAME_CUE.search(before):
-        score += 1.75 if _PERSON_CUE.search(before) else 0.75
-    if _NAME_CUE_AFTER.match(text, end):
-        score += 1.75 if _PERSON_CUE_AFTER.match(text, end) else 0.75
-    return score
-
-
-def _persons(text: str) -> Iterator[Mention]:
-    for m in _TOKEN.finditer(text):
-        folded = m[0].casefold()
-        first = folded if folded in GIVEN or folded in AMBIGUOUS else re.split(r"[-'’]", folded)[0]
-        known = 2.0 if first in GIVEN else 0.5 if first in AMBIGUOUS else 0.0
-        # any other capitalised word may be a given name by its shape, but a sentence's or a program's word is none
-        if not known and (len(folded) < 2 or folded in ORDINARY or _CAMEL.search(m[0])):
-            continue
-        best = None
-        for pattern in (_SHORT_AFTER, _AFTER_GIVEN):
-            n = pattern.match(text, m.end())
-            if n:
-                score = (known or 0.25) + _surname_score(n[1]) + _around(text, m.start(), n.end())
-                if not known and n[1].casefold() in ORDINARY:
-                    score -= 3
-                if best is None or score > best.score:
-                    best = Mention("person", m.start(), n.end(), score)
-        if best and best.score >= THRESHOLD:
-            yield best
-        elif known == 2.0:
-            n = _SURNAME_FIRST.search(text, max(0, m.start() - 40), m.start())
-            if n and (s := _surname_score(n[1])) >= 1.0:
-                yield Mention("person", n.start(1), m.end(), known + s)
-    for m in _INITIAL.finditer(text):
-        score = 1.25 + _surname_score(m[1]) + _around(text, m.start(), m.end())
-        yield Mention("person", m.start(), m.end(), score - 3 * (m[1].casefold() in ORDINARY))
+_NOBLE = re.compile(r"(?:[OD]['’]|Mc|Mac|Le|La|De|Van|Di|Fitz)(?=[A-ZÀ-Þ])")
 
+_TITLED = re.compile(rf"(?<!\w)({_TITLE}){_SPACE}$")
+_ASKED = (
+    r"ask|asked|contact|colleague|customer|client|dear|thanks|attn|cc|manager|engineer|author|owner|reviewer|assignee|teammate|user|name|signed|"
+    r"bitte|kunde|kundin|kollege|kollegin|frag|fragt|cliente|colega|señor|señora|llamar a|llame a|pregunta a|contact sheet|profile of"
+)
+#: What stands before a person: roles, requests and agents of a passive; then prepositions, which stand before much else.
+_PERSON_BEFORE = re.compile(
+    rf"(?i:(?<!\w)(?:{_ASKED})[:=,]?|(?<!\w)\w+ed(?:[ -]by)?[:,]|(?<!\w)\w+ed by|(?<!\w)\w+[ai]d[oa] por|"
+    rf"(?<!\w)(?:met|meet|meeting|spoke|speak|talked|talk|chat|call|paired|pairing|work|working|worked|thanks|according|mail|message|notes|feedback|request|question) (?:with|to|from)){_SPACE}?$"
+)
+_WEAK_BEFORE = re.compile(rf"(?i:(?<!\w)(?:with|by|from|to|for|of|via|and|mit|von|an|für|und|con|por|para|de|a|y)){_SPACE}$|[(:|/]{_SPACE}?$")
+#: What stands after a person: verbs of speaking and agreeing; then what often follows one.
+_PERSON_AFTER = re.compile(
+    rf"(?i:{_SPACE}(?:said|says|wrote|writes|asked|asks|told|tells|thinks|knows|confirmed|helped|agreed|approved|reviewed|reported|replied|suggested|noticed|mentioned|explained|called|"
+    r"signed|joined|wants|escribe|escribió|dijo|dice|pide|pregunta|confirma|sagt|sagte|schreibt|schrieb|meint|fragen|bittet)\b)"
+)
+_WEAK_AFTER = re.compile(rf"(?i:{_SPACE}(?:has|had|is|was|will|can|on|from|and|\w{{2,}}ed|hat|al)\b|{_SPACE}?[(<;/|,])")
+
+
+def _whole(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
 
-def _addresses(text: str) -> Iterator[Mention]:
-    for m in ADDRESS.finditer(text):
-        yield Mention("address", m.start(), m.end(), 4.0)
+
+@lru_cache(maxsize=2)
+def _lexicon(path: str) -> dict[str, int]:
+    """Rank of each word that the vocabulary holds whole, as it is spelt after a blank; frequent words rank low."""
+    return {t[1:].decode(): r for t, r in vocabulary_ranks(path).items() if t[:1] == b" " and (t.isascii() or _whole(t)) and t[1:].decode().isalpha()}
+
+
+@lru_cache(maxsize=1 << 16)
+def word_weight(word: str, path: str = VOCABULARY) -> float:
+    """1 for a word that is known with a capital only, 0.75 for one known rather so, 0.5 for an unknown one, less for ordinary words, -2.5 for function words."""
+    if word.casefold() in CLOSED:
+        return -2.5
+    known = _lexicon(path)
+    low, high = known.get(word.lower()), known.get(word[:1].upper() + word[1:].lower())
+    if low is None:
+        acronym = word.isupper() and word.isascii() and (len(word) < 4 or word in known)
+        return -1.0 if acronym and high is None else 1.0 if high is not None else 0.5
+    if high is not None and high < low:
+        return 0.75
+    return 0.25 if high is not None and high < 2 * low else -1.5
+
+
+def _name_weight(word: str, lowered: set[str]) -> float:
+    """The weight of a given or family name by its last part; a word that the text has in lower case as well is ordinary, and one of inner capitals a program's."""
+    part = re.split(r"['’-]", word)[-1]
+    weight = word_weight(part)
+    if _CAMEL.search(_NOBLE.sub("", word)):
+        weight -= 3.0
+    elif weight > -1 and part.lower() in lowered:
+        weight -= 1.5
+    return weight - 0.25 * (len(part) < 3)
+
+
+def _folded(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if c.isalnum())
+
+
+_GAP = re.compile(r"[\s,;/|(<:=-]{1,4}(?:[^\W\d_][\w'. ]{0,20}[\s:=#(]{1,3})?|\s?\w{2,4}\s")
+_LOWER_WORD = re.compile(r"(?<![\w@.-])[a-zß-ÿ][^\W\d_]*(?![\w@.-])")
+
+
+class _Person:
+    """Scores spans of one text as names; ``others`` are its mentions of other kinds in order of their start."""
+
+    def __init__(self, text: str, others: list[Mention]) -> None:
+        self.text, self.others, self.starts = text, others, [m.start for m in others]
+        self.lowered = set(_LOWER_WORD.findall(text))
+        self.locals = {_folded(p) for m in others if m.pii_type == "email" for p in re.split(r"[\W_]+", re.split(r"@|[(\[{ ]+at\b", text[m.start : m.end])[0])}
+
+    def around(self, start: int, end: int, name: str) -> float:
+        text = self.text
+        score, before = 0.0, text[max(0, start - 40) : start]
+        title = _TITLED.search(before)
+        if title:
+            score += 1.25 if title[1].rstrip(".") in ("Miss", "Don") else 2.0
+            before = before[: title.start()]
+        if _PERSON_BEFORE.search(before):
+            score += 1.5
+        elif _WEAK_BEFORE.search(before):
+            score += 0.5
+        if _PERSON_AFTER.match(text, end):
+            score += 1.5
+        elif _WEAK_AFTER.match(text, end):
+            score += 0.5
+        k = bisect_left(self.starts, end)
+        gaps = [text[self.others[k - 1].end : start]] if k else []
+        gaps += [text[end : self.starts[k]]] if k < len(self.starts) and self.starts[k] - end <= 28 else []
+        score += any(_GAP.fullmatch(g) for g in gaps if len(g) <= 28)
+        return score + 1.5 * (_folded(name) in self.locals)
+
+    def find(self) -> Iterator[Mention]:
+        text = self.text
+        for m in _WORDS.finditer(text):
+            weight = _name_weight(m[0], self.lowered) - 2.0 * (m[0].casefold() in PLACE_LEADS)
+            if weight <= -1:
+                continue
+            at, best, here = m.end(), None, weight
+            for _ in range(3):
+                n = _REST.match(text, at)
+                if not n:
+                    break
+                more = _name_weight(n[3], self.lowered)
+                if best is not None and more < 0.5:
+                    break
+                extra = 1.25 * bool(n[1]) + 0.5 * (bool(n[2]) + ("-" in n[3] or bool(_NOBLE.match(n[3]))))
+                score = here + more + extra + self.around(m.start(), n.end(), n[3])
+                if best is None or score > best.score - 0.75:
+                    best = Mention("person", m.start(), n.end(), score)
+                at, here = n.end(), here + 0.5
+            if best:
+                yield best
+            c = _COMMA.match(text, m.end())
+            if c and weight >= 0.5:
+                given = _name_weight(c[1], self.lowered)
+                lead = _PARTICLES_BEFORE.search(text, max(0, m.start() - 20), m.start())
+                start = lead.start() if lead else m.start()
+                if given >= 0.5:
+                    near = self.around(start, c.end(), m[0])
+                    yield Mention("person", start, c.end(), weight + given + near - 0.5 * (near < 1.5))  # else a list of places is one
+        for m in _INITIAL.finditer(text):
+            yield Mention("person", m.start(), m.end(), 1.5 + _name_weight(m[2], self.lowered) + 0.5 * bool(m[1]) + self.around(m.start(), m.end(), m[2]))
+
+
+def _strongest(found: list[Mention], taken: list[tuple[int, int]]) -> list[Mention]:
+    """Of overlapping proposals the higher score stays, of equal ones the longer, then the earlier; ``taken`` spans go before all. In order of their start."""
+    spans = sorted(taken)
+    kept: list[Mention] = []
+    for m in sorted((m for m in found if m.score >= THRESHOLD), key=lambda m: (-m.score, m.start - m.end, m.start)):
+        k = bisect_left(spans, (m.end, m.end))
+        if k == 0 or max(end for _, end in spans[max(0, k - 2) : k]) <= m.start:
+            insort(spans, (m.start, m.end))
+            kept.append(m)
+    return sorted(kept, key=lambda m: m.start)
 
 
 def find_mentions(text: str | None) -> list[Mention]:
     """Mentions of personal data in order of their start; they do not overlap. Null and empty texts have none.
 
-    Of overlapping proposals the higher score stays, of equal ones the longer, then the earlier.
+    Confirmed account and card numbers own their digits. Names are looked for last, beside and never within the other mentions.
     """
     if not text:
         return []
     found: list[Mention] = []
-    if "@" in text or "at" in text:
+    owned: list[tuple[int, int]] = []
+    if "@" in text or "at" in text.lower():
         found += _emails(text)
     if any(map(text.__contains__, "0123456789")):
+        owned = account_spans(text)
         found += _ids(text)
         found += _phones(text)
         found += _addresses(text)
-    found += _persons(text)
-    kept: list[Mention] = []
-    for m in sorted((m for m in found if m.score >= THRESHOLD), key=lambda m: (-m.score, m.start - m.end, m.start)):
-        if all(m.end <= k.start or m.start >= k.end for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m.start)
+    others = _strongest(found, owned)
+    persons = _strongest(list(_Person(text, others).find()), [(m.start, m.end) for m in others])
+    return sorted(others + persons, key=lambda m: m.start)
 
 
 def redact(text: str | None) -> str | None:

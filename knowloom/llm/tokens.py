@@ -15,14 +15,19 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@lru_cache(maxsize=4)
+def vocabulary_ranks(path: str) -> dict[bytes, int]:
+    """The tokens of a vocabulary file with their ranks, read once in a worker."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str):  # noqa: ANN201
     """The tokenizer of a vocabulary file, loaded once in a worker; special tokens in a text are ordinary text."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("knowloom", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("knowloom", pat_str=SPLIT, mergeable_ranks=vocabulary_ranks(path), special_tokens={})
 
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:

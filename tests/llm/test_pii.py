@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from knowloom.llm.pii import AMBIGUOUS, GIVEN, SURNAMES, WORD_SURNAMES, dni_letter, find_mentions, luhn, mentions, mod97, redact, redacted, text_fields
+from knowloom.llm.pii import dni_letter, find_mentions, luhn, mentions, mod97, redact, redacted, ssn_range, tax_digit, text_fields, word_weight
 from knowloom.tables import MEMORIES
 
 
@@ -40,7 +42,7 @@ def test_forms(text, want):
         ("saw J. Smith and K. Walker", [("person", "J. Smith"), ("person", "K. Walker")]),
         ("Lange Straße 12 und Am Markt 5, 10115 Berlin", [("address", "Lange Straße 12"), ("address", "Am Markt 5, 10115 Berlin")]),
         ("Die Straße 12 und der Weg 5, Im Test 5", []),
-        ("Pairing with ZOË VON NORSHAW helped;", [("person", "ZOË VON")]),
+        ("Pairing with ZOË VON NORSHAW helped;", [("person", "ZOË VON NORSHAW")]),
         ("Please ask Dead Letter queue; by Hash Join (fast)", []),
     ],
 )
@@ -48,16 +50,53 @@ def test_general_forms(text, want):
     assert _found(text) == want
 
 
+#: Names of many origins; the module holds no list of names, so none of them is known to it.
+_GIVEN = "Rebecca Kevin Aisha Nathan Priyanka Stephanie Siddharth Wojciech Chidinma Dmitri Fatoumata Zorvan Ottavia Thandeka Oisin Ngozi Zuzana Eirlys Tadeo Katarzyna".split()
+_FAMILY = "Turner Brown Rahman Cooper Chopra Miller Venkataraman Brzezinski Eze Volkov Diallo Quillan Okafor Zielak Pettigrew Achebe Vrabel Llewelyn Tsosie Castelo".split()
+_CONTEXTS = ["then Ms {} left early.", "Please ask {} about it.", "{} wrote it down.", "Reported by {}", "{} confirmed it.", "my colleague {} has it.", "contact {} / +44 7700 900 263", "talked to {} (ops)"]
+
+
+@pytest.mark.parametrize("context", _CONTEXTS)
+def test_names_are_carried_by_their_context(context):
+    names = [f"{g} {f}" for g in _GIVEN for f in _FAMILY]
+    hit = sum(("person", n) in _found(context.format(n)) for n in names)
+    assert hit >= 0.9 * len(names), hit / len(names)
+
+
 @pytest.mark.parametrize("context", ["then Mr {} left early.", "Please ask {} about it.", "Then {} wrote it down.", "It came from {} (now)."])
-def test_names_outside_the_lists_are_carried_by_title_or_cues(context):
-    given = "Zorvan Quillan Ottavia Thandeka Oisin Ngozi Wojtek Zuzana Eirlys Tadeo".split()
-    family = "Okafor Zielak Pettigrew Baptiste Achebe Vrabel Llewelyn Tsosie Bhatt Castelo".split()
-    assert not {g.casefold() for g in given} & (GIVEN | AMBIGUOUS) and not {f.casefold() for f in family} & (SURNAMES | WORD_SURNAMES)
-    names = [f"{g} {f}" for g in given for f in family] if "from" not in context else []
-    for name in [*names, *[f"{g[0]}. {f}" for g in given for f in family]]:
+def test_initials_with_a_family_name(context):
+    for name in (f"{g[0]}. {f}" for g in _GIVEN for f in _FAMILY if f not in ("Cooper", "Brown")):
         assert _found(context.format(name)) == [("person", name)]
 
 
+_NO_NAMES = [
+    "Visual Studio Code crashed", "Apache Spark failed with OOM", "New York and San Francisco", "from Los Angeles (office)", "Pull Request approved by Code Owners", "Google Cloud Storage",
+    "Monday Morning standup", "Kubernetes Cluster has failed", "Ask Platform Team (slack)", "contact Customer Support", "Ask Data Engineering", "deployed to Amazon Web Services",
+    "use Big Query with Power BI", "Microsoft Teams said", "Golden Gate Bridge", "Error Handling was added", "United States and Great Britain", "ask Red Hat", "Chrome Browser confirmed",
+    "From Jenkins Pipeline (CI)", "Oracle Database wrote", "by Stack Overflow", "North Korea said", "Hash Join took 3 ms; Rose Tree", "Die Abfrage Ergebnis", "thanks to Open Source",
+    "IBAN DE89 3704 0044 0532 0130 00", "iban GB00 WEST 1234 5698 7654 32", "ssn 000-00-0000", "card 4111 1111 1111 1111", "pay with 5500 0055 5555 5559 or 378282246310005",
+]
+
+
+def test_what_is_no_person():
+    wrong = [t for t in _NO_NAMES if _found(t)]
+    assert not wrong, wrong
+
+
+def test_words_weigh_by_their_spelling():
+    assert word_weight("the") < word_weight("Release") < word_weight("Wexardo") < word_weight("Kevin")
+
+
+def test_time_grows_with_the_text_only():
+    for text in ("x" + "." * 10_000, "a" + " ." * 5_000, "A. " * 10_000, "Aa " * 10_000, "Aa-" * 10_000, "1 " * 10_000, "a.b" * 5_000 + " (", "x at " + "a dot " * 5_000, "a (at) " * 3_000, "contents " + ". " * 17 + "(at"):
+        began = time.perf_counter()
+        find_mentions(text)
+        assert time.perf_counter() - began < 1.0, text[:20]
+    began = time.perf_counter()
+    find_mentions("contents" + "." * 10_000 + "7")
+    assert time.perf_counter() - began < 0.1
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -74,6 +113,8 @@ def test_look_alikes(text):
 def test_check_digits():
     assert luhn("4111111111111111") and not luhn("4111111111111112")
     assert mod97("DE89370400440532013000") and not mod97("DE88370400440532013000")
+    assert tax_digit("86095742719") and not tax_digit("86095742718") and not tax_digit("06095742719")
+    assert ssn_range("123456789") > 0 > ssn_range("666456789") > ssn_range("123006789") > ssn_range("000456789")
     assert dni_letter("12345678Z") and dni_letter("X1234567L") and not dni_letter("12345678A")
 
 
