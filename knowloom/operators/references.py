@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowloom.runtime import BROADCAST_ROWS, cut, filled, release, salted_join
+from knowloom.runtime import BROADCAST_BYTES, cut, filled, measured_bytes, release, salted_join
 
 #: monotonically_increasing_id() keeps the partition above this bit and counts up within it.
 _BLOCK_BITS = 33
@@ -56,7 +56,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str]) -> D
     codes = key_codes(whole(parents), whole(refs), keys)
     lost = cut(orphan_keys(codes, keys), "orphans")
     release(codes)
-    if lost.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if measured_bytes(lost) <= BROADCAST_BYTES:
         return refs.join(F.broadcast(lost), keys, "left_semi")
     return salted_join(whole(refs), lost, keys, "left_semi")
 

@@ -15,8 +15,10 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows that may be handed to an explicit broadcast after they were counted.
+#: Bytes that may be handed to an explicit broadcast after they were measured.
+BROADCAST_BYTES = 32 << 20
 BROADCAST_ROWS = 100_000
 #: Ways into which a hot key is split.
 SALT_WAYS = 16
@@ -67,6 +69,11 @@ def _remove_tree(path: str) -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new name below the application's part of the shared folder."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -74,9 +81,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     reads it twice does not compute it twice.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    return read_cut(spark, path, df.schema)
+
+
+def read_cut(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table written below the shared folder, such that :func:`release` can delete it."""
+    back = spark.read.schema(schema).parquet(path)
     back._knowloom_path = path
     return back
 
@@ -102,9 +114,17 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
     return counts.where(F.col("_n") * share > total).select(*keys)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count, which stops beyond the bound, shows that it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take in memory: 16 for each row and field, and those of its texts, binaries and arrays."""
+    sized = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    sized += [F.size(f.name) * 16 for f in df.schema.fields if f.dataType.typeName() == "array"]
+    each = sum((F.coalesce(c, F.lit(0)) for c in sized), F.lit(16 * (len(df.columns) + 1)))
+    return df.agg(F.sum(each.cast("bigint")).alias("bytes")).first()["bytes"] or 0  # one row
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it takes at most ``most`` bytes, as it stands beyond: the same join shuffles then. Reads ``df`` once, so hand in a written table."""
+    return F.broadcast(df) if measured_bytes(df) <= most else df
 
 
 def _is_map(df: DataFrame, name: str) -> bool:
