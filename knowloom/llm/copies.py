@@ -1,8 +1,9 @@
 """Duplicates hidden by formatting differences.
 
-Records get a canonical digest that formatting does not reach. Every partition notes in two Bloom filters
-which digests it saw once and which repeatedly; the filters merge block by block, and only records that the
-merged filter of repeats admits are shuffled and grouped exactly. All others are singletons without a shuffle.
+Records get a canonical digest that formatting does not reach. The hashes of the digests fall into as many ranges as
+filters of a fixed size need, and each range is one pass: every partition notes in two Bloom filters which digests it saw
+once and which repeatedly; the filters merge block by block, and the merged filter of repeats marks the records that may
+have a copy. Only those are shuffled and grouped exactly. All others are singletons without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from knowloom.runtime import cut, salted_join
+from knowloom.runtime import cut, read_cut, release, salted_join, shared_path
 
-#: Bits of the filter for each record, and the most bits in all (32 MB, the bound of what is broadcast).
-#: Beyond that bound more singletons take the exact way; the result does not change.
-BITS_PER_RECORD, MOST_BITS = 16, 1 << 28
+#: Bits of the filter for each record, and of one pass's filter (32 MB, the bound of what is broadcast at once). More records take more passes.
+BITS_PER_RECORD, PASS_BITS = 16, 1 << 28
 _HASHES = 4
 _BLOCK = 1 << 13  # bytes
 #: Where a new ``label: value`` part may begin; group 2 is the label with its colon.
@@ -106,11 +107,39 @@ def repeat_filter(digests: DataFrame, bits: int) -> np.ndarray:
     return whole
 
 
-def filter_bits(rows: int) -> int:
-    return min(MOST_BITS, max(8 * _BLOCK, 1 << (rows * BITS_PER_RECORD - 1).bit_length() if rows else 0))
+def passes_and_bits(rows: int, pass_bits: int = PASS_BITS) -> tuple[int, int]:
+    """How many ranges of hashes a number of records takes, and the bits of each range's filter: a power of two, BITS_PER_RECORD a record at least."""
+    ranges = max(1, -(-rows * BITS_PER_RECORD // pass_bits))
+    each = -(-rows // ranges) * BITS_PER_RECORD
+    return ranges, max(8 * _BLOCK, 1 << (each - 1).bit_length() if each else 0)
 
 
-def copy_groups(records: DataFrame, scope: str = "project_id", key: str = "id", fields: tuple[str, ...] = ("what", "why")) -> DataFrame:
+def mark_repeats(digests: DataFrame, pass_bits: int = PASS_BITS) -> DataFrame:
+    """(key, digest, again): whether a record may have a copy; false is certain. One pass over each range of hashes, read from a folder of its own."""
+    spark = digests.sparkSession
+    ranges, bits = passes_and_bits(digests.count(), pass_bits)
+    by_range, marked = shared_path(spark, "ranges"), shared_path(spark, "marked")
+    # the range comes from other bits of the hash than the place in the filter
+    digests.withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges)).cast("int")).write.partitionBy("range").parquet(by_range)
+    schema = T.StructType([*digests.schema.fields, T.StructField("range", T.IntegerType())])
+    for k in range(ranges):
+        part = spark.read.schema(schema).parquet(by_range).where(F.col("range") == k).drop("range")
+        seen = spark.sparkContext.broadcast(repeat_filter(part, bits))
+
+        def maybe(batches: Iterator[pd.DataFrame], seen=seen) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            for b in batches:
+                again = _has(seen.value, _positions(b.pop("h").to_numpy(), bits)).astype(bool)
+                yield b.assign(again=again)
+
+        kind = digests.schema["key"].dataType.simpleString()
+        part.select("key", "digest", "h").mapInPandas(maybe, f"key {kind}, digest binary, again boolean").write.mode("append").parquet(marked)
+        seen.destroy()
+    out = read_cut(spark, marked, T.StructType([digests.schema["key"], digests.schema["digest"], T.StructField("again", T.BooleanType())]))
+    release(read_cut(spark, by_range, schema))
+    return out
+
+
+def copy_groups(records: DataFrame, scope: str = "project_id", key: str = "id", fields: tuple[str, ...] = ("what", "why"), pass_bits: int = PASS_BITS) -> DataFrame:
     """(key, group_id, n_copies) for every record: group_id is the least key among its copies, itself for a singleton.
 
     Copies agree in ``scope`` and, but for formatting, in ``fields`` (see :func:`canonical_field`; the fields may
@@ -119,14 +148,8 @@ def copy_groups(records: DataFrame, scope: str = "project_id", key: str = "id",
     An empty table gives an empty result; extra columns are not looked at.
     """
     digests = cut(canonical_digests(records, scope, key, list(fields)), "digests")
-    bits = filter_bits(digests.count())
-    seen = digests.sparkSession.sparkContext.broadcast(repeat_filter(digests, bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(_has(seen.value, _positions(h.to_numpy(), bits)).astype(bool))
-
-    marked = digests.withColumn("again", maybe("h"))
+    marked = mark_repeats(digests, pass_bits)
+    release(digests)
     repeats = marked.where("again").select("key", "digest")
     groups = repeats.groupBy("digest").agg(F.min("key").alias("group_id"), F.count(F.lit(1)).alias("n_copies"))
     exact = salted_join(repeats, groups, ["digest"]).select("key", "group_id", "n_copies")

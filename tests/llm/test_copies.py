@@ -1,8 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from knowloom.llm import copies
-from knowloom.llm.copies import _has, _positions, _set, canonical_field, copy_groups, filter_bits
+from knowloom.llm.copies import PASS_BITS, _has, _positions, _set, canonical_field, copy_groups, passes_and_bits
 from knowloom.tables import MEMORIES
 
 
@@ -44,16 +43,22 @@ def test_hot_group_and_long_text(spark):
     assert {r.n_copies for r in got if int(r.key) % 3 == 0} == {1000} and {r.n_copies for r in got if int(r.key) % 3} == {1}
 
 
-def test_a_full_filter_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(copies, "filter_bits", lambda rows: 1 << 16)
+def test_several_passes_change_nothing(spark):
     df = spark.range(0, 60_000).selectExpr("cast(id AS string) AS id", "'p' AS project_id", "concat('t', id % 50000) AS what", "'w' AS why").repartition(5)
-    got = copy_groups(df)
+    assert passes_and_bits(60_000, 1 << 18)[0] == 4
+    got = copy_groups(df, pass_bits=1 << 18)
     assert got.count() == 60_000 and got.where("n_copies = 2").count() == 20_000 and got.where("n_copies = 1").count() == 40_000
 
 
+def test_filters_keep_their_bits_a_record_at_any_size():
+    for rows in (0, 1, 5_000, 16_777_216, 16_777_217, 10**9, 10**11):
+        ranges, bits = passes_and_bits(rows)
+        assert bits & (bits - 1) == 0 and bits <= PASS_BITS and ranges * bits >= 16 * rows
+
+
 def test_filter_has_no_false_negative():
     h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
-    bits = filter_bits(len(h))
+    bits = passes_and_bits(len(h))[1]
     f = np.zeros(bits // 8, np.uint8)
     _set(f, _positions(h, bits))
     assert _has(f, _positions(h, bits)).all()
