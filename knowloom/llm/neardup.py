@@ -20,13 +20,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowloom.runtime import BROADCAST_ROWS, cut, release, salted_join
+from knowloom.runtime import broadcast_if_small, cut, release, salted_join
 
-#: Differences that a part may hide (s above): more gives longer keys, and so smaller buckets, in more tables.
+#: Differences that a part may hide (s above), a parameter of :func:`near_classes`: more gives longer keys, and so smaller
+#: buckets, in more tables. Every value finds all pairs; 2 or 3 suit scopes of many millions of sets.
 PART_RADIUS = 1
-#: A larger radius a part is worth its tables beyond so many sets.
-RADIUS_STEPS = (500_000, 5_000_000, 100_000_000)
-#: A bucket of more sets is not compared in the task that gathered it but dealt out block against block.
+#: A task compares the keys of one way; there are as many ways as keep each at about so many bytes, KEY_BYTES a key.
+WAY_BYTES, KEY_BYTES = 64 << 20, 24
+#: A bucket of more sets is not compared in the task that gathered it but dealt out block against block, so that a task's work is bounded.
 MOST_BUCKET, DEALT_BLOCK = 1 << 14, 1 << 13
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 20  # words whose hash a worker remembers
@@ -35,11 +36,6 @@ _BLOCK = 1 << 11  # rows and columns of a bucket compared at once
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def part_radius(sets: int) -> int:
-    """The radius of a part for a number of sets. Every choice finds all pairs; this one keeps buckets small."""
-    return PART_RADIUS + sum(sets > n for n in RADIUS_STEPS)
-
-
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A well mixed 64-bit hash of 64-bit numbers."""
     with np.errstate(over="ignore"):
@@ -95,6 +91,22 @@ def most_differences(t: float, n: int | np.ndarray, m: int | np.ndarray) -> np.n
     return np.floor((1 - t) / (1 + t) * (np.asarray(n) + m) + 1e-9)
 
 
+def key_counts(sizes: np.ndarray, t: float, s: int) -> np.ndarray:
+    """How many keys :func:`table_keys` gives a set of each size."""
+    out = np.zeros(len(sizes), np.int64)
+    for _, low, high, top in size_bands(t, int(sizes.max(initial=0))):
+        out[(sizes >= low) & (sizes <= top)] += (int(most_differences(t, high - 1, top)) // (s + 1) + 1) * ((1 << (s + 1)) - 1)
+    return out
+
+
+def count_ways(sets: DataFrame, t: float, s: int, way_bytes: int = WAY_BYTES) -> int:
+    """The number of ways for all keys of ``sets``, from the histogram of their sizes: one row a size comes to the driver."""
+    rows = sets.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()
+    sizes, counts = np.array([r["n"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64)
+    total = int((key_counts(sizes, t, s) * counts).sum()) * KEY_BYTES
+    return max(sets.sparkSession.sparkContext.defaultParallelism, -(-total // way_bytes))
+
+
 def table_keys(words: np.ndarray, sizes: np.ndarray, scopes: np.ndarray, t: float, s: int = PART_RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tables for a batch of sets: (keys, index of the set). words: hashes of all sets in turn; scopes: a hash for each set."""
     keys, owner = [], []
@@ -273,13 +285,13 @@ def _compare_blocks(blocks: DataFrame, t: float) -> DataFrame:
     return blocks.mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
-def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS) -> DataFrame:
+def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS, way_bytes: int = WAY_BYTES) -> DataFrame:
     """Distinct pairs (a, b) of rids, a < b, that share a key in some table and that the parity bits do not rule out.
 
     A task compares the buckets of its range of keys; the members of a bucket too large for that are dealt out in
     blocks, and every pair of blocks is a row of its own for the whole cluster.
     """
-    ways = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ways = count_ways(sets, t, s, way_bytes)
     most, size = MOST_BUCKET, DEALT_BLOCK
 
     def run(table: pa.Table) -> pa.Table:
@@ -314,7 +326,7 @@ def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS) -> DataFram
         b = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(left), np.int64)]))
         return pa.table({"a": a, "b": b, "left": pa.array(none + left, pa.binary()), "right": pa.array(none + right, pa.binary())})
 
-    found = cut(_deal(sets, t, s, ways).groupBy("way").applyInArrow(run, "a bigint, b bigint, left binary, right binary"), "compared")
+    found = cut(_deal(sets, t, s, ways).repartition(ways, "way").groupBy("way").applyInArrow(run, "a bigint, b bigint, left binary, right binary"), "compared")
     dealt = found.where("left IS NOT NULL").select("left", "right").repartition(ways)
     return found.where("left IS NULL").select("a", "b").unionByName(_compare_blocks(dealt, t)).distinct()
 
@@ -324,7 +336,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def near_classes(records: DataFrame, scope: str = "project_id", key: str = "id", fields: tuple[str, ...] = ("what", "why", "learned"), t: float = 0.7, s: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_classes(records: DataFrame, scope: str = "project_id", key: str = "id", fields: tuple[str, ...] = ("what", "why", "learned"), t: float = 0.7, s: int = PART_RADIUS) -> tuple[DataFrame, DataFrame]:
     """All pairs of records of one scope whose word sets have a Jaccard similarity of at least ``t``, without repeating copies.
 
     Returns (members, pairs). members: (key, class_id), every record with the least key of those that have the same
@@ -337,19 +349,16 @@ def near_classes(records: DataFrame, scope: str = "project_id", key: str = "id",
     named = worded.groupBy("scope", "digest").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("_n"))
     copies = cut(salted_join(worded.select("key", "scope", "digest"), named.where("_n > 1").drop("_n"), ["scope", "digest"]).select("key", "class_id"), "copies")
     again = copies.where("key <> class_id").select("key")
-    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    single = worded.join(F.broadcast(again) if few else again, "key", "left_anti")
-    found = cut(candidate_pairs(single, t, part_radius(sets.count()) if s is None else s), "candidates")
-    ends = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    needed = sets.join(ends, "rid", "left_semi")
+    single = worded.join(broadcast_if_small(again), "key", "left_anti")
+    found = cut(candidate_pairs(single, t, s), "candidates")
+    ends = cut(found.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ends")
+    needed = sets.join(broadcast_if_small(ends), "rid", "left_semi")
     side = lambda x: needed.select(F.col("rid").alias(x), F.col("key").alias(f"{x}_key"), F.col("scope").alias(f"{x}_scope"), F.col("words").alias(f"{x}_words"))
     both = found.join(side("a"), "a").join(side("b"), "b").where("a_scope = b_scope").withColumn("similarity", jaccard(F.col("a_words"), F.col("b_words")))
     pairs = both.where(F.col("similarity") >= t).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), "similarity")
     pairs = cut(pairs, "pairs")
     members = cut(sets.select("key").join(copies, "key", "left").select("key", F.coalesce("class_id", "key").alias("class_id")), "members")
-    release(sets, copies, found)
+    release(sets, copies, found, ends)
     return members, pairs
 
 

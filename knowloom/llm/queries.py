@@ -168,8 +168,21 @@ s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM w a JOIN w b ON a.wo
 SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / (x.n + y.n - k) >= 0.7
 """
 
+_P5_GROUPS = r"""
+WITH RECURSIVE m AS (SELECT id, project_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', what, why, learned)), '[\p{L}\p{N}]+'))) AS words FROM memories),
+c AS (SELECT id, project_id, words, CASE WHEN len(words) = 0 THEN id ELSE min(id) OVER (PARTITION BY project_id, words) END AS class_id FROM m),
+w AS (SELECT class_id, project_id, unnest(words) AS word FROM c WHERE id = class_id),
+n AS (SELECT class_id, len(words) AS n FROM c WHERE id = class_id),
+s AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS k FROM w a JOIN w b ON a.word = b.word AND a.project_id = b.project_id AND a.class_id <> b.class_id GROUP BY ALL),
+e AS (SELECT x, y FROM s JOIN n u ON u.class_id = x JOIN n v ON v.class_id = y WHERE k / (u.n + v.n - k) >= 0.7),
+reach(v, w) AS (SELECT class_id, class_id FROM n UNION SELECT r.v, e.y FROM reach r JOIN e ON r.w = e.x),
+g AS (SELECT v, min(w) AS group_id FROM reach GROUP BY v), l AS (SELECT x, count(*) AS k FROM e GROUP BY x)
+SELECT id, c.class_id, group_id, coalesce(l.k, 0) AS n_links FROM c JOIN g ON g.v = c.class_id LEFT JOIN l ON l.x = c.class_id
+"""
+
 SQL = {
     "p5_found": _P5,
+    "p5_groups": _P5_GROUPS,
     "p1_found": _P1,
     "p3_found": _P3,
     "p4_found": _P4 + "SELECT id AS memory_id, group_id FROM g WHERE n > 1",

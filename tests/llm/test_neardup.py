@@ -101,7 +101,6 @@ def test_buckets_too_large_for_a_task_are_dealt_out(spark, monkeypatch):
 def test_larger_radius_finds_the_same(spark):
     rows = _rows(seed=7, n=60)
     assert {(r.id_a, r.id_b) for r in near_pairs(*near_classes(_frame(spark, rows), s=2)).collect()} == _brute(rows)
-    assert [neardup.part_radius(n) for n in (0, 500_000, 500_001, 10**9)] == [1, 1, 2, 4]
 
 
 def test_large_buckets_go_in_blocks(monkeypatch):
@@ -109,3 +108,15 @@ def test_large_buckets_go_in_blocks(monkeypatch):
     bits = np.zeros((40, 2), np.uint64)
     got = [(min(x, y), max(x, y)) for a, b in bucket_pairs(np.full(40, 5, np.uint64), np.arange(40), np.full(40, 9), bits, 0.7) for x, y in zip(a, b)]
     assert len(got) == len(set(got)) == 40 * 39 // 2
+
+
+def test_ways_follow_the_counted_keys(spark):
+    sizes = np.array([1, 7, 40, 90])
+    keys, owner = table_keys(np.arange(sizes.sum()).astype(np.uint64), sizes, np.zeros(4, np.uint64), 0.7)
+    assert (np.bincount(owner) == neardup.key_counts(sizes, 0.7, 1)).all()
+    rows = _rows(seed=8, n=90)
+    sets = neardup.word_sets(_frame(spark, rows), "project_id", "id", ["what", "why", "learned"]).where("n > 0")
+    few, many = (neardup.count_ways(sets, 0.7, 1, b) for b in (1 << 30, 1 << 13))
+    assert few == spark.sparkContext.defaultParallelism < many
+    pairs = lambda w: sorted((r.a, r.b) for r in neardup.candidate_pairs(sets, 0.7, 1, w).collect())
+    assert pairs(1 << 30) == pairs(1 << 13)
