@@ -2,7 +2,9 @@
 
 Smoothed unigram language models, one for each level and language, trained on the readers' labels; a document gets the
 level of the highest posterior. Besides words the models count two kinds of shape tokens, the length
-class of each sentence and of each word, which carry over to words the labels never showed.
+class of each sentence and of each word, which carry over to words the labels never showed. Words are hashed to a fixed
+number of buckets, so that no word is left out and the model has a bound. Languages are learned as well, from what the labelled
+documents declare; a wrong declaration is outvoted by the words.
 """
 
 from __future__ import annotations
@@ -14,45 +16,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowloom.runtime import cut
+from knowloom.runtime import cut, release
 
 LEVELS = (1, 2, 3, 4, 5)
-#: Bounds of the training: labelled documents used (by hash order of doc_id beyond it) and entries of the vocabulary (the most frequent).
-MOST_LABELLED, MOST_WORDS = 20_000, 100_000
+#: Bound of the training: labelled documents used (by hash order of doc_id beyond it).
+MOST_LABELLED = 20_000
+#: Buckets that words are hashed to, a power of two: the bound of a model's entries for a language.
+WORD_BUCKETS = 1 << 18
 #: Texts below this many characters get no level.
 LEAST_CHARS = 400
-#: Pseudo-counts of the smoothing: words towards their language, shapes towards their level in all languages.
-WORD_PRIOR, SHAPE_PRIOR = 2000.0, 200.0
+#: Pseudo-counts of the smoothing: words towards their language, shapes towards their level in all languages, words towards all languages.
+WORD_PRIOR, SHAPE_PRIOR, LANGUAGE_PRIOR = 2000.0, 200.0, 500.0
+#: A language needs this share of the labelled documents to have a model of its own; others, and none, are the rest.
+LEAST_SHARE, REST = 0.005, "other"
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
-# Frequent function words by which a text's language is told.
-FUNCTION_WORDS = {
-    "de": frozenset("als am auf aus bei das dass dem den der des die durch ein eine für im in ist mit nicht ohne und von war zu".split()),
-    "en": frozenset("a after and are as at by for from has in is it of on that the this to was when which with".split()),
-    "es": frozenset("al como con cuando de del el en es la las los para pero por que se según sin su un una y".split()),
-}
-
-
-def features(text: str) -> tuple[str, Counter]:
-    """(language, counts of the tokens): words in lower case, ``<s..>`` for sentence and ``<w..>`` for word lengths."""
-    counts = Counter(_WORD.findall(text.lower()))
-    hits = {g: sum(map(counts.__getitem__, words)) for g, words in FUNCTION_WORDS.items()}
-    lang = max(sorted(hits), key=hits.get)
-    if not hits[lang]:
-        lang = "other"
+_bucket_of: dict[str, str] = {}
+
+
+def bucket(word: str) -> str:
+    """The bucket of a word, as text; remembered for the words a worker met lately."""
+    found = _bucket_of.get(word)
+    if found is None:
+        if len(_bucket_of) > 1 << 20:
+            _bucket_of.clear()
+        found = _bucket_of[word] = str(xxhash.xxh3_64_intdigest(word) % WORD_BUCKETS)
+    return found
+
+
+def features(text: str) -> Counter:
+    """Counts of the tokens of a text: the buckets of its words in lower case, ``<s..>`` for sentence and ``<w..>`` for word lengths."""
+    counts: Counter = Counter()
     lengths: Counter = Counter()
-    for word, n in counts.items():
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        counts[bucket(word)] += n
         lengths[min(20, len(word))] += n
     for k, n in lengths.items():
         counts[f"<w{k}>"] = n
     for k, n in Counter(min(12, int(2 * math.log2(1 + len(s.split())))) for s in _SENTENCE.split(text)).items():
         if k:
             counts[f"<s{k}>"] = n
-    return lang, counts
+    return counts
+
+
+class LanguageModel:
+    """Which of the declared languages the words of a text speak for."""
+
+    def __init__(self, counts: list[tuple[str, str, float]]) -> None:
+        by: dict[str, Counter] = defaultdict(Counter)
+        for lang, token, n in counts:
+            by[lang][token] += n
+        self.names = sorted(by)
+        whole: Counter = Counter()
+        for c in by.values():
+            whole.update(c)
+        total = sum(whole.values()) or 1.0
+        sums = [sum(by[g].values()) for g in self.names]
+        self.logs = {t: np.array([math.log((by[g][t] + LANGUAGE_PRIOR * n / total) / (z + LANGUAGE_PRIOR)) for g, z in zip(self.names, sums)]) for t, n in whole.items()}
+
+    def guess(self, counts: Counter) -> str:
+        rows = [(self.logs[t], n) for t, n in counts.items() if t in self.logs]
+        if not rows:
+            return REST
+        return self.names[int(np.argmax(sum(np.log1p(n) * r for r, n in rows)))]
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -63,15 +94,42 @@ def labelled(labels: DataFrame) -> DataFrame:
     return by_level.join(F.broadcast(bounded), "doc_id").select("doc_id", "level", (F.col("n") / F.col("all")).alias("weight"))
 
 
-def training_counts(documents: DataFrame, votes: DataFrame) -> DataFrame:
-    """(lang, level, token, n): weighted token counts of the labelled documents, and under the token null their number."""
+def declared_language(documents: DataFrame) -> Column:
+    """The first two letters of what a document declares as its language, null where there is nothing."""
+    if "lang" not in documents.columns:
+        return F.lit(None).cast("string")
+    return F.nullif(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit(""))
+
+
+def language_model(texts: DataFrame) -> LanguageModel:
+    """The model of the languages that ``texts`` (text, lang) declare. At most WORD_BUCKETS rows for each of at most 1 / LEAST_SHARE languages come to the driver."""
+    share = F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(Window.partitionBy())
+    common = [r["lang"] for r in texts.groupBy("lang").agg(share.alias("share")).where((F.col("share") >= LEAST_SHARE) & F.col("lang").isNotNull()).collect()]
+    if not common:
+        return LanguageModel([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, Counter] = defaultdict(Counter)
+        for b in batches:
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+                sums[lang].update({t: math.log1p(n) for t, n in features(text).items() if t[0] != "<"})
+        for lang, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["lang", "token", "n"])
+
+    rows = texts.where(F.col("lang").isin(common)).select("text", "lang").mapInArrow(run, "lang string, token string, n double").groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    return LanguageModel(sorted((r["lang"], r["token"], r["n"]) for r in rows.collect()))
+
+
+def training_counts(texts: DataFrame, languages: LanguageModel) -> DataFrame:
+    """(lang, level, token, n): weighted token counts of the labelled ``texts`` (text, level, weight), and under the token null their number."""
+    told = texts.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], Counter] = defaultdict(Counter)
         for b in batches:
             for text, level, weight in zip(b.column("text").to_pylist(), b.column("level").to_pylist(), b.column("weight").to_pylist()):
-                lang, counts = features(text)
-                into = sums[lang, level]
+                counts = features(text)
+                into = sums[told.value.guess(counts), level]
                 for token, n in counts.items():
                     into[token] += n * weight
                 into[None] += weight
@@ -82,15 +140,14 @@ def training_counts(documents: DataFrame, votes: DataFrame) -> DataFrame:
                 ["lang", "level", "token", "n"],
             )
 
-    votes = F.broadcast(votes)  # at most a row for each level of MOST_LABELLED documents
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(votes, "doc_id").select("text", F.col("level").cast("int").alias("level"), "weight")
-    return texts.mapInArrow(run, "lang string, level int, token string, n double").groupBy("lang", "level", "token").agg(F.sum("n").alias("n"))
+    return texts.select("text", "level", "weight").mapInArrow(run, "lang string, level int, token string, n double").groupBy("lang", "level", "token").agg(F.sum("n").alias("n"))
 
 
 class LevelModel:
     """Log-likelihoods of tokens by language and level."""
 
-    def __init__(self, counts: list[tuple[str, int, str | None, float]]) -> None:
+    def __init__(self, counts: list[tuple[str, int, str | None, float]], languages: LanguageModel | None = None) -> None:
+        self.languages = languages or LanguageModel([])
         by: dict[str, dict[str, np.ndarray]] = defaultdict(dict)
         prior: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(5))
         for lang, level, token, n in counts:
@@ -127,7 +184,8 @@ class LevelModel:
 
     def level(self, text: str) -> int:
         """The level of the highest posterior; of equal ones the easiest. A language without labels is judged by shapes alone."""
-        lang, counts = features(text)
+        counts = features(text)
+        lang = self.languages.guess(counts)
         known = self.tokens.get(lang, self.shapes)
         score = self.prior.get(lang, self.any_prior).copy()
         rows = [(known[t], n) for t, n in counts.items() if t in known]
@@ -138,18 +196,21 @@ class LevelModel:
 
 def train(documents: DataFrame, labels: DataFrame) -> LevelModel:
     """The model of the labelled documents; without labels every text gets level 1, the first of equal posteriors."""
-    counts = cut(training_counts(documents, labelled(labels)), "counts")
-    frequent = counts.where("token IS NOT NULL").groupBy("lang", "token").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang", "token").limit(MOST_WORDS)
-    kept = counts.join(F.broadcast(frequent.select("lang", "token")), ["lang", "token"])
-    rows = [(r["lang"], r["level"], r["token"], r["n"]) for r in kept.select("lang", "level", "token", "n").unionByName(counts.where("token IS NULL")).collect()]
-    return LevelModel(sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3])))
+    votes = F.broadcast(labelled(labels))  # at most a row for each level of MOST_LABELLED documents
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text", declared_language(documents).alias("lang")).join(votes, "doc_id")
+    texts = cut(texts.select("doc_id", "text", "lang", F.col("level").cast("int").alias("level"), "weight"), "labelled")
+    languages = language_model(texts.dropDuplicates(["doc_id"]))
+    counts = training_counts(texts, languages)
+    rows = [(r["lang"], r["level"], r["token"], r["n"]) for r in counts.collect()]  # buckets and shapes by level and language
+    release(texts)
+    return LevelModel(sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3])), languages)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, level) for every document of at least LEAST_CHARS characters, counted in the text, read whole.
 
     Labels: (doc_id, rater, level). Null and shorter texts and null doc_ids have no row; labels of unknown documents
-    are ignored; repeated documents give repeated rows. What is broadcast is the model, bounded by MOST_WORDS.
+    are ignored; repeated documents give repeated rows. What is broadcast is the model, bounded by WORD_BUCKETS.
     """
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from knowloom.llm.reading import LevelModel, features, labelled, level_profile, reading_levels, train
+from knowloom.llm.reading import LanguageModel, LevelModel, bucket, features, labelled, level_profile, reading_levels, train
 
 DOCS = "doc_id bigint, text string, source string"
 LABELS = "doc_id bigint, rater string, level int"
@@ -48,9 +48,22 @@ def test_votes_share_one_weight_and_bad_labels_are_dropped(spark):
 
 
 def test_features_and_languages():
-    lang, c = features("Die Katze und der Hund. Der Hund ist da!\nJa")
-    assert lang == "de" and c["hund"] == 2 and c["<w3>"] == 5 and sum(n for t, n in c.items() if t.startswith("<s")) == 3
-    assert features("xyz qqq")[0] == "other" and features("")[0] == "other"
+    c = features("Die Katze und der Hund. Der Hund ist da!\nJa")
+    assert c[bucket("hund")] == 2 and c["<w3>"] == 5 and sum(n for t, n in c.items() if t.startswith("<s")) == 3
+    told = [("de", "die katze und der hund"), ("de", "der tag und die nacht"), ("en", "the cat and the dog"), ("en", "a day and the night"), ("en", "der hund und die katze")] * 3
+    m = LanguageModel([(g, t, float(n)) for g, x in told for t, n in features(x).items() if t[0] != "<"])
+    assert m.guess(features("die nacht und der tag")) == "de" and m.guess(features("the night and a cat")) == "en"
+    assert m.guess(features("xyz qqq")) == "other" and LanguageModel([]).guess(features("der tag")) == "other" and not features("")
+
+
+def test_languages_are_learned_from_what_documents_declare(spark):
+    docs = _corpus(200, seed=4)
+    lang = lambda i, t: None if i % 7 == 0 else ("DE-de" if "katze" in t.lower() or "hund" in t.lower() else " en") if i % 11 else "en"
+    df = spark.createDataFrame([(i, t, s, lang(i, t)) for i, t, s, _ in docs], DOCS + ", lang string")
+    m = train(df, spark.createDataFrame([(i, "a", lv) for i, _, _, lv in docs], LABELS))
+    assert m.languages.names == ["de", "en"] and set(m.tokens) <= {"de", "en", "other"}
+    german = [t for _, t, _, _ in docs if "katze" in t.lower() and "hund" in t.lower()]
+    assert sum(m.languages.guess(features(t)) == "de" for t in german) >= 0.95 * len(german)
 
 
 def test_rates_are_distributions():
@@ -64,4 +77,4 @@ def test_rates_are_distributions():
 def test_training_covers_whole_texts(spark):
     docs = spark.createDataFrame([(1, "easy " * 20_000 + "rare", "s"), (2, "hard " * 20_000 + "last", "s")], DOCS)
     model = train(docs, spark.createDataFrame([(1, "a", 1), (2, "a", 5)], LABELS))
-    assert {"rare", "last"} <= set(model.tokens["other"])
+    assert {bucket("rare"), bucket("last")} <= set(model.tokens["other"])
