@@ -131,14 +131,14 @@ def _is_map(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in ("map", "variant")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", ways: int = SALT_WAYS) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", ways: int = SALT_WAYS, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``big`` with ``small`` in which the hot keys of ``big`` are spread over ``ways`` partitions.
 
     ``small`` is expected to be unique by ``keys`` (or nearly so); only its rows of hot keys are repeated,
-    ``ways`` times. The set of hot keys is bounded by :func:`hot_keys`, so it is safe to broadcast.
+    ``ways`` times. The set of hot keys is bounded by :func:`hot_keys`, so it is safe to broadcast; ``hot`` gives it where it is known already.
     Works for inner, left, left_semi and left_anti with ``big`` on the left. Null keys never match, as in SQL.
     """
-    hot = hot_keys(big, keys).withColumn("_hot", F.lit(True))
+    hot = (hot_keys(big, keys) if hot is None else hot.select(*keys)).withColumn("_hot", F.lit(True))
     # from the row itself, so that a repeated task sends each row the same way
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if not _is_map(big, c)]), F.lit(ways)).cast("int")).otherwise(F.lit(0))
     left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
