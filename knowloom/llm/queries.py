@@ -12,7 +12,7 @@ from knowloom.llm.neardup import near_classes, near_groups, near_pairs
 from knowloom.llm.packing import fill_report, pack
 from knowloom.llm.pii import mentions, redacted, text_fields
 from knowloom.llm.reading import level_profile, reading_levels
-from knowloom.llm.survivorship import OPTIONAL_FIELDS, STAND_INS, best_members, memory_claims, truth_model
+from knowloom.llm.survivorship import OPTIONAL_FIELDS, STAND_INS, best_members, memory_claims, surviving_records, truth_model
 from knowloom.llm.tokens import sized
 from knowloom.runtime import cut
 from knowloom.tables import table
@@ -44,6 +44,11 @@ def p3_truth(spark: SparkSession, d: str) -> DataFrame:
     return truth_model(memory_claims(table(spark, d, "memories")))
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """The strict choice of each field with its posterior, and the other values that the model retains."""
+    return surviving_records(table(spark, d, "memories"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copy_groups(table(spark, d, "memories")).where("n_copies > 1").select(F.col("key").alias("memory_id"), "group_id")
 
@@ -104,6 +109,7 @@ QUERIES = {
     "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_truth": p3_truth,
+    "p3_records": p3_records,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p5_found": p5_found,

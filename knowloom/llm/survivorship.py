@@ -2,6 +2,7 @@
 
 Two ways to a surviving record. :func:`best_members` ranks whole members and fills each optional field from the
 best member that has it. :func:`truth_model` infers from all members which of several conflicting values are true.
+:func:`surviving_records` joins both: what the order chooses, with its posterior, and every other value judged true.
 """
 
 from __future__ import annotations
@@ -112,3 +113,25 @@ def truth_model(claims: DataFrame, rounds: int = 8, prior: float = 0.5, threshol
         belief = newer
     out = facts.join(belief, ["cell", "fact"])
     return out.select(*names, "value", F.round("p", 6).alias("probability"), (F.col("p") >= threshold).alias("retained"), "n_sources")
+
+
+def surviving_records(memories: DataFrame, fields: tuple[str, ...] = OPTIONAL_FIELDS[1:], **model: float) -> DataFrame:
+    """(project_id, topic_key, field_name, value, memory_id, chosen, probability, retained, n_sources): the values of each surviving record.
+
+    A row is chosen if the order of :func:`best_members` takes it, then with the member it comes from, and retained if
+    :func:`truth_model` judges it true; values that are neither have no row. Values compare without outer blanks. Ties, nulls, repeated
+    rows and empty tables are as there. One row a value, so a field may keep any number of them.
+    """
+    names = ["project_id", "topic_key", "field_name"]
+    cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(is_filled(F.col(f)), F.trim(F.col(f))).alias("value")) for f in fields])
+    said = live_groups(memories).select(F.col("id").alias("memory_id"), F.explode(cells).alias("c")).select("memory_id", "c.*").where("value IS NOT NULL")
+    best = best_members(memories, fields).where("field_name <> 'record'").join(said.dropDuplicates(["memory_id", "field_name"]), ["memory_id", "field_name"])
+    key = F.md5(F.concat_ws("\x02", *[F.coalesce(n, F.lit("\x03")) for n in [*names, "value"]]))
+    chosen = best.select(key.alias("k"), *names, "value", "memory_id")
+    judged = truth_model(memory_claims(memories, fields), **model).withColumn("k", key)
+    grouped = best.select("project_id", "topic_key").distinct().select(F.md5(F.concat_ws("\x02", F.coalesce("project_id", F.lit("\x03")), "topic_key")).alias("g"))
+    judged = judged.withColumn("g", F.md5(F.concat_ws("\x02", F.coalesce("project_id", F.lit("\x03")), "topic_key"))).join(grouped, "g", "left_semi")
+    both = chosen.select("k", F.struct(*names, "value").alias("a"), "memory_id").join(judged.select("k", F.struct(*names, "value").alias("b"), "probability", "retained", "n_sources"), "k", "full_outer")
+    row = F.coalesce("a", "b")
+    out = both.select(*[row[c].alias(c) for c in [*names, "value"]], "memory_id", F.col("memory_id").isNotNull().alias("chosen"), "probability", F.coalesce("retained", F.lit(False)).alias("retained"), "n_sources")
+    return out.where("chosen OR retained")

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from knowloom.llm.survivorship import best_members, memory_claims, truth_model
+from knowloom.llm.survivorship import best_members, memory_claims, surviving_records, truth_model
 from knowloom.tables import MEMORIES
 
 CLAIMS = "project_id string, topic_key string, field_name string, source string, value string"
@@ -82,3 +82,15 @@ def test_truth_model_nulls_and_empty(spark):
 def test_claims_drop_stand_ins(spark):
     df = spark.createDataFrame([{"id": "a", "project_id": "p", "topic_key": "K", "author": "Ann", "impact": " High ", "git_commit": "?"}], MEMORIES)
     assert {(r.field_name, r.source, r.value) for r in memory_claims(df).collect()} == {("impact", "ann", "High"), ("git_commit", "ann", None), ("errors_faced", "ann", None), ("next_steps", "ann", None)}
+
+
+def test_surviving_records_carry_choice_and_belief(spark):
+    row = lambda i, rev, author, impact, steps=None: {"id": i, "project_id": "p", "topic_key": "t", "revision_count": rev, "author": author, "impact": impact, "next_steps": steps}
+    rows = [row("a", 9, "ann", " odd "), row("b", 5, "bob", "usual"), row("c", 4, "cid", "usual"), row("d", 3, "dan", "usual", "go on"), row("e", 2, "eve", "usual")]
+    rows += [row("f", 1, "ann", "alone") | {"topic_key": "u"}, {"id": "n1", "topic_key": "k", "impact": "x", "author": "q"}, {"id": "n2", "topic_key": "K", "author": "r"}]
+    got = {(r.topic_key, r.field_name, r.value): r for r in surviving_records(spark.createDataFrame(rows, MEMORIES)).collect()}
+    first, usual = got["t", "impact", "odd"], got["t", "impact", "usual"]
+    assert first.chosen and first.memory_id == "a" and not usual.chosen and usual.retained and usual.probability > first.probability and usual.n_sources == 4
+    assert got["t", "next_steps", "go on"].chosen and got["k", "impact", "x"].chosen and got["k", "impact", "x"].project_id is None
+    assert not any(k[0] == "u" for k in got)  # a group of one has no record
+    assert surviving_records(spark.createDataFrame([], MEMORIES)).count() == 0
