@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knowloom.runtime import cut
+from knowloom.runtime import broadcast_if_small, cut
 
 PLAN = T.StructType([T.StructField("container", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("size", "rank_from", "rank_to", "first_bin", "per_bin")])
 
@@ -124,8 +124,10 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]]) -> DataFrame:
     for r in runs.groupBy("container", "size").agg(F.sum("count").alias("count")).collect():
         histogram.setdefault(r["container"], []).append((r["size"], r["count"]))
     plan = [(name, *row) for name, capacity in containers for row in pack_runs(histogram.get(name, []), capacity)]
-    where = F.broadcast(spark.createDataFrame(plan, PLAN))
-    ranked = placed.join(F.broadcast(runs.drop("count")), ["container", "size", "block"]).withColumn("rank", F.col("code") - F.col("first_code") + F.col("before"))
+    # a plan row takes up a size's items or a run of bins, and makes two runs of bins at most: some rows for each size, whatever the number of documents;
+    # runs are at most sizes + blocks a container. Both are measured all the same, and join by a shuffle beyond the bound.
+    where = broadcast_if_small(spark.createDataFrame(plan, PLAN))
+    ranked = placed.join(broadcast_if_small(runs.drop("count")), ["container", "size", "block"]).withColumn("rank", F.col("code") - F.col("first_code") + F.col("before"))
     binned = ranked.join(where, ["container", "size"]).where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     bin_id = F.col("first_bin") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per_bin"))
     return binned.select("container", bin_id.cast("bigint").alias("bin_id"), "doc_id", "piece", F.col("size").alias("n_tokens"))
