@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowloom.runtime import cut, is_empty, release, salted_join
+from knowloom.runtime import SALT_WAYS, cut, hot_keys, is_empty, release, salted_join
 
 #: Mean of a vertex's shift, in hops. Larger: fewer levels, more growing steps in each.
 MEAN_SHIFT = 4.0
@@ -41,21 +41,32 @@ def shifts(vertices: DataFrame, level: int, seed: int) -> DataFrame:
     return vertices.select("v", (-F.least(F.lit(float(MAX_SHIFT)), -F.log(draw) * MEAN_SHIFT)).alias("score"))
 
 
-def grow_clusters(edges: DataFrame, level: int, seed: int) -> DataFrame:
+def hubs(edges: DataFrame) -> DataFrame:
+    """(v): vertices with more than a 200th of all arcs, written; at most 200."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("v"))
+    return cut(hot_keys(ends, ["v"]), "hubs")
+
+
+def grow_clusters(edges: DataFrame, hot: DataFrame, level: int, seed: int) -> DataFrame:
     """(v, center) for every vertex of ``edges``: the center with the least distance minus shift.
 
     No path longer than MAX_SHIFT can win against a vertex's own shift, so that many steps are exact.
     A step sends a vertex's best offer along its arcs, one of which leads back to itself at no cost, and keeps the least
-    offer at each vertex; offers to a hub are merged on the sending side first. All steps form one plan,
-    linear in their number, that shuffles the arcs once.
+    offer at each vertex; offers to a hub are merged on the sending side first, and the arcs of the ``hot`` vertices lie in
+    SALT_WAYS parts, to each of which their offer goes. All steps form one plan, linear in their number, that shuffles the arcs once.
     """
     a, b, hop = F.col("src"), F.col("dst"), F.lit(1.0)
     ends = F.array(F.struct(a.alias("v"), b.alias("to"), hop.alias("cost")), F.struct(b.alias("v"), a.alias("to"), hop.alias("cost")))
     ways = edges.select(F.explode(ends).alias("w")).select("w.*")
-    arcs = cut(ways.unionByName(ways.select("v", F.col("v").alias("to"), F.lit(0.0).alias("cost")).distinct()), "arcs")
+    ways = ways.unionByName(ways.select("v", F.col("v").alias("to"), F.lit(0.0).alias("cost")).distinct())
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("to"), F.lit(SALT_WAYS)).cast("int")).otherwise(F.lit(0))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALT_WAYS - 1))).otherwise(F.array(F.lit(0)))
+    arcs = cut(ways.join(marked, "v", "left").withColumn("part", part).drop("_hot"), "arcs")
     state = shifts(arcs.where("cost = 0"), level, seed).withColumn("center", F.col("v"))
     for _ in range(MAX_SHIFT):
-        sent = arcs.join(state, "v").select(F.col("to").alias("v"), F.struct((F.col("score") + F.col("cost")).alias("score"), "center").alias("offer"))
+        spread = state.join(marked, "v", "left").withColumn("part", F.explode(parts)).drop("_hot")
+        sent = arcs.join(spread, ["v", "part"]).select(F.col("to").alias("v"), F.struct((F.col("score") + F.col("cost")).alias("score"), "center").alias("offer"))
         state = sent.groupBy("v").agg(F.min("offer").alias("best")).select("v", "best.score", "best.center")
     clusters = cut(state.select("v", "center"), "clusters")
     release(arcs)
@@ -73,13 +84,15 @@ def connected_groups(links: DataFrame, seed: int = 17) -> DataFrame:
     edges = cut(links.where(a != b).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct(), "links")
     levels: list[DataFrame] = []
     while not is_empty(edges):
-        at = grow_clusters(edges, len(levels), seed)
+        hot = hubs(edges)
+        at = grow_clusters(edges, hot, len(levels), seed)
         levels.append(at)
         src = at.select(F.col("v").alias("src"), F.col("center").alias("a"))
         dst = at.select(F.col("v").alias("dst"), F.col("center").alias("b"))
-        between = edges.join(src, "src").join(dst, "dst").where(F.col("a") != F.col("b"))
+        between = salted_join(edges, src, ["src"], hot=hot.withColumnRenamed("v", "src"))
+        between = salted_join(between, dst, ["dst"], hot=hot.withColumnRenamed("v", "dst")).where(F.col("a") != F.col("b"))
         smaller = cut(between.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
-        release(edges)
+        release(edges, hot)
         edges = smaller
     if not levels:
         return edges.select(F.col("src").alias("id"), F.col("dst").alias("group_id"))
