@@ -107,11 +107,11 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
-    """Key values that hold more than one ``share``-th of all rows: at most ``share`` of them, by arithmetic."""
+def hot_keys(df: DataFrame, keys: list[str], share: int = 200, least: int = 0) -> DataFrame:
+    """Key values that hold more than one ``share``-th of all rows, and more than ``least``: at most ``share`` of them, by arithmetic."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.where(F.col("_n") * share > total).select(*keys)
+    return counts.where((F.col("_n") * share > total) & (F.col("_n") > least)).select(*keys)
 
 
 def measured_bytes(df: DataFrame) -> int:
