@@ -16,6 +16,8 @@ from knowloom.runtime import SALT_WAYS, cut, hot_keys, is_empty, release, salted
 MEAN_SHIFT = 4.0
 #: Shifts are cut off here, so that a cluster's radius, and with it the number of growing steps, is at most this.
 MAX_SHIFT = 8
+#: A vertex of fewer arcs is no burden to a task.
+HUB_ARCS = 10_000
 
 
 def relation_links(relations: DataFrame, memories: DataFrame) -> DataFrame:
@@ -41,38 +43,50 @@ def shifts(vertices: DataFrame, level: int, seed: int) -> DataFrame:
     return vertices.select("v", (-F.least(F.lit(float(MAX_SHIFT)), -F.log(draw) * MEAN_SHIFT)).alias("score"))
 
 
-def hubs(edges: DataFrame) -> DataFrame:
-    """(v): vertices with more than a 200th of all arcs, written; at most 200."""
+def hubs(edges: DataFrame) -> list[str]:
+    """Vertices with more than a 200th of all arcs, and HUB_ARCS at least: at most 200 by arithmetic, and mostly none."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("v"))
-    return cut(hot_keys(ends, ["v"]), "hubs")
+    return sorted(r["v"] for r in hot_keys(ends, ["v"], least=HUB_ARCS).collect())
 
 
-def grow_clusters(edges: DataFrame, hot: DataFrame, level: int, seed: int) -> DataFrame:
+def grow_clusters(edges: DataFrame, hot: list[str], level: int, seed: int) -> DataFrame:
     """(v, center) for every vertex of ``edges``: the center with the least distance minus shift.
 
     No path longer than MAX_SHIFT can win against a vertex's own shift, so that many steps are exact.
     A step sends a vertex's best offer along its arcs, one of which leads back to itself at no cost, and keeps the least
-    offer at each vertex; offers to a hub are merged on the sending side first, and the arcs of the ``hot`` vertices lie in
+    offer at each vertex; offers to a hub are merged on the sending side first, and the arcs of ``hot`` vertices lie in
     SALT_WAYS parts, to each of which their offer goes. All steps form one plan, linear in their number, that shuffles the arcs once.
     """
     a, b, hop = F.col("src"), F.col("dst"), F.lit(1.0)
     ends = F.array(F.struct(a.alias("v"), b.alias("to"), hop.alias("cost")), F.struct(b.alias("v"), a.alias("to"), hop.alias("cost")))
     ways = edges.select(F.explode(ends).alias("w")).select("w.*")
-    ways = ways.unionByName(ways.select("v", F.col("v").alias("to"), F.lit(0.0).alias("cost")).distinct())
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("to"), F.lit(SALT_WAYS)).cast("int")).otherwise(F.lit(0))
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALT_WAYS - 1))).otherwise(F.array(F.lit(0)))
-    arcs = cut(ways.join(marked, "v", "left").withColumn("part", part).drop("_hot"), "arcs")
+    arcs = ways.unionByName(ways.select("v", F.col("v").alias("to"), F.lit(0.0).alias("cost")).distinct())
+    on, spread = ["v"], lambda state: state
+    if hot:
+        is_hot = F.col("v").isin(hot)
+        arcs = arcs.withColumn("part", F.when(is_hot, F.pmod(F.xxhash64("to"), F.lit(SALT_WAYS)).cast("int")).otherwise(F.lit(0)))
+        parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALT_WAYS - 1))).otherwise(F.array(F.lit(0)))
+        on, spread = ["v", "part"], lambda state: state.withColumn("part", F.explode(parts))
+    arcs = cut(arcs, "arcs")
     state = shifts(arcs.where("cost = 0"), level, seed).withColumn("center", F.col("v"))
     for _ in range(MAX_SHIFT):
-        spread = state.join(marked, "v", "left").withColumn("part", F.explode(parts)).drop("_hot")
-        sent = arcs.join(spread, ["v", "part"]).select(F.col("to").alias("v"), F.struct((F.col("score") + F.col("cost")).alias("score"), "center").alias("offer"))
+        sent = arcs.join(spread(state), on).select(F.col("to").alias("v"), F.struct((F.col("score") + F.col("cost")).alias("score"), "center").alias("offer"))
         state = sent.groupBy("v").agg(F.min("offer").alias("best")).select("v", "best.score", "best.center")
     clusters = cut(state.select("v", "center"), "clusters")
     release(arcs)
     return clusters
 
 
+def contracted(edges: DataFrame, at: DataFrame, hot: list[str]) -> DataFrame:
+    """(src, dst): the distinct edges between the clusters of ``at`` (v, center), src < dst; ``hot`` ends are spread in the joins."""
+    out = edges
+    for end, name in (("src", "a"), ("dst", "b")):
+        side = at.select(F.col("v").alias(end), F.col("center").alias(name))
+        known = at.sparkSession.createDataFrame([(v,) for v in hot], f"{end} string") if hot else None
+        out = salted_join(out, side, [end], hot=known) if hot else out.join(side, end)
+    return out.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
 def connected_groups(links: DataFrame, seed: int = 17) -> DataFrame:
     """(id, group_id) for every end of ``links`` (src, dst): group_id is the least id reached through links.
 
@@ -87,12 +101,8 @@ def connected_groups(links: DataFrame, seed: int = 17) -> DataFrame:
         hot = hubs(edges)
         at = grow_clusters(edges, hot, len(levels), seed)
         levels.append(at)
-        src = at.select(F.col("v").alias("src"), F.col("center").alias("a"))
-        dst = at.select(F.col("v").alias("dst"), F.col("center").alias("b"))
-        between = salted_join(edges, src, ["src"], hot=hot.withColumnRenamed("v", "src"))
-        between = salted_join(between, dst, ["dst"], hot=hot.withColumnRenamed("v", "dst")).where(F.col("a") != F.col("b"))
-        smaller = cut(between.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
-        release(edges, hot)
+        smaller = cut(contracted(edges, at, hot), "links")
+        release(edges)
         edges = smaller
     if not levels:
         return edges.select(F.col("src").alias("id"), F.col("dst").alias("group_id"))

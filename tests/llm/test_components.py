@@ -1,5 +1,6 @@
 import random
 
+from knowloom.llm import components
 from knowloom.llm.components import connected_groups, relation_links
 from knowloom.tables import MEMORIES, MEMORY_RELATIONS
 
@@ -33,6 +34,15 @@ def test_chain_hub_cycle_repeats_and_nulls(spark):
     assert _groups(spark, pairs) == _brute(pairs)
 
 
+def test_hubs_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ARCS", 20)
+    rnd = random.Random(8)
+    pairs = [("hub", f"h{i:03d}") for i in range(300)] + [(f"h{rnd.randrange(300):03d}", f"x{i}") for i in range(80)] + [("y1", "y2"), ("y2", "y3")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    assert components.hubs(edges) == ["hub"]
+    assert _groups(spark, pairs) == _brute(pairs)
+
+
 def test_empty_and_extra_columns(spark):
     assert _groups(spark, []) == {}
     got = connected_groups(spark.createDataFrame([("b", "a", "v", 1)], "src string, dst string, center string, score int"))
