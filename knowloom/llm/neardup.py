@@ -26,7 +26,7 @@ from knowloom.runtime import broadcast_if_small, cut, release, salted_join
 #: buckets, in more tables. Every value finds all pairs; 2 or 3 suit scopes of many millions of sets.
 PART_RADIUS = 1
 #: A task compares the keys of one way; there are as many ways as keep each at about so many bytes, KEY_BYTES a key.
-WAY_BYTES, KEY_BYTES = 64 << 20, 24
+WAY_BYTES, KEY_BYTES = 16 << 20, 24
 #: A bucket of more sets is not compared in the task that gathered it but dealt out block against block, so that a task's work is bounded.
 MOST_BUCKET, DEALT_BLOCK = 1 << 14, 1 << 13
 _WORD = re.compile(r"[^\W_]+")
@@ -294,10 +294,10 @@ def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS, way_bytes:
     ways = count_ways(sets, t, s, way_bytes)
     most, size = MOST_BUCKET, DEALT_BLOCK
 
-    def run(table: pa.Table) -> pa.Table:
+    def compare(blobs: list[bytes]) -> pa.RecordBatch:
         kept_keys, kept_index, rids, sizes, bits, base = [], [], [], [], [], 0
-        for blob in table.column("blob"):
-            k, i, r, z, p = _unpack(blob.as_py(), (np.uint64, 1), (np.uint32, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 2))
+        for blob in blobs:
+            k, i, r, z, p = _unpack(blob, (np.uint64, 1), (np.uint32, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 2))
             kept_keys.append(np.cumsum(k, dtype=np.uint64))
             kept_index.append(i.astype(np.int64) + base)
             rids.append(r)
@@ -324,9 +324,18 @@ def candidate_pairs(sets: DataFrame, t: float, s: int = PART_RADIUS, way_bytes:
         none = [None] * len(pairs)
         a = pa.array(np.concatenate([pairs[:, 0], np.zeros(len(left), np.int64)]))
         b = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(left), np.int64)]))
-        return pa.table({"a": a, "b": b, "left": pa.array(none + left, pa.binary()), "right": pa.array(none + right, pa.binary())})
+        return pa.RecordBatch.from_pydict({"a": a, "b": b, "left": pa.array(none + left, pa.binary()), "right": pa.array(none + right, pa.binary())})
 
-    found = cut(_deal(sets, t, s, ways).repartition(ways, "way").groupBy("way").applyInArrow(run, "a bigint, b bigint, left binary, right binary"), "compared")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for way, blob in zip(batch.column("way").to_pylist(), batch.column("blob").to_pylist()):
+                held.setdefault(way, []).append(blob)
+        for way in sorted(held):
+            yield compare(held.pop(way))
+
+    # each way is a partition of its own
+    found = cut(_deal(sets, t, s, ways).repartitionById(ways, "way").mapInArrow(run, "a bigint, b bigint, left binary, right binary"), "compared")
     dealt = found.where("left IS NOT NULL").select("left", "right").repartition(ways)
     return found.where("left IS NULL").select("a", "b").unionByName(_compare_blocks(dealt, t)).distinct()
 
