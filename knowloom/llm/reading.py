@@ -9,7 +9,6 @@ documents declare; a wrong declaration is outvoted by the words.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,54 +35,52 @@ LEAST_SHARE, REST = 0.005, "other"
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
-_bucket_of: dict[str, str] = {}
-
-
-def bucket(word: str) -> str:
-    """The bucket of a word, as text; remembered for the words a worker met lately."""
-    found = _bucket_of.get(word)
-    if found is None:
-        if len(_bucket_of) > 1 << 20:
-            _bucket_of.clear()
-        found = _bucket_of[word] = str(xxhash.xxh3_64_intdigest(word) % WORD_BUCKETS)
-    return found
-
-
-def features(text: str) -> Counter:
-    """Counts of the tokens of a text: the buckets of its words in lower case, ``<s..>`` for sentence and ``<w..>`` for word lengths."""
-    counts: Counter = Counter()
-    lengths: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        counts[bucket(word)] += n
-        lengths[min(20, len(word))] += n
-    for k, n in lengths.items():
-        counts[f"<w{k}>"] = n
-    for k, n in Counter(min(12, int(2 * math.log2(1 + len(s.split())))) for s in _SENTENCE.split(text)).items():
-        if k:
-            counts[f"<s{k}>"] = n
-    return counts
+#: Token ids: word buckets, then word lengths up to 20, then sentence-length classes up to 12.
+_LENGTHS, _CLASSES = WORD_BUCKETS, WORD_BUCKETS + 21
+TOKENS = _CLASSES + 13
+
+
+class _Buckets(dict):
+    """The buckets of the words a worker met lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word) % WORD_BUCKETS
+        return found
+
+
+bucket = _Buckets().__getitem__
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids, their counts) of a text: its words in lower case, the lengths of its words, and the length classes of its sentences. An id may come twice."""
+    words = Counter(_WORD.findall(text.lower()))
+    ids, n = np.fromiter(map(bucket, words), np.int64, len(words)), np.fromiter(words.values(), np.float64, len(words))
+    lengths = np.bincount(np.minimum(20, np.fromiter(map(len, words), np.int64, len(words))), n, 21)
+    sizes = np.fromiter((len(s.split()) for s in _SENTENCE.split(text)), np.float64)
+    classes = np.bincount(np.minimum(12, (2 * np.log2(1 + sizes)).astype(np.int64)), minlength=13).astype(np.float64)
+    classes[0] = 0
+    some, kinds = np.flatnonzero(lengths), np.flatnonzero(classes)
+    return np.concatenate([ids, some + _LENGTHS, kinds + _CLASSES]), np.concatenate([n, lengths[some], classes[kinds]])
 
 
 class LanguageModel:
-    """Which of the declared languages the words of a text speak for."""
-
-    def __init__(self, counts: list[tuple[str, str, float]]) -> None:
-        by: dict[str, Counter] = defaultdict(Counter)
-        for lang, token, n in counts:
-            by[lang][token] += n
-        self.names = sorted(by)
-        whole: Counter = Counter()
-        for c in by.values():
-            whole.update(c)
-        total = sum(whole.values()) or 1.0
-        sums = [sum(by[g].values()) for g in self.names]
-        self.logs = {t: np.array([math.log((by[g][t] + LANGUAGE_PRIOR * n / total) / (z + LANGUAGE_PRIOR)) for g, z in zip(self.names, sums)]) for t, n in whole.items()}
-
-    def guess(self, counts: Counter) -> str:
-        rows = [(self.logs[t], n) for t, n in counts.items() if t in self.logs]
-        if not rows:
+    """Which of the declared languages the words of a text speak for. A matrix of log-rates, token by language."""
+
+    def __init__(self, counts: list[tuple[str, int, float]]) -> None:
+        self.names = sorted({g for g, _, _ in counts})
+        seen = np.zeros((TOKENS, len(self.names)))
+        np.add.at(seen, ([t for _, t, _ in counts], [self.names.index(g) for g, _, _ in counts]), [n for _, _, n in counts])
+        pooled = seen.sum(1, keepdims=True)
+        rates = (seen + LANGUAGE_PRIOR * pooled / (pooled.sum() or 1.0)) / (seen.sum(0) + LANGUAGE_PRIOR)
+        self.logs = np.log(np.where(pooled > 0, rates, 1.0)).astype(np.float32)
+
+    def guess(self, ids: np.ndarray, n: np.ndarray) -> str:
+        if not self.names:
             return REST
-        return self.names[int(np.argmax(sum(np.log1p(n) * r for r, n in rows)))]
+        rows = self.logs[ids]
+        return self.names[int(np.argmax(np.log1p(n) @ rows))] if rows.any() else REST
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -109,88 +106,78 @@ def language_model(texts: DataFrame) -> LanguageModel:
         return LanguageModel([])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, Counter] = defaultdict(Counter)
+        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(WORD_BUCKETS))
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                sums[lang].update({t: math.log1p(n) for t, n in features(text).items() if t[0] != "<"})
+                ids, n = features(text)
+                word = ids < WORD_BUCKETS
+                np.add.at(sums[lang], ids[word], np.log1p(n[word]))
         for lang, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], ["lang", "token", "n"])
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], ["lang", "token", "n"])
 
-    rows = texts.where(F.col("lang").isin(common)).select("text", "lang").mapInArrow(run, "lang string, token string, n double").groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    rows = texts.where(F.col("lang").isin(common)).select("text", "lang").mapInArrow(run, "lang string, token int, n double").groupBy("lang", "token").agg(F.sum("n").alias("n"))
     return LanguageModel(sorted((r["lang"], r["token"], r["n"]) for r in rows.collect()))
 
 
 def training_counts(texts: DataFrame, languages: LanguageModel) -> DataFrame:
-    """(lang, level, token, n): weighted token counts of the labelled ``texts`` (text, level, weight), and under the token null their number."""
+    """(lang, level, token, n): weighted token counts of the labelled ``texts`` (text, level, weight), and under token -1 their number."""
     told = texts.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        sums: dict[tuple[str, int], np.ndarray] = defaultdict(lambda: np.zeros(TOKENS + 1))
         for b in batches:
             for text, level, weight in zip(b.column("text").to_pylist(), b.column("level").to_pylist(), b.column("weight").to_pylist()):
-                counts = features(text)
-                into = sums[told.value.guess(counts), level]
-                for token, n in counts.items():
-                    into[token] += n * weight
-                into[None] += weight
+                ids, n = features(text)
+                into = sums[told.value.guess(ids, n), level]
+                np.add.at(into, ids, n * weight)
+                into[TOKENS] += weight
         for (lang, level), counts in sums.items():
-            k = len(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * k, pa.string()), pa.array([level] * k, pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())],
-                ["lang", "level", "token", "n"],
-            )
+            some = np.flatnonzero(counts)
+            tokens = np.where(some == TOKENS, -1, some).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([level] * len(some), pa.int32()), pa.array(tokens), pa.array(counts[some])], ["lang", "level", "token", "n"])
 
-    return texts.select("text", "level", "weight").mapInArrow(run, "lang string, level int, token string, n double").groupBy("lang", "level", "token").agg(F.sum("n").alias("n"))
+    return texts.select("text", "level", "weight").mapInArrow(run, "lang string, level int, token int, n double").groupBy("lang", "level", "token").agg(F.sum("n").alias("n"))
 
 
 class LevelModel:
-    """Log-likelihoods of tokens by language and level."""
+    """Log-likelihoods of tokens by language and level: a matrix for each language, zero where a word was never seen."""
 
-    def __init__(self, counts: list[tuple[str, int, str | None, float]], languages: LanguageModel | None = None) -> None:
+    def __init__(self, counts: list[tuple[str, int, int, float]], languages: LanguageModel | None = None) -> None:
         self.languages = languages or LanguageModel([])
-        by: dict[str, dict[str, np.ndarray]] = defaultdict(dict)
+        by: dict[str, np.ndarray] = defaultdict(lambda: np.zeros((TOKENS, 5)))
         prior: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(5))
         for lang, level, token, n in counts:
-            if token is None:
-                prior[lang][level - 1] += n
-            else:
-                by[lang].setdefault(token, np.zeros(5))[level - 1] += n
-        pooled: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(5))
-        for tokens in by.values():
-            for token, n in tokens.items():
-                if token[0] == "<":
-                    pooled[token] = pooled[token] + n
-        shape_base = {kind: self._level_rates({k: v for k, v in pooled.items() if k[1] == kind}) for kind in "sw"}
+            (prior[lang] if token < 0 else by[lang][token])[level - 1] += n
+        shapes = [slice(_LENGTHS, _CLASSES), slice(_CLASSES, TOKENS)]
+        pooled = sum(by.values(), np.zeros((TOKENS, 5)))
+        self.shapes = np.zeros((TOKENS, 5), np.float32)
+        base = {kind.start: self._level_rates(pooled[kind]) for kind in shapes}
+        for kind in shapes:
+            self.shapes[kind] = np.log(base[kind.start])
         self.prior = {g: np.log(p + 1.0) for g, p in prior.items()}
         self.any_prior = np.log(sum(prior.values(), np.zeros(5)) + 1.0)
-        self.tokens: dict[str, dict[str, np.ndarray]] = {}
-        for g, tokens in by.items():
-            words = {k: v for k, v in tokens.items() if k[0] != "<"}
-            total = sum(words.values(), np.zeros(5))
-            share = (total.sum() + 0.5 * len(words)) or 1.0
-            out = {k: np.log((v + WORD_PRIOR * (v.sum() + 0.5) / share) / (total + WORD_PRIOR)) for k, v in words.items()}
-            for kind, base in shape_base.items():
-                shapes = {k: tokens.get(k, np.zeros(5)) for k in base}
-                total = sum(shapes.values(), np.zeros(5))
-                out |= {k: np.log((v + SHAPE_PRIOR * base[k]) / (total + SHAPE_PRIOR)) for k, v in shapes.items()}
+        self.tokens: dict[str, np.ndarray] = {}
+        for g, seen in by.items():
+            out = np.zeros((TOKENS, 5), np.float32)
+            words = seen[:WORD_BUCKETS]
+            some, total = words.sum(1) > 0, words.sum(0)
+            share = (total.sum() + 0.5 * some.sum()) or 1.0
+            out[:WORD_BUCKETS][some] = np.log((words[some] + WORD_PRIOR * (words[some].sum(1, keepdims=True) + 0.5) / share) / (total + WORD_PRIOR))
+            for kind in shapes:
+                out[kind] = np.log((seen[kind] + SHAPE_PRIOR * base[kind.start]) / (seen[kind].sum(0) + SHAPE_PRIOR))
             self.tokens[g] = out
-        self.shapes = {k: np.log(v) for base in shape_base.values() for k, v in base.items()}
 
     @staticmethod
-    def _level_rates(shapes: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        total = sum(shapes.values(), np.zeros(5))
-        mean = {k: (v.sum() + 0.5) / (total.sum() + 0.5 * len(shapes)) for k, v in shapes.items()}
-        return {k: (v + 50.0 * mean[k]) / (total + 50.0) for k, v in shapes.items()}
+    def _level_rates(shapes: np.ndarray) -> np.ndarray:
+        mean = (shapes.sum(1, keepdims=True) + 0.5) / (shapes.sum() + 0.5 * len(shapes))
+        return (shapes + 50.0 * mean) / (shapes.sum(0) + 50.0)
 
     def level(self, text: str) -> int:
         """The level of the highest posterior; of equal ones the easiest. A language without labels is judged by shapes alone."""
-        counts = features(text)
-        lang = self.languages.guess(counts)
-        known = self.tokens.get(lang, self.shapes)
-        score = self.prior.get(lang, self.any_prior).copy()
-        rows = [(known[t], n) for t, n in counts.items() if t in known]
-        if rows:
-            score += np.array([n for _, n in rows], np.float64) @ np.stack([r for r, _ in rows])
+        ids, n = features(text)
+        lang = self.languages.guess(ids, n)
+        score = self.prior.get(lang, self.any_prior) + n @ self.tokens.get(lang, self.shapes)[ids]
         return int(np.argmax(score)) + 1
 
 
@@ -203,7 +190,7 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModel:
     counts = training_counts(texts, languages)
     rows = [(r["lang"], r["level"], r["token"], r["n"]) for r in counts.collect()]  # buckets and shapes by level and language
     release(texts)
-    return LevelModel(sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3])), languages)
+    return LevelModel(sorted(rows), languages)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
