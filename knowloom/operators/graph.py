@@ -7,22 +7,18 @@ shared folder, so that plans stay short and a lost executor costs one level.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowloom.functions import scalar, text
 from knowloom.operators.memory import first_of
-from knowloom.runtime import cut, is_empty
+from knowloom.runtime import Grown, broadcast_if_small, cut, hot_keys, is_empty, release, salted_join
 
 NODE = ["project_id", "id"]
 HUB_LEAST = 50
 BLAST_HUB = 10
-#: Sources of one project that a task works through for betweenness.
-SOURCES_A_TASK = 64
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -83,27 +79,27 @@ def _arcs(edges: DataFrame, direction: str, relation: str | None) -> DataFrame:
 def bfs(edges: DataFrame, starts: DataFrame, depth: int = 3, direction: str = "all", relation: str | None = None, hubs: DataFrame | None = None) -> DataFrame:
     """(project_id, start_id, id, depth): nodes within ``depth`` steps of each start (project_id, start_id).
 
-    ``hubs`` (project_id, id) are reached but not passed through, unless a start itself. Null starts are ignored.
+    ``hubs`` (project_id, id) are reached but not passed through, unless a start itself. Null starts are ignored. Arcs of nodes with a large
+    share of them are spread in every level's join; what was reached stands in one growing table.
     """
-    arcs = cut(_arcs(edges, direction, relation), "arcs")
-    seen = cut(starts.where("start_id IS NOT NULL").select("project_id", "start_id", F.col("start_id").alias("id"), F.lit(0).alias("depth")).distinct(), "seen")
-    frontier, levels = seen, [seen]
+    arcs = cut(_arcs(edges, direction, relation).withColumnRenamed("a", "id"), "arcs")
+    hot, keys = cut(hot_keys(arcs, NODE), "hot"), ["project_id", "start_id", "id"]
+    hubs = None if hubs is None else cut(hubs.select(*NODE), "hubs")
+    seen = Grown(starts.where("start_id IS NOT NULL").select("project_id", "start_id", F.col("start_id").alias("id"), F.lit(0).alias("depth")).distinct(), "seen")
     for level in range(1, max(1, min(depth, 20)) + 1):
-        sending = frontier
+        known = seen.read()
+        sending = known.where(F.col("depth") == level - 1)
         if hubs is not None and level > 1:
-            sending = sending.join(hubs.select(*NODE), NODE, "left_anti")
-        step = sending.join(arcs.withColumnRenamed("a", "id"), NODE).select("project_id", "start_id", F.col("b").alias("id")).distinct()
-        known = levels[0]
-        for x in levels[1:]:
-            known = known.unionByName(x)
-        frontier = cut(step.join(known, ["project_id", "start_id", "id"], "left_anti").withColumn("depth", F.lit(level)), "level")
-        if is_empty(frontier):
+            sending = sending.join(hubs, NODE, "left_anti")
+        step = salted_join(arcs, sending.drop("depth"), NODE, hot=hot).select("project_id", "start_id", F.col("b").alias("id")).distinct()
+        new = cut(step.join(known, keys, "left_anti").withColumn("depth", F.lit(level)), "level")
+        done = is_empty(new)
+        seen.add(new)
+        release(new)
+        if done:
             break
-        levels.append(frontier)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+    release(arcs)
+    return seen.read()
 
 
 def subgraph_edges(edges: DataFrame, reached: DataFrame, depth: int, direction: str = "all", relation: str | None = None, hubs: DataFrame | None = None) -> DataFrame:
@@ -126,34 +122,35 @@ def confidence_shares(edges: DataFrame, *keys: str) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> DataFrame:
-    """(project_id, start_id, end_id, hops, path): a shortest directed path for each pair that has one; of several the least by its ids.
+    """(project_id, start_id, end_id, hops, path): a shortest directed path for each pair that has one; of several the one with the least ids from its end back.
 
-    A pair leaves the search as soon as its end is found, and each node keeps one path a start, so a level holds at most one row for each start and node.
+    Every node reached from a start keeps the least of its predecessors one hop nearer, so a level is one row for each start and node;
+    the paths are read off from their ends once the search is over. A start whose pairs are all found leaves the search.
     """
-    arcs = cut(_arcs(edges, "out", None), "arcs")
+    arcs = cut(_arcs(edges, "out", None).withColumnRenamed("a", "id"), "arcs")
+    hot, keys = cut(hot_keys(arcs, NODE), "hot"), ["project_id", "start_id", "id"]
     wanted = cut(pairs.select("project_id", "start_id", "end_id").dropna().distinct(), "pairs")
-    starts = wanted.select("project_id", "start_id").distinct()
-    frontier = cut(starts.select("project_id", "start_id", F.col("start_id").alias("id"), F.array("start_id").alias("path")), "paths")
-    levels, open_pairs, found = [frontier], wanted, []
-    for hops in range(max_hops + 1):
-        hit = open_pairs.join(frontier.withColumnRenamed("id", "end_id"), ["project_id", "start_id", "end_id"]).select("project_id", "start_id", "end_id", F.lit(hops).alias("hops"), "path")
-        found.append(cut(hit, "found"))
-        open_pairs = cut(open_pairs.join(found[-1], ["project_id", "start_id", "end_id"], "left_anti"), "open")
-        if hops == max_hops or is_empty(open_pairs):
+    first = wanted.select("project_id", "start_id", F.col("start_id").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")).distinct()
+    seen = Grown(first, "paths")
+    ends = wanted.withColumnRenamed("end_id", "id")
+    for hops in range(1, max_hops + 1):
+        known = seen.read()
+        missing = ends.join(known, keys, "left_anti").select("project_id", "start_id").distinct()
+        going = known.where(F.col("hops") == hops - 1).join(missing, ["project_id", "start_id"], "left_semi").select(*keys)
+        step = salted_join(arcs, going, NODE, hot=hot).groupBy("project_id", "start_id", F.col("b").alias("id")).agg(F.min("id").alias("parent"))
+        new = cut(step.join(known, keys, "left_anti").withColumn("hops", F.lit(hops)), "paths")
+        done = is_empty(new)
+        seen.add(new)
+        release(new)
+        if done:
             break
-        going = frontier.join(open_pairs.select("project_id", "start_id").distinct(), ["project_id", "start_id"], "left_semi")
-        step = going.join(arcs.withColumnRenamed("a", "id"), NODE).groupBy("project_id", "start_id", F.col("b").alias("id")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-        known = levels[0].select("project_id", "start_id", "id")
-        for x in levels[1:]:
-            known = known.unionByName(x.select("project_id", "start_id", "id"))
-        frontier = cut(step.join(known, ["project_id", "start_id", "id"], "left_anti"), "paths")
-        if is_empty(frontier):
-            break
-        levels.append(frontier)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    release(arcs)
+    back = seen.read()
+    found = ends.join(back, keys).select("project_id", "start_id", F.col("id").alias("end_id"), "hops", F.array("id").alias("path"), F.col("parent").alias("at"))
+    for _ in range(back.agg(F.max("hops")).first()[0] or 0):  # one row
+        up = back.select("project_id", "start_id", F.col("id").alias("at"), F.col("parent").alias("next"))
+        found = found.join(up, ["project_id", "start_id", "at"], "left").withColumn("path", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path"))).withColumn("at", F.col("next")).drop("next")
+    return found.select("project_id", "start_id", "end_id", "hops", "path")
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 3, most: int = 15) -> DataFrame:
@@ -167,12 +164,13 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: i
     degree = edges.select("project_id", F.explode(ends).alias("id")).groupBy(*NODE).agg(F.count(F.lit(1)).alias("degree"))
     into = edges.where("relation_type <> 'rationale_for'").select("project_id", F.col("target_id").alias("parent"), F.col("source_id").alias("id"), "relation_type")
     into = cut(into.join(nodes.select(*NODE).distinct(), NODE, "left_semi").join(degree, NODE), "into")
+    hot = cut(hot_keys(into, ["project_id", "parent"]), "hot")
     seen = cut(starts.select("project_id", "start_id", F.col("start_id").alias("id"), F.lit(0).alias("rank")).dropna().distinct(), "seen")
     frontier, out = seen, None
     for level in range(1, depth + 1):
         parents = frontier.select("project_id", "start_id", F.col("id").alias("parent"), F.col("rank").alias("parent_rank"))
         best = F.min(F.struct("parent_rank", "relation_type")).alias("b")
-        step = parents.join(into, ["project_id", "parent"]).groupBy("project_id", "start_id", "id", "degree").agg(best)
+        step = salted_join(into, parents, ["project_id", "parent"], hot=hot).groupBy("project_id", "start_id", "id", "degree").agg(best)
         step = step.join(seen.select("project_id", "start_id", "id"), ["project_id", "start_id", "id"], "left_anti")
         so_far = seen.groupBy("project_id", "start_id").agg(F.max("rank").alias("_n"))
         ranked = first_of(step, ["project_id", "start_id"], [F.col("b.parent_rank"), F.desc("degree"), F.col("id")], most, "_r").join(so_far, ["project_id", "start_id"])
@@ -232,150 +230,178 @@ def health(projects: DataFrame, nodes: DataFrame, edges: DataFrame, bindings: Da
 
 # -- centrality and communities ---------------------------------------------
 
+#: Arc visits (nodes times arcs of a project) that one task takes, and the tasks that a project is dealt to at most: its arcs are copied to each.
+VISITS_A_TASK, MOST_TASKS = 50_000_000, 32
+#: Arc cells that are worked on at once: arcs times sources.
+CELLS = 4_000_000
 
-def _brandes(sources: list[int], out: list[list[int]], n: int) -> list[float]:
-    """Sum over ``sources`` of their dependencies on each vertex; parallel edges are separate paths."""
-    total = [0.0] * n
-    for s in sources:
-        sigma, dist, order, before = {s: 1.0}, {s: 0}, [], {}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in out[v]:
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    sigma[w] = 0.0
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    sigma[w] += sigma[v]
-                    before.setdefault(w, []).append(v)
-        delta = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before.get(w, ()):
-                delta[v] += sigma[v] / sigma[w] * (1.0 + delta[w])
-            if w != s:
-                total[w] += delta[w]
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of columns between the ``first`` ones."""
+    return np.add.reduceat(values, first, axis=1)
+
+
+def path_shares(a: np.ndarray, b: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
+    """Sum over ``sources`` of their dependencies on each of ``n`` vertices of arcs a -> b; parallel arcs are separate paths.
+
+    Many sources advance together, level by level: counts of shortest paths forward, dependencies backward.
+    """
+    total = np.zeros(n)
+    if not len(a):
+        return total
+    by_b, by_a = np.lexsort((a, b)), np.lexsort((b, a))
+    fa, fb, ba, bb = a[by_b], b[by_b], a[by_a], b[by_a]
+    first_b, first_a = np.flatnonzero(np.diff(fb, prepend=-1)), np.flatnonzero(np.diff(ba, prepend=-1))
+    into, out = fb[first_b], ba[first_a]
+    each = max(1, min(len(sources), CELLS // len(a)))
+    for k in range(0, len(sources), each):
+        s = sources[k : k + each]
+        rows = np.arange(len(s))
+        far, paths = np.full((len(s), n), -1, np.int32), np.zeros((len(s), n))
+        far[rows, s], paths[rows, s] = 0, 1.0
+        level = 0
+        while True:
+            sums = _sums(np.where(far[:, fa] == level, paths[:, fa], 0.0), first_b)
+            new = (sums > 0) & (far[:, into] < 0)
+            if not new.any():
+                break
+            level += 1
+            r, c = np.nonzero(new)
+            far[r, into[c]], paths[r, into[c]] = level, sums[r, c]
+        share = np.zeros((len(s), n))
+        for at in range(level - 1, -1, -1):
+            on = (far[:, ba] == at) & (far[:, bb] == at + 1)
+            part = _sums(np.where(on, paths[:, ba] / np.maximum(paths[:, bb], 1.0) * (1.0 + share[:, bb]), 0.0), first_a)
+            share[:, out] += part
+        share[rows, s] = 0.0
+        total += share.sum(0)
     return total
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, id, centrality): directed, unweighted, not normalised; exact.
 
-    The sources of a project are dealt to tasks of SOURCES_A_TASK, each of which needs the project's edges; so the graph of one
-    project must fit a worker, while its work spreads over the cluster. Edges to unknown nodes do not count.
+    The sources of a project are dealt to as many tasks as its work fills, MOST_TASKS at most, each of which gets the project's arcs: the
+    copies stay in proportion to the arcs. The graph of one project must fit a worker. Edges to unknown nodes do not count.
     """
     ids = nodes.select(*NODE).distinct()
     end = lambda e: ids.withColumnRenamed("id", e)
     inner = edges.select("project_id", "source_id", "target_id").join(end("source_id"), ["project_id", "source_id"], "left_semi").join(end("target_id"), ["project_id", "target_id"], "left_semi")
-    tasks = ids.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / SOURCES_A_TASK).cast("int").alias("tasks"))
-    sources = ids.join(tasks, "project_id").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int"))
+    inner = cut(inner, "inner")
+    size = ids.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).join(inner.groupBy("project_id").agg(F.count(F.lit(1)).alias("m")), "project_id")
+    tasks = broadcast_if_small(cut(size.select("project_id", F.least(F.lit(MOST_TASKS), F.ceil(F.col("n") * F.col("m") / VISITS_A_TASK)).cast("int").alias("tasks")), "tasks"))
+    starts = cut(inner.select("project_id", F.col("source_id").alias("id")).distinct(), "starts")  # no other vertex begins a path
+    sources = starts.join(tasks, "project_id").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int"))
     copies = inner.join(tasks, "project_id").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
 
     def run(src: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        index: dict[str, int] = {}
-        out: list[list[int]] = []
-
-        def at(x: str) -> int:
-            if x not in index:
-                index[x] = len(out)
-                out.append([])
-            return index[x]
-
-        for a, b in sorted(zip(arcs["source_id"], arcs["target_id"])):
-            out[at(a)].append(at(b))
-        total = _brandes([at(x) for x in sorted(src["id"])], out, len(index) + len(src)) if len(src) else [0.0] * len(index)
+        codes, names = pd.factorize(pd.concat([arcs["source_id"], arcs["target_id"], src["id"]]))
+        m = len(arcs)
+        total = path_shares(codes[:m], codes[m : 2 * m], len(names), np.sort(codes[2 * m :]))
+        some = np.flatnonzero(total)
         project = (src if len(src) else arcs)["project_id"].iloc[0]
-        rows = [(project, x, total[i]) for x, i in index.items() if total[i]]
-        return pd.DataFrame(rows, columns=["project_id", "id", "centrality"])
+        return pd.DataFrame({"project_id": project, "id": names.to_numpy()[some], "centrality": total[some]})
 
     keys = ["project_id", "task"]
     part = sources.select(*NODE, "task").groupBy(*keys).cogroup(copies.select("project_id", "source_id", "target_id", "task").groupBy(*keys)).applyInPandas(run, "project_id string, id string, centrality double")
     return ids.join(part.groupBy(*NODE).agg(F.sum("centrality").alias("centrality")), NODE, "left").fillna(0.0, ["centrality"])
 
 
-def _neighbour_lists(ids: list[str], pairs: Iterator[tuple[str, str]]) -> list[list[int]]:
-    index = {x: i for i, x in enumerate(ids)}
-    near: list[list[int]] = [[] for _ in ids]
-    for a, b in pairs:
-        i, j = index.get(a), index.get(b)
-        if i is not None and j is not None:
-            near[i].append(j)
-            near[j].append(i)
-    return near
-
-
-def _dense(labels: list[int]) -> list[int]:
-    """Labels numbered from 1 in the order of their first appearance."""
-    seen: dict[int, int] = {}
-    return [seen.setdefault(x, len(seen) + 1) for x in labels]
-
-
-def _propagate(near: list[list[int]], rounds: int = 15) -> list[int]:
-    """Each vertex in turn takes the label most frequent among its neighbours, the least of equal ones."""
-    label = list(range(len(near)))
-    for _ in range(rounds):
-        moved = False
-        for v, others in enumerate(near):
-            if others:
-                votes: dict[int, int] = {}
-                for w in others:
-                    votes[label[w]] = votes.get(label[w], 0) + 1
-                best = min(votes, key=lambda x: (-votes[x], x))
-                moved |= best != label[v]
-                label[v] = best
-        if not moved:
-            break
-    return _dense(label)
-
-
-def _modularity(near: list[list[int]], rounds: int = 15, inner: int = 10) -> list[int]:
-    """Local moving towards higher modularity, vertices in order, the best community of least number among equal gains."""
-    degree = [len(x) for x in near]
-    twice = sum(degree)
-    if not twice:
-        return list(range(1, len(near) + 1))
-    home, total = list(range(len(near))), [float(d) for d in degree]
-    for _ in range(rounds):
-        before = len(set(home))
-        for _ in range(inner):
-            moved = False
-            for v, others in enumerate(near):
-                links: dict[int, int] = {}
-                for w in others:
-                    links[home[w]] = links.get(home[w], 0) + 1
-                k, at = degree[v], home[v]
-                stay = links.get(at, 0) - k * (total[at] - k) / twice
-                gain, best = max(((n - k * total[c] / twice - stay, -c) for c, n in links.items() if c != at), default=(0.0, 0))
-                if gain > 1e-9:
-                    total[at] -= k
-                    total[-best] += k
-                    home[v] = -best
-                    moved = True
-            if not moved:
-                break
-        if len(set(home)) >= before:
+#: Rounds of moving within a level, and levels of contraction, at most.
+MOST_ROUNDS, MOST_LEVELS = 16, 6
+
+
+def _undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, a, b, w): both directions of the edges between two different known nodes, parallel ones added up."""
+    ids = nodes.select(*NODE).distinct()
+    known = edges.where(F.col("source_id") != F.col("target_id")).groupBy("project_id", "source_id", "target_id").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    for end in ("source_id", "target_id"):
+        known = known.join(ids.withColumnRenamed("id", end), ["project_id", end], "left_semi")
+    ends = F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))
+    return known.select("project_id", F.explode(ends).alias("e"), "w").groupBy("project_id", F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def _moved(arcs: DataFrame, hot: DataFrame, members: DataFrame, turn: int, by_modularity: bool) -> DataFrame:
+    """``members`` (project_id, id, k, m2, community) after one synchronous round, with ``moved``.
+
+    Every vertex weighs the communities of its neighbours; about half of them, another half each turn, may move, so that neighbours do not
+    change places for ever. Of two vertices that are alone the one with the greater label moves.
+    """
+    c = F.col
+    held = members.groupBy("project_id", "community").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
+    near = salted_join(arcs, members.select("project_id", c("id").alias("b"), c("community").alias("to")), ["project_id", "b"], hot=hot)
+    near = near.groupBy("project_id", c("a").alias("id"), "to").agg(F.sum("w").alias("links"))
+    if by_modularity:
+        mine = salted_join(members, held, ["project_id", "community"])
+        options = salted_join(near, held.select("project_id", c("community").alias("to"), c("tot").alias("to_tot"), c("size").alias("to_size")), ["project_id", "to"]).join(mine, NODE)
+        own = c("to") == c("community")
+        gain = c("links") - c("k") * (c("to_tot") - F.when(own, c("k")).otherwise(0.0)) / c("m2")
+        allowed = ~own & ~((c("size") == 1) & (c("to_size") == 1) & (c("to") > c("community")))
+        best = options.groupBy("project_id", "id", "k", "m2", "community", "tot").agg(F.min(F.when(allowed, F.struct((-gain).alias("o"), "to"))).alias("best"), F.max(F.when(own, gain)).alias("stay"))
+        stay = F.coalesce("stay", -c("k") * (c("tot") - c("k")) / c("m2"))
+    else:
+        options = near.join(members, NODE)
+        best = options.groupBy("project_id", "id", "k", "m2", "community").agg(F.min(F.struct((-c("links")).alias("o"), "to")).alias("best"), F.max(F.when(c("to") == c("community"), c("links"))).alias("stay"))
+        stay = F.coalesce("stay", F.lit(0.0)) - F.when(c("best.to") < c("community"), 1e-6).otherwise(0.0)  # of equal labels the least
+    on_turn = F.pmod(F.xxhash64("project_id", "id", F.lit(turn)), F.lit(2)) == 0
+    go = on_turn & c("best").isNotNull() & (-c("best.o") > stay + 1e-9)
+    new = best.select("project_id", "id", F.when(go, c("best.to")).alias("new"))
+    return members.join(new, NODE, "left").select("project_id", "id", "k", "m2", F.coalesce("new", "community").alias("community"), c("new").isNotNull().alias("moved"))
+
+
+def _settled(arcs: DataFrame, members: DataFrame, by_modularity: bool, level: int) -> tuple[DataFrame, bool]:
+    """Rounds of moving until two in a row move nothing, and whether anything moved."""
+    hot, still, any_move = cut(hot_keys(arcs, ["project_id", "b"]), "hot"), 0, False
+    for turn in range(MOST_ROUNDS):
+        after = cut(_moved(arcs, hot, members, turn + level * MOST_ROUNDS, by_modularity), "members")
+        n = after.where("moved").count()
+        release(members)
+        members, any_move = after.drop("moved"), any_move or n > 0
+        members._knowloom_path = after._knowloom_path
+        still = still + 1 if n == 0 else 0
+        if still == 2:
             break
-    return _dense(home)
+    release(hot)
+    return members, any_move
 
 
 def communities(nodes: DataFrame, edges: DataFrame, method: str = "modularity") -> DataFrame:
     """(project_id, id, community): communities of each project, numbered from 1 by their least node id.
 
-    ``method`` is modularity or propagation. Both work through a project's vertices in order, one project a task, whose graph must fit a worker.
+    ``method`` is modularity, local moving and contraction in turn until nothing moves, or propagation, the label most frequent among the
+    neighbours. All projects move together in rounds of joins and aggregations over (project, node), so a project may have any size. The outcome is deterministic.
+    Nodes without edges are communities of their own; edges to unknown nodes and to themselves do not count; an empty graph gives an empty result.
     """
-
-    def run(vertices: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        if not len(vertices):
-            return pd.DataFrame({"project_id": [], "id": [], "community": []})
-        ids = sorted(set(vertices["id"]))
-        near = _neighbour_lists(ids, zip(arcs["source_id"], arcs["target_id"]))
-        found = _propagate(near) if method == "propagation" else _modularity(near)
-        return pd.DataFrame({"project_id": vertices["project_id"].iloc[0], "id": ids, "community": found})
-
-    left = nodes.select(*NODE).groupBy("project_id")
-    right = edges.select("project_id", "source_id", "target_id").groupBy("project_id")
-    return left.cogroup(right).applyInPandas(run, "project_id string, id string, community long")
+    by_modularity = method != "propagation"
+    arcs = cut(_undirected(nodes, edges), "arcs")
+    k = arcs.groupBy("project_id", F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+    m2 = broadcast_if_small(cut(arcs.groupBy("project_id").agg(F.sum("w").alias("m2")), "weights"))
+    members = cut(k.join(m2, "project_id").select("project_id", "id", "k", "m2", F.col("id").alias("community")), "members")
+    levels: list[DataFrame] = []
+    for level in range(MOST_LEVELS if by_modularity else 1):
+        members, any_move = _settled(arcs, members, by_modularity, level)
+        levels.append(members)
+        if not any_move or not by_modularity:
+            break
+        side = lambda x, y: members.select("project_id", F.col("id").alias(x), F.col("community").alias(y))  # noqa: B023, E731
+        between = salted_join(salted_join(arcs, side("a", "ca"), ["project_id", "a"]), side("b", "cb"), ["project_id", "b"]).where("ca <> cb")
+        smaller = cut(between.groupBy("project_id", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "arcs")
+        release(arcs)
+        arcs = smaller
+        members = cut(members.groupBy("project_id", F.col("community").alias("id")).agg(F.sum("k").alias("k"), F.max("m2").alias("m2")).withColumn("community", F.col("id")), "members")
+    top = levels[-1].select(*NODE, "community")
+    for lower in reversed(levels[:-1]):
+        up = top.select("project_id", F.col("id").alias("community"), F.col("community").alias("_top"))
+        top = salted_join(lower.select(*NODE, "community"), up, ["project_id", "community"], "left").select(*NODE, F.coalesce("_top", "community").alias("community"))
+    every = nodes.select(*NODE).distinct().join(top, NODE, "left").select(*NODE, F.coalesce("community", "id").alias("community"))
+    return relabelled(cut(every, "communities"))
+
+
+def relabelled(member: DataFrame) -> DataFrame:
+    """``member`` (project_id, id, community) with the communities of each project numbered from 1 by their least id."""
+    least = member.groupBy("project_id", "community").agg(F.min("id").alias("least"))
+    number = least.withColumn("number", F.row_number().over(Window.partitionBy("project_id").orderBy("least")).cast("long"))
+    return salted_join(member.select(*NODE, "community"), number.drop("least"), ["project_id", "community"]).select(*NODE, F.col("number").alias("community"))
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:

@@ -93,6 +93,20 @@ def read_cut(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return back
 
 
+class Grown:
+    """A table below the shared folder that grows by whole appends; :meth:`read` sees what was added so far. Survives lost executors as :func:`cut` does."""
+
+    def __init__(self, first: DataFrame, label: str) -> None:
+        self.spark, self.schema, self.path = first.sparkSession, first.schema, shared_path(first.sparkSession, label)
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return read_cut(self.spark, self.path, self.schema)
+
+
 def release(*dfs: DataFrame | None) -> None:
     """Delete tables made by :func:`cut` that no later step reads."""
     for df in dfs:
