@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowloom.functions import scalar, text
 from knowloom.operators.memory import first_of
-from knowloom.runtime import Grown, broadcast_if_small, cut, hot_keys, is_empty, release, salted_join
+from knowloom.runtime import Grown, broadcast_if_small, cut, hot_keys, is_empty, measured_bytes, release, salted_join, sized_join
 
 NODE = ["project_id", "id"]
 HUB_LEAST = 50
@@ -91,7 +92,7 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int = 3, direction: str = "a
         sending = known.where(F.col("depth") == level - 1)
         if hubs is not None and level > 1:
             sending = sending.join(hubs, NODE, "left_anti")
-        step = salted_join(arcs, sending.drop("depth"), NODE, hot=hot).select("project_id", "start_id", F.col("b").alias("id")).distinct()
+        step = sized_join(arcs, sending.drop("depth"), NODE, hot=hot).select("project_id", "start_id", F.col("b").alias("id")).distinct()
         new = cut(step.join(known, keys, "left_anti").withColumn("depth", F.lit(level)), "level")
         done = is_empty(new)
         seen.add(new)
@@ -137,7 +138,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> Da
         known = seen.read()
         missing = ends.join(known, keys, "left_anti").select("project_id", "start_id").distinct()
         going = known.where(F.col("hops") == hops - 1).join(missing, ["project_id", "start_id"], "left_semi").select(*keys)
-        step = salted_join(arcs, going, NODE, hot=hot).groupBy("project_id", "start_id", F.col("b").alias("id")).agg(F.min("id").alias("parent"))
+        step = sized_join(arcs, going, NODE, hot=hot).groupBy("project_id", "start_id", F.col("b").alias("id")).agg(F.min("id").alias("parent"))
         new = cut(step.join(known, keys, "left_anti").withColumn("hops", F.lit(hops)), "paths")
         done = is_empty(new)
         seen.add(new)
@@ -170,7 +171,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: i
     for level in range(1, depth + 1):
         parents = frontier.select("project_id", "start_id", F.col("id").alias("parent"), F.col("rank").alias("parent_rank"))
         best = F.min(F.struct("parent_rank", "relation_type")).alias("b")
-        step = salted_join(into, parents, ["project_id", "parent"], hot=hot).groupBy("project_id", "start_id", "id", "degree").agg(best)
+        step = sized_join(into, parents, ["project_id", "parent"], hot=hot).groupBy("project_id", "start_id", "id", "degree").agg(best)
         step = step.join(seen.select("project_id", "start_id", "id"), ["project_id", "start_id", "id"], "left_anti")
         so_far = seen.groupBy("project_id", "start_id").agg(F.max("rank").alias("_n"))
         ranked = first_of(step, ["project_id", "start_id"], [F.col("b.parent_rank"), F.desc("degree"), F.col("id")], most, "_r").join(so_far, ["project_id", "start_id"])
@@ -308,7 +309,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Rounds of moving within a level, and levels of contraction, at most.
-MOST_ROUNDS, MOST_LEVELS = 16, 6
+MOST_ROUNDS, MOST_LEVELS = 8, 5
+#: A project of at most so many arcs is worked on in one task; larger ones in rounds of joins. The outcome is the same.
+LOCAL_ARCS = 1_000_000
 
 
 def _undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -321,19 +324,20 @@ def _undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.select("project_id", F.explode(ends).alias("e"), "w").groupBy("project_id", F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.sum("w").alias("w"))
 
 
-def _moved(arcs: DataFrame, hot: DataFrame, members: DataFrame, turn: int, by_modularity: bool) -> DataFrame:
-    """``members`` (project_id, id, k, m2, community) after one synchronous round, with ``moved``.
+def _moved(arcs: DataFrame, hot: DataFrame, members: DataFrame, member_bytes: int, turn: int, by_modularity: bool) -> DataFrame:
+    """``members`` (project_id, id, k, m2, community) after one synchronous round, with ``moved``: whether it moved or would on its turn.
 
     Every vertex weighs the communities of its neighbours; about half of them, another half each turn, may move, so that neighbours do not
     change places for ever. Of two vertices that are alone the one with the greater label moves.
     """
     c = F.col
-    held = members.groupBy("project_id", "community").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
-    near = salted_join(arcs, members.select("project_id", c("id").alias("b"), c("community").alias("to")), ["project_id", "b"], hot=hot)
+    near = sized_join(arcs, members.select("project_id", c("id").alias("b"), c("community").alias("to")), ["project_id", "b"], hot=hot, small_bytes=member_bytes)
     near = near.groupBy("project_id", c("a").alias("id"), "to").agg(F.sum("w").alias("links"))
     if by_modularity:
-        mine = salted_join(members, held, ["project_id", "community"])
-        options = salted_join(near, held.select("project_id", c("community").alias("to"), c("tot").alias("to_tot"), c("size").alias("to_size")), ["project_id", "to"]).join(mine, NODE)
+        held = members.groupBy("project_id", "community").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))  # no more rows than members
+        mine = sized_join(members, held, ["project_id", "community"], small_bytes=member_bytes)
+        other = held.select("project_id", c("community").alias("to"), c("tot").alias("to_tot"), c("size").alias("to_size"))
+        options = sized_join(near, other, ["project_id", "to"], small_bytes=member_bytes).join(mine, NODE)
         own = c("to") == c("community")
         gain = c("links") - c("k") * (c("to_tot") - F.when(own, c("k")).otherwise(0.0)) / c("m2")
         allowed = ~own & ~((c("size") == 1) & (c("to_size") == 1) & (c("to") > c("community")))
@@ -344,36 +348,28 @@ def _moved(arcs: DataFrame, hot: DataFrame, members: DataFrame, turn: int, by_mo
         best = options.groupBy("project_id", "id", "k", "m2", "community").agg(F.min(F.struct((-c("links")).alias("o"), "to")).alias("best"), F.max(F.when(c("to") == c("community"), c("links"))).alias("stay"))
         stay = F.coalesce("stay", F.lit(0.0)) - F.when(c("best.to") < c("community"), 1e-6).otherwise(0.0)  # of equal labels the least
     on_turn = F.pmod(F.xxhash64("project_id", "id", F.lit(turn)), F.lit(2)) == 0
-    go = on_turn & c("best").isNotNull() & (-c("best.o") > stay + 1e-9)
-    new = best.select("project_id", "id", F.when(go, c("best.to")).alias("new"))
-    return members.join(new, NODE, "left").select("project_id", "id", "k", "m2", F.coalesce("new", "community").alias("community"), c("new").isNotNull().alias("moved"))
+    go = c("best").isNotNull() & (-c("best.o") > stay + 1e-9)
+    # every member has an arc, so none is lost
+    return best.select("project_id", "id", "k", "m2", F.when(go & on_turn, c("best.to")).otherwise(c("community")).alias("community"), F.coalesce(go, F.lit(False)).alias("moved"))
 
 
 def _settled(arcs: DataFrame, members: DataFrame, by_modularity: bool, level: int) -> tuple[DataFrame, bool]:
-    """Rounds of moving until two in a row move nothing, and whether anything moved."""
-    hot, still, any_move = cut(hot_keys(arcs, ["project_id", "b"]), "hot"), 0, False
+    """Rounds of moving until no vertex wants to, and whether any did."""
+    hot, any_move = cut(hot_keys(arcs, ["project_id", "b"]), "hot"), False
+    size = measured_bytes(members)
     for turn in range(MOST_ROUNDS):
-        after = cut(_moved(arcs, hot, members, turn + level * MOST_ROUNDS, by_modularity), "members")
-        n = after.where("moved").count()
+        after = cut(_moved(arcs, hot, members, size, turn + level * MOST_ROUNDS, by_modularity), "members")
+        still = is_empty(after.where("moved"))
         release(members)
-        members, any_move = after.drop("moved"), any_move or n > 0
-        members._knowloom_path = after._knowloom_path
-        still = still + 1 if n == 0 else 0
-        if still == 2:
+        members, any_move = after, any_move or not still
+        if still:
             break
     release(hot)
     return members, any_move
 
 
-def communities(nodes: DataFrame, edges: DataFrame, method: str = "modularity") -> DataFrame:
-    """(project_id, id, community): communities of each project, numbered from 1 by their least node id.
-
-    ``method`` is modularity, local moving and contraction in turn until nothing moves, or propagation, the label most frequent among the
-    neighbours. All projects move together in rounds of joins and aggregations over (project, node), so a project may have any size. The outcome is deterministic.
-    Nodes without edges are communities of their own; edges to unknown nodes and to themselves do not count; an empty graph gives an empty result.
-    """
-    by_modularity = method != "propagation"
-    arcs = cut(_undirected(nodes, edges), "arcs")
+def _in_rounds(arcs: DataFrame, by_modularity: bool) -> DataFrame:
+    """(project_id, id, community) of all vertices of ``arcs`` by rounds of joins over all their projects."""
     k = arcs.groupBy("project_id", F.col("a").alias("id")).agg(F.sum("w").alias("k"))
     m2 = broadcast_if_small(cut(arcs.groupBy("project_id").agg(F.sum("w").alias("m2")), "weights"))
     members = cut(k.join(m2, "project_id").select("project_id", "id", "k", "m2", F.col("id").alias("community")), "members")
@@ -384,15 +380,101 @@ def communities(nodes: DataFrame, edges: DataFrame, method: str = "modularity")
         if not any_move or not by_modularity:
             break
         side = lambda x, y: members.select("project_id", F.col("id").alias(x), F.col("community").alias(y))  # noqa: B023, E731
-        between = salted_join(salted_join(arcs, side("a", "ca"), ["project_id", "a"]), side("b", "cb"), ["project_id", "b"]).where("ca <> cb")
-        smaller = cut(between.groupBy("project_id", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "arcs")
-        release(arcs)
-        arcs = smaller
-        members = cut(members.groupBy("project_id", F.col("community").alias("id")).agg(F.sum("k").alias("k"), F.max("m2").alias("m2")).withColumn("community", F.col("id")), "members")
+        size = measured_bytes(members)
+        between = sized_join(sized_join(arcs, side("a", "ca"), ["project_id", "a"], small_bytes=size), side("b", "cb"), ["project_id", "b"], small_bytes=size).where("ca <> cb")
+        arcs = cut(between.groupBy("project_id", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "arcs")
+        if is_empty(arcs):
+            break
+        linked = arcs.select("project_id", F.col("a").alias("id")).distinct()
+        grown = members.groupBy("project_id", F.col("community").alias("id")).agg(F.sum("k").alias("k"), F.max("m2").alias("m2")).join(linked, NODE, "left_semi")
+        members = cut(grown.withColumn("community", F.col("id")), "members")
     top = levels[-1].select(*NODE, "community")
     for lower in reversed(levels[:-1]):
         up = top.select("project_id", F.col("id").alias("community"), F.col("community").alias("_top"))
-        top = salted_join(lower.select(*NODE, "community"), up, ["project_id", "community"], "left").select(*NODE, F.coalesce("_top", "community").alias("community"))
+        top = sized_join(lower.select(*NODE, "community"), up, ["project_id", "community"], "left", small_bytes=measured_bytes(up)).select(*NODE, F.coalesce("_top", "community").alias("community"))
+    return cut(top, "communities")
+
+
+def _turns(project: str, ids: np.ndarray, turn: int) -> np.ndarray:
+    """Which vertices may move in a turn, by the hash that the rounds of joins use."""
+    seed, end = xxhash.xxh64_intdigest(project.encode(), 42), turn.to_bytes(4, "little")
+    return np.array([xxhash.xxh64_intdigest(end, xxhash.xxh64_intdigest(i.encode(), seed)) % 2 == 0 for i in ids], bool)
+
+
+def settle(project: str, ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, by_modularity: bool) -> np.ndarray:
+    """The community of each vertex of one project, as an index into ``ids``, which are in order; arcs a -> b of weight w in both directions.
+
+    The rounds of :func:`_in_rounds` over arrays: same moves, same turns, same contraction.
+    """
+    n, m2 = len(ids), w.sum()
+    k, home, here = np.bincount(a, w, n), np.arange(n), np.arange(n)
+    for level in range(MOST_LEVELS if by_modularity else 1):
+        com, any_move = np.arange(n), False
+        alive = np.zeros(n, bool)
+        alive[a] = True
+        for turn in range(MOST_ROUNDS):
+            pairs, back = np.unique(a * n + com[b], return_inverse=True)
+            links, v, to = np.bincount(back, w), pairs // n, pairs % n
+            own = to == com[v]
+            stay = np.zeros(n)
+            if by_modularity:
+                tot, size = np.bincount(com[alive], k[alive], n), np.bincount(com[alive], minlength=n)
+                score = links - k[v] * (tot[to] - np.where(own, k[v], 0.0)) / m2
+                stay = -k * (tot[com] - k) / m2
+                allowed = ~own & ~((size[com[v]] == 1) & (size[to] == 1) & (to > com[v]))
+            else:
+                score, allowed = links, np.ones(len(v), bool)
+            stay[v[own]] = score[own]
+            order = np.lexsort((to[allowed], -score[allowed], v[allowed]))
+            first = np.flatnonzero(np.diff(v[allowed][order], prepend=-1))
+            who, best, gain = v[allowed][order][first], to[allowed][order][first], score[allowed][order][first]
+            least = stay[who] if by_modularity else stay[who] - np.where(best < com[who], 1e-6, 0.0)
+            go = gain > least + 1e-9
+            if not go.any():
+                break
+            any_move = True
+            who, best = who[go], best[go]
+            on = _turns(project, ids[who], turn + level * MOST_ROUNDS)
+            com = com.copy()
+            com[who[on]] = best[on]
+        here = com[here]
+        if not any_move or not by_modularity:
+            break
+        a, b = com[a], com[b]
+        pairs, back = np.unique((a * n + b)[a != b], return_inverse=True)
+        w = np.bincount(back, w[a != b])
+        a, b = pairs // n, pairs % n
+        k = np.bincount(com[alive], k[alive], n)
+        if not len(a):
+            break
+    return home[here]
+
+
+def communities(nodes: DataFrame, edges: DataFrame, method: str = "modularity", local_arcs: int = LOCAL_ARCS) -> DataFrame:
+    """(project_id, id, community): communities of each project, numbered from 1 by their least node id.
+
+    ``method`` is modularity, local moving and contraction in turn until nothing moves, or propagation, the label most frequent among the
+    neighbours. Projects of up to ``local_arcs`` arcs are settled in a task each, larger ones in rounds of joins and aggregations over
+    (project, node), with the same outcome, so a project may have any size. The outcome is deterministic.
+    Nodes without edges are communities of their own; edges to unknown nodes and to themselves do not count; an empty graph gives an empty result.
+    """
+    by_modularity = method != "propagation"
+    arcs = cut(_undirected(nodes, edges), "arcs")
+    size = arcs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(size.where(F.col("n") > local_arcs).select("project_id"), "large")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        project = group["project_id"].iloc[0]
+        ids = np.array(sorted(set(group["a"])), object)
+        code = {x: i for i, x in enumerate(ids)}
+        a, b = (group[c].map(code).to_numpy(np.int64) for c in "ab")
+        found = settle(project, ids, a, b, group["w"].to_numpy(), by_modularity)
+        return pd.DataFrame({"project_id": project, "id": ids, "community": ids[found]})
+
+    small = arcs.join(broadcast_if_small(large), "project_id", "left_anti")
+    top = small.groupBy("project_id").applyInPandas(run, "project_id string, id string, community string")
+    if not is_empty(large):
+        top = top.unionByName(_in_rounds(cut(arcs.join(broadcast_if_small(large), "project_id", "left_semi"), "arcs"), by_modularity))
     every = nodes.select(*NODE).distinct().join(top, NODE, "left").select(*NODE, F.coalesce("community", "id").alias("community"))
     return relabelled(cut(every, "communities"))
 
@@ -401,7 +483,8 @@ def relabelled(member: DataFrame) -> DataFrame:
     """``member`` (project_id, id, community) with the communities of each project numbered from 1 by their least id."""
     least = member.groupBy("project_id", "community").agg(F.min("id").alias("least"))
     number = least.withColumn("number", F.row_number().over(Window.partitionBy("project_id").orderBy("least")).cast("long"))
-    return salted_join(member.select(*NODE, "community"), number.drop("least"), ["project_id", "community"]).select(*NODE, F.col("number").alias("community"))
+    number = cut(number.drop("least"), "numbers")
+    return sized_join(member.select(*NODE, "community"), number, ["project_id", "community"]).select(*NODE, F.col("number").alias("community"))
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:

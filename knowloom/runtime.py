@@ -164,6 +164,13 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, small_bytes: int | None = None) -> DataFrame:
+    """``big`` joined with the written table ``small``: broadcast if that takes at most BROADCAST_BYTES, salted else."""
+    if (measured_bytes(small) if small_bytes is None else small_bytes) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(big, small, keys, how, hot=hot)
+
+
 def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with columns that are computed once a row, however often later steps and filters use them.
 

@@ -33,6 +33,20 @@ def test_communities_and_centrality_of_two_chains(spark):
     assert {r.community for r in G.communities(n, _edges(spark)).collect()} == set(range(1, 7))
 
 
+def test_communities_are_the_same_in_a_task_and_in_rounds(spark):
+    rnd = random.Random(11)
+    ids = [f"{g}{i:02}" for g in "abcd" for i in range(15)]
+    pairs = [(x, rnd.choice([y for y in ids if y[0] == x[0]])) for x in ids for _ in range(3)] + [(rnd.choice(ids), rnd.choice(ids)) for _ in range(12)]
+    n, e = _nodes(spark, *ids, "alone"), _edges(spark, *pairs)
+    n, e = n.unionByName(_nodes(spark, *"ABCDEF", project="q")), e.unionByName(_edges(spark, *TWO, project="q"))
+    for method in ("modularity", "propagation"):
+        here = sorted(map(tuple, G.communities(n, e, method).collect()))
+        assert here == sorted(map(tuple, G.communities(n, e, method, local_arcs=0).collect())) == sorted(map(tuple, G.communities(n, e, method, local_arcs=20).collect()))
+        assert len(here) == len(ids) + 7
+    found = {r.id: r.community for r in G.communities(n, e).where("project_id = 'p'").collect()}
+    assert all(sum(found[x] == found[y] for x in ids for y in ids if x[0] == y[0] == g) > 0.8 * 225 for g in "abcd")  # the planted groups
+
+
 def test_betweenness_counts_parallel_edges_and_matches_brute_force(spark):
     rnd = random.Random(4)
     ids = [f"n{i}" for i in range(25)]
