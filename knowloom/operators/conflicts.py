@@ -66,20 +66,16 @@ def conflict_pairs(memories: DataFrame, projects: DataFrame, relations: DataFram
     return out.where("n_pairs > 0").select("project_id", "a", "b", "similarity", "n_pairs")
 
 
-def member_pairs(pairs: DataFrame, memories: DataFrame, projects: DataFrame, relations: DataFrame) -> DataFrame:
-    """(project_id, x, y, similarity), x < y: every pair of memories behind ``pairs`` of :func:`conflict_pairs` with a side newer than the last scan and no relation.
+def entered_links(pairs: DataFrame, memories: DataFrame, relations: DataFrame) -> DataFrame:
+    """(project_id, source_id, target_id, similarity): the links that an applying scan enters for ``pairs`` of :func:`conflict_pairs`.
 
-    Only newer members are spread over the other members, so pairs of two older ones are never made. As many rows as there are such pairs:
-    n new copies of one title are n * (n - 1) / 2.
+    One link between the two representatives (class ids) of each pair of classes, and one from each member of a class in ``pairs`` to its
+    representative, where no relation links the two yet. With the membership of :func:`title_classes` they hold every similar pair of memories, also within a class, in as
+    many rows as there are class pairs and members; the pairs themselves are never written out.
     """
-    since = projects.select(F.col("id").alias("project_id"), F.col("last_conflict_scan_at").alias("_since"))
-    new = F.col("_since").isNull() | F.coalesce(F.col("created_at") > F.col("_since"), F.lit(False))
-    members = title_classes(memories).join(since, "project_id", "left").select("project_id", "class_id", "id", new.alias("is_new"))
-    both = F.array_distinct(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    ways = pairs.select("project_id", F.explode(both).alias("w"), "similarity").select("project_id", "w.a", "w.b", "similarity")
-    fresh = members.where("is_new").select("project_id", F.col("class_id").alias("a"), F.col("id").alias("i"))
-    other = members.select("project_id", F.col("class_id").alias("b"), F.col("id").alias("j"), F.col("is_new").alias("j_new"))
-    # two newer members meet from both sides; the one from the lesser id stays
-    met = fresh.join(ways, ["project_id", "a"]).join(other, ["project_id", "b"]).where("i <> j AND (NOT j_new OR i < j)")
-    met = met.select("project_id", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "similarity")
-    return met.join(_linked(relations), ["project_id", "x", "y"], "left_anti")
+    across = pairs.where("a <> b").select("project_id", F.col("a").alias("source_id"), F.col("b").alias("target_id"), "similarity")
+    touched = pairs.select("project_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("class_id")).distinct()
+    members = title_classes(memories).where("id <> class_id").join(touched, ["project_id", "class_id"], "left_semi")
+    within = members.select("project_id", F.col("class_id").alias("source_id"), F.col("id").alias("target_id"), F.lit(1.0).alias("similarity"))
+    links = across.unionByName(within).withColumns({"x": F.least("source_id", "target_id"), "y": F.greatest("source_id", "target_id")})
+    return links.join(_linked(relations), ["project_id", "x", "y"], "left_anti").drop("x", "y")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knowloom.functions import scalar, text
 from knowloom.operators import graph as G
 from knowloom.operators.lifecycle import active_changes
-from knowloom.operators.memory import code_links, first_of
+from knowloom.operators.memory import first_of
 from knowloom.operators.search import active
 from knowloom.operators.specs import capability_digest
 
@@ -33,12 +33,13 @@ def graph_boosted(memories: DataFrame, nodes: DataFrame, path: str) -> DataFrame
     return rows.where(direct).select(*cols, F.lit(False).alias("boosted")).unionByName(by_community.select(*cols, F.lit(True).alias("boosted")))
 
 
-def linked_memories(memories: DataFrame, nodes: DataFrame, at: DataFrame, n: int = 5) -> DataFrame:
-    """(project_id, rank, id, what, source): memories of each node's path first, then those linked to it by a rationale, each once."""
+def linked_memories(memories: DataFrame, nodes: DataFrame, edges: DataFrame, at: DataFrame, n: int = 5) -> DataFrame:
+    """(project_id, rank, id, what, source): memories of each node's path first, then those that a ``rationale_for`` edge of the graph leads from, each once."""
     where = nodes.join(at.select(*G.NODE), G.NODE, "left_semi").select("project_id", F.col("id").alias("node_id"), "path")
     m = active(memories).withColumn("path", text.node_path(F.col("where_path")))
     by_path = m.join(where, ["project_id", "path"]).select("project_id", "id", F.lit(0).alias("source"))
-    by_edge = code_links(memories, nodes).join(where.select("project_id", "node_id"), ["project_id", "node_id"]).select("project_id", F.col("memory_id").alias("id"), F.lit(1).alias("source"))
+    reasons = edges.where("relation_type = 'rationale_for'").select("project_id", F.col("target_id").alias("node_id"), F.col("source_id").alias("id"))
+    by_edge = reasons.join(where.select("project_id", "node_id"), ["project_id", "node_id"]).select("project_id", "id", F.lit(1).alias("source"))
     once = by_path.unionByName(by_edge).groupBy(*G.NODE).agg(F.min("source").alias("source"))
     full = once.join(active(memories).select(*G.NODE, "what", "created_at"), G.NODE)
     return first_of(full, ["project_id"], [F.col("source"), F.desc_nulls_last("created_at"), F.col("id")], min(max(n, 1), 20)).select("project_id", "rank", "id", text.redact(F.col("what")).alias("what"), "source")
@@ -53,7 +54,7 @@ def context_pack(nodes: DataFrame, edges: DataFrame, memories: DataFrame, path:
     c = F.col
     deg = G.roles(G.degrees(nodes, edges)).join(at.select(*G.NODE), G.NODE, "left_semi")
     node = deg.select("project_id", F.lit("node").alias("section"), F.lit(1).alias("rank"), "id", F.concat_ws(" ", "role", "risk", c("fan_in").cast("string"), c("fan_out").cast("string")).alias("detail"))
-    mem = linked_memories(memories, nodes, at, n).select("project_id", F.lit("memory").alias("section"), "rank", "id", c("what").alias("detail"))
+    mem = linked_memories(memories, nodes, edges, at, n).select("project_id", F.lit("memory").alias("section"), "rank", "id", c("what").alias("detail"))
     near = G.neighbours(nodes, edges, 5).join(at.select(*G.NODE), G.NODE, "left_semi").select("project_id", c("side").alias("section"), "rank", c("other_id").alias("id"), c("relation_type").alias("detail"))
     blast = G.blast_radius(nodes, edges, at.select("project_id", c("id").alias("start_id")), 3, 10).select("project_id", F.lit("blast").alias("section"), "rank", "id", F.concat(c("depth").cast("string"), F.lit(" "), "relation_type").alias("detail"))
     out = node.unionByName(mem).unionByName(near).unionByName(blast)

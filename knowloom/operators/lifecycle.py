@@ -28,8 +28,16 @@ def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """``current`` with the rows of ``incoming`` in place of those with the same keys; missing columns are null."""
-    both = current.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
+    """``current`` with the rows of ``incoming`` in place of those with the same keys; missing columns are null.
+
+    Of several incoming rows of one key the one seen last stays, then the one made last, then the highest revision, where
+    there are such columns; the content decides between equal ones, so a repeated run has the same outcome.
+    """
+    have = set(incoming.columns)
+    times = [F.col(c) for c in ("last_seen_at", "created_at") if c in have]
+    order = ([F.coalesce(*times)] if times else []) + [F.col(c) for c in ("created_at", "updated_at", "revision_count") if c in have]
+    newest = latest(incoming, keys, [*order, F.to_json(F.struct(*sorted(have)))])
+    both = current.withColumn("_seq", F.lit(0)).unionByName(newest.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
     return latest(both, keys, [F.col("_seq")]).drop("_seq")
 
 
@@ -101,6 +109,40 @@ def prepare(incoming: DataFrame, as_of: datetime) -> DataFrame:
     })
 
 
+def save(incoming: DataFrame, current: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+    """(memories, actions): ``current`` after saving ``incoming`` in the order of created_at and id, all at ``as_of``.
+
+    A save with a topic revises the topic's newest active memory, or makes it, so that of several saves of one topic in a batch the last one's
+    content stays and each counts as a revision. One without raises the count of an active memory of equal content and category made in the 24
+    hours before, or is inserted, and its repeats in the batch count on it. Rows are prepared as :func:`prepare` does.
+    actions: (project_id, id, action, target_id), one row for each save: insert, upsert or bump, and the memory it went to.
+    """
+    c = F.col
+    rows = prepare(incoming, as_of).withColumn("_topic", F.coalesce(c("topic_key") != "", F.lit(False)))
+    cols, place = incoming.columns, F.struct("created_at", "id")
+    live = active(current)
+    old_topics = first_of(live.where("topic_key <> ''"), ["project_id", "topic_key"], [F.desc("created_at"), c("id")]).select("project_id", "topic_key", F.struct("id", "revision_count", "duplicate_count", "created_at", "pinned", "change_id").alias("_old"))
+    topics = rows.where("_topic").groupBy("project_id", "topic_key").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(*cols), place).alias("_last"), F.min(place).alias("_first")).join(old_topics, ["project_id", "topic_key"], "left")
+    kept = {
+        "id": F.coalesce("_old.id", "_first.id"), "revision_count": F.coalesce("_old.revision_count", F.lit(0)) + c("_n"), "duplicate_count": F.coalesce("_old.duplicate_count", F.lit(0)).cast("bigint"),
+        "created_at": F.coalesce("_old.created_at", "_first.created_at"), "last_seen_at": F.lit(as_of), "pinned": F.coalesce("_old.pinned", "_last.pinned"), "change_id": F.coalesce("_last.change_id", "_old.change_id"), "deleted_at": F.lit(None).cast("timestamp"),
+    }
+    revised = topics.select(*[kept.get(x, c(f"_last.{x}")).alias(x) for x in cols], c("_old").isNotNull().alias("_was"), c("_first.id").alias("_head"))
+    digest = scalar.content_hash(*[c(x) for x in ("what", "why", "learned", "where_path")])
+    recent = live.where(c("created_at") > F.timestamp_micros(F.unix_micros(F.lit(as_of)) - DAY)).withColumn("normalized_hash", digest)
+    key = ["project_id", "category", "normalized_hash"]
+    old_repeats = recent.groupBy(*key).agg(F.min_by(F.struct(*current.columns), place).alias("_old"))
+    plain = rows.where(~c("_topic")).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(*cols), place).alias("_first")).join(old_repeats, key, "left")
+    was = c("_old").isNotNull()
+    counted = {"duplicate_count": F.when(was, F.coalesce("_old.duplicate_count", F.lit(0)) + c("_n")).otherwise(c("_n") - 1).cast("bigint"), "revision_count": F.when(was, c("_old.revision_count")).otherwise(F.coalesce("_first.revision_count", F.lit(0))).cast("bigint"), "last_seen_at": F.lit(as_of)}
+    repeated = plain.select(*[counted.get(x, F.when(was, c(f"_old.{x}") if x in current.columns else F.lit(None)).otherwise(c(f"_first.{x}"))).alias(x) for x in cols], was.alias("_was"), c("_first.id").alias("_head"), *[c(k).alias(f"_{k}") for k in key])
+    new = revised.select(*cols).unionByName(repeated.select(*cols))
+    by_topic = rows.where("_topic").select(*["project_id", "id", "topic_key"]).join(revised.select("project_id", "topic_key", c("id").alias("target_id"), "_was", "_head"), ["project_id", "topic_key"])
+    by_content = rows.where(~c("_topic")).select("id", *key).join(repeated.select(*[c(f"_{k}").alias(k) for k in key], c("id").alias("target_id"), "_was", "_head"), key)
+    done = lambda df, again: df.select("project_id", "id", F.when(~c("_was") & (c("id") == c("_head")), "insert").otherwise(again).alias("action"), "target_id")
+    return upsert(current, new, ["project_id", "id"]), done(by_topic, "upsert").unionByName(done(by_content, "bump"))
+
+
 def update(memories: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
     """``changes`` (project_id, id, any fields): null keeps a field and an empty string clears it; the revision rises and the hash follows."""
     fields = [c for c in changes.columns if c not in ("project_id", "id")]
@@ -211,6 +253,14 @@ def empty_projects(projects: DataFrame, memories: DataFrame) -> DataFrame:
     return projects.join(active(memories).select(F.col("project_id").alias("id")).distinct(), "id", "left_anti")
 
 
+def register(projects: DataFrame, paths: DataFrame, as_of: datetime) -> DataFrame:
+    """``projects`` with a row for each of ``paths`` (path[, name]) that has none yet; the id follows from the path, the name from its last part."""
+    path = F.regexp_replace(text.trim_space(F.col("path")), "/+$", "")
+    named = F.coalesce(F.col("name"), F.substring_index(path, "/", -1)) if "name" in paths.columns else F.substring_index(path, "/", -1)
+    rows = paths.where(path != "").select(F.substring(F.sha2(path, 256), 1, 12).alias("id"), named.alias("name"), path.alias("path"), F.lit(as_of).alias("created_at"))
+    return insert_or_ignore(projects, rows, ["id"])
+
+
 def consolidate(tables: dict[str, DataFrame], source: str, target: str) -> dict[str, DataFrame]:
     """Every table with the rows of one project moved to another; the project row itself goes."""
     moved = lambda t: t.withColumn("project_id", F.when(F.col("project_id") == source, target).otherwise(F.col("project_id")))
@@ -226,22 +276,6 @@ def delete_project(tables: dict[str, DataFrame], project: str, as_of: datetime |
     return tables | {"memories": memories.withColumn("deleted_at", gone)}
 
 
-#: Which states a change may move to.
-TRANSITIONS = {"draft": ("proposed", "rejected"), "proposed": ("validated", "rejected", "draft"), "validated": ("applied", "rejected"), "applied": ("archived",), "archived": (), "rejected": ("draft",)}
-
-
-def move_changes(changes: DataFrame, moves: DataFrame, as_of: datetime) -> DataFrame:
-    """``changes`` with ``moves`` (project_id, id, to_status) made; unknown states are refused row by row and leave the row as it is."""
-    m = moves.select("project_id", "id", F.col("to_status").alias("_to"))
-    ok = F.coalesce(F.col("_to").isin(*TRANSITIONS), F.lit(False))
-    rows = changes.join(m, ["project_id", "id"], "left")
-    ends = F.col("_to").isin("applied", "archived")
-    return rows.withColumns({
-        "archived_at": F.when(ok & ends, F.lit(as_of)).otherwise(F.col("archived_at")), "updated_at": F.when(ok, F.lit(as_of)).otherwise(F.col("updated_at")),
-        "status": F.when(ok, F.col("_to")).otherwise(F.col("status")),
-    }).select(*changes.columns)
-
-
 def active_changes(changes: DataFrame, path: str | None = None, n: int = 10) -> DataFrame:
     """Changes neither archived nor rejected, those whose path holds ``path``, newest first, with the progress of their tasks."""
     rows = changes.where(~F.col("status").isin("archived", "rejected"))

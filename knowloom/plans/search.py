@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions import scalar, text
 from knowloom.operators import search as S
-from knowloom.operators.conflicts import conflict_pairs, member_pairs, title_classes
+from knowloom.operators.conflicts import conflict_pairs, entered_links, title_classes
 from knowloom.plans import sqltext as q
 from knowloom.plans.functions import NOW
 from knowloom.tables import table
@@ -58,10 +58,10 @@ def sea_similar_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
-def sea_conflict_members(spark: SparkSession, d: str) -> DataFrame:
-    """What an applying scan enters: the pairs of memories behind the pairs of classes."""
-    m, p, r = _m(spark, d), table(spark, d, "projects"), table(spark, d, "memory_relations")
-    return member_pairs(conflict_pairs(m, p, r), m, p, r).withColumn("similarity", F.round("similarity", 9))
+def entered(spark: SparkSession, d: str) -> DataFrame:
+    """What an applying scan enters for the pairs of classes."""
+    m, r = _m(spark, d), table(spark, d, "memory_relations")
+    return entered_links(conflict_pairs(m, table(spark, d, "projects"), r), m, r).withColumn("similarity", F.round("similarity", 9))
 
 
 def sim_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def sim_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "sea_01_bm25_all": sea_all, "sea_01_bm25_any": sea_any, "sea_02_plain": sea_plain, "sea_03_hybrid": sea_hybrid, "sea_04_similar": sea_similar,
     "sea_05_preflight": sea_preflight, "flt_06_path_browse": sea_browse, "join_10_conflict_pairs": sea_similar_conflicts, "join_10_classes": sim_classes,
-    "join_10_member_pairs": sea_conflict_members,
+    "join_10_entered": entered,
 }
 
 _COMPACT = "category, what, topic_key, revision_count, duplicate_count, created_at"
@@ -119,6 +119,17 @@ _COS = f"""w AS (SELECT id, unnest(list_filter({q.raw_tokens('what')}, lambda x:
     v AS (SELECT id, term, sum(v) AS v FROM vt GROUP BY ALL), qv(term, qw) AS (VALUES {_QROWS}),
     c AS (SELECT id, least(1.0::DOUBLE, coalesce(sum(v * qw), 0::DOUBLE) / sqrt(sum(v * v))) AS cos FROM v LEFT JOIN qv USING (term) GROUP BY id)"""
 
+_CONFLICTS = f"""WITH m AS (SELECT project_id, id, created_at, list_sort(list_distinct({q.title_tokens('what')})) AS tokens FROM memories WHERE deleted_at IS NULL),
+        c AS (SELECT m.*, min(id) OVER (PARTITION BY project_id, tokens) AS class_id, (p.last_conflict_scan_at IS NULL OR m.created_at > p.last_conflict_scan_at) AS is_new
+              FROM m LEFT JOIN (SELECT id AS pid, last_conflict_scan_at FROM projects) p ON p.pid = m.project_id),
+        k AS (SELECT project_id, class_id, any_value(tokens) AS tokens, count(*) AS n, bool_or(is_new) AS has_new FROM c GROUP BY ALL),
+        a AS (SELECT x.project_id, x.class_id AS a, y.class_id AS b, {q.jaccard('x.tokens', 'y.tokens')}::DOUBLE AS similarity, x.n * y.n AS all_pairs
+              FROM k x JOIN k y ON x.project_id = y.project_id AND x.class_id < y.class_id AND (x.has_new OR y.has_new) AND list_has_any(x.tokens, y.tokens)),
+        p AS (SELECT * FROM a WHERE similarity >= 0.45 UNION ALL SELECT project_id, class_id, class_id, 1.0, n * (n - 1) // 2 FROM k WHERE n > 1 AND has_new),
+        l AS (SELECT DISTINCT project_id, least(source_id, target_id) AS x, greatest(source_id, target_id) AS y FROM memory_relations WHERE source_id <> target_id),
+        n AS (SELECT l.project_id, least(u.class_id, v.class_id) AS a, greatest(u.class_id, v.class_id) AS b, count(*) AS n_linked FROM l JOIN c u ON u.project_id = l.project_id AND u.id = x JOIN c v ON v.project_id = l.project_id AND v.id = y GROUP BY ALL),
+        cp AS (SELECT p.project_id, p.a, p.b, round(similarity, 9) AS similarity, CAST(all_pairs - coalesce(n_linked, 0) AS BIGINT) AS n_pairs FROM p LEFT JOIN n ON n.project_id = p.project_id AND n.a = p.a AND n.b = p.b WHERE all_pairs > coalesce(n_linked, 0)) """
+
 SQL = {
     "sea_01_bm25_all": f"{_bm25(_ALL)} SELECT project_id, id, {_COMPACT.replace('what', q.redact('what') + ' AS what', 1)}, round({_TRI}, 6) AS score, CAST(row_number() OVER (PARTITION BY project_id ORDER BY {_TRI}, id) AS INT) AS rank FROM s WHERE matched = {len(_ALL)} QUALIFY rank <= 10",
     "sea_01_bm25_any": f"{_bm25(_ANY)} SELECT project_id, id, {_COMPACT.replace('what', q.redact('what') + ' AS what', 1)}, round({_TRI}, 6) AS score, CAST(row_number() OVER (PARTITION BY project_id ORDER BY {_TRI}, id) AS INT) AS rank FROM s WHERE category = 'decision' QUALIFY rank BETWEEN 3 AND 7",
@@ -139,15 +150,9 @@ SQL = {
         j AS (SELECT *, {q.jaccard(q.title_tokens(q.quote(TITLE + ' use one exporter for each partition')), q.title_tokens('what'))} AS sim FROM r),
         i AS (SELECT project_id, id AS memory_id, category, what, coalesce(pinned, false) AS pinned, floor(sim * 100 + 0.5) / 100 AS similarity, CASE WHEN pinned THEN 'BLOCK' ELSE 'WARN' END AS severity FROM j WHERE sim >= 0.2)
         SELECT *, min(severity) OVER (PARTITION BY project_id) AS verdict FROM i""",
-    "join_10_conflict_pairs": f"""WITH m AS (SELECT project_id, id, created_at, list_sort(list_distinct({q.title_tokens('what')})) AS tokens FROM memories WHERE deleted_at IS NULL),
-        c AS (SELECT m.*, min(id) OVER (PARTITION BY project_id, tokens) AS class_id, (p.last_conflict_scan_at IS NULL OR m.created_at > p.last_conflict_scan_at) AS is_new
-              FROM m LEFT JOIN (SELECT id AS pid, last_conflict_scan_at FROM projects) p ON p.pid = m.project_id),
-        k AS (SELECT project_id, class_id, any_value(tokens) AS tokens, count(*) AS n, bool_or(is_new) AS has_new FROM c GROUP BY ALL),
-        a AS (SELECT x.project_id, x.class_id AS a, y.class_id AS b, {q.jaccard('x.tokens', 'y.tokens')}::DOUBLE AS similarity, x.n * y.n AS all_pairs
-              FROM k x JOIN k y ON x.project_id = y.project_id AND x.class_id < y.class_id AND (x.has_new OR y.has_new) AND list_has_any(x.tokens, y.tokens)),
-        p AS (SELECT * FROM a WHERE similarity >= 0.45 UNION ALL SELECT project_id, class_id, class_id, 1.0, n * (n - 1) // 2 FROM k WHERE n > 1 AND has_new),
-        l AS (SELECT DISTINCT project_id, least(source_id, target_id) AS x, greatest(source_id, target_id) AS y FROM memory_relations WHERE source_id <> target_id),
-        n AS (SELECT l.project_id, least(u.class_id, v.class_id) AS a, greatest(u.class_id, v.class_id) AS b, count(*) AS n_linked FROM l JOIN c u ON u.project_id = l.project_id AND u.id = x JOIN c v ON v.project_id = l.project_id AND v.id = y GROUP BY ALL)
-        SELECT p.project_id, p.a, p.b, round(similarity, 9) AS similarity, CAST(all_pairs - coalesce(n_linked, 0) AS BIGINT) AS n_pairs FROM p LEFT JOIN n ON n.project_id = p.project_id AND n.a = p.a AND n.b = p.b WHERE all_pairs > coalesce(n_linked, 0)""",
+    "join_10_conflict_pairs": _CONFLICTS + "SELECT * FROM cp",
+    "join_10_entered": _CONFLICTS + """, lk AS (SELECT project_id, a AS source_id, b AS target_id, similarity FROM cp WHERE a <> b
+        UNION ALL SELECT project_id, class_id, id, 1.0 FROM c WHERE id <> class_id AND EXISTS (SELECT 1 FROM cp WHERE cp.project_id = c.project_id AND c.class_id IN (cp.a, cp.b)))
+        SELECT * FROM lk WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.project_id = lk.project_id AND l.x = least(source_id, target_id) AND l.y = greatest(source_id, target_id))""",
     "join_10_classes": f"SELECT project_id, id, min(id) OVER (PARTITION BY project_id, list_sort(list_distinct({q.title_tokens('what')}))) AS class_id FROM memories WHERE deleted_at IS NULL",
 }

@@ -5,7 +5,6 @@ Each takes a streaming frame and returns one, or starts a query with a checkpoin
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -16,9 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from knowloom.functions import scalar
-from knowloom.operators.conflicts import conflict_pairs, member_pairs
+from knowloom.operators.conflicts import conflict_pairs, entered_links, title_classes
 from knowloom.operators.lifecycle import compact
-from knowloom.runtime import shared_root
+from knowloom.runtime import cut, shared_path
 from knowloom.sinks.store import Store
 from knowloom.tables import MEMORIES
 
@@ -77,30 +76,36 @@ def upsert_memories(stream: DataFrame, store: Store, checkpoint: str, keys: tupl
 
     Of several versions in one batch the one seen last stays, then the one made last, then the highest revision; the content decides between equal ones.
     """
-    from knowloom.operators.lifecycle import latest, upsert
+    from knowloom.operators.lifecycle import upsert
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        newest = latest(batch, list(keys), [F.coalesce("last_seen_at", "created_at"), F.col("created_at"), F.col("revision_count"), *[F.col(c) for c in batch.columns if c not in keys]])
-        current = store.read("memories") if "memories" in store.versions() else newest.limit(0)
-        store.commit(memories=upsert(current, newest, list(keys)))
+        current = store.read("memories") if "memories" in store.versions() else batch.limit(0)
+        store.commit(memories=upsert(current, batch, list(keys)))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def scan_conflicts(store: Store, as_of: datetime, threshold: float = 0.45, apply: bool = True) -> DataFrame:
-    """Pairs of similar titles with a side newer than the last applied scan; applying adds pending relations and moves the mark in one commit.
+    """Pairs of classes of similar titles with a side newer than the last applied scan; a dry run moves nothing, so it can be repeated.
 
-    Every pair of members that is not linked yet is entered, also within a class, before the mark moves past them. A dry run moves nothing, so it can be repeated.
+    Applying enters pending relations, the membership of the classes (conflict_classes) and the new mark in one commit: a relation between
+    the representatives of two classes and one from each member to its representative, so that no pair is lost, none within a
+    class either, and copies of one title stay linear in their number.
     """
     memories, projects, relations = (store.read(t) for t in ("memories", "projects", "memory_relations"))
     found = conflict_pairs(memories, projects, relations, threshold)
     if apply:
-        new = member_pairs(found, memories, projects, relations).select(
-            scalar.new_id(F.col("project_id"), F.col("x"), F.col("y")).alias("id"), "project_id", F.col("x").alias("source_id"), F.col("y").alias("target_id"), F.lit("conflicts_with").alias("relation_type"),
-            F.lit("pending").alias("status"), F.col("similarity").alias("score"), F.format_string("High description similarity (%.0f%%) between %s and %s", F.col("similarity") * 100, F.col("x"), F.col("y")).alias("reason"),
+        found = cut(found, "conflicts")
+        new = entered_links(found, memories, relations)
+        new = new.select(
+            scalar.new_id(F.col("project_id"), F.col("source_id"), F.col("target_id")).alias("id"), "project_id", "source_id", "target_id", F.lit("conflicts_with").alias("relation_type"), F.lit("pending").alias("status"),
+            F.col("similarity").alias("score"), F.format_string("High description similarity (%.0f%%) between %s and %s", F.col("similarity") * 100, F.col("source_id"), F.col("target_id")).alias("reason"),
             F.lit("system").alias("judged_by"), F.lit(as_of).alias("created_at"),
         )
-        store.commit(memory_relations=relations.unionByName(new, allowMissingColumns=True), projects=projects.withColumn("last_conflict_scan_at", F.lit(as_of)))
+        store.commit(
+            memory_relations=relations.unionByName(new, allowMissingColumns=True), projects=projects.withColumn("last_conflict_scan_at", F.lit(as_of)),
+            conflict_classes=title_classes(memories).select("project_id", "class_id", "id"),
+        )
     return found
 
 
@@ -121,7 +126,7 @@ def compact_store(store: Store, as_of: datetime, newer_than: datetime | None = N
 def run_once(stream: DataFrame) -> DataFrame:
     """What a stream has to say of the files that are there, written to the shared folder by one available-now run and read back."""
     spark = stream.sparkSession
-    root = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    root = shared_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from knowloom.operators import agent, lifecycle
+from knowloom.operators import agent, changes, lifecycle
 from knowloom.operators import memory as M
 from knowloom.operators import search as S
 from knowloom.operators.conflicts import conflict_pairs
@@ -131,7 +131,7 @@ def test_consolidation_and_changes(spark):
     assert lifecycle.empty_projects(p, m.where("project_id = 'p'")).first().id == "q"
     schema = "project_id string, id string, slug string, status string, title string, where_path string, tasks string, created_at timestamp, updated_at timestamp, archived_at timestamp"
     c = spark.createDataFrame([("p", "1", "s", "draft", "t", "pkg/a", "- [x] a\n- [ ] b", _ago(days=1), None, None), ("p", "2", "s", "archived", "t", "pkg/a", "", _ago(days=1), None, None)], schema)
-    moved = lifecycle.move_changes(c, spark.createDataFrame([("p", "1", "applied"), ("p", "2", "nonsense")], "project_id string, id string, to_status string"), NOW)
+    moved = changes.move_changes(c, spark.createDataFrame([("p", "1", "applied"), ("p", "2", "nonsense")], "project_id string, id string, to_status string"), NOW)
     assert {r.id: (r.status, r.archived_at is None) for r in moved.collect()} == {"1": ("applied", False), "2": ("archived", True)}
     assert [(r.id, r.progress) for r in lifecycle.active_changes(c, "PKG").collect()] == [("1", "1/2 (50%)")]
     states = M.state_counts(c, p, M.CHANGE_STATES).where("project_id = 'p' AND n > 0").collect()

@@ -260,7 +260,7 @@ def test_scheduled_scans(spark, tmp_path):
     assert jobs.compact_store(store, t) == 1 and jobs.compact_store(store, t, t) == 0
 
 
-def test_applied_scan_enters_every_unlinked_pair_of_members(spark, tmp_path):
+def test_applied_scan_links_every_member_in_linear_rows(spark, tmp_path):
     import datetime as dt
     from itertools import combinations
 
@@ -268,16 +268,23 @@ def test_applied_scan_enters_every_unlinked_pair_of_members(spark, tmp_path):
 
     store = Store(spark, str(tmp_path / "s"))
     old, mark, now = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)
-    titles = {"a": "tune ledger cache", "b": "ledger cache tune", "c": "tune ledger cache now", "d": "tune ledger cache now", "e": "rename exporter fields"}
+    titles = {"a": "tune ledger cache", "b": "ledger cache tune", "c": "tune ledger cache now", "d": "tune ledger cache now", "d2": "now tune ledger cache", "e": "rename exporter fields"}
     memory = lambda i, w, t: {**dict.fromkeys(MEMORIES.names), "id": i, "project_id": "p", "what": w, "created_at": t}
-    linked = {**dict.fromkeys(MEMORY_RELATIONS.names), "id": "r", "project_id": "p", "source_id": "d", "target_id": "a", "relation_type": "conflicts_with", "status": "judged"}
+    linked = {**dict.fromkeys(MEMORY_RELATIONS.names), "id": "r", "project_id": "p", "source_id": "d", "target_id": "c", "relation_type": "conflicts_with", "status": "judged"}
     store.commit(memories=spark.createDataFrame([memory(i, w, old) for i, w in titles.items()], MEMORIES), projects=spark.createDataFrame([("p",) + (None,) * 5], PROJECTS), memory_relations=spark.createDataFrame([linked], MEMORY_RELATIONS))
     links = lambda: sorted(tuple(sorted((r.source_id, r.target_id))) for r in store.read("memory_relations").collect())
+
+    def similar():
+        """Pairs that the relations and the classes stand for."""
+        cls = {r.id: r.class_id for r in store.read("conflict_classes").collect()}
+        between = {tuple(sorted((cls[x], cls[y]))) for x, y in links()}
+        return {(x, y) for x, y in combinations(sorted(cls), 2) if tuple(sorted((cls[x], cls[y]))) in between}
+
     jobs.scan_conflicts(store, mark)
-    assert links() == sorted(combinations("abcd", 2))
-    assert {(r.source_id, r.target_id): r.score for r in store.read("memory_relations").where("status = 'pending'").collect()}["a", "b"] == 1.0
+    assert links() == [("a", "b"), ("a", "c"), ("c", "d"), ("c", "d2")] and similar() == set(combinations(["a", "b", "c", "d", "d2"], 2))
+    assert {(r.source_id, r.target_id): r.score for r in store.read("memory_relations").where("status = 'pending'").collect()} == {("a", "b"): 1.0, ("a", "c"): 0.75, ("c", "d2"): 1.0}
     store.commit(memories=store.read("memories").unionByName(spark.createDataFrame([memory("z", "now tune ledger cache", now)], MEMORIES)))
     jobs.scan_conflicts(store, now)
-    assert links() == sorted(combinations("abcdz", 2))
+    assert links() == [("a", "b"), ("a", "c"), ("c", "d"), ("c", "d2"), ("c", "z")] and similar() == set(combinations(["a", "b", "c", "d", "d2", "z"], 2))
     jobs.scan_conflicts(store, now)
-    assert links() == sorted(combinations("abcdz", 2))
+    assert len(links()) == 5
