@@ -7,9 +7,10 @@ shared folder, so that plans stay short and a lost executor costs one level.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -347,7 +348,7 @@ def _moved(arcs: DataFrame, hot: DataFrame, members: DataFrame, member_bytes: in
         options = near.join(members, NODE)
         best = options.groupBy("project_id", "id", "k", "m2", "community").agg(F.min(F.struct((-c("links")).alias("o"), "to")).alias("best"), F.max(F.when(c("to") == c("community"), c("links"))).alias("stay"))
         stay = F.coalesce("stay", F.lit(0.0)) - F.when(c("best.to") < c("community"), 1e-6).otherwise(0.0)  # of equal labels the least
-    on_turn = F.pmod(F.xxhash64("project_id", "id", F.lit(turn)), F.lit(2)) == 0
+    on_turn = F.md5(F.concat_ws("|", "project_id", "id", F.lit(str(turn)))) < "8"
     go = c("best").isNotNull() & (-c("best.o") > stay + 1e-9)
     # every member has an arc, so none is lost
     return best.select("project_id", "id", "k", "m2", F.when(go & on_turn, c("best.to")).otherwise(c("community")).alias("community"), F.coalesce(go, F.lit(False)).alias("moved"))
@@ -396,9 +397,8 @@ def _in_rounds(arcs: DataFrame, by_modularity: bool) -> DataFrame:
 
 
 def _turns(project: str, ids: np.ndarray, turn: int) -> np.ndarray:
-    """Which vertices may move in a turn, by the hash that the rounds of joins use."""
-    seed, end = xxhash.xxh64_intdigest(project.encode(), 42), turn.to_bytes(4, "little")
-    return np.array([xxhash.xxh64_intdigest(end, xxhash.xxh64_intdigest(i.encode(), seed)) % 2 == 0 for i in ids], bool)
+    """Which vertices may move in a turn, by the digest that the rounds of joins use."""
+    return np.array([hashlib.md5(f"{project}|{i}|{turn}".encode()).digest()[0] < 128 for i in ids], bool)
 
 
 def settle(project: str, ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, by_modularity: bool) -> np.ndarray:

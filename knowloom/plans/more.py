@@ -151,7 +151,7 @@ SQL = {
     "sea_11_session_context": f"""WITH c AS (SELECT project_id, arg_max(id, (coalesce(ended_at, TIMESTAMPTZ '1900-01-01'), id)) AS session_id FROM sessions WHERE {_STATE} = 'completed' GROUP BY 1),
         m AS (SELECT project_id, session_id, CAST(row_number() OVER (PARTITION BY project_id, session_id ORDER BY created_at, id) AS INT) AS rank, id, {q.redact('what')} AS what {_LIVE} AND session_id IS NOT NULL)
         SELECT m.* FROM m JOIN c ON c.project_id = m.project_id AND c.session_id = m.session_id WHERE rank <= 10""",
-    "gra_07_insight": f"{P._BASE}, {P._G} SELECT project_id, id, community, degree::DOUBLE AS centrality FROM n JOIN g USING (project_id, id) JOIN d USING (project_id, id)",
+    "gra_07_insight": f"{P._BASE}, {P._G}, {P._B} SELECT project_id, id, community, centrality FROM g JOIN bc USING (project_id, id)",
     "gra_11_community_paths": f"{P._BASE}, {P._S}, a AS (SELECT n.project_id, path AS p, regexp_extract(path, '^(.*)/[^/]*$', 1) AS f FROM n JOIN st ON st.project_id = n.project_id AND st.start_id = n.id) SELECT DISTINCT n.project_id, n.path FROM n JOIN a ON a.project_id = n.project_id WHERE node_type <> 'document' AND path <> '' AND ((f <> '' AND starts_with(path, f || '/')) OR path = p)",
     "dml_06_pin": "SELECT project_id, id FROM memories WHERE pinned OR category = 'standard'",
     "dml_10_ignore": "SELECT CASE WHEN status = 'pending' THEN 'ignored' ELSE status END AS status, count(*) AS n FROM memory_relations GROUP BY 1",
