@@ -71,10 +71,15 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
+def overlap(a: Column, b: Column) -> tuple[Column, Column]:
+    """(shared, either): how many distinct elements two arrays share, and how many are in either."""
+    return F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct elements of two arrays; two empty arrays are alike."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    shared, either = overlap(a, b)
+    return F.when(either == 0, 1.0).otherwise(shared / either)
 
 
 def subword_terms(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from knowloom.functions import scalar, text
 from knowloom.operators import lifecycle, specs
 from knowloom.operators.memory import CHANGE_STATES, first_of
+from knowloom.runtime import cut
 from knowloom.tables import CHANGES, conform
 
 KEY = ["project_id", "id"]
@@ -117,14 +118,14 @@ def commit_changes(tables: dict[str, DataFrame], decisions: DataFrame, as_of: da
     """
     named = decisions.select("project_id", F.col("change_id").alias("id")).distinct()
     known = tables["changes"].join(named, KEY, "left_semi")
-    deltas = deltas_of(tables["deltas"], known)
+    deltas = cut(deltas_of(tables["deltas"], known), "deltas")
     _, trouble = specs.merge_deltas(tables["capabilities"], deltas)
     bad = deltas.select(*specs.ROW, "change_id").withColumn("requirement", text.redact(text.trim_space(F.col("requirement")))).join(trouble, specs.ROW).select("project_id", "change_id", "problem").distinct()
     lost = named.join(known.select(*KEY), KEY, "left_anti").select("project_id", F.col("id").alias("change_id"), F.lit("no such change").alias("problem"))
-    problems = bad.unionByName(lost)
+    problems = cut(bad.unionByName(lost), "problems")
     stop = problems.select("project_id", "change_id").distinct()
     good = decisions.join(stop, ["project_id", "change_id"], "left_anti")
-    memories, actions = lifecycle.save(good, tables["memories"], as_of)
+    memories, actions = (cut(x, "saved") for x in lifecycle.save(good, tables["memories"], as_of))
     linked = link_memories(memories, actions.join(good.select(*KEY, "change_id"), KEY).select("project_id", F.col("target_id").alias("memory_id"), "change_id"))
     merged, _ = specs.merge_deltas(tables["capabilities"], deltas.join(stop, ["project_id", "change_id"], "left_anti"))
     moves = good.select("project_id", F.col("change_id").alias("id"), F.lit(status).alias("to_status")).distinct()

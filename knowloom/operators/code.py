@@ -77,6 +77,12 @@ def symbols(nodes: DataFrame) -> DataFrame:
     return rows.select("project_id", "path", "id", "label", F.coalesce(scalar.json_long(F.col("metadata"), "line"), F.lit(0)).alias("line"), code.language_group(F.col("path")).alias("grp"))
 
 
+def symbol_spans(syms: DataFrame) -> DataFrame:
+    """``syms`` with ``next``, the line at which the next symbol of the file begins, and ``last``, the line before it; null for a file's last symbol."""
+    w = Window.partitionBy("project_id", "path").orderBy("line", "id")
+    return syms.withColumn("next", F.lead("line").over(w)).withColumn("last", F.col("next") - 1)
+
+
 def containing_symbol(refs: DataFrame, syms: DataFrame) -> DataFrame:
     """``refs`` (project_id, path, line, ...) with ``caller_id``: the last symbol that begins at or before the line, null before the first.
 
@@ -110,9 +116,8 @@ def heuristic_calls(files: DataFrame, syms: DataFrame, covered: DataFrame | None
 
     A body runs to the line before the next symbol. Its words join the symbols of the same language by label; the first line of a word counts.
     """
-    w = Window.partitionBy("project_id", "path").orderBy("line", "id")
     start = F.greatest(F.col("line"), F.lit(1))
-    spans = syms.where("grp <> ''").select("project_id", "path", F.col("id").alias("source_id"), "grp", start.alias("first"), F.lead("line").over(w).alias("next"))
+    spans = symbol_spans(syms.where("grp <> ''")).select("project_id", "path", F.col("id").alias("source_id"), "grp", start.alias("first"), "next")
     todo = files if covered is None else files.join(covered.select("project_id", "path").distinct(), ["project_id", "path"], "left_anti")
     lines = todo.select("project_id", "path", F.split("content", "\n").alias("lines")).join(spans, ["project_id", "path"]).withColumn("last", F.when(F.col("next") > F.col("first"), F.col("next") - 1).otherwise(F.size("lines")))
     body = lines.where(F.col("first") <= F.size("lines")).select("project_id", "source_id", "grp", "first", F.posexplode(F.slice("lines", F.col("first").cast("int"), F.greatest(F.lit(0), F.least(F.col("last"), F.size("lines")) - F.col("first") + 1).cast("int"))).alias("k", "text"))

@@ -59,6 +59,11 @@ def pinned(memories: DataFrame, n: int = 20) -> DataFrame:
     return first_of(active(memories).where("pinned"), ["project_id"], [F.desc("created_at"), F.col("id")], n)
 
 
+def lookup(memories: DataFrame, keys: DataFrame) -> DataFrame:
+    """The active memories that ``keys`` (project_id, id) name, each once, however often a key is given."""
+    return active(memories).join(keys.select("project_id", "id").distinct(), ["project_id", "id"], "left_semi")
+
+
 def since(memories: DataFrame, t: datetime) -> DataFrame:
     return active(memories).where(F.col("created_at") > F.lit(t))
 
@@ -74,6 +79,16 @@ def stale(memories: DataFrame, as_of: datetime, days: int = 90, categories: tupl
     return active(memories).where(~F.coalesce("pinned", F.lit(False)) & F.col("category").isin(*categories) & (F.coalesce("last_seen_at", "created_at") < before))
 
 
+def ordered_union(sources: list[DataFrame], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each project of several sources (project_id, id, ...), those of an earlier source first, each id once; ``source`` counts from 0."""
+    both = None
+    for i, df in enumerate(sources):
+        rows = df.withColumn("source", F.lit(i))
+        both = rows if both is None else both.unionByName(rows)
+    once = first_of(both, ["project_id", "id"], [F.col("source"), *order], 1, "_once").drop("_once")
+    return first_of(once, ["project_id"], [F.col("source"), *order, F.col("id")], n)
+
+
 def relations_of(relations: DataFrame) -> DataFrame:
     """(project_id, memory_id, relation id, role): every relation under each of its two ends."""
     ends = F.array(F.struct(F.lit("source").alias("role"), F.col("source_id").alias("memory_id")), F.struct(F.lit("target").alias("role"), F.col("target_id").alias("memory_id")))
@@ -162,6 +177,12 @@ def current_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("project_id").agg(F.max(started)["id"].alias("active_id"), F.max(ended)["id"].alias("last_id"))
 
 
+def session_context(memories: DataFrame, sessions: DataFrame, n: int = 10) -> DataFrame:
+    """(project_id, session_id, rank, id, what): the first ``n`` memories of each project's last session, redacted."""
+    last = current_sessions(sessions).select("project_id", F.col("last_id").alias("session_id")).where("session_id IS NOT NULL")
+    return of_sessions(memories, n).join(last, ["project_id", "session_id"]).select("project_id", "session_id", "rank", "id", text.redact(F.col("what")).alias("what"))
+
+
 def timeline(memories: DataFrame, anchors: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
     """(project_id, anchor_id, id, what, created_at, position): neighbours in time of each anchor (project_id, anchor_id), negative before it.
 
@@ -228,8 +249,10 @@ def review_items(memories: DataFrame, relations: DataFrame, as_of: datetime, n:
     return top.join(counts, ["project_id", "id"], "left").select("project_id", "rank", "id", "age_days", "seen_days", "needs_review", "reason", F.coalesce("relation_count", F.lit(0)).alias("relation_count"))
 
 
-def recent_prompts(prompts: DataFrame, n: int = 5) -> DataFrame:
-    return first_of(prompts, ["project_id"], [F.desc_nulls_last("created_at"), F.col("id")], n).select("project_id", "rank", "id", "content", "created_at")
+def recent_prompts(prompts: DataFrame, n: int = 5, session_id: str | None = None) -> DataFrame:
+    """The newest prompts of each project, or of one session."""
+    rows = prompts.where(F.col("session_id") == session_id) if session_id else prompts
+    return first_of(rows, ["project_id"], [F.desc_nulls_last("created_at"), F.col("id")], n).select("project_id", "rank", "id", "content", "created_at")
 
 
 # -- joins -----------------------------------------------------------------

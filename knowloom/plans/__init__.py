@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES = ("references", "functions", "search", "memory", "graph", "lifecycle", "code", "more")
+MODULES = ("references", "functions", "search", "memory", "graph", "lifecycle", "code", "more", "records")
 
 
 def core_queries() -> dict[str, Query]:

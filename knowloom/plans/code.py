@@ -66,8 +66,30 @@ def markdown(s: SparkSession, d: str) -> DataFrame:
 
 
 def links(s: SparkSession, d: str) -> DataFrame:
-    urls = F.regexp_extract_all("text", F.lit(r"(https?://[^\s<>\"')\]]+)"), 1)
-    return table(s, d, "documents").select("doc_id", F.explode(urls).alias("url"))
+    """The links of a page for each edge between files: its ends as Markdown and as wiki links, among brackets that are none."""
+    e = table(s, d, "graph_edges").where("source_id IS NOT NULL AND target_id IS NOT NULL AND NOT contains(source_id || target_id, ':') AND trim(source_id) <> '' AND trim(target_id) <> ''").select("id", "source_id", "target_id").distinct()
+    page = F.concat(F.lit("# Edge\n[no] (x) [a]( [from]("), "source_id", F.lit(") to [["), "target_id", F.lit("|that]] [x]\n```mermaid\n[no](no)\n```\n[again]("), "target_id", F.lit(")"))
+    pages = e.select(F.concat_ws(">", "source_id", "target_id", "id").alias("project_id"), F.lit("a.md").alias("path"), page.alias("content")).distinct()
+    return extract(pages).where("kind = 'import'").select(F.col("project_id").alias("edge"), "name", "line")
+
+
+def spec_steps(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(current, deltas) as all memories with a change state them; what happens to a requirement follows from the length of its name.
+
+    A name of length 5n stays as it is, 5n + 1 is modified, 5n + 2 removed, 5n + 3 renamed, 5n + 4 added.
+    """
+    name = text.redact(text.trim_space(F.coalesce("what", F.lit(""))))
+    rows = memories.where("change_id <> ''").select("project_id", F.coalesce("topic_key", F.lit("general")).alias("capability_path"), name.alias("requirement"), text.redact(F.coalesce("why", F.lit(""))).alias("body"))
+    rows = rows.where("requirement <> ''").groupBy("project_id", "capability_path", "requirement").agg(F.min("body").alias("body")).withColumn("k", F.length("requirement") % 5)
+    none = F.lit(None).cast(f"array<{specs.SCENARIO}>")
+    op = F.when(F.col("k") == 1, "MODIFIED").when(F.col("k") == 2, "REMOVED").when(F.col("k") == 3, "RENAMED").otherwise("ADDED")
+    deltas = rows.where("k > 0").select("project_id", "capability_path", "requirement", op.alias("op"), F.when(F.col("k") == 3, F.concat("requirement", F.lit(" v2"))).alias("rename_to"), F.when(F.col("k") == 1, F.concat(F.lit("Changed. "), "body")).otherwise(F.col("body")).alias("body"), none.alias("scenarios"), F.lit(0).alias("sort_order"))
+    return rows.where("k < 4").drop("k").withColumn("scenarios", none), deltas
+
+
+def merged_steps(s: SparkSession, d: str) -> DataFrame:
+    state, _ = specs.merge_deltas(*(cut(x, "specs") for x in spec_steps(table(s, d, "memories"))))
+    return state.select("project_id", "capability_path", "requirement", "body", F.array_join("rfc2119", ",").alias("words"))
 
 
 def spec_history(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,12 +130,12 @@ QUERIES = {
     "join_19_contained": lambda s, d: C.contained(P._nodes(s, d)),
     "join_20_snapshot_diff": diff,
     "join_20_rebuilds": rebuilds,
-    "win_06_spans": lambda s, d: _spans(s, d),
+    "win_06_spans": lambda s, d: C.symbol_spans(_syms(s, d)).select("project_id", "id", "line", "last"),
     "src_08_headings": markdown,
     "src_05_links": links,
     "sea_09_graph_boost": lambda s, d: X.graph_boosted(table(s, d, "memories"), P._nodes(s, d), "gate"),
-    "sea_10_context": lambda s, d: X.context_pack(P._nodes(s, d), P._edges(s, d), table(s, d, "memories"), "gate"),
-    "dml_18_merge_deltas": merged,
+    "dml_18_merge_deltas": merged_steps,
+    "dml_18_merge_history": merged,
     "snk_01_json": lambda s, d: exports.memory_json(table(s, d, "memories").select("id", "what", "deleted_at")),
     "snk_05_cypher": lambda s, d: exports.cypher(P._nodes(s, d), P._edges(s, d)),
     "snk_06_view": lambda s, d: exports.view_nodes(P._nodes(s, d), P._deg(s, d), P._given(s, d)).withColumn("size", F.round("size", 6)),
@@ -123,13 +145,6 @@ QUERIES = {
 }
 
 
-def _spans(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("project_id", "path").orderBy("line", "id")
-    return _syms(s, d).select("project_id", "id", "line", (F.lead("line").over(w) - 1).alias("last"))
-
-
 _SYM = f"""sy AS (SELECT project_id, path, id, label, coalesce(CASE WHEN json_valid(metadata) THEN CAST(floor(TRY_CAST(json_extract_string(metadata, '$.line') AS DOUBLE)) AS BIGINT) END, 0) AS line, {q.language_group('path')} AS grp FROM n WHERE node_type IN ('function', 'class'))"""
 _CALL = r"""ca AS (SELECT DISTINCT project_id, string_split(source_id, ':')[1] AS path, CAST(regexp_extract(source_location, 'L(\d+)', 1) AS BIGINT) AS line, string_split(target_id, ':')[-1] AS callee FROM graph_edges WHERE relation_type = 'calls' AND source_location IS NOT NULL AND source_id LIKE '%:%' AND target_id LIKE '%:%')"""
 _CALLER = "cl AS (SELECT ca.*, (SELECT arg_max(id, (sy.line, id)) FROM sy WHERE sy.project_id = ca.project_id AND sy.path = ca.path AND sy.line <= ca.line) AS caller_id FROM ca)"
@@ -161,15 +176,18 @@ SQL = {
         SELECT * FROM (SELECT im.project_id, im.s AS source_path, im.i AS imported, CASE WHEN target IS NOT NULL THEN 'file' WHEN NOT regexp_matches(im.i, '^[./]') AND NOT regexp_matches(im.i, '[ \t\n\r]') AND trim(im.i) <> '' THEN 'package' END AS kind,
           CASE WHEN target IS NOT NULL THEN target WHEN NOT regexp_matches(im.i, '^[./]') THEN 'pkg:' || im.i END AS target_id FROM im LEFT JOIN b ON b.project_id = im.project_id AND b.s = im.s AND b.i = im.i) WHERE kind IS NOT NULL""",
     "win_06_spans": f"{P._BASE}, {_SYM} SELECT project_id, id, line, lead(line) OVER (PARTITION BY project_id, path ORDER BY line, id) - 1 AS last FROM sy",
-    "src_05_links": r"""SELECT doc_id, unnest(regexp_extract_all(text, '(https?://[^\s<>"'')\]]+)', 1)) AS url FROM documents""",
+    "src_05_links": """WITH e AS (SELECT DISTINCT source_id || '>' || target_id || '>' || id AS edge, source_id AS s, target_id AS t FROM graph_edges WHERE id IS NOT NULL AND NOT contains(source_id || target_id, ':') AND trim(source_id) <> '' AND trim(target_id) <> '')
+        SELECT edge, s AS name, 2 AS line FROM e UNION ALL SELECT edge, t, 2 FROM e UNION ALL SELECT edge, t, 6 FROM e""",
     "src_08_headings": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
         f AS (SELECT *, starts_with({q.trim('s')}, '```') AS is_fence, sum(CAST(starts_with({q.trim('s')}, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY line) AS k FROM l),
         m AS (SELECT *, max(CASE WHEN is_fence THEN line END) OVER (PARTITION BY doc_id ORDER BY line) AS open_line FROM f),
         o AS (SELECT doc_id, line AS open_line, lower({q.trim("substring(" + q.trim('s') + ", 4)")}) AS lang FROM l)
         SELECT m.doc_id, {q.trim("regexp_extract(s, '^(#{1,6})[[:space:]]+(.+)$', 2)")} AS title, CAST(line AS INT) AS line, length(regexp_extract(s, '^(#{{1,6}})[[:space:]]+(.+)$', 1))::INT AS level
         FROM m LEFT JOIN o ON o.doc_id = m.doc_id AND o.open_line = m.open_line WHERE NOT is_fence AND regexp_matches(s, '^#{{1,6}}[[:space:]]+.+$') AND title <> '' AND NOT (k % 2 = 1 AND coalesce(lang, '') = 'mermaid')""",
-    "dml_18_merge_deltas": """SELECT * FROM (VALUES ('p', 'auth', 'Login', 'Users MUST log in.', 'MUST'), ('p', 'auth', 'Sign Out', 'Sessions MUST end.', 'MUST'), ('p', 'auth', 'Reset', 'It SHOULD NOT leak token: [REDACTED_SECRET]', 'SHOULD NOT'),
-        ('q', 'auth', 'Login', 'Old text.', ''), ('q', 'auth', 'New', 'plain', '')) t(project_id, capability_path, requirement, body, words)""",
+    "dml_18_merge_deltas": f"""WITH r AS (SELECT project_id, coalesce(topic_key, 'general') AS capability_path, {q.redact(q.trim("coalesce(what, '')"))} AS requirement, {q.redact("coalesce(why, '')")} AS body FROM memories WHERE change_id <> ''),
+        u AS (SELECT project_id, capability_path, requirement, min(body) AS body, length(requirement) % 5 AS k FROM r WHERE requirement <> '' GROUP BY ALL),
+        x AS (SELECT project_id, capability_path, CASE WHEN k = 3 THEN requirement || ' v2' ELSE requirement END AS requirement, CASE WHEN k = 1 THEN 'Changed. ' || body ELSE body END AS body FROM u WHERE k <> 2)
+        SELECT *, array_to_string({q.rfc2119('body')}, ',') AS words FROM x""",
     "snk_05_cypher": f"""{P._BASE} SELECT 0 AS kind, 'MERGE (n:' || upper(translate(node_type, '- /.', '____')) || ' {{id: ' || {_cy('id')} || '}}) SET n.label = ' || {_cy('label')} || ', n.path = ' || {_cy('path')} || ';' AS line FROM n
         UNION ALL SELECT 1, 'MATCH (a {{id: ' || {_cy('source_id')} || '}}), (b {{id: ' || {_cy('target_id')} || '}}) MERGE (a)-[:' || upper(translate(relation_type, '- /.', '____')) || ']->(b);' FROM e""",
     "snk_15_budget": "SELECT doc_id, CASE WHEN length(text) > 800 THEN (CASE WHEN contains(substring(text, 1, 800), chr(10)) THEN regexp_replace(substring(text, 1, 800), '\\n[^\\n]*$', '') ELSE substring(text, 1, 800) END) || chr(10) || '... [truncated to fit the token budget]' ELSE text END AS cut FROM documents",

@@ -68,7 +68,7 @@ def fn_language(spark: SparkSession, d: str) -> DataFrame:
 
 def fn_imports(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "graph_nodes").where("node_type = 'package'").select(F.col("label").alias("imported"))
-    std = spark.createDataFrame([(x,) for v in code.STDLIB.values() for x in v[:20]] + [("net/http",), ("os.path",), ("fs/promises",), ("./a",), ("/b",), (" ",), ("a b",)], "imported string")
+    std = spark.createDataFrame([(x,) for v in code.STDLIB.values() for x in v] + [("net/http",), ("os.path",), ("fs/promises",), ("./a",), ("/b",), (" ",), ("a b",)], "imported string")
     exts = F.explode(F.array(*[F.lit(e) for e in (".go", ".py", ".ts", ".rb")]))
     return names.unionByName(std).distinct().select("imported", exts.alias("ext")).select("imported", "ext", code.is_stdlib(F.col("imported"), F.col("ext")).alias("stdlib"), code.is_external(F.col("imported")).alias("external"))
 
@@ -158,7 +158,7 @@ SQL = {
         '"' || replace(title, '\\', '/') || '"' AS mermaid, replace(replace(title, '|', '\\|'), chr(10), ' ') AS cell, {_replaced('title', _HTML)} AS wiki FROM documents""",
     "fn_09_keyword_score": "SELECT id, CAST(" + " + ".join(f"CAST(contains(lower(coalesce(what, '') || ' ' || coalesce(why, '')), {q.quote(t)}) AS INT)" for t in GOAL.split() if t not in text.STOP_WORDS) + " AS INT) AS score FROM memories",
     "fn_10_rfc2119": f"SELECT doc_id, array_to_string({q.rfc2119('text')}, ',') AS words FROM documents",
-    "fn_11_imports": f"""WITH i AS (SELECT label AS imported FROM graph_nodes WHERE node_type = 'package' UNION SELECT unnest([{q.names([x for v in code.STDLIB.values() for x in v[:20]] + ['net/http', 'os.path', 'fs/promises', './a', '/b', ' ', 'a b'])}])),
+    "fn_11_imports": f"""WITH i AS (SELECT label AS imported FROM graph_nodes WHERE node_type = 'package' UNION SELECT unnest([{q.names([x for v in code.STDLIB.values() for x in v] + ['net/http', 'os.path', 'fs/promises', './a', '/b', ' ', 'a b'])}])),
         e AS (SELECT imported, unnest(['.go', '.py', '.ts', '.rb']) AS ext FROM i)
         SELECT imported, ext, CASE ext {' '.join(f"WHEN {q.quote(k)} THEN {'regexp_extract(imported, $$^([^.]+|[.])$$, 1)' if k == '.py' else 'regexp_extract(imported, $$^([^/]+|/)$$, 1)'} IN ({q.names(code.STDLIB[v])})" for k, v in _STD.items())} ELSE false END AS stdlib,
         NOT regexp_matches(imported, '^[./]') AND NOT regexp_matches(imported, '[ \\t\\n\\r]') AND trim(imported) <> '' AS external FROM e""",

@@ -190,7 +190,8 @@ _B = """ar AS MATERIALIZED (SELECT e.project_id, source_id AS a, target_id AS b,
 _FIRSTN = "CAST(row_number() OVER (PARTITION BY project_id ORDER BY degree DESC, id) AS INT) AS rank"
 
 
-def _blast_sql() -> str:
+def blast_ctes(most: int = MOST) -> list[str]:
+    """CTEs l1 .. of the levels of dependants of st (project_id, start_id) in n and e."""
     ctes = [
         "dg AS (SELECT project_id, id, count(*) AS degree FROM (SELECT project_id, unnest(list_distinct([source_id, target_id])) AS id FROM e) GROUP BY ALL)",
         "inn AS (SELECT e.project_id, target_id AS parent, source_id AS id, relation_type, degree FROM e JOIN dg ON dg.project_id = e.project_id AND dg.id = source_id WHERE relation_type <> 'rationale_for' AND EXISTS (SELECT 1 FROM n WHERE n.project_id = e.project_id AND n.id = source_id))",
@@ -202,8 +203,11 @@ def _blast_sql() -> str:
         ctes.append(f"""c{k} AS (SELECT p.project_id, p.start_id, i.id, degree, min(p.rank) AS pr, arg_min(i.relation_type, (p.rank, i.relation_type)) AS rel FROM l{k - 1} p JOIN inn i ON i.project_id = p.project_id AND i.parent = p.id
             WHERE NOT EXISTS (SELECT 1 FROM s{k} s WHERE s.project_id = p.project_id AND s.start_id = p.start_id AND s.id = i.id) GROUP BY p.project_id, p.start_id, i.id, degree)""")
         ctes.append(f"""l{k} AS (SELECT project_id, start_id, id, rank, depth, relation_type, is_hub FROM (SELECT project_id, start_id, id, CAST(row_number() OVER (PARTITION BY project_id, start_id ORDER BY pr, degree DESC, id) + (SELECT max(rank) FROM s{k} s WHERE s.project_id = c{k}.project_id AND s.start_id = c{k}.start_id) AS INT) AS rank,
-            {k} AS depth, rel AS relation_type, degree >= 10 AS is_hub FROM c{k}) WHERE rank <= {MOST})""")
-    return f"{_BASE}, {_S}, " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, DEPTH + 1))
+            {k} AS depth, rel AS relation_type, degree >= 10 AS is_hub FROM c{k}) WHERE rank <= {most})""")
+    return ctes
+
+
+_LEVELS = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, DEPTH + 1))
 
 
 _FIND_RANK = f"CASE WHEN id = '{FIND}' THEN 5 WHEN path = '{FIND}' THEN 4 WHEN label = '{FIND}' THEN 3 WHEN contains(id, '{FIND}') OR contains(label, '{FIND}') THEN 2 ELSE 0 END"
@@ -246,7 +250,7 @@ SQL = {
         bk(project_id, start_id, end_id, hops, here, path) AS (SELECT ds.project_id, start_id, ds.id, depth, ds.id, ds.id FROM ds JOIN n ON n.project_id = ds.project_id AND n.id = ds.id AND node_type = 'file' UNION ALL
           SELECT bk.project_id, bk.start_id, end_id, hops, parent, parent || ' > ' || path FROM bk JOIN pa ON pa.project_id = bk.project_id AND pa.start_id = bk.start_id AND pa.id = bk.here)
         SELECT project_id, start_id, end_id, CAST(hops AS INT) AS hops, path FROM bk WHERE here = start_id""",
-    "gra_03_blast": _blast_sql(),
+    "gra_03_blast": f"{_BASE}, {_S}, {', '.join(blast_ctes())} {_LEVELS}",
     "gra_04_propagation": f"{_BASE}, {_rounds_sql(False)} SELECT * FROM g",
     "gra_05_communities": f"{_BASE}, {_G} SELECT * FROM g",
     "gra_06_betweenness": f"{_BASE}, {_B} SELECT * FROM bc",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowloom.functions import text
@@ -33,6 +33,19 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     return _rel(s, d).where("source_id <> target_id").select("project_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
 
 
+def placed(s: SparkSession, d: str) -> DataFrame:
+    """The memories, every second of a project with the path of one of its files in place of its own, in turn, in the spelling of a reference with a line.
+
+    No path of the table names a node, so that without this no link would exist.
+    """
+    m = _mem(s, d).withColumn("_k", F.row_number().over(Window.partitionBy("project_id").orderBy("id")))
+    files = table(s, d, "graph_nodes").where("id = path").select("project_id", "path").distinct()
+    files = files.withColumn("_j", F.row_number().over(Window.partitionBy("project_id").orderBy("path")))
+    many = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("_f"))
+    turn = m.join(many, "project_id", "left").withColumn("_j", F.when(F.col("_k") % 2 == 0, F.col("_k") % F.col("_f") + 1))
+    return turn.join(files, ["project_id", "_j"], "left").withColumn("where_path", F.coalesce(F.concat(F.lit("./"), "path", F.lit(":7")), "where_path")).drop("_k", "_j", "_f", "path")
+
+
 def _files(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "graph_nodes").where("node_type IN ('file', 'document')").select("project_id", "path")
 
@@ -51,6 +64,7 @@ QUERIES = {
     "flt_13_changed": lambda s, d: M.changed_since(_mem(s, d), WEEK_AGO).select("project_id", "id"),
     "flt_17_invalid": lambda s, d: M.invalid_rows(_mem(s, d), {"what": 60, "why": 200, "topic_key": 40}).select("project_id", "id", F.array_join("problems", ",").alias("problems")),
     "flt_20_prompts": lambda s, d: M.recent_prompts(_pmt(s, d)),
+    "flt_20_session_prompts": lambda s, d: M.recent_prompts(_pmt(s, d), 3, _pmt(s, d).agg(F.min("session_id")).first()[0]).select("project_id", "rank", "id"),
     "flt_22_relations": lambda s, d: M.relations_of(_rel(s, d)),
     "flt_23_compare": lambda s, d: M.compare(_mem(s, d), _rel(s, d), _pairs(s, d)),
     "agg_01_stats": lambda s, d: M.stats(_pro(s, d), _mem(s, d), _ses(s, d), _rel(s, d), _pmt(s, d), NOW),
@@ -65,9 +79,9 @@ QUERIES = {
     "win_04_bundle": lambda s, d: M.bundle(_mem(s, d), _ses(s, d)),
     "win_04_bundle_goal": lambda s, d: M.bundle(_mem(s, d), _ses(s, d), GOAL),
     "srt_04_review": lambda s, d: M.review_items(_mem(s, d), _rel(s, d), NOW),
-    "join_05_conflicts": lambda s, d: M.conflicts(_rel(s, d), _mem(s, d)).drop("score"),
-    "join_12_code_links": lambda s, d: M.code_links(_mem(s, d), table(s, d, "graph_nodes")),
-    "join_21_stale_bindings": lambda s, d: M.stale_bindings(_mem(s, d), _files(s, d)),
+    "join_05_conflicts": lambda s, d: M.conflicts(_rel(s, d), _mem(s, d)),
+    "join_12_code_links": lambda s, d: M.code_links(placed(s, d), table(s, d, "graph_nodes")),
+    "join_21_stale_bindings": lambda s, d: M.stale_bindings(placed(s, d).withColumn("where_path", text.node_path(F.col("where_path"))), _files(s, d)),
     "dml_08_session_guard": lambda s, d: M.session_links(_mem(s, d), _ses(s, d)).select("project_id", "id"),
 }
 
@@ -78,6 +92,12 @@ _ENDS = "(SELECT project_id, source_id AS memory_id, id AS relation_id, 'source'
 _STATE = f"lower({q.trim('status')})"
 
 
+#: The memories with places, as :func:`placed` gives them.
+PLACED = """pf AS (SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY path) AS j FROM (SELECT DISTINCT project_id, path FROM graph_nodes WHERE id = path)),
+    pc AS (SELECT project_id, count(*) AS f FROM pf GROUP BY 1), pk AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY id) AS k FROM memories),
+    pm AS (SELECT pk.* REPLACE (coalesce('./' || pf.path || ':7', where_path) AS where_path) FROM pk LEFT JOIN pc ON pc.project_id = pk.project_id LEFT JOIN pf ON pf.project_id = pk.project_id AND k % 2 = 0 AND pf.j = k % f + 1)"""
+
+
 def _bundle(goal: bool) -> str:
     section = "CASE " + " ".join(f"WHEN category IN ({q.names(c)}) THEN '{n}'" for n, c, _, _ in M.SECTIONS) + " END"
     cap = "CASE section " + " ".join(f"WHEN '{n}' THEN {k}" for n, _, k, _ in M.SECTIONS) + " END"
@@ -117,6 +137,7 @@ SQL = {
     "flt_17_invalid": f"""SELECT * FROM (SELECT project_id, id, concat_ws(',', CASE WHEN NOT coalesce(regexp_matches(id, '^[A-Za-z0-9_-]{{1,64}}$'), false) THEN 'unsafe id' END, CASE WHEN coalesce({q.trim('what')}, '') = '' THEN 'no title' END,
         CASE WHEN strlen(what) > 60 THEN 'what too long' END, CASE WHEN strlen(why) > 200 THEN 'why too long' END, CASE WHEN strlen(topic_key) > 40 THEN 'topic_key too long' END) AS problems FROM memories) WHERE problems <> ''""",
     "flt_20_prompts": "SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC NULLS LAST, id) AS INT) AS rank, id, content, created_at FROM user_prompts QUALIFY rank <= 5",
+    "flt_20_session_prompts": "SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC NULLS LAST, id) AS INT) AS rank, id FROM user_prompts WHERE session_id = (SELECT min(session_id) FROM user_prompts) QUALIFY rank <= 3",
     "flt_22_relations": f"SELECT * FROM {_ENDS} WHERE memory_id IS NOT NULL",
     "flt_23_compare": """WITH p AS (SELECT DISTINCT project_id, source_id AS a, target_id AS b FROM memory_relations WHERE source_id <> target_id),
         r AS (SELECT project_id, source_id AS a, target_id AS b, min(relation_type) AS relation_type FROM memory_relations GROUP BY ALL)
@@ -144,8 +165,8 @@ SQL = {
         t AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rs <> '' DESC, needs_review DESC, age_days DESC, created_at DESC NULLS LAST, id) AS INT) AS rank FROM r QUALIFY rank <= 10),
         c AS (SELECT project_id, memory_id AS id, count(*) AS n FROM {_ENDS} WHERE memory_id IS NOT NULL GROUP BY ALL)
         SELECT t.project_id, rank, t.id, age_days, seen_days, needs_review, CASE WHEN rs = '' THEN 'recent and healthy' ELSE rs END AS reason, coalesce(n, 0) AS relation_count FROM t LEFT JOIN c ON c.project_id = t.project_id AND c.id = t.id""",
-    "join_05_conflicts": "SELECT r.project_id, r.id, source_id, target_id, status, a.what AS source_what, b.what AS target_what, r.created_at FROM memory_relations r LEFT JOIN memories a ON a.id = source_id LEFT JOIN memories b ON b.id = target_id WHERE relation_type = 'conflicts_with'",
-    "join_12_code_links": f"SELECT m.project_id, m.id AS memory_id, n.id AS node_id, concat_ws('-', m.id, n.id, 'rationale_for') AS edge_id FROM (SELECT project_id, id, {q.node_path('where_path')} AS p {_LIVE}) m JOIN (SELECT DISTINCT project_id, id FROM graph_nodes WHERE id = path) n ON n.project_id = m.project_id AND n.id = m.p WHERE p <> ''",
-    "join_21_stale_bindings": f"WITH p AS (SELECT project_id, id, {q.trim('unnest(string_split(where_path, $$,$$))')} AS path {_LIVE} AND where_path <> '') SELECT DISTINCT project_id, id FROM p WHERE path <> '' AND NOT EXISTS (SELECT 1 FROM graph_nodes n WHERE n.project_id = p.project_id AND n.path = p.path AND node_type IN ('file', 'document'))",
+    "join_05_conflicts": "SELECT r.project_id, r.id, source_id, target_id, status, score, a.what AS source_what, b.what AS target_what, r.created_at FROM memory_relations r LEFT JOIN memories a ON a.id = source_id LEFT JOIN memories b ON b.id = target_id WHERE relation_type = 'conflicts_with'",
+    "join_12_code_links": f"WITH {PLACED} SELECT m.project_id, m.id AS memory_id, n.id AS node_id, concat_ws('-', m.id, n.id, 'rationale_for') AS edge_id FROM (SELECT project_id, id, {q.node_path('where_path')} AS p FROM pm WHERE deleted_at IS NULL) m JOIN (SELECT DISTINCT project_id, id FROM graph_nodes WHERE id = path) n ON n.project_id = m.project_id AND n.id = m.p WHERE p <> ''",
+    "join_21_stale_bindings": f"WITH {PLACED}, pp AS (SELECT project_id, id, {q.node_path('where_path')} AS w FROM pm WHERE deleted_at IS NULL AND where_path <> ''), p AS (SELECT project_id, id, {q.trim('unnest(string_split(w, $$,$$))')} AS path FROM pp) SELECT DISTINCT project_id, id FROM p WHERE path <> '' AND NOT EXISTS (SELECT 1 FROM graph_nodes n WHERE n.project_id = p.project_id AND n.path = p.path AND node_type IN ('file', 'document'))",
     "dml_08_session_guard": "SELECT project_id, id FROM sessions s WHERE EXISTS (SELECT 1 FROM memories m WHERE m.project_id = s.project_id AND m.session_id = s.id)",
 }

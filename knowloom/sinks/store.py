@@ -94,13 +94,18 @@ def write_files(pages: DataFrame, root: str) -> None:
     pages.select("path", "content").foreachPartition(write)
 
 
+def orphan_paths(here: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The paths of ``here`` (path) that ``wanted`` (path) does not name."""
+    return here.select("path").distinct().join(wanted.select("path").distinct(), "path", "left_anti")
+
+
 def orphan_files(root: str, wanted: DataFrame, suffix: str = ".json") -> list[str]:
     """Files below ``root`` that ``wanted`` (path) does not name, by an anti join, removed and returned."""
     found = [os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names if f.endswith(suffix) and not f.startswith(".")]
     if not found:
         return []
     here = wanted.sparkSession.createDataFrame([(p,) for p in found], "path string")
-    gone = [r["path"] for r in here.join(wanted.select("path").distinct(), "path", "left_anti").collect()]
+    gone = [r["path"] for r in orphan_paths(here, wanted).collect()]
     for p in gone:
         os.unlink(inside(root, p))
     return sorted(gone)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +77,18 @@ def parse_change(content: str) -> dict[str, str]:
     return out
 
 
+def parse_changes(pages: DataFrame) -> DataFrame:
+    """The fields of change documents (project_id, path, content) as rows: project_id, path and those of :func:`parse_change`, null where a document has none."""
+    names = ("title", "status", "slug", "where_path", "capability_path", "what", "goal", "design", "tasks")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parsed = [parse_change(c or "") for c in b["content"]]
+            yield pd.DataFrame({"project_id": b["project_id"], "path": b["path"], **{n: [p.get(n) for p in parsed] for n in names}})
+
+    return pages.select("project_id", "path", "content").mapInPandas(run, "project_id string, path string, " + ", ".join(f"{n} string" for n in names))
+
+
 def overlay(old: Column, new: Column) -> Column:
     """A parsed value where it is filled and differs, else what was there."""
     return F.coalesce(F.nullif(text.redact(new), F.lit("")), old)
