@@ -10,6 +10,7 @@ from knowloom.operators import search as S
 from knowloom.operators.conflicts import conflict_pairs, entered_links, title_classes
 from knowloom.plans import sqltext as q
 from knowloom.plans.functions import NOW
+from knowloom.runtime import exists
 from knowloom.tables import table
 
 STRICT = "retry ledger"
@@ -21,20 +22,33 @@ def _m(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memories")
 
 
+_INDEXES: dict[tuple[str, str], tuple[list[str], S.SearchIndex]] = {}
+
+
+def _index(spark: SparkSession, d: str) -> S.SearchIndex:
+    """The postings of the memories at hand, built by an application's first search of a folder and kept as long as its files stay the same."""
+    m = _m(spark, d)
+    key, files = (spark.sparkContext.applicationId, d), sorted(m.inputFiles())
+    held = _INDEXES.get(key)
+    if held is None or held[0] != files or not exists(spark, held[1].postings):
+        held = _INDEXES[key] = (files, S.build_index(m))
+    return held[1]
+
+
 def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
 def sea_all(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(S.search(_m(spark, d), STRICT, NOW))
+    return _scored(S.search(_m(spark, d), STRICT, NOW, index=_index(spark, d)))
 
 
 def sea_any(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(S.search(_m(spark, d), LOOSE, NOW, mode="any", category="decision", limit=5, offset=2))
+    return _scored(S.search(_m(spark, d), LOOSE, NOW, mode="any", category="decision", limit=5, offset=2, index=_index(spark, d)))
 
 
 def sea_plain(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(S.search(_m(spark, d), STRICT, NOW, plain=True))
+    return _scored(S.search(_m(spark, d), STRICT, NOW, plain=True, index=_index(spark, d)))
 
 
 def sea_browse(spark: SparkSession, d: str) -> DataFrame:
@@ -42,15 +56,15 @@ def sea_browse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sea_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(S.hybrid(_m(spark, d), LOOSE, NOW))
+    return _scored(S.hybrid(_m(spark, d), LOOSE, NOW, index=_index(spark, d)))
 
 
 def sea_similar(spark: SparkSession, d: str) -> DataFrame:
-    return S.similar_titles(_m(spark, d), TITLE, limit=5, threshold=0.2)
+    return S.similar_titles(_m(spark, d), TITLE, limit=5, threshold=0.2, index=_index(spark, d))
 
 
 def sea_preflight(spark: SparkSession, d: str) -> DataFrame:
-    return S.preflight(_m(spark, d), TITLE, "use one exporter for each partition", threshold=0.2)
+    return S.preflight(_m(spark, d), TITLE, "use one exporter for each partition", threshold=0.2, index=_index(spark, d))
 
 
 def sea_similar_conflicts(spark: SparkSession, d: str) -> DataFrame:

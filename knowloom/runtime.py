@@ -117,6 +117,12 @@ def release(*dfs: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, df: DataFrame) -> bool:
+    """Whether a written table is still there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._knowloom_path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
