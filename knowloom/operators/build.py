@@ -78,6 +78,17 @@ def sync_graph(old_nodes: DataFrame, old_edges: DataFrame, old_files: DataFrame,
     return nodes.unionByName(package_nodes(edges)), edges, diff
 
 
+def file_meta(files: DataFrame) -> DataFrame:
+    """(project_id, path, mtime_ms, size): what the next sync compares with; it replaces what was kept of these projects."""
+    return files.select("project_id", "path", "mtime_ms", "size").dropDuplicates(["project_id", "path"])
+
+
+def replaced_meta(kept: DataFrame, files: DataFrame) -> DataFrame:
+    """``kept`` with the rows of every project of ``files`` replaced by its files as they are now."""
+    now = file_meta(files)
+    return kept.join(now.select("project_id").distinct(), "project_id", "left_anti").unionByName(now)
+
+
 def persist_insight(nodes: DataFrame, member: DataFrame, centrality: DataFrame) -> DataFrame:
     """``nodes`` with community and centrality added to their metadata."""
     rows = nodes.join(member, NODE, "left").join(centrality, NODE, "left")

@@ -114,6 +114,20 @@ def invalid_rows(memories: DataFrame, most: dict[str, int] | None = None) -> Dat
     return memories.select("project_id", "id", F.array_compact(F.array(unsafe, missing, *over)).alias("problems")).where(F.size("problems") > 0)
 
 
+#: Bytes that the fields of a change may take.
+CHANGE_LIMITS = {"title": 500, "what": 10_000, "goal": 10_000, "where_path": 1_000, "capability_path": 200, "design": 100_000, "tasks": 100_000}
+
+
+def invalid_changes(changes: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """(project_id, id, problems): changes with an unsafe slug or capability, no title, or fields beyond their bytes."""
+    from knowloom.operators.changes import SAFE_PATH
+
+    over = [F.when(F.octet_length(c) > n, F.lit(f"{c} too long")) for c, n in (most or CHANGE_LIMITS).items()]
+    unsafe = [F.when((F.coalesce(c, F.lit("")) != "") & ~F.col(c).rlike(SAFE_PATH), F.lit(f"unsafe {c}")) for c in ("slug", "capability_path")]
+    missing = F.when(F.coalesce(text.trim_space(F.col("title")), F.lit("")) == "", F.lit("no title"))
+    return changes.select("project_id", "id", F.array_compact(F.array(*unsafe, missing, *over)).alias("problems")).where(F.size("problems") > 0)
+
+
 # -- aggregations ----------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from knowloom.plans import sqltext as q
 from knowloom.runtime import cut
 from knowloom.sinks import exports
 from knowloom.sources.extract import extract
-from knowloom.tables import table
+from knowloom.tables import MEMORIES, table
 
 
 def _calls(s: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ QUERIES = {
     "sea_09_graph_boost": lambda s, d: X.graph_boosted(table(s, d, "memories"), P._nodes(s, d), "gate"),
     "dml_18_merge_deltas": merged_steps,
     "dml_18_merge_history": merged,
-    "snk_01_json": lambda s, d: exports.memory_json(table(s, d, "memories").select("id", "what", "deleted_at")),
+    "snk_01_json": lambda s, d: exports.memory_json(table(s, d, "memories")),
     "snk_05_cypher": lambda s, d: exports.cypher(P._nodes(s, d), P._edges(s, d)),
     "snk_06_view": lambda s, d: exports.view_nodes(P._nodes(s, d), P._deg(s, d), P._given(s, d)).withColumn("size", F.round("size", 6)),
     "snk_07_wiki": lambda s, d: exports.wiki_pages(P._nodes(s, d), P._edges(s, d), P._given(s, d), P._central(s, d)),
@@ -160,7 +160,33 @@ def _cy(c: str) -> str:
     return f"'\"' || {c} || '\"'"
 
 
+_TIMES = ("created_at", "last_seen_at", "review_after")
+_PLAIN = ("duplicate_count", "pinned", "revision_count")
+
+
+def _field(c: str) -> str:
+    if c in _TIMES:
+        value = f"'\"' || strftime({c} AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us({c}) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z\"'"
+    else:
+        value = f"CAST({c} AS VARCHAR)" if c in _PLAIN else f"to_json({c})::VARCHAR"
+    return f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || {value} END"
+
+
+_JSON = "'{' || array_to_string(list_filter([" + ", ".join(_field(c) for c in sorted(MEMORIES.names) if c != "deleted_at") + "], lambda x: x IS NOT NULL), ',') || '}'"
+_FILE = "translate({}, '/\\:*?\"<>|', '_________')"
+
+
+def _bullet_list(keys: str, line: str, rows: str) -> str:
+    return f"SELECT project_id, {keys} AS id, array_to_string(list_sort(list(DISTINCT '- ' || {line})), chr(10)) AS t FROM {rows} GROUP BY ALL"
+
+
 SQL = {
+    "snk_01_json": f"SELECT id || '.json' AS path, {_JSON} AS content FROM memories WHERE deleted_at IS NULL",
+    "snk_03_notes": f"""{P._BASE}, sy AS ({_bullet_list("path", "label", "n WHERE node_type IN ('function', 'class', 'type', 'section', 'table') AND label IS NOT NULL")}),
+        us AS ({_bullet_list("source_id", "relation_type || ' [[' || " + _FILE.format("target_id") + " || ']]'", "e")}), ub AS ({_bullet_list("target_id", "relation_type || ' [[' || " + _FILE.format("source_id") + " || ']]'", "e")})
+        SELECT n.project_id, CASE WHEN node_type = 'package' THEN 'packages/' ELSE 'files/' END || {_FILE.format("n.id")} || '.md' AS path, '# ' || label || coalesce(chr(10) || chr(10) || '## Symbols' || chr(10) || chr(10) || sy.t, '') || coalesce(chr(10) || chr(10) || '## Depends on' || chr(10) || chr(10) || us.t, '')
+          || coalesce(chr(10) || chr(10) || '## Used by' || chr(10) || chr(10) || ub.t, '') || chr(10) AS content
+        FROM n LEFT JOIN sy ON sy.project_id = n.project_id AND sy.id = n.id LEFT JOIN us ON us.project_id = n.project_id AND us.id = n.id LEFT JOIN ub ON ub.project_id = n.project_id AND ub.id = n.id WHERE node_type IN ('file', 'document', 'package')""",
     "join_16_callers": f"{P._BASE}, {_SYM}, {_CALL}, {_CALLER} SELECT project_id, path, line, callee, caller_id FROM cl",
     "join_17_calls": f"""{P._BASE}, {_SYM}, {_CALL}, {_CALLER},
         r AS (SELECT cl.project_id, caller_id, line, coalesce((SELECT min(id) FROM sy WHERE sy.project_id = cl.project_id AND sy.path = cl.path AND sy.label = callee),

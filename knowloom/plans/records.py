@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowloom.operators import build as B
 from knowloom.operators import changes as H
 from knowloom.operators import code as C
 from knowloom.operators import context as X
 from knowloom.operators import graph as G
 from knowloom.operators import lifecycle as L
 from knowloom.operators import links, sessions, specs
-from knowloom.operators import search as S
+from knowloom.operators import memory as M
 from knowloom.plans import graph as P
 from knowloom.plans import sqltext as q
+from knowloom.plans.code import _FILE, _SNAP, _bullet_list, snapshots
 from knowloom.plans.functions import NOW
 from knowloom.plans.lifecycle import _late
 from knowloom.plans.memory import WEEK_AGO, placed
@@ -210,6 +212,9 @@ QUERIES = {
     "dml_15_register": lambda s, d: L.register(table(s, d, "projects"), table(s, d, "sessions").select(F.col("directory").alias("path")), NOW).select("name", "path"),
     "dml_16_create": created, "dml_16_edit": edited, "dml_20_commit": committed, "dml_21_prompts": captured, "dml_21_passive": passive, "dml_22_link": linked,
     "join_02_links": rationale, "sea_10_context": context,
+    "flt_17_changes": lambda s, d: M.invalid_changes(conform(_changes(s, d), CHANGES), {"title": 40, "tasks": 60}).select("project_id", "id", F.array_join("problems", ",").alias("problems")),
+    "snk_04_vault": lambda s, d: exports.simple_vault(_mem(s, d).limit(0), P._nodes(s, d), P._edges(s, d)),
+    "snk_13_meta": lambda s, d: B.replaced_meta(snapshots(s, d)[0], snapshots(s, d)[1].where("size % 2 = 0")),
     "src_03_manifests": lambda s, d: dependencies(_manifests(s, d)),
     "src_05_scripts": lambda s, d: extract(_js(s, d)).select("project_id", "path", "kind", "name", "type", "line", "exported"),
     "src_09_ddl": lambda s, d: extract(_ddl(s, d)).select("project_id", "path", "kind", "name", "type", "line", "meta"),
@@ -275,6 +280,12 @@ SQL = {
         UNION ALL SELECT project_id, 'change', CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC NULLS LAST, id) AS INT) AS rk, id, concat_ws(' ', status, title, {_PROGRESS}) FROM ch WHERE status NOT IN ('archived', 'rejected') AND contains(lower(where_path), 'gate') QUALIFY rk <= 10
         UNION ALL SELECT cp.project_id, 'capability', CAST(row_number() OVER (PARTITION BY cp.project_id ORDER BY c) AS INT) AS rk, c, any_value(t.n) || ': ' || any_value(t.r) FROM cp JOIN (SELECT project_id, capability_path, count(*) AS n, array_to_string(list_sort(list(DISTINCT requirement))[1:5], ' · ') AS r FROM rq GROUP BY ALL) t ON t.project_id = cp.project_id AND t.capability_path = c GROUP BY cp.project_id, c QUALIFY rk <= 10""",
     "join_02_links": f"""{_LINKED} SELECT project_id, memory_id || '-' || node_id || '-rationale_for' AS id, memory_id AS source_id, node_id AS target_id, 'rationale_for' AS relation_type FROM rf UNION ALL SELECT project_id, source_id || '->' || target_id || '-implements', source_id, target_id, 'implements' FROM im""",
+    "flt_17_changes": rf"""WITH {_CH}, t AS (SELECT project_id, change_id AS id, sum(length(id) + 6) + count(*) - 1 AS b FROM memories WHERE change_id <> '' GROUP BY ALL)
+        SELECT * FROM (SELECT ch.project_id, ch.id, concat_ws(',', CASE WHEN NOT regexp_matches(ch.id, '^[^/\\]+(/[^/\\]+)*$') OR regexp_matches(ch.id, '(^|/)\.{{1,2}}(/|$)') THEN 'unsafe slug' END, CASE WHEN capability_path <> '' AND (NOT regexp_matches(capability_path, '^[^/\\]+(/[^/\\]+)*$') OR regexp_matches(capability_path, '(^|/)\.{{1,2}}(/|$)')) THEN 'unsafe capability_path' END,
+          CASE WHEN coalesce({q.trim('title')}, '') = '' THEN 'no title' END, CASE WHEN strlen(title) > 40 THEN 'title too long' END, CASE WHEN b > 60 THEN 'tasks too long' END) AS problems FROM ch JOIN t ON t.project_id = ch.project_id AND t.id = ch.id) WHERE problems <> ''""",
+    "snk_04_vault": f"""{P._BASE}, o AS ({_bullet_list("source_id", "relation_type || ' [[' || " + _FILE.format("target_id") + " || ']]'", "e")})
+        SELECT n.project_id, 'nodes/' || {_FILE.format("n.id")} || '.md' AS path, '# ' || coalesce(label, n.id) || chr(10) || chr(10) || 'type: ' || coalesce(node_type, '') || chr(10) || 'path: ' || coalesce(path, '') || coalesce(chr(10) || chr(10) || '## Relations' || chr(10) || chr(10) || o.t, '') || chr(10) AS content FROM n LEFT JOIN o ON o.project_id = n.project_id AND o.id = n.id""",
+    "snk_13_meta": f"WITH {_SNAP}, u AS (SELECT DISTINCT project_id FROM w WHERE z % 2 = 0) SELECT project_id, path, CAST(epoch_us(created_at) // 1000 AS BIGINT) AS mtime_ms, z AS size FROM (SELECT o.*, documents.created_at FROM o JOIN documents ON doc_id = CAST(path AS BIGINT) WHERE o.project_id NOT IN (SELECT project_id FROM u) UNION ALL SELECT w.*, documents.created_at FROM w JOIN documents ON doc_id = CAST(path AS BIGINT) WHERE z % 2 = 0)",
     "src_03_manifests": "SELECT DISTINCT project_id, id || '/package.json' AS source_id, 'pkg:' || label AS target_id FROM (SELECT project_id, id, any_value(label) AS label FROM graph_nodes WHERE node_type = 'package' GROUP BY ALL)",
     "src_05_scripts": f"""{P._BASE}, f AS (SELECT project_id, path || '.js' AS path, label, length(path) AS l FROM n WHERE id = path)
         SELECT project_id, path, 'import' AS kind, './' || label AS name, NULL::VARCHAR AS type, 2 AS line, NULL::BOOLEAN AS exported FROM f UNION ALL SELECT project_id, path, 'import', 'pkg-' || length(label), NULL, 3, NULL FROM f UNION ALL SELECT project_id, path, 'symbol', 'f' || l, 'function', 5, true FROM f

@@ -28,11 +28,20 @@ def export_json(memories: DataFrame, path: str) -> int:
     return len(rows)
 
 
+#: Every so many syncs the whole table is written once more as one set.
+WHOLE_EVERY = 10
+
+
 def changed_chunks(memories: DataFrame, last_sync: datetime | None) -> DataFrame:
     """The chunks to write: all on the first sync, then those of rows created or seen since."""
     return memory_json(memories if last_sync is None else changed_since(memories, last_sync))
 
 
+def writes_whole(syncs: int, last_sync: datetime | None, forced: bool = False) -> bool:
+    """Whether a sync writes the whole set beside the chunks: the first one, a forced one, and every tenth."""
+    return forced or last_sync is None or (syncs + 1) % WHOLE_EVERY == 0
+
+
 def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, line): statements that rebuild the graph, nodes first."""
     q = lambda c: F.concat(F.lit('"'), text.cypher_string(F.coalesce(c, F.lit(""))), F.lit('"'))
@@ -70,6 +79,15 @@ def file_notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("project_id", F.concat(folder, text.file_name(F.col("id")), F.lit(".md")).alias("path"), page.alias("content"))
 
 
+def simple_vault(memories: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, path, content): the plain form of the vault, a note for each node with the relations that leave it, and one for each memory."""
+    c = F.col
+    out = edges.groupBy("project_id", c("source_id").alias("id")).agg(_bullets(F.collect_set(F.concat("relation_type", F.lit(" [["), text.file_name(c("target_id")), F.lit("]]")))).alias("links"))
+    page = F.concat(F.lit("# "), F.coalesce("label", "id"), F.lit("\n\ntype: "), F.coalesce("node_type", F.lit("")), F.lit("\npath: "), F.coalesce("path", F.lit("")), F.when(c("links").isNotNull(), F.concat(F.lit("\n\n## Relations\n\n"), c("links"))).otherwise(""), F.lit("\n"))
+    notes = nodes.dropDuplicates(G.NODE).join(out, G.NODE, "left").select("project_id", F.concat(F.lit("nodes/"), text.file_name(c("id")), F.lit(".md")).alias("path"), page.alias("content"))
+    return notes.unionByName(memory_notes(memories))
+
+
 def wiki_pages(nodes: DataFrame, edges: DataFrame, member: DataFrame, centrality: DataFrame) -> DataFrame:
     """(project_id, path, content): an index with hubs and communities, and a page for each community with members and edges that leave it."""
     deg = G.degrees(nodes, edges)

@@ -94,6 +94,12 @@ def write_files(pages: DataFrame, root: str) -> None:
     pages.select("path", "content").foreachPartition(write)
 
 
+def write_mirrors(pages: DataFrame, root: str) -> list[str]:
+    """Write ``pages`` (path, content) below ``root`` and remove the documents there that are no longer among them; their paths."""
+    write_files(pages, root)
+    return orphan_files(root, pages, ".md")
+
+
 def orphan_paths(here: DataFrame, wanted: DataFrame) -> DataFrame:
     """The paths of ``here`` (path) that ``wanted`` (path) does not name."""
     return here.select("path").distinct().join(wanted.select("path").distinct(), "path", "left_anti")

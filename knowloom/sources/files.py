@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,30 @@ def symbol_nodes(found: DataFrame) -> DataFrame:
     return last.select("project_id", "id", "n.node_type", "n.label", "path", "n.metadata")
 
 
+def mirror_slugs(spark: SparkSession, root: str) -> DataFrame:
+    """(slug): the active change documents in a project's ``changes`` folder, by name; archived ones lie below it. Without the folder none."""
+    folder = f"{root.rstrip('/')}/changes"
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "slug string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("slug")).orderBy("slug")
+
+
+#: Seconds for which a working copy's metadata are taken as they were.
+GIT_SECONDS = 30.0
+_git_known: dict[str, tuple[float, dict[str, str]]] = {}
+
+
+def cached_git_metadata(root: str) -> dict[str, str]:
+    """:func:`git_metadata`, asked at most once in GIT_SECONDS for each working copy."""
+    now = time.monotonic()
+    held = _git_known.get(root)
+    if held is None or now - held[0] >= GIT_SECONDS:
+        held = _git_known[root] = (now, git_metadata(root))
+    return held[1]
+
+
 def git_metadata(root: str) -> dict[str, str]:
     """Branch, commit and author of a working copy, empty where git does not know; for the driver, as literals of a plan."""
     import subprocess

@@ -26,13 +26,30 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(memories, broken) from a folder with one JSON file a memory; files that do not parse come out apart with their name."""
+    return _parsed(spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).withColumn("_file", F.input_file_name()))
+
+
+def _parsed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, broken) of JSON objects (_file, value)."""
     schema = T.StructType([*MEMORIES.fields, T.StructField("_corrupt", T.StringType())])
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).withColumn("_file", F.input_file_name())
     rows = texts.select("_file", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("m"))
     good = rows.where("m IS NOT NULL AND m._corrupt IS NULL").select("m.*").drop("_corrupt")
     return good, rows.where("m IS NULL OR m._corrupt IS NOT NULL").select("_file", F.col("m._corrupt").alias("_corrupt"))
 
 
+def read_synced(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(memories, broken) of a synced folder: its chunks if there are any, else the one file with all memories, whose unfit rows come out as broken."""
+    chunks, whole = f"{root.rstrip('/')}/chunks", f"{root.rstrip('/')}/memories.json"
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda p: fs(p).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    if there(chunks):
+        return read_chunks(spark, chunks)
+    if not there(whole):
+        return spark.createDataFrame([], MEMORIES), spark.createDataFrame([], "_file string, _corrupt string")
+    each = spark.read.option("wholetext", True).text(whole).select(F.lit(whole).alias("_file"), F.explode(F.from_json("value", "array<string>")).alias("value"))
+    return _parsed(each)
+
+
 def import_memories(current: DataFrame, incoming: DataFrame, project_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(table, refused, diverging): incoming rows bound to a project, redacted and put in place of those with the same id.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,33 @@ def schema_report(frames: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
     return out
 
 
+#: The columns by which a table's rows are told apart, in the tables as the domain keeps them.
+KEYS = {
+    "projects": ("id",), "memories": ("id",), "sessions": ("id",), "memory_relations": ("id",), "user_prompts": ("id",), "graph_nodes": ("project_id", "id"), "graph_edges": ("project_id", "id"),
+    "documents": ("doc_id",), "changes": ("id",),
+}
+
+
+def key_report(frames: dict[str, DataFrame]) -> list[tuple[str, int, int]]:
+    """(table, rows with a null in the key, keys that occur more than once) of each known table: what a table with a primary key would refuse."""
+    out = []
+    for name, df in frames.items():
+        if name in KEYS:
+            keys = list(KEYS[name])
+            nulls = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+            by = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            r = by.agg(F.coalesce(F.sum(F.when(nulls, F.col("_n"))), F.lit(0)), F.count_if((F.col("_n") > 1) & ~nulls)).first()
+            out.append((name, r[0], r[1]))
+    return out
+
+
+def rebuilt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """An older table's rows under a new key: the first row of each by ``order`` stays, rows with a null in the key go."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.dropna(subset=keys).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order, F.to_json(F.struct(*rest)))).alias("_r"))
+    return first.select(*keys, "_r.*").select(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only the columns and row groups a query needs are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -130,3 +130,36 @@ def test_agents_apply_and_confirm(spark):
     b = spark.createDataFrame([("p", "qa", 1, "a", "x"), ("p", "qa", 2, "b", "y")], "project_id string, section string, rank int, id string, what string")
     order = lambda ask: [r.id for r in agent.selected(b, "goal", ask).orderBy("rank").collect()]
     assert order(lambda _: '["b"]') == ["b", "a"] and order(lambda _: "none") == ["a", "b"] and order(None) == ["a", "b"]
+
+
+def test_vault_mirrors_and_synced_folders(spark, tmp_path):
+    import json
+
+    from knowloom.sinks import exports
+    from knowloom.sinks.store import write_mirrors
+    from knowloom.sources import files as S
+    from knowloom.sources.memories import read_synced
+    from knowloom.tables import key_report, rebuilt
+
+    n = _frame(spark, GRAPH_NODES, {"id": "a/b", "node_type": "file", "label": "b", "path": "a/b"}, {"id": "c", "node_type": "file", "label": "c", "path": "c"})
+    e = _frame(spark, GRAPH_EDGES, {"id": "x", "source_id": "a/b", "target_id": "c", "relation_type": "calls"})
+    pages = {r.path: r.content for r in exports.simple_vault(_mem(spark, {"id": "m", "what": "w"}), n, e).collect()}
+    assert set(pages) == {"nodes/a_b.md", "nodes/c.md", "memories/m.md"} and pages["nodes/a_b.md"].endswith("## Relations\n\n- calls [[c]]\n") and "Relations" not in pages["nodes/c.md"]
+    root = str(tmp_path / "specs")
+    page = lambda *slugs: specs.change_markdown(_frame(spark, CHANGES, *[{"id": s, "slug": s, "status": "draft", "title": s} for s in slugs]))
+    assert S.mirror_slugs(spark, root).count() == 0
+    assert write_mirrors(page("two", "one"), root) == [] and [r.slug for r in S.mirror_slugs(spark, root).collect()] == ["one", "two"]
+    assert write_mirrors(page("one"), root) == ["changes/two.md"] and [r.slug for r in S.mirror_slugs(spark, root).collect()] == ["one"]
+    good, broken = read_synced(spark, str(tmp_path / "none"))
+    assert good.count() == broken.count() == 0
+    (tmp_path / "sync").mkdir()
+    (tmp_path / "sync" / "memories.json").write_text(json.dumps([{"id": "a", "what": "w"}, {"id": "b", "revision_count": "no number"}]))
+    good, broken = read_synced(spark, str(tmp_path / "sync"))
+    assert [r.id for r in good.cache().collect()] == ["a"]
+    (tmp_path / "sync" / "chunks").mkdir()
+    (tmp_path / "sync" / "chunks" / "z.json").write_text(json.dumps({"id": "z"}))
+    assert [r.id for r in read_synced(spark, str(tmp_path / "sync"))[0].collect()] == ["z"]
+    assert exports.writes_whole(0, None) and exports.writes_whole(9, NOW) and not exports.writes_whole(3, NOW) and exports.writes_whole(3, NOW, True)
+    double = n.unionByName(n).unionByName(_frame(spark, GRAPH_NODES, {"id": None}))
+    assert key_report({"graph_nodes": double, "other": n}) == [("graph_nodes", 1, 2)] and rebuilt(double, ["project_id", "id"], ["label"]).count() == 2
+    assert S.cached_git_metadata(str(tmp_path)) is S.cached_git_metadata(str(tmp_path))
