@@ -15,7 +15,7 @@ from knowloom.operators import links, sessions, specs
 from knowloom.operators import memory as M
 from knowloom.plans import graph as P
 from knowloom.plans import sqltext as q
-from knowloom.plans.code import _FILE, _SNAP, _bullet_list, snapshots
+from knowloom.plans.code import _FILE, _JSON, _SNAP, _bullet_list, snapshots
 from knowloom.plans.functions import NOW
 from knowloom.plans.lifecycle import _late
 from knowloom.plans.memory import WEEK_AGO, placed
@@ -175,7 +175,7 @@ def _chunk_round(s: SparkSession, d: str) -> DataFrame:
 
     root = shared_path(s, "chunks").removeprefix("file://")
     pages = exports.memory_json(_mem(s, d).where("pinned"))
-    write_files(pages.withColumn("content", F.when(F.length("path") + F.length("content") % 5 == F.length("path"), F.lit("{broken")).otherwise(F.col("content"))), root)
+    write_files(pages.withColumn("content", F.when(F.length("content") % 5 == 0, F.lit("{broken")).otherwise(F.col("content"))), root)
     good, broken = IN.read_chunks(s, root)
     return good.select("id", F.lit("good").alias("kind")).unionByName(broken.select(F.regexp_extract("_file", "([^/]+)[.]json$", 1).alias("id"), F.lit("broken").alias("kind")))
 
@@ -295,6 +295,7 @@ SQL = {
         UNION ALL SELECT project_id, path, 'foreign_key', t || ' -> base', NULL, 8, NULL FROM f WHERE l % 2 = 0""",
     "src_11_file_nodes": f"{P._BASE} SELECT project_id, path || '.js' AS id, 'file' AS node_type, string_split(path, '/')[-1] || '.js' AS label, 10 AS loc, 1 AS exports_count FROM n WHERE id = path",
     "src_12_json": "SELECT project_id, id, what, learned, revision_count, date_trunc('millisecond', created_at) AS created_at, pinned FROM memories WHERE deleted_at IS NULL",
+    "src_13_chunks": f"SELECT id, CASE WHEN length({_JSON}) % 5 = 0 THEN 'broken' ELSE 'good' END AS kind FROM memories WHERE deleted_at IS NULL AND pinned",
     "src_15_changes": f"""WITH {_CH}, t AS (SELECT project_id, change_id AS id, string_agg(CASE WHEN deleted_at IS NULL AND NOT coalesce(category = 'idea', false) THEN '- [x] ' ELSE '- [ ] ' END || id, chr(10) ORDER BY created_at, id) AS tasks FROM memories WHERE change_id <> '' GROUP BY ALL)
         SELECT ch.project_id, ch.id AS slug, {q.trim('string_split(title, chr(10))[1]')} AS title, status, {q.trim('where_path')} AS where_path, CASE WHEN capability_path <> '' THEN {q.trim('capability_path')} END AS capability_path, {q.redact('tasks')} AS tasks FROM ch JOIN t ON t.project_id = ch.project_id AND t.id = ch.id""",
     "src_16_deltas": rf"""WITH {_RQ}, r AS (SELECT project_id, change_id, regexp_replace(requirement, '\s+', ' ', 'g') AS requirement, min(regexp_replace(coalesce(body, ''), '\s+', ' ', 'g')) AS body FROM rq WHERE requirement <> '' GROUP BY ALL)
