@@ -268,10 +268,10 @@ def word_weight(word: str, path: str = VOCABULARY) -> float:
     return 0.25 if high is not None and high < 2 * low else -1.5
 
 
-def _name_weight(word: str, lowered: set[str]) -> float:
+def _name_weight(word: str, lowered: set[str], path: str) -> float:
     """The weight of a given or family name by its last part; a word that the text has in lower case as well is ordinary, and one of inner capitals a program's."""
     part = re.split(r"['’-]", word)[-1]
-    weight = word_weight(part)
+    weight = word_weight(part, path)
     if _CAMEL.search(_NOBLE.sub("", word)):
         weight -= 3.0
     elif weight > -1 and part.lower() in lowered:
@@ -290,8 +290,8 @@ _LOWER_WORD = re.compile(r"(?<![\w@.-])[a-zß-ÿ][^\W\d_]*(?![\w@.-])")
 class _Person:
     """Scores spans of one text as names; ``others`` are its mentions of other kinds in order of their start."""
 
-    def __init__(self, text: str, others: list[Mention]) -> None:
-        self.text, self.others, self.starts = text, others, [m.start for m in others]
+    def __init__(self, text: str, others: list[Mention], path: str) -> None:
+        self.text, self.others, self.path, self.starts = text, others, path, [m.start for m in others]
         self.lowered = set(_LOWER_WORD.findall(text))
         self.locals = {_folded(p) for m in others if m.pii_type == "email" for p in re.split(r"[\W_]+", re.split(r"@|[(\[{ ]+at\b", text[m.start : m.end])[0])}
 
@@ -319,7 +319,7 @@ class _Person:
     def find(self) -> Iterator[Mention]:
         text = self.text
         for m in _WORDS.finditer(text):
-            weight = _name_weight(m[0], self.lowered) - 2.0 * (m[0].casefold() in PLACE_LEADS)
+            weight = _name_weight(m[0], self.lowered, self.path) - 2.0 * (m[0].casefold() in PLACE_LEADS)
             if weight <= -1:
                 continue
             at, best, here = m.end(), None, weight
@@ -327,7 +327,7 @@ class _Person:
                 n = _REST.match(text, at)
                 if not n:
                     break
-                more = _name_weight(n[3], self.lowered)
+                more = _name_weight(n[3], self.lowered, self.path)
                 if best is not None and more < 0.5:
                     break
                 extra = 1.25 * bool(n[1]) + 0.5 * (bool(n[2]) + ("-" in n[3] or bool(_NOBLE.match(n[3]))))
@@ -339,14 +339,14 @@ class _Person:
                 yield best
             c = _COMMA.match(text, m.end())
             if c and weight >= 0.5:
-                given = _name_weight(c[1], self.lowered)
+                given = _name_weight(c[1], self.lowered, self.path)
                 lead = _PARTICLES_BEFORE.search(text, max(0, m.start() - 20), m.start())
                 start = lead.start() if lead else m.start()
                 if given >= 0.5:
                     near = self.around(start, c.end(), m[0])
                     yield Mention("person", start, c.end(), weight + given + near - 0.5 * (near < 1.5))  # else a list of places is one
         for m in _INITIAL.finditer(text):
-            yield Mention("person", m.start(), m.end(), 1.5 + _name_weight(m[2], self.lowered) + 0.5 * bool(m[1]) + self.around(m.start(), m.end(), m[2]))
+            yield Mention("person", m.start(), m.end(), 1.5 + _name_weight(m[2], self.lowered, self.path) + 0.5 * bool(m[1]) + self.around(m.start(), m.end(), m[2]))
 
 
 def _strongest(found: list[Mention], taken: list[tuple[int, int]]) -> list[Mention]:
@@ -361,10 +361,11 @@ def _strongest(found: list[Mention], taken: list[tuple[int, int]]) -> list[Menti
     return sorted(kept, key=lambda m: m.start)
 
 
-def find_mentions(text: str | None) -> list[Mention]:
+def find_mentions(text: str | None, path: str = VOCABULARY) -> list[Mention]:
     """Mentions of personal data in order of their start; they do not overlap. Null and empty texts have none.
 
     Confirmed account and card numbers own their digits. Names are looked for last, beside and never within the other mentions.
+    ``path`` is the vocabulary file of a public tokenizer, in rank form.
     """
     if not text:
         return []
@@ -378,16 +379,20 @@ def find_mentions(text: str | None) -> list[Mention]:
         found += _phones(text)
         found += _addresses(text)
     others = _strongest(found, owned)
-    persons = _strongest(list(_Person(text, others).find()), [(m.start, m.end) for m in others])
+    persons = _strongest(list(_Person(text, others, path).find()), [(m.start, m.end) for m in others])
     return sorted(others + persons, key=lambda m: m.start)
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, path: str = VOCABULARY) -> str | None:
     """The text with each mention replaced by a placeholder of its type, such as ``[EMAIL]``; all else unchanged, null stays null."""
+    return _replaced(text, find_mentions(text, path))
+
+
+def _replaced(text: str | None, found: list[Mention]) -> str | None:
     if not text:
         return text
     out, at = [], 0
-    for m in find_mentions(text):
+    for m in found:
         out += [text[at : m.start], f"[{m.pii_type.upper()}]"]
         at = m.end
     return "".join([*out, text[at:]])
@@ -399,7 +404,7 @@ def text_fields(df: DataFrame, tbl: str, key: str, fields: list[str]) -> DataFra
     return df.select(F.lit(tbl).alias("tbl"), F.col(key).alias("record_id"), F.explode(cells).alias("c")).select("tbl", "record_id", "c.*").where("text IS NOT NULL")
 
 
-def mentions(texts: DataFrame) -> DataFrame:
+def mentions(texts: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(tbl, record_id, field_name, pii_type, start_at): one row for each mention in ``texts`` (see :func:`text_fields`).
 
     start_at counts characters from 0. Texts are read whole; repeated rows give repeated mentions; an empty table gives none.
@@ -409,7 +414,7 @@ def mentions(texts: DataFrame) -> DataFrame:
         for b in batches:
             rows, kinds, starts = [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                for m in find_mentions(text):
+                for m in find_mentions(text, path):
                     rows.append(i)
                     kinds.append(m.pii_type)
                     starts.append(m.start)
@@ -420,16 +425,16 @@ def mentions(texts: DataFrame) -> DataFrame:
     return texts.select("tbl", "record_id", "field_name", "text").mapInArrow(run, schema)
 
 
-def redacted(texts: DataFrame) -> DataFrame:
+def redacted(texts: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``texts`` with every mention replaced, and the number of mentions: (tbl, record_id, field_name, text, n_mentions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, counts = [], []
             for text in b.column("text").to_pylist():
-                clean = redact(text)
-                out.append(clean)
-                counts.append(len(find_mentions(text)) if clean != text else 0)
+                found = find_mentions(text, path)
+                out.append(_replaced(text, found))
+                counts.append(len(found))
             yield pa.RecordBatch.from_arrays([*b.select(["tbl", "record_id", "field_name"]).columns, pa.array(out, pa.string()), pa.array(counts, pa.int32())], ["tbl", "record_id", "field_name", "text", "n_mentions"])
 
     schema = f"tbl string, record_id {texts.schema['record_id'].dataType.simpleString()}, field_name string, text string, n_mentions int"
