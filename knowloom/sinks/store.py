@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_atomically(path: str, data: bytes) -> None:
@@ -40,8 +41,15 @@ def inside(root: str, path: str) -> str:
     return full
 
 
+#: Appended parts of a table after which it is written anew.
+MOST_PARTS = 20
+
+
 class Store:
-    """Versioned Parquet tables below a folder that all executors share; one writer at a time."""
+    """Versioned Parquet tables below a folder that all executors share; one writer at a time.
+
+    A table is one folder, or one folder and parts appended since, of which each later row replaces those of equal keys.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -50,14 +58,38 @@ class Store:
     def _manifest(self) -> str:
         return f"{self.root}/manifest.json"
 
-    def versions(self) -> dict[str, str]:
+    def versions(self) -> dict:
         if not os.path.exists(self._manifest):
             return {}
         with open(self._manifest, encoding="utf-8") as f:
             return json.load(f)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.versions()[name]}")
+        """The table as it stands: its rows, or of equal keys those of the part appended last."""
+        versions = self.versions()
+        base, log = self.spark.read.parquet(f"{self.root}/{versions[name]}"), versions.get(f"{name}@parts")
+        if not log:
+            return base
+        both = base.withColumn("_part", F.lit(0))
+        for i, path in enumerate(log["paths"], 1):
+            both = both.unionByName(self.spark.read.schema(base.schema).parquet(f"{self.root}/{path}").withColumn("_part", F.lit(i)))
+        rest = [c for c in base.columns if c not in log["keys"]]
+        return both.groupBy(*log["keys"]).agg(F.max_by(F.struct(*rest), "_part").alias("_r")).select(*log["keys"], "_r.*").select(*base.columns)
+
+    def append(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        """Add ``rows``, unique by ``keys``, that replace the table's rows of equal keys when it is read; the cost is that of the rows.
+
+        After MOST_PARTS parts the table is written as one folder again.
+        """
+        path = f"{name}/{uuid.uuid4().hex}"
+        versions = self.versions()
+        base = self.spark.read.parquet(f"{self.root}/{versions[name]}")
+        rows.select(*base.columns).write.parquet(f"{self.root}/{path}")
+        log = versions.get(f"{name}@parts", {"keys": list(keys), "paths": []})
+        log["paths"].append(path)
+        self._publish(versions | {f"{name}@parts": log})
+        if len(log["paths"]) >= MOST_PARTS:
+            self.commit(**{name: self.read(name)})
 
     def commit(self, **frames: DataFrame) -> dict[str, str]:
         """Write every frame to a folder of its own, then swap the manifest. If one fails nothing becomes visible."""
@@ -65,15 +97,20 @@ class Store:
         for name, df in frames.items():
             new[name] = f"{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{new[name]}")
-        merged = self.versions() | new
-        write_atomically(self._manifest, json.dumps(merged, indent=1, sort_keys=True).encode())
+        merged = {k: v for k, v in self.versions().items() if k.removesuffix("@parts") not in new} | new
+        self._publish(merged)
         return merged
 
+    def _publish(self, versions: dict) -> None:
+        write_atomically(self._manifest, json.dumps(versions, indent=1, sort_keys=True).encode())
+
     def vacuum(self) -> list[str]:
         """Remove versions that the manifest does not name."""
         import shutil
 
-        live, gone = set(self.versions().values()), []
+        live, gone = set(), []
+        for v in self.versions().values():
+            live.update(v["paths"] if isinstance(v, dict) else [v])
         for name in os.listdir(self.root):
             folder = os.path.join(self.root, name)
             if os.path.isdir(folder):

@@ -72,15 +72,18 @@ def write_bursts(saves: DataFrame, gap: str = "500 milliseconds", late: str = "1
 
 
 def upsert_memories(stream: DataFrame, store: Store, checkpoint: str, keys: tuple[str, ...] = ("id",)) -> StreamingQuery:
-    """Each batch replaces the rows of equal keys in the store's memories; a repeated batch changes nothing.
+    """Each batch replaces the rows of equal keys in the store's memories, at the cost of the batch; a repeated batch changes nothing.
 
     Of several versions in one batch the one seen last stays, then the one made last, then the highest revision; the content decides between equal ones.
     """
     from knowloom.operators.lifecycle import upsert
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        current = store.read("memories") if "memories" in store.versions() else batch.limit(0)
-        store.commit(memories=upsert(current, batch, list(keys)))
+        newest = upsert(batch.limit(0), batch, list(keys))  # one row a key
+        if "memories" in store.versions():
+            store.append("memories", newest, list(keys))
+        else:
+            store.commit(memories=newest)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

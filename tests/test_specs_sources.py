@@ -180,6 +180,24 @@ def test_store_publishes_all_or_nothing(spark, tmp_path):
         inside(str(tmp_path), "../x")
 
 
+def test_store_appends_and_merges_parts(spark, tmp_path, monkeypatch):
+    from knowloom.sinks import store as St
+
+    monkeypatch.setattr(St, "MOST_PARTS", 3)
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda *r: spark.createDataFrame(r, "k string, v int")
+    store.commit(t=rows(("a", 1), ("b", 1)), o=rows(("x", 1)))
+    store.append("t", rows(("a", 2), ("c", 2)), ["k"])
+    store.append("t", rows(("c", None)), ["k"])
+    seen = lambda: sorted(map(tuple, store.read("t").collect()))
+    assert seen() == [("a", 2), ("b", 1), ("c", None)] and len(store.versions()["t@parts"]["paths"]) == 2 and store.vacuum() == []
+    store.append("t", rows(("b", 3)), ["k"])
+    assert seen() == [("a", 2), ("b", 3), ("c", None)] and "t@parts" not in store.versions() and len(store.vacuum()) == 4
+    store.append("t", rows(("b", 4)), ["k"])
+    store.commit(t=rows(("z", 0)))
+    assert seen() == [("z", 0)] and store.read("o").count() == 1
+
+
 def test_files_and_exports(spark, tmp_path):
     rows = [{**dict.fromkeys(MEMORIES.names), "id": i, "project_id": "p", "what": "w|x", "where_path": "a.go:3", "category": "qa"} for i in "ab"]
     m = spark.createDataFrame(rows, MEMORIES)
