@@ -10,7 +10,7 @@ from knowloom.operators import search as S
 from knowloom.operators.conflicts import conflict_pairs, entered_links, title_classes
 from knowloom.plans import sqltext as q
 from knowloom.plans.functions import NOW
-from knowloom.runtime import exists
+from knowloom.runtime import cut, exists
 from knowloom.tables import table
 
 STRICT = "retry ledger"
@@ -75,7 +75,7 @@ def sea_similar_conflicts(spark: SparkSession, d: str) -> DataFrame:
 def entered(spark: SparkSession, d: str) -> DataFrame:
     """What an applying scan enters for the pairs of classes."""
     m, r = _m(spark, d), table(spark, d, "memory_relations")
-    return entered_links(conflict_pairs(m, table(spark, d, "projects"), r), m, r).withColumn("similarity", F.round("similarity", 9))
+    return entered_links(cut(conflict_pairs(m, table(spark, d, "projects"), r), "conflicts"), m, r).withColumn("similarity", F.round("similarity", 9))
 
 
 def sim_classes(spark: SparkSession, d: str) -> DataFrame:
