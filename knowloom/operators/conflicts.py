@@ -44,8 +44,9 @@ def conflict_pairs(memories: DataFrame, projects: DataFrame, relations: DataFram
     members. n_pairs counts the pairs of members that no relation links in either direction; titles without tokens
     are alike with similarity 1. Similarity is exact; no pair of classes is left out.
     """
-    classes = title_classes(memories)
-    summary = class_summary(classes, projects)
+    whole = cut(title_classes(memories), "classes")
+    summary = cut(class_summary(whole, projects), "summary")
+    classes = whole.select("project_id", "id", "class_id")
     tokens = summary.select("project_id", "class_id", F.explode("tokens").alias("token"))
     rarity = tokens.groupBy("project_id", "token").agg(F.count(F.lit(1)).alias("df"))
     ordered = tokens.join(rarity, ["project_id", "token"]).groupBy("project_id", "class_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"), F.expr("bit_xor(shiftleft(1L, CAST(pmod(xxhash64(token), 64) AS INT)))").alias("bits"))
