@@ -233,50 +233,51 @@ def health(projects: DataFrame, nodes: DataFrame, edges: DataFrame, bindings: Da
 # -- centrality and communities ---------------------------------------------
 
 #: Arc visits (nodes times arcs of a project) that one task takes, and the tasks that a project is dealt to at most: its arcs are copied to each.
-VISITS_A_TASK, MOST_TASKS = 50_000_000, 32
-#: Arc cells that are worked on at once: arcs times sources.
+VISITS_A_TASK, MOST_TASKS = 10_000_000, 32
+#: Cells that are worked on at once: sources times arcs.
 CELLS = 4_000_000
 
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of columns between the ``first`` ones."""
-    return np.add.reduceat(values, first, axis=1)
-
-
 def path_shares(a: np.ndarray, b: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
     """Sum over ``sources`` of their dependencies on each of ``n`` vertices of arcs a -> b; parallel arcs are separate paths.
 
-    Many sources advance together, level by level: counts of shortest paths forward, dependencies backward.
+    Many sources advance together, level by level, over the arcs of the vertices just reached: counts of shortest paths forward, dependencies
+    backward over the same arcs. A cell is a source and a vertex.
     """
     total = np.zeros(n)
     if not len(a):
         return total
-    by_b, by_a = np.lexsort((a, b)), np.lexsort((b, a))
-    fa, fb, ba, bb = a[by_b], b[by_b], a[by_a], b[by_a]
-    first_b, first_a = np.flatnonzero(np.diff(fb, prepend=-1)), np.flatnonzero(np.diff(ba, prepend=-1))
-    into, out = fb[first_b], ba[first_a]
-    each = max(1, min(len(sources), CELLS // len(a)))
+    to = b[np.argsort(a, kind="stable")]
+    degree = np.bincount(a, minlength=n)
+    begin = np.concatenate([[0], np.cumsum(degree)[:-1]])
+    each = max(1, min(len(sources), CELLS // max(len(a), n)))
     for k in range(0, len(sources), each):
         s = sources[k : k + each]
-        rows = np.arange(len(s))
-        far, paths = np.full((len(s), n), -1, np.int32), np.zeros((len(s), n))
-        far[rows, s], paths[rows, s] = 0, 1.0
-        level = 0
-        while True:
-            sums = _sums(np.where(far[:, fa] == level, paths[:, fa], 0.0), first_b)
-            new = (sums > 0) & (far[:, into] < 0)
-            if not new.any():
+        cells = np.arange(len(s)) * n + s
+        seen, paths = np.zeros(len(s) * n, bool), np.zeros(len(s) * n)
+        seen[cells], paths[cells] = True, 1.0
+        walked: list[tuple[np.ndarray, np.ndarray]] = []
+        now = cells
+        while len(now):
+            v = now % n
+            d = degree[v]
+            src = np.repeat(now, d)
+            arc = np.repeat(begin[v] - np.concatenate([[0], np.cumsum(d)[:-1]]), d) + np.arange(d.sum())
+            dst = src - src % n + to[arc]
+            new = ~seen[dst]
+            src, dst = src[new], dst[new]
+            if not len(dst):
                 break
-            level += 1
-            r, c = np.nonzero(new)
-            far[r, into[c]], paths[r, into[c]] = level, sums[r, c]
-        share = np.zeros((len(s), n))
-        for at in range(level - 1, -1, -1):
-            on = (far[:, ba] == at) & (far[:, bb] == at + 1)
-            part = _sums(np.where(on, paths[:, ba] / np.maximum(paths[:, bb], 1.0) * (1.0 + share[:, bb]), 0.0), first_a)
-            share[:, out] += part
-        share[rows, s] = 0.0
-        total += share.sum(0)
+            now, back = np.unique(dst, return_inverse=True)
+            paths[now] = np.bincount(back, paths[src])
+            seen[now] = True
+            walked.append((src, dst))
+        share = np.zeros(len(s) * n)
+        for src, dst in reversed(walked):
+            at, back = np.unique(src, return_inverse=True)
+            share[at] += np.bincount(back, paths[src] / paths[dst] * (1.0 + share[dst]))
+        share[cells] = 0.0
+        total += share.reshape(len(s), n).sum(0)
     return total
 
 
