@@ -8,15 +8,18 @@ shared folder, so that plans stay short and a lost executor costs one level.
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knowloom.functions import scalar, text
 from knowloom.operators.memory import first_of
-from knowloom.runtime import Grown, broadcast_if_small, cut, hot_keys, is_empty, measured_bytes, release, salted_join, sized_join
+from knowloom.runtime import Grown, broadcast_if_small, cut, hot_keys, is_empty, java_function, measured_bytes, release, salted_join, sized_join
 
 NODE = ["project_id", "id"]
 HUB_LEAST = 50
@@ -232,82 +235,65 @@ def health(projects: DataFrame, nodes: DataFrame, edges: DataFrame, bindings: Da
 
 # -- centrality and communities ---------------------------------------------
 
-#: Arc visits (nodes times arcs of a project) that one task takes, and the tasks that a project is dealt to at most: its arcs are copied to each.
-VISITS_A_TASK, MOST_TASKS = 10_000_000, 32
-#: Cells that are worked on at once: sources times arcs.
-CELLS = 4_000_000
-
-
-def path_shares(a: np.ndarray, b: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
-    """Sum over ``sources`` of their dependencies on each of ``n`` vertices of arcs a -> b; parallel arcs are separate paths.
-
-    Many sources advance together, level by level, over the arcs of the vertices just reached: counts of shortest paths forward, dependencies
-    backward over the same arcs. A cell is a source and a vertex.
-    """
-    total = np.zeros(n)
-    if not len(a):
-        return total
-    to = b[np.argsort(a, kind="stable")]
-    degree = np.bincount(a, minlength=n)
-    begin = np.concatenate([[0], np.cumsum(degree)[:-1]])
-    each = max(1, min(len(sources), CELLS // max(len(a), n)))
-    for k in range(0, len(sources), each):
-        s = sources[k : k + each]
-        cells = np.arange(len(s)) * n + s
-        seen, paths = np.zeros(len(s) * n, bool), np.zeros(len(s) * n)
-        seen[cells], paths[cells] = True, 1.0
-        walked: list[tuple[np.ndarray, np.ndarray]] = []
-        now = cells
-        while len(now):
-            v = now % n
-            d = degree[v]
-            src = np.repeat(now, d)
-            arc = np.repeat(begin[v] - np.concatenate([[0], np.cumsum(d)[:-1]]), d) + np.arange(d.sum())
-            dst = src - src % n + to[arc]
-            new = ~seen[dst]
-            src, dst = src[new], dst[new]
-            if not len(dst):
-                break
-            now, back = np.unique(dst, return_inverse=True)
-            paths[now] = np.bincount(back, paths[src])
-            seen[now] = True
-            walked.append((src, dst))
-        share = np.zeros(len(s) * n)
-        for src, dst in reversed(walked):
-            at, back = np.unique(src, return_inverse=True)
-            share[at] += np.bincount(back, paths[src] / paths[dst] * (1.0 + share[dst]))
-        share[cells] = 0.0
-        total += share.reshape(len(s), n).sum(0)
-    return total
+#: Arc visits (sources times arcs, by connected part of a project) that one task takes, and the tasks that a project is dealt to at most: its coded arcs are copied to each.
+VISITS_A_TASK, MOST_TASKS = 250_000_000, 64
+#: The kernel: walks from many sources over arrays.
+PATH_SHARES = os.path.join(os.path.dirname(__file__), "PathShares.java")
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least vertex that each of ``n`` vertices is connected with by arcs a -> b, whatever their direction."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, a, before[b])
+        np.minimum.at(least, b, before[a])
+        np.minimum.at(least, before, least.copy())
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
+def _coded(arcs: pa.Table) -> pa.Table:
+    """One row for a project: its ids, its arcs as the kernel takes them, by places of the ids, and the visits they take."""
+    ends = pa.chunked_array([*arcs["source_id"].chunks, *arcs["target_id"].chunks], pa.string()).dictionary_encode().unify_dictionaries()
+    codes, ids = np.concatenate([x.indices.to_numpy() for x in ends.chunks]).astype(np.int64), ends.chunk(0).dictionary
+    n, (a, b) = len(ids), codes.reshape(2, -1)
+    part = connected(n, a, b)
+    visits = np.bincount(part[np.unique(a)], minlength=n).astype(float) @ np.bincount(part[a], minlength=n)
+    packed = np.concatenate([[n], np.stack([a, b], 1).ravel()]).astype("<i4").tobytes()
+    listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)
+    return pa.table({"project_id": arcs["project_id"][:1], "ids": listed, "arcs": pa.array([packed], pa.binary()), "visits": [visits]})
+
+
+def _added(graph: pa.Table, parts: pa.Table) -> pa.Table:
+    """(project_id, id, centrality) of a project from what the tasks found, added up in their order."""
+    total = sum(np.frombuffer(x, "<f8") for x in parts.sort_by("part")["shares"].to_pylist())
+    some = np.flatnonzero(total)
+    ids = graph["ids"].combine_chunks().flatten().take(pa.array(some))
+    return pa.table({"project_id": pa.repeat(graph["project_id"][0], len(some)), "id": ids, "centrality": pa.array(total[some], pa.float64())})
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, id, centrality): directed, unweighted, not normalised; exact.
 
-    The sources of a project are dealt to as many tasks as its work fills, MOST_TASKS at most, each of which gets the project's arcs: the
+    The sources of a project are dealt to as many tasks as its work fills, MOST_TASKS at most, each of which gets the project's arcs as numbers: the
     copies stay in proportion to the arcs. The graph of one project must fit a worker. Edges to unknown nodes do not count.
     """
+    spark = nodes.sparkSession
+    java_function(spark, "knowloom_path_shares", PATH_SHARES, T.BinaryType())
     ids = nodes.select(*NODE).distinct()
     end = lambda e: ids.withColumnRenamed("id", e)
     inner = edges.select("project_id", "source_id", "target_id").join(end("source_id"), ["project_id", "source_id"], "left_semi").join(end("target_id"), ["project_id", "target_id"], "left_semi")
-    inner = cut(inner, "inner")
-    size = ids.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).join(inner.groupBy("project_id").agg(F.count(F.lit(1)).alias("m")), "project_id")
-    tasks = broadcast_if_small(cut(size.select("project_id", F.least(F.lit(MOST_TASKS), F.ceil(F.col("n") * F.col("m") / VISITS_A_TASK)).cast("int").alias("tasks")), "tasks"))
-    starts = cut(inner.select("project_id", F.col("source_id").alias("id")).distinct(), "starts")  # no other vertex begins a path
-    sources = starts.join(tasks, "project_id").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int"))
-    copies = inner.join(tasks, "project_id").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-
-    def run(src: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        codes, names = pd.factorize(pd.concat([arcs["source_id"], arcs["target_id"], src["id"]]))
-        m = len(arcs)
-        total = path_shares(codes[:m], codes[m : 2 * m], len(names), np.sort(codes[2 * m :]))
-        some = np.flatnonzero(total)
-        project = (src if len(src) else arcs)["project_id"].iloc[0]
-        return pd.DataFrame({"project_id": project, "id": names.to_numpy()[some], "centrality": total[some]})
-
-    keys = ["project_id", "task"]
-    part = sources.select(*NODE, "task").groupBy(*keys).cogroup(copies.select("project_id", "source_id", "target_id", "task").groupBy(*keys)).applyInPandas(run, "project_id string, id string, centrality double")
-    return ids.join(part.groupBy(*NODE).agg(F.sum("centrality").alias("centrality")), NODE, "left").fillna(0.0, ["centrality"])
+    coded = cut(inner.groupBy("project_id").applyInArrow(_coded, "project_id string, ids array<string>, arcs binary, visits double"), "coded")
+    tasks = F.greatest(F.lit(1), F.least(F.lit(MOST_TASKS), F.ceil(F.col("visits") / VISITS_A_TASK))).cast("int")
+    work = coded.select("project_id", "arcs", tasks.alias("tasks"), (-F.col("visits") / tasks).alias("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    every = coded.agg(F.coalesce(F.sum(tasks), F.lit(1)).alias("tasks")).first()["tasks"]  # one row
+    # a partition for each, the longest first
+    dealt = work.repartitionByRange(every, "turn", "project_id", "part")
+    shares = dealt.select("project_id", "part", F.call_function("knowloom_path_shares", "arcs", "part", "tasks").alias("shares"))
+    found = coded.select("project_id", "ids").groupBy("project_id").cogroup(shares.groupBy("project_id")).applyInArrow(_added, "project_id string, id string, centrality double")
+    return ids.join(found, NODE, "left").fillna(0.0, ["centrality"])
 
 
 #: Rounds of moving within a level, and levels of contraction, at most.

@@ -9,13 +9,14 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: Bytes that may be handed to an explicit broadcast after they were measured.
 BROADCAST_BYTES = 32 << 20
@@ -177,6 +178,29 @@ def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     return salted_join(big, small, keys, how, hot=hot)
 
 
+def java_function(spark: SparkSession, name: str, source: str, returns: DataType) -> None:
+    """Register the class in the Java file ``source``, a UDF of Spark's Java interface, as the SQL function ``name``.
+
+    It is compiled by the compiler that Spark's own generated code goes through, so a cluster needs nothing but Spark.
+    """
+    if spark.catalog.functionExists(name):
+        return
+    jvm = spark._jvm
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    with open(source, encoding="utf-8") as f:
+        compiler.cook(f.read())
+    classes = compiler.getBytecodes()
+    jar = os.path.join(tempfile.mkdtemp(prefix="knowloom-java-"), f"{name}-{uuid.uuid4().hex}.jar")
+    atexit.register(_remove_tree, os.path.dirname(jar))
+    with zipfile.ZipFile(jar, "w") as z:
+        for c in classes:
+            z.writestr(c.replace(".", "/") + ".class", bytes(classes[c]))
+    spark.sql(f"ADD JAR '{jar}'")
+    made = spark._jsparkSession.sharedState().jarClassLoader().loadClass("knowloom." + os.path.basename(source).removesuffix(".java")).newInstance()
+    spark._jsparkSession.udf().register(name, made, spark._jsparkSession.parseDataType(returns.json()))
+
+
 def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with columns that are computed once a row, however often later steps and filters use them.
 

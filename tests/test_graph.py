@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,20 @@ def test_betweenness_counts_parallel_edges_and_matches_brute_force(spark):
     assert all(abs(got[i] - want[i]) < 1e-9 for i in ids)
 
 
+def test_betweenness_of_a_long_chain_and_of_rounds_of_it(spark):
+    """Vertices with one successor take no walk of their own; walked one by one, this chain takes minutes."""
+    n = 20_000
+    name = lambda c: F.format_string("v%05d", c.cast("int"))
+    ids = spark.range(n).select(F.lit("p").alias("project_id"), name(F.col("id")).alias("id"))
+    steps = spark.range(n - 1).select(F.lit("p").alias("project_id"), name(F.col("id")).alias("source_id"), name(F.col("id") + 1).alias("target_id"))
+    began = time.monotonic()
+    got = [r.centrality for r in G.betweenness(ids, steps).orderBy("id").collect()]
+    assert got == [i * (n - 1.0 - i) for i in range(n)] and time.monotonic() - began < 40
+    ring = _edges(spark, *[(str(i), str((i + 1) % 5)) for i in range(5)], ("5", "0"), ("5", "5"))
+    got = {r.id: r.centrality for r in G.betweenness(_nodes(spark, *"012345"), ring).collect()}
+    assert got == {"0": 10.0, "1": 9.0, "2": 8.0, "3": 7.0, "4": 6.0, "5": 0.0}
+
+
 def test_traversals(spark):
     e = _edges(spark, ("a", "b", "imports"), ("b", "c", "calls"))
     start = lambda s: spark.createDataFrame([("p", s)], "project_id string, start_id string")
