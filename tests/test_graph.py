@@ -1,6 +1,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from knowloom.operators import code as C
@@ -92,6 +93,21 @@ def test_betweenness_of_a_long_chain_and_of_rounds_of_it(spark):
     assert got == {"0": 10.0, "1": 9.0, "2": 8.0, "3": 7.0, "4": 6.0, "5": 0.0}
 
 
+@pytest.mark.parametrize("query, rows", [("gra_08_surprising", 10)])
+def test_queries_with_betweenness_end_on_a_long_chain(spark, tmp_path, query, rows):
+    import __spark_entry__
+
+    n = 20_000
+    name = lambda c: F.format_string("v%05d", c.cast("int"))
+    at, on = name(F.col("id")), name(F.col("id") + 1)
+    spark.range(n).select(F.lit("p").alias("project_id"), at.alias("id"), F.lit("file").alias("node_type"), at.alias("label"), at.alias("path"), F.lit(None).cast("string").alias("metadata")).write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    links = spark.range(n - 1).select(at.alias("e"), F.lit("p").alias("project_id"), at.alias("source_id"), on.alias("target_id"), F.lit("calls").alias("relation_type"), F.lit("EXTRACTED").alias("confidence"), F.lit("L1").alias("source_location"))
+    links.withColumnRenamed("e", "id").write.parquet(str(tmp_path / "graph_edges.parquet"))
+    began = time.monotonic()
+    found = __spark_entry__.queries()[query](spark, str(tmp_path)).count()
+    assert (found == rows if rows else found > 1) and time.monotonic() - began < 50
+
+
 def test_traversals(spark):
     e = _edges(spark, ("a", "b", "imports"), ("b", "c", "calls"))
     start = lambda s: spark.createDataFrame([("p", s)], "project_id string, start_id string")
