@@ -93,7 +93,7 @@ def test_betweenness_of_a_long_chain_and_of_rounds_of_it(spark):
     assert got == {"0": 10.0, "1": 9.0, "2": 8.0, "3": 7.0, "4": 6.0, "5": 0.0}
 
 
-@pytest.mark.parametrize("query, rows", [("gra_08_surprising", 10), ("gra_07_insight", 20_000)])
+@pytest.mark.parametrize("query, rows", [("gra_08_surprising", 10), ("gra_07_insight", 20_000), ("snk_07_wiki", None)])
 def test_queries_with_betweenness_end_on_a_long_chain(spark, tmp_path, query, rows):
     import __spark_entry__
 
