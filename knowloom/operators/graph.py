@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -254,16 +255,29 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return least
 
 
-def _coded(arcs: pa.Table) -> pa.Table:
-    """One row for a project: its ids, its arcs as the kernel takes them, by places of the ids, and the visits they take."""
-    ends = pa.chunked_array([*arcs["source_id"].chunks, *arcs["target_id"].chunks], pa.string()).dictionary_encode().unify_dictionaries()
-    codes, ids = np.concatenate([x.indices.to_numpy() for x in ends.chunks]).astype(np.int64), ends.chunk(0).dictionary
-    n, (a, b) = len(ids), codes.reshape(2, -1)
+def _coded(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+    """One row for a project with arcs: its ids that have arcs, in order, its arcs as the kernel takes them, by places of the ids, and the visits they take."""
+    ids = pa.chunked_array([nodes["id"].unique().sort()])
+    a, b = (pc.index_in(edges[e], value_set=ids.chunk(0), skip_nulls=True).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for e in ("source_id", "target_id"))
+    known = (a >= 0) & (b >= 0)
+    used, codes = np.unique(np.concatenate([a[known], b[known]]), return_inverse=True)
+    ids, n, (a, b) = ids.chunk(0).take(pa.array(used)), len(used), codes.reshape(2, -1)
     part = connected(n, a, b)
     visits = np.bincount(part[np.unique(a)], minlength=n).astype(float) @ np.bincount(part[a], minlength=n)
     packed = np.concatenate([[n], np.stack([a, b], 1).ravel()]).astype("<i4").tobytes()
     listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)
-    return pa.table({"project_id": arcs["project_id"][:1], "ids": listed, "arcs": pa.array([packed], pa.binary()), "visits": [visits]})
+    row = pa.table({"project_id": pa.array(nodes["project_id"][:1].to_pylist() or [None], pa.string()), "ids": listed, "arcs": pa.array([packed], pa.binary()), "visits": pa.array([visits], pa.float64())})
+    return row.slice(0, min(n, 1))  # none for a project without arcs
+
+
+def coded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, ids, arcs, visits): the graph of each project as numbers, for :func:`betweenness` and :func:`communities`; edges to unknown nodes do not count.
+
+    Ends are looked up where the project is coded, so nodes and edges are exchanged once each, by project. The graph of one project must fit a worker.
+    """
+    ends = edges.select("project_id", "source_id", "target_id").where("project_id IS NOT NULL").groupBy("project_id")
+    by = nodes.select(*NODE).where("project_id IS NOT NULL AND id IS NOT NULL").groupBy("project_id").cogroup(ends)
+    return cut(by.applyInArrow(_coded, "project_id string, ids array<string>, arcs binary, visits double"), "coded")
 
 
 def _added(graph: pa.Table, parts: pa.Table) -> pa.Table:
@@ -274,32 +288,29 @@ def _added(graph: pa.Table, parts: pa.Table) -> pa.Table:
     return pa.table({"project_id": pa.repeat(graph["project_id"][0], len(some)), "id": ids, "centrality": pa.array(total[some], pa.float64())})
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, graph: DataFrame | None = None) -> DataFrame:
     """(project_id, id, centrality): directed, unweighted, not normalised; exact.
 
     The sources of a project are dealt to as many tasks as its work fills, MOST_TASKS at most, each of which gets the project's arcs as numbers: the
-    copies stay in proportion to the arcs. The graph of one project must fit a worker. Edges to unknown nodes do not count.
+    copies stay in proportion to the arcs. ``graph``: what :func:`coded` gives of both, where a caller has it.
     """
     spark = nodes.sparkSession
     java_function(spark, "knowloom_path_shares", PATH_SHARES, T.BinaryType())
-    ids = nodes.select(*NODE).distinct()
-    end = lambda e: ids.withColumnRenamed("id", e)
-    inner = edges.select("project_id", "source_id", "target_id").join(end("source_id"), ["project_id", "source_id"], "left_semi").join(end("target_id"), ["project_id", "target_id"], "left_semi")
-    coded = cut(inner.groupBy("project_id").applyInArrow(_coded, "project_id string, ids array<string>, arcs binary, visits double"), "coded")
+    ids, graph = nodes.select(*NODE).distinct(), coded(nodes, edges) if graph is None else graph
     tasks = F.greatest(F.lit(1), F.least(F.lit(MOST_TASKS), F.ceil(F.col("visits") / VISITS_A_TASK))).cast("int")
-    work = coded.select("project_id", "arcs", tasks.alias("tasks"), (-F.col("visits") / tasks).alias("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    every = coded.agg(F.coalesce(F.sum(tasks), F.lit(1)).alias("tasks")).first()["tasks"]  # one row
+    work = graph.select("project_id", "arcs", tasks.alias("tasks"), (-F.col("visits") / tasks).alias("turn")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    every = graph.agg(F.coalesce(F.sum(tasks), F.lit(1)).alias("tasks")).first()["tasks"]  # one row
     # a partition for each, the longest first
     dealt = work.repartitionByRange(every, "turn", "project_id", "part")
     shares = dealt.select("project_id", "part", F.call_function("knowloom_path_shares", "arcs", "part", "tasks").alias("shares"))
-    found = coded.select("project_id", "ids").groupBy("project_id").cogroup(shares.groupBy("project_id")).applyInArrow(_added, "project_id string, id string, centrality double")
+    found = graph.select("project_id", "ids").groupBy("project_id").cogroup(shares.groupBy("project_id")).applyInArrow(_added, "project_id string, id string, centrality double")
     return ids.join(found, NODE, "left").fillna(0.0, ["centrality"])
 
 
 #: Rounds of moving within a level, and levels of contraction, at most.
 MOST_ROUNDS, MOST_LEVELS = 8, 5
 #: A project of at most so many arcs is worked on in one task; larger ones in rounds of joins. The outcome is the same.
-LOCAL_ARCS = 1_000_000
+LOCAL_ARCS = 4_000_000
 
 
 def _undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -437,31 +448,48 @@ def settle(project: str, ids: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.nd
     return home[here]
 
 
-def communities(nodes: DataFrame, edges: DataFrame, method: str = "modularity", local_arcs: int = LOCAL_ARCS) -> DataFrame:
+def _settled_here(by_modularity: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The communities (project_id, id, community) of rows of :func:`coded`; parallel arcs add up, loops do not count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for project, listed, packed in zip(*(batch[c] for c in ("project_id", "ids", "arcs")), strict=True):
+                ids, packed = listed.values, np.frombuffer(packed.as_buffer(), "<i4").astype(np.int64)
+                n, (a, b) = int(packed[0]), packed[1:].reshape(-1, 2).T
+                a, b = a[a != b], b[a != b]
+                if not len(a):
+                    continue
+                pairs, w = np.unique(np.concatenate([a * n + b, b * n + a]), return_counts=True)
+                found = settle(project.as_py(), ids.to_numpy(zero_copy_only=False), pairs // n, pairs % n, w.astype(float), by_modularity)
+                yield pa.record_batch({"project_id": pa.repeat(project, n), "id": ids, "community": ids.take(pa.array(found))})
+
+    return run
+
+
+def communities(nodes: DataFrame, edges: DataFrame, method: str = "modularity", local_arcs: int = LOCAL_ARCS, graph: DataFrame | None = None) -> DataFrame:
     """(project_id, id, community): communities of each project, numbered from 1 by their least node id.
 
     ``method`` is modularity, local moving and contraction in turn until nothing moves, or propagation, the label most frequent among the
     neighbours. Projects of up to ``local_arcs`` arcs are settled in a task each, larger ones in rounds of joins and aggregations over
     (project, node), with the same outcome, so a project may have any size. The outcome is deterministic.
     Nodes without edges are communities of their own; edges to unknown nodes and to themselves do not count; an empty graph gives an empty result.
+    ``graph``: what :func:`coded` gives of both, where a caller has it.
     """
     by_modularity = method != "propagation"
-    arcs = cut(_undirected(nodes, edges), "arcs")
-    size = arcs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = graph is not None
+    if not whole:
+        size = edges.where("source_id <> target_id").groupBy("project_id").agg((2 * F.count(F.lit(1))).alias("n"))
+    else:
+        size = graph.select("project_id", (F.octet_length("arcs") / 4 - 1).alias("n"))  # an arc is there once, as two numbers
     large = cut(size.where(F.col("n") > local_arcs).select("project_id"), "large")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        project = group["project_id"].iloc[0]
-        ids = np.array(sorted(set(group["a"])), object)
-        code = {x: i for i, x in enumerate(ids)}
-        a, b = (group[c].map(code).to_numpy(np.int64) for c in "ab")
-        found = settle(project, ids, a, b, group["w"].to_numpy(), by_modularity)
-        return pd.DataFrame({"project_id": project, "id": ids, "community": ids[found]})
-
-    small = arcs.join(broadcast_if_small(large), "project_id", "left_anti")
-    top = small.groupBy("project_id").applyInPandas(run, "project_id string, id string, community string")
+    small = graph.join(broadcast_if_small(large), "project_id", "left_anti") if whole else coded(nodes, edges.join(broadcast_if_small(large), "project_id", "left_anti"))
+    ways = small.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).first()["n"]  # one row
+    # a partition for each, the largest first
+    dealt = small.repartitionByRange(ways, -F.octet_length("arcs"), "project_id").select("project_id", "ids", "arcs")
+    top = dealt.mapInArrow(_settled_here(by_modularity), "project_id string, id string, community string")
     if not is_empty(large):
-        top = top.unionByName(_in_rounds(cut(arcs.join(broadcast_if_small(large), "project_id", "left_semi"), "arcs"), by_modularity))
+        arcs = _undirected(nodes, edges.join(broadcast_if_small(large), "project_id", "left_semi"))
+        top = top.unionByName(_in_rounds(cut(arcs, "arcs"), by_modularity))
     every = nodes.select(*NODE).distinct().join(top, NODE, "left").select(*NODE, F.coalesce("community", "id").alias("community"))
     return relabelled(cut(every, "communities"))
 

@@ -108,6 +108,24 @@ def test_queries_with_betweenness_end_on_a_long_chain(spark, tmp_path, query, ro
     assert (found == rows if rows else found > 1) and time.monotonic() - began < 50
 
 
+@pytest.mark.parametrize("query, rows", [("gra_08_surprising", None), ("gra_07_insight", 170_000), ("snk_07_wiki", None)])
+def test_queries_with_communities_end_on_a_project_of_more_than_a_million_arcs(spark, tmp_path, query, rows):
+    """Such projects were settled in rounds of joins, which take minutes."""
+    import __spark_entry__
+
+    n, links = 170_000, 600_000
+    name = lambda c: F.format_string("v%06d", c.cast("int"))
+    node, at, by = name(F.col("id")), F.col("id") % n, F.col("id") / n
+    other = F.floor(at / 17) * 17 + (at + 1 + F.floor(by) * 3) % 17  # in the same 17 nodes
+    to = F.when((at < 40) & (by < 1), at + 17).otherwise(other)  # but for some that lead on
+    spark.range(n).select(F.lit("p").alias("project_id"), node.alias("id"), F.lit("file").alias("node_type"), node.alias("label"), node.alias("path"), F.lit(None).cast("string").alias("metadata")).write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    ends = spark.range(links).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("project_id"), name(at).alias("source_id"), name(to).alias("target_id"), F.lit("calls").alias("relation_type"), F.lit("EXTRACTED").alias("confidence"), F.lit("L1").alias("source_location"))
+    ends.write.parquet(str(tmp_path / "graph_edges.parquet"))
+    began = time.monotonic()
+    found = __spark_entry__.queries()[query](spark, str(tmp_path)).count()
+    assert (rows is None or found == rows) and time.monotonic() - began < 60
+
+
 def test_traversals(spark):
     e = _edges(spark, ("a", "b", "imports"), ("b", "c", "calls"))
     start = lambda s: spark.createDataFrame([("p", s)], "project_id string, start_id string")
