@@ -114,7 +114,7 @@ QUERIES = {
     "join_23_divergence": divergence,
     "join_24_keep_untouched": lambda s, d: C.keep_untouched(P._nodes(s, d), P._nodes(s, d).where("node_type = 'file'"), ["project_id", "path"]).select("project_id", "id"),
     "sea_11_session_context": lambda s, d: M.session_context(_mem(s, d), table(s, d, "sessions")),
-    "gra_07_insight": lambda s, d: B.persist_insight(P._nodes(s, d), P._given(s, d), P._central(s, d)).select("project_id", "id", scalar.json_long(F.col("metadata"), "community_id").alias("community"), scalar.json_double(F.col("metadata"), "betweenness_centrality").alias("centrality")),
+    "gra_07_insight": lambda s, d: B.persist_insight(P._nodes(s, d), *P._insight(P._nodes(s, d), P._edges(s, d))).select("project_id", "id", scalar.json_long(F.col("metadata"), "community_id").alias("community"), scalar.json_double(F.col("metadata"), "betweenness_centrality").alias("centrality")),
     "gra_11_community_paths": lambda s, d: X.community_paths(P._nodes(s, d), P._starts(s, d).withColumnRenamed("start_id", "id")),
     "dml_06_pin": lambda s, d: L.pin(_mem(s, d), _mem(s, d).where("category = 'standard'")).where("pinned").select("project_id", "id"),
     "dml_10_ignore": lambda s, d: L.ignore_conflicts(table(s, d, "memory_relations"), table(s, d, "memory_relations").where("status = 'pending'")).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
