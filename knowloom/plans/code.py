@@ -123,6 +123,11 @@ def merged(s: SparkSession, d: str) -> DataFrame:
     return state.select("project_id", "capability_path", "requirement", "body", F.array_join("rfc2119", ",").alias("words"))
 
 
+def wiki(s: SparkSession, d: str) -> DataFrame:
+    nodes, links = P._nodes(s, d), P._links(s, d)
+    return exports.wiki_pages(nodes, links, *P._insight(nodes, links))
+
+
 QUERIES = {
     "join_14_imports": imports,
     "join_16_callers": callers,
@@ -139,7 +144,7 @@ QUERIES = {
     "snk_01_json": lambda s, d: exports.memory_json(table(s, d, "memories")),
     "snk_05_cypher": lambda s, d: exports.cypher(P._nodes(s, d), P._edges(s, d)),
     "snk_06_view": lambda s, d: exports.view_nodes(P._nodes(s, d), P._deg(s, d), P._given(s, d)).withColumn("size", F.round("size", 6)),
-    "snk_07_wiki": lambda s, d: exports.wiki_pages(P._nodes(s, d), P._edges(s, d), P._given(s, d), P._central(s, d)),
+    "snk_07_wiki": wiki,
     "snk_03_notes": lambda s, d: exports.file_notes(P._nodes(s, d), P._edges(s, d)),
     "snk_15_budget": lambda s, d: table(s, d, "documents").select("doc_id", exports.within_budget(F.col("text"), 200).alias("cut")),
 }
